@@ -21,8 +21,10 @@ from .textvec import fast_sketch, mix, row_starts, shingle_sets, text_blocks
 
 #: 44 bands of 5 coordinates: a pair at similarity 0.75 shares no band with probability 7e-6, at 0.8 with 3e-8.
 BANDS, WIDTH = 44, 5
-#: A pair at 0.75 agrees on fewer than this share of 220 coordinates with probability below 1e-9; exact counts decide.
-LEAST_AGREEMENT = 0.55
+#: A pair at 0.75 agrees on fewer than this share of 220 coordinates with probability 4e-6; exact counts decide.
+LEAST_AGREEMENT = 0.62
+#: Documents of a bucket that are held while its others stream by.
+BLOCK = 2048
 SHINGLE = 5
 
 
@@ -95,6 +97,74 @@ def _agreeing(pairs: DataFrame, sk: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, same int")
 
 
+def _cross(per_hundred: int, shingle: int):
+    """Over rows sorted by (key, block, side): the held side of a block against all rows of its bucket that follow.
+
+    A pair is taken up in the first band that it shares, if its labels differ and its sketches agree enough; then
+    its full sets decide. Nothing but confirmed links leaves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_block, held = None, [[], [], [], []]
+        known: dict[int, np.ndarray] = {}
+
+        def set_of(doc: int, text: pa.Scalar) -> np.ndarray:
+            if doc not in known:
+                if len(known) >= 2 * BLOCK:
+                    known.clear()
+                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                known[doc] = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+            return known[doc]
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, block, right, doc, label, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(n, -1)
+            text = np.empty(n, object)
+            text[:] = list(batch.column(7))
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (right[1:] != right[:-1])
+            cuts = np.append(np.flatnonzero(new), n)
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if at_block != (key[lo], block[lo]):
+                    at_block, held = (key[lo], block[lo]), [[], [], [], []]
+                if not right[lo]:
+                    for x, part in zip(held, (doc, label, sketch, text), strict=True):
+                        x.append(part[lo:hi])
+                    continue
+                if not held[0]:
+                    continue
+                d, lab, s, words = (x[0] if len(x) == 1 else np.concatenate(x) for x in held)
+                for at in range(lo, hi, 64):
+                    to = min(hi, at + 64)
+                    far = (lab[:, None] != label[None, at:to]) & ((label[at:to] == lead[at:to])[None, :] | (d[:, None] < doc[None, at:to]))
+                    i, j = np.nonzero(far)
+                    for k in range(0, len(i), 1 << 14):
+                        x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)] + at
+                        same = s[x] == sketch[y]
+                        first = same.reshape(len(x), BANDS, WIDTH).all(axis=2).argmax(axis=1)
+                        on = (same.sum(axis=1) >= LEAST_AGREEMENT * s.shape[1]) & (first == (key[lo] & 63))
+                        for p, q in zip(x[on], y[on], strict=True):
+                            if _alike(set_of(d[p], words[p]), set_of(doc[q], text[q]), per_hundred):
+                                found.append((d[p], doc[q]))
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, per_hundred: int) -> bool:
+    most = min(len(x), len(y))
+    if 100 * most < per_hundred * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= per_hundred * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, shingle: int) -> DataFrame:
     """The pairs with 100 * intersection >= per_hundred * union on their full shingle sets."""
 
@@ -110,8 +180,7 @@ def verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, shingle: int)
                     bt = row_starts(rb, h2 - l2)
                     for i in range(h2 - l2):
                         x, y = ha[at[l2 + i] : at[l2 + i + 1]], hb[bt[i] : bt[i + 1]]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        on[l2 + i] = both > 0 and 100 * both >= per_hundred * (len(x) + len(y) - both)
+                        on[l2 + i] = _alike(x, y, per_hundred)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), part.column(1).filter(pa.array(on))], ["a", "b"])
 
     texts = docs.select("doc_id", "text")
@@ -136,7 +205,7 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
     reps = classes.where("n > 0 and rep is not null").select(F.col("rep").alias("doc_id"))
     banded = sk.join(reps, "doc_id", "left_semi").select(
         "doc_id",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * WIDTH + 1, F.lit(WIDTH))))).alias("key"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sketch", b * WIDTH + 1, F.lit(WIDTH))).bitwiseAND(F.lit(-64)).bitwiseOR(b.cast("long")))).alias("key"),  # the low bits name the band
     )
     members = banded.select("key", "doc_id").repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_neighbours, "key long, doc long, pivot long, prev long")
     members = materialize(members, "members")
@@ -156,11 +225,15 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
     named = materialize(named, "bucket-labels")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = named.join(lead.select("key", "lead"), "key")
-    others = open_.where("label <> lead").select("key", F.col("doc").alias("x"), F.col("label").alias("lx"))
-    cross = others.join(open_.select("key", "doc", "label", "lead"), "key").where("lx <> label and (label = lead or x < doc)")
-    cross = cross.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    more = verified(_agreeing(cross, sk), texts, per_hundred, shingle)
+    open_ = named.join(lead.select("key", "lead"), "key").join(sk.select(F.col("doc_id").alias("doc"), "sketch"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    # The side that is held is dealt into blocks; the bucket's rows go to each of its blocks.
+    blocks = sizes.join(lead, "key").where("label <> lead").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = open_.join(blocks, "key")
+    held = open_.where("label <> lead").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("side", F.lit(False))
+    passing = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
+    order = ["key", "block", "side"]
+    cross = held.unionByName(passing).select(*order, "doc", "label", "lead", "sketch", "text").repartition(partitions(spark), "key", "block").sortWithinPartitions(*order)
+    more = cross.mapInArrow(_cross(per_hundred, shingle), "a long, b long")
 
     final = components(links.unionByName(materialize(more, "cross-links")), "components")
     of_class = classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
