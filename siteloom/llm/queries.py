@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import bpe, fingerprints, mixing, near_dedup, pii, substring_dedup
 
 QUERIES = {
+    "op4_pii": pii.query,
+    "op6_bpe": bpe.query,
+    "op7_fingerprints": fingerprints.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_minhash_near_dedup": near_dedup.query,
+    "op10_mixing": mixing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_pii": pii.oracle(),
+    "op10_mixing": mixing.oracle(),
+}

@@ -46,3 +46,17 @@ def held_out(doc_id) -> "F.Column":
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
+
+
+def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """A query over DataFrames named ``{name}`` in its text; other braces stay as they are."""
+    views = {}
+    for name, df in tables.items():
+        views[name] = f"siteloom_{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(views[name])
+        text = text.replace("{" + name + "}", views[name])
+    try:
+        return spark.sql(text)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
