@@ -254,16 +254,22 @@ def _loaded(source: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): the tokens of every text. The vocabulary is broadcast: a file of fixed size, here 1.7 MB."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every text, and what they decode to.
+
+    The vocabulary is broadcast: a file of fixed size, here 1.7 MB.
+    """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(held.value)
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([bpe.encode(batch.column(1)[i].as_py() or "")], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for lo in range(0, batch.num_rows, 64):
+                texts = [x.as_py() or "" for x in batch.column(1).slice(lo, 64)]
+                ids = [bpe.encode(x) for x in texts]
+                rows = [bpe.digest(x) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -242,5 +242,12 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents of which one stays for each component, in all their columns; of rows that repeat doc_id and text, one."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("siteloom_id")).distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["siteloom_id"]), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, near_dedup, pii, substring_dedup
+from . import bpe, fingerprints, language_id, mixing, near_dedup, pii, quality, substring_dedup, toxicity, vector_search
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_vector_search": vector_search.query,
+    "op3_language_id": language_id.query,
     "op4_pii": pii.query,
+    "op5_quality": quality.query,
     "op6_bpe": bpe.query,
     "op7_fingerprints": fingerprints.query,
     "op8_substring_dedup": substring_dedup.query,

@@ -1,6 +1,6 @@
 """Vectorised primitives over the UTF-8 buffer of an Arrow string column.
 
-A block is a run of whole rows of at most ``limit`` bytes (or one longer row); all arrays below are over
+A block is a run of at most ``most`` whole rows of ``limit`` bytes together (or one longer row); all arrays below are over
 one block, so memory is bounded by the block and the longest single text.
 """
 
@@ -47,7 +47,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20, most: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each block; null texts are empty."""
     col = pc.cast(pc.fill_null(batch.column(batch.schema.names.index(column)), ""), pa.large_string())
     n = len(col)
@@ -59,7 +59,7 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
