@@ -277,8 +277,8 @@ def page_titles(ev: DataFrame) -> DataFrame:
 
 @query(
     "heading_followups",
-    f"""with h as (select page_id, strpos(html, '</h1>') as at, html from pages where contains(html, '</h1>')),
-    p as (select page_id, regexp_extract(substr(html, at), '(?s)<p>(.*?)</p>', 1) as raw from h)
+    f"""with h as (select page_id, strpos(html, '</h1>') as k, html from pages where contains(html, '</h1>')),
+    p as (select page_id, regexp_extract(substr(html, k), '(?s)<p>(.*?)</p>', 1) as raw from h)
     select page_id, cast(len(regexp_extract_all(regexp_replace({_DECODE.format("regexp_replace(raw, '<[^>]*>', chr(1), 'g')")}, '&amp;?', '&', 'g'), '{WORD}')) as bigint) as words from p where raw <> ''""",
 )
 def heading_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
