@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access_queries, content_queries, page_queries, robots_queries, rule_queries, source_queries, structured_queries, url_queries  # noqa: F401  each registers its queries
+from . import access_queries, content_queries, evidence_queries, page_queries, robots_queries, rule_queries, source_queries, structured_queries, url_queries  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
