@@ -11,10 +11,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _descend(gradient, d: int, step: float, rounds: int) -> np.ndarray:
     """Nesterov's accelerated gradient from zero."""
-    w = v = np.zeros(d)
+    w = v = np.zeros(d, np.float32)
     for i in range(rounds):
-        w2 = v - step * gradient(v)
-        v = w2 + (i / (i + 3)) * (w2 - w)
+        w2 = (v - step * gradient(v)).astype(np.float32)  # as the matrix: a product never copies it into another type
+        v = w2 + np.float32(i / (i + 3)) * (w2 - w)
         w = w2
     return w
 
@@ -25,7 +25,7 @@ def _with_bias(x: np.ndarray) -> np.ndarray:
 
 def _largest(x: np.ndarray) -> float:
     """The largest eigenvalue of x'x, by the power method."""
-    u = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    u = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
     for _ in range(15):
         u = x.T @ (x @ u)
         n = np.linalg.norm(u)
@@ -37,17 +37,17 @@ def _largest(x: np.ndarray) -> float:
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 150) -> np.ndarray:
     """Weights (the last one the bias) of l2-regularised logistic regression; labels 0 and 1."""
-    x = _with_bias(x)
-    reg = np.full(x.shape[1], l2)
+    x, y = _with_bias(np.asarray(x, np.float32)), np.asarray(y, np.float32)
+    reg = np.full(x.shape[1], l2, np.float32)
     reg[-1] = 1e-3
     return _descend(lambda w: x.T @ (sigmoid(x @ w) - y) + reg * w, x.shape[1], 1 / (0.25 * 1.1 * _largest(x) + l2), rounds)
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 150) -> np.ndarray:
     """Weights (the last one the bias) of a linear support vector machine with squared hinge loss; labels -1 and 1."""
-    x = _with_bias(x)
+    x, y = _with_bias(np.asarray(x, np.float32)), np.asarray(y, np.float32)
     n = len(x)
-    reg = np.full(x.shape[1], l2)
+    reg = np.full(x.shape[1], l2, np.float32)
     reg[-1] = 1e-4
 
     def gradient(w: np.ndarray) -> np.ndarray:

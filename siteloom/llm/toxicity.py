@@ -8,7 +8,7 @@ The categories of ``labels`` are one, toxic or not. Two finer ones are read off
 far more common in toxic rows; a text *mentions* with one mark and *repeats* with two. They come first in the chain,
 toxic last.
 
-Result for odd input: null and empty texts have no words and get the links' probabilities of no words; labels that are
+Result for odd input: null and empty texts, and all without a word, have probability 0 of everything; labels that are
 null or not 0 or 1 are not learned from; without usable labels of both kinds every probability is 0; rows that repeat
 are scored each; an empty table gives an empty result; extra columns are ignored.
 """
@@ -32,6 +32,8 @@ TOXIC, OTHER = 3000, 6000
 WORDS, FOLDS = 1024, 3
 #: A word is a mark from this many toxic rows on, if it is this much more common there than elsewhere.
 MARK_ROWS, MARK_RATIO = 3, 12.0
+#: A word is a feature if it is so much more common in toxic rows than elsewhere, or the reverse.
+LEAST_RATIO = 2.0
 CATEGORIES = ("mention", "repeat", "toxic")
 THRESHOLD = 0.5
 
@@ -64,13 +66,13 @@ def text_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[keep], rows[keep]
 
 
-def presence(h: np.ndarray, rows: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
-    """(n, words) which of the sorted words each row has."""
+def presence(h: np.ndarray, rows: np.ndarray, n: int, words: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """(n, words) which of the sorted words each row has: a word's weight, or 0."""
     x = np.zeros((n, len(words)), np.float32)
     if len(words) and len(h):
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
         on = words[at] == h
-        x[rows[on], at[on]] = 1
+        x[rows[on], at[on]] = weight if np.isscalar(weight) else weight[at[on]]
     return x
 
 
@@ -84,12 +86,16 @@ class Chain:
         with_toxic = np.bincount(at, toxic[rows], len(words))
         without = np.bincount(at, 1 - toxic[rows], len(words))
         a, b = (with_toxic + 0.5) / (pos + 1), (without + 0.5) / (neg + 1)
-        worth = np.where(with_toxic + without >= MARK_ROWS, (a - b) * np.log(a / b), 0)
+        # Words about as common either way say little and would make short texts, which lack them, look odd.
+        worth = np.where((with_toxic + without >= MARK_ROWS) & (np.abs(np.log(a / b)) >= np.log(LEAST_RATIO)), (a - b) * np.log(a / b), 0)
         chosen = np.sort(np.argsort(-worth, kind="stable")[: min(WORDS, int((worth > 0).sum()))])
         self.words = words[chosen]
         self.marks = ((with_toxic >= MARK_ROWS) & (a >= MARK_RATIO * b))[chosen]
-        x = presence(h, rows, n, self.words)
-        hits = x[:, self.marks].sum(axis=1)
+        hits = presence(h, rows, n, self.words)[:, self.marks].sum(axis=1)
+        # Rare words weigh more, as they deviate less: so all weights are learned at one pace, and penalised alike.
+        share = ((with_toxic + without)[chosen] / n).clip(1e-9, 1)
+        self.weight = np.minimum(1 / np.sqrt(share), 16.0).astype(np.float32)
+        x = presence(h, rows, n, self.words, self.weight)
         y = np.column_stack([hits >= 1, hits >= 2, toxic]).astype(float)
         fold, self.links, before = folds(n, FOLDS), [], np.zeros((n, 0))
         for c in range(y.shape[1]):
@@ -107,9 +113,10 @@ class Chain:
 
     def probabilities(self, h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """(n, categories), each link fed with the ones before."""
-        x, before = presence(h, rows, n, self.words), np.zeros((n, 0))
+        x, before = presence(h, rows, n, self.words, self.weight), np.zeros((n, 0))
         for w in self.links:
             before = np.column_stack([before, sigmoid(decision(self._inputs(x, before), w))])
+        before[np.bincount(rows, minlength=n) == 0] = 0
         return before
 
 
