@@ -52,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     rank there names the block it takes: a source's documents, shuffled by a hash of their doc_id and laid end to end
     as often as needed, cut into blocks of equal words. The last block of a source is cut at its target.
     Ranks and running sums are counted in chunks first and then shifted by the sums of the chunks before, so no task
-    holds a source.
+    holds a source. Slots come of one row, from which the planner would take them for few: hints keep their joins
+    from broadcasting them.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -73,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         at as (select i, chunk, cast(x as double) / {SPAN} * cast(total as double) as p, cast(floor(x / {SPAN // STRETCHES}) as bigint) as stretch from points),
         spans as (select sidx, lo, hi, explode(sequence(greatest(cast(0 as bigint), cast(floor(cast(lo as double) / total * {STRETCHES}) as bigint) - 1), least(cast({STRETCHES - 1} as bigint), cast(floor(cast(hi as double) / total * {STRETCHES}) as bigint) + 1))) as stretch
                   from {{src}} where most > 0)
-        select sidx, i, chunk from at join spans using (stretch) where p >= lo and p < hi""",
+        select /*+ MERGE(at, spans) */ sidx, i, chunk from at join spans using (stretch) where p >= lo and p < hi""",
         chunks=chunks,
         src=src,
     )
@@ -82,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         """
         with n as (select sidx, chunk, count(*) as n from {slots} group by sidx, chunk),
         o as (select sidx, chunk, sum(n) over (partition by sidx order by chunk) - n as before from n)
-        select s.sidx, o.before + row_number() over (partition by s.sidx, s.chunk order by s.i) - 1 as blk from {slots} s join o on s.sidx = o.sidx and s.chunk = o.chunk""",
+        select /*+ MERGE(s, o) */ s.sidx, o.before + row_number() over (partition by s.sidx, s.chunk order by s.i) - 1 as blk from {slots} s join o on s.sidx = o.sidx and s.chunk = o.chunk""",
         slots=slots,
     )
     placed = sql(
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         with p as (select /*+ BROADCAST(e) */ d.*, s.most, d.at + e.epoch * s.source_size as lo from {{placed}} d join {{src}} s on d.sidx = s.sidx cross join (select explode(sequence(0, {int(-(-cap // 1)) - 1})) as epoch) e),
         q as (select *, least(lo + size, most) as hi from p),
         b as (select sidx, g, rn, doc_id, size, lo, hi, explode_outer(case when hi > lo then sequence(cast(floor(lo / {BLOCK}) as bigint), cast(floor((hi - 1) / {BLOCK}) as bigint)) end) as blk from q),
-        t as (select b.sidx, b.g, b.rn, b.doc_id, b.size, case when r.blk is null then 0 else least(b.hi, (b.blk + 1) * {BLOCK}) - greatest(b.lo, b.blk * {BLOCK}) end as got
+        t as (select /*+ MERGE(b, r) */ b.sidx, b.g, b.rn, b.doc_id, b.size, case when r.blk is null then 0 else least(b.hi, (b.blk + 1) * {BLOCK}) - greatest(b.lo, b.blk * {BLOCK}) end as got
               from b left join {{ranked}} r on b.sidx = r.sidx and b.blk = r.blk)
         select sidx, doc_id, size, sum(got) as taken from t group by sidx, g, rn, doc_id, size""",
         placed=placed,
