@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .learners import linear_svm, sigmoid
@@ -23,8 +23,10 @@ from .shared import held_out, table
 from .textvec import mix, text_blocks
 
 #: Labelled rows of each language that are learned from, at most, and the languages, at most.
-SAMPLE, LANGUAGES = 700, 200
-FEATURES = 4096
+SAMPLE, LANGUAGES = 500, 200
+FEATURES = 2048
+#: Rows that are turned into features at once, at most.
+ROWS = 256
 #: Margins are turned into scores by this slope.
 SLOPE = 4.0
 #: A stage that drops documents does so below this score.
@@ -47,7 +49,7 @@ def ngram_features(buf: np.ndarray, offs: np.ndarray, d: int = FEATURES) -> np.n
         low = low[keep].astype(np.uint64)
     else:
         rows = np.zeros(0, np.int64)
-    x = np.zeros(n * d, np.float64)
+    x = np.zeros(n * d, np.float32)
     code = np.zeros(len(low), np.uint64)
     for k in range(1, 5):
         m = len(low) - k + 1
@@ -57,9 +59,10 @@ def ngram_features(buf: np.ndarray, offs: np.ndarray, d: int = FEATURES) -> np.n
         ok = rows[:m] == rows[k - 1 :]
         h = (mix(code[ok] + np.uint64(k << 40)) % np.uint64(d)).astype(np.int64)
         x += np.bincount(rows[:m][ok] * d + h, minlength=n * d)
-    x = np.sqrt(x.reshape(n, d))
+    x = np.sqrt(x, out=x).reshape(n, d)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return (x / np.where(norm == 0, 1, norm)).astype(np.float32)
+    x /= np.where(norm == 0, 1, norm)
+    return x
 
 
 class Hierarchy:
@@ -117,28 +120,35 @@ class Hierarchy:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, offs in text_blocks(batch):
+        for lo, hi, buf, offs in text_blocks(batch, most=ROWS):
             x = ngram_features(buf, offs)
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
 def fit(docs: DataFrame) -> Hierarchy | None:
     """Learn from rows that are not held out: of each language the same number at most, taken by a hash of doc_id."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not languages:
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return None
-    picked = None
-    for g in languages:
-        ids = rows.where(F.col("lang") == g).select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        picked = ids.withColumn("g", F.lit(g)) if picked is None else picked.unionByName(ids.withColumn("g", F.lit(g)))
+    # Ids alone are sampled, by a share of each language that gives enough; then the first of each by hash. The texts are read once.
+    h = F.xxhash64(F.col("doc_id"))
+    share = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, 1.3 * SAMPLE / n + 1e-3))])
+    ids = known.where(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("lang").alias("g"), h.alias("h"))
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))).where(F.col("k") <= SAMPLE).select("id", "g")
     # At most SAMPLE rows of two short columns for each of a bounded number of languages.
-    chosen = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("g")))
-    got = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column(1).to_pylist()), np.float16).reshape(got.num_rows, -1).astype(np.float32)
+    chosen = known.where("text is not null").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("g")))
+    got = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow().combine_chunks()
+    if not got.num_rows:
+        return None
+    x = np.frombuffer(got.column(1).combine_chunks().buffers()[2], np.float16, count=got.num_rows * FEATURES).reshape(got.num_rows, -1).astype(np.float32)
     lang = np.array(got.column(0).to_pylist(), object)
+    del got
+    pa.default_memory_pool().release_unused()
     order = np.lexsort((x[:, :8].sum(axis=1), lang.astype(str)))
-    return Hierarchy(x[order], lang[order])
+    order = order[x[order].any(axis=1)]  # texts without letters teach nothing
+    x, lang = x[order], lang[order]
+    return Hierarchy(x, lang) if len(order) else None
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
@@ -149,7 +159,7 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
         model = held.value
         for batch in batches:
             letter = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, buf, offs in text_blocks(batch):
+            for lo, hi, buf, offs in text_blocks(batch, most=ROWS):
                 lang, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if model is not None:
                     lang, score = model.predict(ngram_features(buf, offs))
@@ -173,7 +183,7 @@ def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJE
         for batch in batches:
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
             own = batch.select(names)
-            for lo, hi, buf, offs in text_blocks(own):
+            for lo, hi, buf, offs in text_blocks(own, most=ROWS):
                 if model is None:
                     continue
                 lang, score = model.predict(ngram_features(buf, offs))

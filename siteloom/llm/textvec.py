@@ -47,7 +47,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20, most: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19, most: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each block; null texts are empty."""
     col = pc.cast(pc.fill_null(batch.column(batch.schema.names.index(column)), ""), pa.large_string())
     n = len(col)
