@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -189,15 +190,21 @@ class Bpe:
             ids.frombytes((self.known.get(w) or self.entry(w))[1])
         return ids.tolist()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, hash of the ids, hash of the decoded text (tokens joined by a space), in constant memory."""
+    def digest(self, text: str, keep: array | None = None) -> tuple[int, str, str]:
+        """Number of tokens, hash of the ids, hash of the decoded text (tokens joined by a space), in constant memory.
+
+        The ids themselves go to ``keep``, if there is one.
+        """
         n, ids, decoded, get, sep = 0, hashlib.sha256(), hashlib.sha256(), self.known.get, False
         batch: list[tuple[int, bytes, str]] = []
 
         def flush() -> None:
             nonlocal n, sep
             n += sum(x[0] for x in batch)
-            ids.update(b"".join([x[1] for x in batch]))
+            raw = b"".join([x[1] for x in batch])
+            ids.update(raw)
+            if keep is not None:
+                keep.frombytes(raw)
             decoded.update(((" " if sep else "") + " ".join([x[2] for x in batch])).encode())
             sep = True
             batch.clear()
@@ -265,9 +272,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 texts = [x.as_py() or "" for x in batch.column(1).slice(lo, 64)]
-                ids = [bpe.encode(x) for x in texts]
-                rows = [bpe.digest(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                ids = [array("I") for _ in texts]
+                rows = [bpe.digest(x, k) for x, k in zip(texts, ids, strict=True)]
+                flat = np.frombuffer(b"".join(k.tobytes() for k in ids), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in ids])]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
