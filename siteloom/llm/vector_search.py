@@ -23,9 +23,9 @@ from .shared import materialize, table
 
 #: Rows from which codebooks are learned, at most.
 SAMPLE = 8192
-BOOKS, ENTRIES, BEAM = 12, 256, 4
+BOOKS, ENTRIES, BEAM = 16, 256, 4
 #: Vectors that are scored at once, and how many of their distinct codes a query looks into.
-BLOCK, CODES = 8192, 320
+BLOCK, CODES = 8192, 400
 #: Queries of a pass over the index: at most about this many are sent to the executors at a time.
 QUERIES = 4096
 
