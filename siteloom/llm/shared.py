@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one, gone with the process, only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/siteloom-shared"
+        local = tempfile.mkdtemp(prefix="siteloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
