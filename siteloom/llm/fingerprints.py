@@ -70,7 +70,7 @@ def _level(x: np.ndarray, rows: np.ndarray, level: int) -> tuple[np.ndarray, np.
 
 
 def phrase_names(points: np.ndarray, rows: np.ndarray, levels: tuple[int, ...] = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """The names of the given levels over code points sorted by row, with their rows, sorted by row."""
+    """The names of the given levels over code points sorted by row, as often as they come, with their rows, sorted by row."""
     x, r = mix(points.astype(np.uint64) + np.uint64(1)), rows
     names, owners = [], []
     for level in range(1, max(levels) + 1):
@@ -83,11 +83,8 @@ def phrase_names(points: np.ndarray, rows: np.ndarray, levels: tuple[int, ...] =
     if not names:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     names, owners = np.concatenate(names), np.concatenate(owners)
-    order = np.lexsort((names, owners))
-    names, owners = names[order], owners[order]
-    keep = np.ones(len(names), bool)
-    keep[1:] = (names[1:] != names[:-1]) | (owners[1:] != owners[:-1])
-    return names[keep], owners[keep]
+    order = np.argsort(owners, kind="stable")
+    return names[order], owners[order]
 
 
 def fingerprints(texts: list[str], t: int = COORDINATES) -> np.ndarray:
@@ -151,6 +148,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _greater(cuts: list[int], value: F.Column) -> F.Column:
+    """How many of the descending cuts are greater than a value: found in two steps of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    runs = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    heads, bodies = F.array(*[F.lit(r[0]) for r in runs]), F.array(*[F.array(*[F.lit(x) for x in r]) for r in runs])
+    within = lambda k: F.when(k == 0, 0).otherwise((k - 1) * width + F.size(F.filter(F.get(bodies, k - 1), lambda b: b > value)))
+    return F.get(F.transform(F.array(F.size(F.filter(heads, lambda b: b > value))), within), F.lit(0))
+
+
 def following(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, text, fp, next_text, next_fp): text and fingerprint of the next row in descending doc_id; after the last, the first.
 
@@ -160,12 +168,11 @@ def following(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select("doc_id", "text").mapInArrow(_own, "doc_id long, text string, fp binary").withColumnRenamed("doc_id", "id")
     docs = docs.select(F.col("doc_id").alias("id"))
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Bounds and first rows: a few longs a bucket, whatever the size of the table.
     cuts = docs.select(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), F.lit(max(10_000, 50 * n)))).first()[0] or []
     cuts = sorted({int(x) for x in cuts}, reverse=True)
-    bounds = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<long>")
-    place = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("id"))))
+    place = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(_greater(cuts, F.col("id")))
     dealt = own.select("id", "text", "fp", place.alias("bucket"))
     heads = {r["bucket"]: r["id"] for r in docs.select("id", place.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id")).collect()}
     order = sorted(heads)
@@ -173,9 +180,10 @@ def following(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return own.select(F.col("id").alias("doc_id"), "text", "fp", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
     before = {b: order[i - 1] for i, b in enumerate(order)}
     # The head rows: those of the greatest id in a bucket (all that share it; order below takes the first).
-    head = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(before[b]))])
-    top = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(heads[b]).cast("long"))])
-    copies = F.when(F.col("id").eqNullSafe(top[F.col("bucket")]), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")), F.struct(head[F.col("bucket")].alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra"))))
+    places = range(max(order) + 1)
+    head = F.array(*[F.lit(before.get(b)).cast("int") for b in places])
+    top = F.array(*[F.lit(heads.get(b)).cast("long") for b in places])
+    copies = F.when(F.col("id").eqNullSafe(F.get(top, F.col("bucket"))), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")), F.struct(F.get(head, F.col("bucket")).alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra"))))
     rows = dealt.select("id", "text", "fp", F.explode(copies).alias("c")).select("id", "text", "fp", "c.b", "c.extra")
     w = Window.partitionBy("b").orderBy(F.col("extra"), F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return rows.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not extra").select(F.col("id").alias("doc_id"), "text", "fp", "next_text", "next_fp")
