@@ -30,8 +30,9 @@ from .textvec import span_hash, text_blocks
 TOXIC, OTHER = 3000, 6000
 #: Words that are features, at most; folds of the chain.
 WORDS, FOLDS = 1024, 3
-#: A word is a mark from this many toxic rows on, if it is this much more common there than elsewhere.
-MARK_ROWS, MARK_RATIO = 3, 12.0
+#: A word counts from this many rows on, or this share of the toxic rows if that is more: fewer are chance. It is a mark if it
+#: is this much more common in toxic rows than elsewhere.
+MARK_ROWS, MARK_SHARE, MARK_RATIO = 3, 1 / 150, 12.0
 #: A word is a feature if it is so much more common in toxic rows than elsewhere, or the reverse.
 LEAST_RATIO = 2.0
 CATEGORIES = ("mention", "repeat", "toxic")
@@ -82,15 +83,16 @@ class Chain:
     def __init__(self, h: np.ndarray, rows: np.ndarray, toxic: np.ndarray):
         n, pos = len(toxic), max(1, int(toxic.sum()))
         neg = max(1, n - pos)
+        least = max(MARK_ROWS, int(pos * MARK_SHARE))
         words, at = np.unique(h, return_inverse=True)
         with_toxic = np.bincount(at, toxic[rows], len(words))
         without = np.bincount(at, 1 - toxic[rows], len(words))
         a, b = (with_toxic + 0.5) / (pos + 1), (without + 0.5) / (neg + 1)
         # Words about as common either way say little and would make short texts, which lack them, look odd.
-        worth = np.where((with_toxic + without >= MARK_ROWS) & (np.abs(np.log(a / b)) >= np.log(LEAST_RATIO)), (a - b) * np.log(a / b), 0)
+        worth = np.where((with_toxic + without >= least) & (np.abs(np.log(a / b)) >= np.log(LEAST_RATIO)), (a - b) * np.log(a / b), 0)
         chosen = np.sort(np.argsort(-worth, kind="stable")[: min(WORDS, int((worth > 0).sum()))])
         self.words = words[chosen]
-        self.marks = ((with_toxic >= MARK_ROWS) & (a >= MARK_RATIO * b))[chosen]
+        self.marks = ((with_toxic >= least) & (a >= MARK_RATIO * b))[chosen]
         hits = presence(h, rows, n, self.words)[:, self.marks].sum(axis=1)
         # Rare words weigh more, as they deviate less: so all weights are learned at one pace, and penalised alike.
         share = ((with_toxic + without)[chosen] / n).clip(1e-9, 1)
