@@ -156,10 +156,17 @@ def adaptive_count(total, lo: int, hi: int):
 
 
 def every_kth(rows: DataFrame, site: str, pos: str, lo: int, hi: int) -> DataFrame:
-    """An evenly spaced sample of each site's rows: every k-th from the first on, as many as ``adaptive_count`` says."""
-    counts = rows.groupBy(site).agg(F.count("*").alias("total"))
-    w = Window.partitionBy(site).orderBy(pos)
-    met = rows.join(counts, site).withColumn("cap", adaptive_count(F.col("total"), lo, hi)).withColumn("i", F.row_number().over(w) - 1)
+    """An evenly spaced sample of each site's rows: every k-th from the first on, as many as ``adaptive_count`` says.
+
+    Places are counted within stretches of positions and shifted by the rows of the stretches before, so a site with
+    most of the rows is no single task's.
+    """
+    cut = rows.withColumn("stretch", F.floor(F.col(pos) / 65536))
+    sizes = cut.groupBy(site, "stretch").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(site).orderBy("stretch")
+    sizes = sizes.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(site))).drop("n")
+    place = F.row_number().over(Window.partitionBy(site, "stretch").orderBy(pos)) - 1
+    met = cut.withColumn("i", place).join(sizes, [site, "stretch"]).withColumn("i", F.col("i") + F.col("before")).withColumn("cap", adaptive_count(F.col("total"), lo, hi))
     step = F.greatest(F.lit(1).cast("long"), F.expr("total div cap"))
     return met.withColumn("step", step).where("i % step = 0 and i div step < cap")
 
