@@ -97,11 +97,12 @@ def _agreeing(pairs: DataFrame, sk: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, same int")
 
 
-def _cross(per_hundred: int, shingle: int):
+def _cross(per_hundred: int, shingle: int, exact: bool):
     """Over rows sorted by (key, block, side): the held side of a block against all rows of its bucket that follow.
 
-    A pair is taken up in the first band that it shares, if its labels differ and its sketches agree enough; then
-    its full sets decide. Nothing but confirmed links leaves.
+    A pair is taken up in the first band that it shares, if its labels differ and its sketches agree enough. Then its
+    full sets decide, and nothing but confirmed links leaves; or, if not ``exact``, the rows of such pairs leave, as
+    (key, document), so that only their texts need to be fetched.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +124,13 @@ def _cross(per_hundred: int, shingle: int):
             key, block, right, doc, label, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(n, -1)
             text = np.empty(n, object)
-            text[:] = list(batch.column(7))
+            if exact:
+                text[:] = list(batch.column(7))
             new = np.ones(n, bool)
             new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (right[1:] != right[:-1])
             cuts = np.append(np.flatnonzero(new), n)
             found: list[tuple[int, int]] = []
+            rows: list[np.ndarray] = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if at_block != (key[lo], block[lo]):
                     at_block, held = (key[lo], block[lo]), [[], [], [], []]
@@ -147,9 +150,16 @@ def _cross(per_hundred: int, shingle: int):
                         same = s[x] == sketch[y]
                         first = same.reshape(len(x), BANDS, WIDTH).all(axis=2).argmax(axis=1)
                         on = (same.sum(axis=1) >= LEAST_AGREEMENT * s.shape[1]) & (first == (key[lo] & 63))
+                        if not exact and on.any():
+                            docs = np.unique(np.concatenate([d[x[on]], doc[y[on]]]))
+                            rows.append(np.column_stack([np.full(len(docs), key[lo]), docs]))
+                            continue
                         for p, q in zip(x[on], y[on], strict=True):
                             if _alike(set_of(d[p], words[p]), set_of(doc[q], text[q]), per_hundred):
                                 found.append((d[p], doc[q]))
+            if rows:
+                a, b = np.unique(np.concatenate(rows), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["key", "doc"])
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -225,15 +235,20 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
     named = materialize(named, "bucket-labels")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = named.join(lead.select("key", "lead"), "key").join(sk.select(F.col("doc_id").alias("doc"), "sketch"), "doc").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    open_ = named.join(lead.select("key", "lead"), "key").join(sk.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
     # The side that is held is dealt into blocks; the bucket's rows go to each of its blocks.
     blocks = sizes.join(lead, "key").where("label <> lead").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = open_.join(blocks, "key")
-    held = open_.where("label <> lead").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("side", F.lit(False))
-    passing = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
+    open_ = materialize(open_.join(blocks, "key"), "open-buckets")
     order = ["key", "block", "side"]
-    cross = held.unionByName(passing).select(*order, "doc", "label", "lead", "sketch", "text").repartition(partitions(spark), "key", "block").sortWithinPartitions(*order)
-    more = cross.mapInArrow(_cross(per_hundred, shingle), "a long, b long")
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        held = rows.where("label <> lead").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("side", F.lit(False))
+        passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
+        return held.unionByName(passing).select(*order, "doc", "label", "lead", "sketch", *more).repartition(partitions(spark), "key", "block").sortWithinPartitions(*order)
+
+    promising = dealt(open_).mapInArrow(_cross(per_hundred, shingle, exact=False), "key long, doc long").distinct()
+    few = open_.join(promising, ["key", "doc"], "left_semi").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    more = dealt(few, "text").mapInArrow(_cross(per_hundred, shingle, exact=True), "a long, b long")
 
     final = components(links.unionByName(materialize(more, "cross-links")), "components")
     of_class = classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
@@ -243,10 +258,12 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which one stays for each component, in all their columns; of rows that repeat doc_id and text, one."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("siteloom_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["siteloom_id"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """The documents of which one stays for each component, in all their columns; of rows that repeat doc_id and text, one.
+
+    A document without an id cannot be named by a component and stays. The texts are shuffled once, by doc_id.
+    """
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,8 @@ def test_levels_double_until_none_survives(spark):
     _, found = substring_dedup.repeated_windows(documents(spark, data))
     levels = {length: rows.count() for length, rows in substring_dedup.doubled(found, 50)}
     assert levels == {50: 2 * 181, 100: 2 * 131, 200: 2 * 31}
+
+
+def test_deduplicated_keeps_documents_without_an_id(spark):
+    out = near_dedup.deduplicated(documents(spark, [(None, "a b c d e f", None, None), (4, "a b c d e f", None, None), (5, "a b c d e f", None, None), (None, "q", None, None)])).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(None, "a b c d e f"), (None, "q"), (4, "a b c d e f")], key=str)
