@@ -19,6 +19,8 @@ GOLDEN, SPAN = 1327217885, 2147483648
 #: Stretches of the unit interval by which points meet the sources' intervals.
 STRETCHES = 1024
 WEIGHTS = (3, 1, 2)
+#: Slots of the schedule, for all sources together.
+_SLOTS = f"cast(floor(cast(total as double) * 1.02e0 / {BLOCK}) as bigint) + 257"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,7 +52,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
     Slot i takes the source in whose stretch of the cumulative targets the point frac(i / golden ratio) falls, and its
     rank there names the block it takes: a source's documents, shuffled by a hash of their doc_id and laid end to end
-    as often as needed, cut into blocks of equal words. The last block of a source is cut at its target.
+    as often as needed, cut into blocks of equal words. The last block of a source is cut at its target. Blocks below
+    a target that got no slot, as those of a small source beside large ones may, have slots after all others.
     Ranks and running sums are counted in chunks first and then shifted by the sums of the chunks before, so no task
     holds a source. Slots come of one row, from which the planner would take them for few: hints keep their joins
     from broadcasting them.
@@ -63,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     chunks = sql(
         spark,
         f"""select explode(sequence(cast(0 as bigint), cast(floor(slots / {CHUNK}) as bigint))) as chunk, slots, total
-            from (select max(total) as total, cast(floor(cast(max(total) as double) * 1.02e0 / {BLOCK}) as bigint) + 257 as slots from {{src}}) where total > 0""",
+            from (select max(total) as total, {_SLOTS.replace("total", "max(total)")} as slots from {{src}}) where total > 0""",
         src=src,
     ).repartition(n, "chunk")
     slots = sql(
@@ -83,9 +86,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         """
         with n as (select sidx, chunk, count(*) as n from {slots} group by sidx, chunk),
         o as (select sidx, chunk, sum(n) over (partition by sidx order by chunk) - n as before from n)
-        select /*+ MERGE(s, o) */ s.sidx, o.before + row_number() over (partition by s.sidx, s.chunk order by s.i) - 1 as blk from {slots} s join o on s.sidx = o.sidx and s.chunk = o.chunk""",
+        select /*+ MERGE(s, o) */ s.sidx, s.i as slot, o.before + row_number() over (partition by s.sidx, s.chunk order by s.i) - 1 as blk from {slots} s join o on s.sidx = o.sidx and s.chunk = o.chunk""",
         slots=slots,
     )
+    ranked = materialize(ranked, "slots")
+    # Blocks that the points left out, a range at the end of each source.
+    late = sql(
+        spark,
+        f"""
+        with n as (select sidx, count(*) as n from {{ranked}} group by sidx),
+        m as (select s.sidx, s.total, coalesce(n.n, 0) as had, greatest(cast(0 as bigint), cast(ceil(s.most / {BLOCK}) as bigint) - coalesce(n.n, 0)) as lacks from {{src}} s left join n on s.sidx = n.sidx where s.most > 0),
+        o as (select *, {_SLOTS} + sum(lacks) over (order by sidx) - lacks as first from m)
+        select sidx, first + k as slot, had + k as blk from (select *, explode(sequence(cast(0 as bigint), lacks - 1)) as k from o where lacks > 0)""",
+        ranked=ranked,
+        src=src,
+    )
+    ranked = ranked.unionByName(late)
     placed = sql(
         spark,
         """

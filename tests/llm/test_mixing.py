@@ -67,3 +67,13 @@ def test_mixed_documents(spark):
     assert out.columns == docs.columns
     n = collections.Counter(r.doc_id for r in out.collect())
     assert n == {i: -(-r.taken // r.size) for i, r in plan.items() if r.size and r.taken}
+
+
+def test_small_source_beside_a_large_one_reaches_its_target(spark):
+    data = [(i, "w " * 400_000, None, s) for i, s in enumerate("aabb")] + [(10, "few " * 90, None, "m"), (11, "v " * 700, None, "z")]
+    out = {r.doc_id: r for r in mixing.mix_sources(documents(spark, data)).collect()}
+    for i in (10, 11):
+        assert 0 < out[i].target <= 2 * out[i].size and out[i].taken == int(out[i].target)
+    assert all(r.taken <= 2 * r.size for r in out.values())
+    for ids in ((0, 1), (2, 3)):
+        assert sum(out[i].taken for i in ids) == int(out[ids[0]].target)
