@@ -57,7 +57,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, t: int = BANDS * WIDTH) ->
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by key: each row after the first of a run, with the run's first and the row before.
 
-    Only the last row and the first of the open run are carried, so a bucket of any size streams through.
+    Only the last row and the first of the open run are carried, so a bucket of any size streams through. The first and
+    the last row of all come with themselves too: their runs may go on in another task.
     """
     key0 = pivot0 = prev0 = None
     for batch in batches:
@@ -70,14 +71,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         pivot, prev = doc[start], np.empty_like(doc)
         prev[1:] = doc[:-1]
+        on = ~new
+        if key0 is None:
+            prev[0], on[0] = doc[0], True
         if goes_on:
             new[0] = False
             pivot = np.where(start == 0, pivot0, pivot)
-            prev[0] = prev0
+            prev[0], on[0] = prev0, True
         key0, pivot0, prev0 = key[-1], pivot[-1], doc[-1]
-        on = ~new
         if on.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, doc, pivot, prev)], ["key", "doc", "pivot", "prev"])
+    if key0 is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key0, prev0, prev0, prev0)], ["key", "doc", "pivot", "prev"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import re
 
+import pyarrow as pa
 from siteloom.llm import near_dedup, substring_dedup
 from siteloom.llm.components import components
 
@@ -53,6 +54,14 @@ def test_large_group_of_near_copies(spark):
     assert out == {i: c for i, (_, c) in brute_components(data).items()}
 
 
+def test_bucket_cut_between_tasks_keeps_its_members():
+    batch = lambda *r: pa.RecordBatch.from_arrays([pa.array([x for x, _ in r], pa.int64()), pa.array([y for _, y in r], pa.int64())], ["key", "doc"])
+    tasks = [[batch((1, 5), (1, 6)), batch((2, 7))], [batch((2, 8))], [batch((2, 9), (3, 4))], [batch()]]
+    rows = [r for t in tasks for b in near_dedup._neighbours(iter(t)) for r in b.to_pylist()]
+    assert {7, 8, 9} <= {x for r in rows if r["key"] == 2 for x in (r["doc"], r["pivot"])}
+    assert {(r["doc"], r["pivot"], r["prev"]) for r in rows if r["key"] == 1} == {(5, 5, 5), (6, 5, 5)}
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert near_dedup.near_duplicates(empty(spark)).collect() == []
     out = near_dedup.near_duplicates(documents(spark, [(None, "a b c d e f", None, None), (4, "a b c d e f", None, None), (None, None, None, None), (None, "q r s", None, None)])).collect()
