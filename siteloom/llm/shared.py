@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,15 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one, gone with the process, only where none is configured."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
+
+    Where it is unset, as in tests, a folder of this machine will do for a session that runs on this machine alone; on
+    a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = tempfile.mkdtemp(prefix="siteloom-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        found = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="siteloom-", ignore_cleanup_errors=True))
+    return f"file://{_LOCAL[0].name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +45,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("siteloom-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``facts`` knows of their keys, without rows of other keys; ``facts`` has a row a key, and ``n``, how often it comes in ``rows``.
+
+    Keys that hold over 1 / (4 * partitions) of all rows are 4 * partitions at most, at any size: they are broadcast.
+    All others shuffle, and none of them fills a task. ``rows`` are a written table, so that counting them is cheap.
+    """
+    bound = max(1, rows.count() // (4 * partitions(rows.sparkSession)))
+    hot, facts = F.broadcast(facts.where(F.col("n") > bound).drop("n")), facts.where(F.col("n") <= bound).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts, keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -102,12 +102,39 @@ def brute_repeats(data, window=50):
     return out
 
 
+def removed(out):
+    return collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect())
+
+
 def test_removed_repeats_equal_brute_force(spark):
-    out = collections.Counter(tuple(r) for r in substring_dedup.remove_repeats(documents(spark)).collect())
+    out = removed(substring_dedup.remove_repeats(documents(spark)))
     assert out == brute_repeats(rows())
     assert any(k[2] for k in out)
 
 
+def test_one_id_with_unlike_texts(spark):
+    """Neither text of an id removes from the other, and each is judged by its own words."""
+    from .fixtures import prose
+
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 90)
+    for data in (
+        [(1, c), (2, "x y z " + c + " q"), (2, "short text here")],
+        [(1, a), (2, a), (2, b), (3, b)],
+        [(2, a), (2, a + " " + b), (2, b), (1, "v " + b)],
+    ):
+        data = [(i, t, None, None) for i, t in data]
+        assert removed(substring_dedup.remove_repeats(documents(spark, data))) == brute_repeats(data)
+
+
+def test_very_common_window(spark):
+    """A passage in all documents, one key with most of the rows, beside passages of two."""
+    from .fixtures import prose
+
+    common = prose(41, 60)
+    data = [(i, prose(500 + i // 2, 55) + " " + common + " " + prose(900 + i, 5), None, None) for i in range(200)]
+    assert removed(substring_dedup.remove_repeats(documents(spark, data))) == brute_repeats(data)
+
+
 def test_repeats_of_nothing_and_null_ids(spark):
     assert substring_dedup.remove_repeats(empty(spark)).collect() == []
     out = substring_dedup.remove_repeats(documents(spark, [(None, "a " * 60, None, None), (1, "a " * 60, None, None), (2, "a " * 60, None, None)])).collect()
@@ -117,11 +144,17 @@ def test_repeats_of_nothing_and_null_ids(spark):
 def test_levels_double_until_none_survives(spark):
     from .fixtures import prose
 
-    shared = prose(77, 230)
-    data = [(1, prose(1, 30) + " " + shared, None, None), (2, shared + " " + prose(2, 30), None, None)]
-    _, found = substring_dedup.repeated_windows(documents(spark, data))
-    levels = {length: rows.count() for length, rows in substring_dedup.doubled(found, 50)}
-    assert levels == {50: 2 * 181, 100: 2 * 131, 200: 2 * 31}
+    shared = prose(77, 430)
+    data = [(1, prose(1, 30) + " " + shared, None, None), (2, shared + " " + prose(2, 30), None, None), (3, prose(3, 200) + " " + " ".join(shared.split()[:70]), None, None), (4, prose(4, 500), None, None), (5, prose(4, 500), None, None)]
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, data)).collect()}
+    assert {i: r.n_removed for i, r in out.items()} == {1: 0, 2: 430, 3: 70, 4: 0, 5: 500}
+    assert {i: r.longest for i, r in out.items()} == {1: 400, 2: 400, 3: 50, 4: 0, 5: 500}
+    docs = documents(spark, data).selectExpr("doc_id", "xxhash64(text) t", "text")
+    _, found = substring_dedup.repeated_windows(docs)
+    levels = {length: {r.doc_id: len(r.pos) for r in rows.collect()} for length, rows in substring_dedup.doubled(substring_dedup.materialize(found, "t"), 50)}
+    assert list(levels) == [50, 100, 200, 400]
+    for length, n in levels.items():  # all windows of the passage are candidates; few others are
+        assert all(431 - length <= n[i] <= 431 - length + 60 for i in (1, 2))
 
 
 def test_deduplicated_keeps_documents_without_an_id(spark):
