@@ -1,11 +1,13 @@
 """Byte-pair encoding as a bounded-lookahead streaming transducer, and decoding as a byte-to-text state machine.
 
 The vocabulary is a ``tokenizers`` JSON file with an end-of-word suffix, lower-casing and NFC. Its merge list alone
-fixes how far to the right of a token the text can still change it (``sufficient_lookahead``); a token that far
-behind the end of the buffer is emitted, so a word of any length needs constant memory.
+fixes how far to the right of each token the text can still change it (``lookaheads``): a token that has so much
+text behind it is stable and leaves the transducer, whose buffer holds the rest only. Texts are read in pieces that may
+end anywhere where neither normalisation nor a pattern looks across, so a word of any length needs constant memory.
 
 Result for odd input: null and empty texts have no tokens (hash of nothing, decoded to nothing); rows that repeat are
-each encoded; an empty table gives an empty result; extra columns are ignored.
+each encoded; an empty table gives an empty result; extra columns are ignored. A run of combining marks, which
+normalisation orders as a whole, is held as a whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
 
-#: Symbols of a word that are merged at once; longer words stream through a buffer of this and the lookahead.
-BUFFER = 256
-#: Words whose tokens a worker remembers; all are forgotten when full.
-REMEMBERED = 1 << 18
-#: Characters that are cut from a text at once, at white space.
+#: Symbols that the transducer takes in, at least, before it looks for stable tokens again.
+STEP = 8
+#: Words whose tokens a worker remembers, of so many characters at most; all are forgotten when full.
+REMEMBERED, LONGEST = 1 << 18, 64
+#: Characters that are read of a text at once, about.
 PIECE = 1 << 16
 
 #: White space as the pre-tokeniser's ``\s`` has it. Fixed values.
@@ -42,6 +44,9 @@ _LATIN = re.compile(f"{_SUFFIXES}|[{_LATIN_L}]+|[{_LATIN_N}]|[^{_SPACE}{_LATIN_L
 _ANY = regex.compile(rf"{_SUFFIXES}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _BEYOND = re.compile("[^\x00-įı-ɏ]")  # U+0130 has a lower case of two characters
 _CUT = re.compile(r"[ \t\n\r]")
+#: Where white space is far, a piece may end before such a character: it combines with nothing before it and starts no suffix.
+_STARTER = regex.compile(r"[\p{L}\p{Nd}--[\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ff\u0130]]", regex.V1)
+_LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\s\p{L}\p{N}]")
 
 
 def byte_characters() -> list[str]:
@@ -67,6 +72,7 @@ class Bpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t.get("special") or t["content"] not in self.vocab}
+        self.special_ids = set(self.special.values())
         self.strings: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.shift = max(self.strings).bit_length() + 1
         self.parts = [(self.vocab[a], self.vocab[b]) for a, b in merges]
@@ -79,15 +85,18 @@ class Bpe:
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
         self.bytes_of = {c: b for b, c in enumerate(chars)}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lookahead = self.sufficient_lookahead()
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.lookaheads = self.sufficient_lookaheads()
+        self.lookahead = max(self.lookaheads.values(), default=0)
+        self.lengths = {i: max(1, len(x.removesuffix(self.suffix) if self.suffix else x)) for i, x in self.strings.items()}
+        self.known: dict[str, tuple[int, bytes]] = {}
 
-    def sufficient_lookahead(self) -> int:
-        """Symbols after a token beyond which no text can change it.
+    def sufficient_lookaheads(self) -> dict[int, int]:
+        """For each token, the symbols after it beyond which no text can change it or where it ends.
 
         What follows reaches left only through merges that compete for a symbol, each of a later rank than the one
         to its right: rule (u, v) waits for a rule (s, x) of an earlier rank where s ends v or one of its last parts.
-        One pass in rank order keeps, for each left part, the longest such reach.
+        One pass in rank order keeps, for each left part, the longest such reach; a token's lookahead is that of
+        itself and its last parts.
         """
         size: dict[int, int] = {}
         right: dict[int, int] = {}
@@ -104,139 +113,223 @@ class Bpe:
             reach[u] = max(reach.get(u, 0), size.get(v, 1) + along(v))
             size[w] = size.get(u, 1) + size.get(v, 1)
             right.setdefault(w, v)
-        return max(map(along, [*self.strings]), default=0)
+        return {i: along(i) for i in self.strings}
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges of a buffer: least rank first, leftmost of equals."""
         none, shift, get = len(self.parts), self.shift, self.rank.get
         ranks = [get((a << shift) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            r = min(ranks)
-            if r == none:
-                break
-            i = ranks.index(r)
-            ids[i : i + 2] = [self.made[r]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1] << shift) | ids[i], none)
-            if i < len(ranks):
-                ranks[i] = get((ids[i] << shift) | ids[i + 1], none)
+        while ranks and (r := min(ranks)) != none:
+            i, lower = 0, False
+            while not lower and r in ranks[i:]:
+                i = ranks.index(r, i)
+                ids[i : i + 2] = [self.made[r]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1] << shift) | ids[i], none)
+                    lower = ranks[i - 1] < r
+                if i < len(ranks):
+                    ranks[i] = get((ids[i] << shift) | ids[i + 1], none)
+                    lower = lower or ranks[i] < r
         return ids
 
-    def stream(self, symbols: Iterator[int], lengths: dict[int, int]) -> Iterator[int]:
-        """The transducer: symbols of one word in, tokens out as soon as they are stable.
+    def word(self, text: str) -> list[int]:
+        """The tokens of one pre-token, through the transducer."""
+        w = Word(self)
+        return [*w.feed(text.encode()), *w.close()]
 
-        What is left after a token is emitted starts at a token boundary, and what follows a boundary is encoded as
-        if it stood alone; so the buffer forgets what it emitted.
-        """
-        buffer: list[int] = []
-        most = BUFFER + self.lookahead
-        for x in symbols:
-            buffer.append(x)
-            if len(buffer) >= most + BUFFER:
-                behind, cut = len(buffer) - self.lookahead, 0
-                for token in self.merged(buffer.copy()):
-                    n = lengths.get(token) or lengths.setdefault(token, self._symbols(token))
-                    if cut + n > behind:
-                        break
-                    cut += n
-                    yield token
-                del buffer[:cut]
-        yield from self.merged(buffer)
-
-    def _symbols(self, token: int) -> int:
-        s = self.strings[token]
-        return len(s.removesuffix(self.suffix)) if self.suffix else len(s)
+    def pieces(self, text: str) -> Iterator[tuple[list[str | int], bool, bool]]:
+        """A text in pieces: normalised pre-tokens in order, special tokens as their ids.
 
-    def word(self, text: str) -> list[int]:
-        raw = text.encode()
-        if len(raw) <= BUFFER:
-            ids = [self.inner[b] for b in raw[:-1]]
-            ids.append(self.last[raw[-1]])
-            return self.merged(ids)
-        inner, last, end = self.inner, self.last, len(raw) - 1
-        return list(self.stream((inner[b] if i < end else last[b] for i, b in enumerate(raw)), {}))
-
-    def words(self, text: str) -> Iterator[str | int]:
-        """Normalised pre-tokens of a text in order; special tokens as their ids."""
-        lo, n = 0, len(text)
+        The flags say whether the first goes on with the last of the piece before, and whether the last may go on.
+        """
+        lo, n, before = 0, len(text), ""
         while lo < n:
-            hi = lo + PIECE
-            if hi < n:
-                m = _CUT.search(text, hi)
-                hi = m.end() if m else n
-            piece, lo = text[lo:hi], hi
-            for part in self.cut_special.split(piece) if self.cut_special and self.cut_special.search(piece) else (piece,):
+            hi, open_ = self._end(text, lo)
+            words: list[str | int] = []
+            first = last = ""
+            for part in self.cut_special.split(text[lo:hi]) if self.cut_special and self.cut_special.search(text, lo, hi) else (text[lo:hi],):
                 if part in self.special:
-                    yield self.special[part]
-                elif _BEYOND.search(part):
+                    words.append(self.special[part])
+                    last = ""
+                    continue
+                if _BEYOND.search(part):
                     # Lower-casing is by character: a capital sigma has no final form here.
-                    yield from _ANY.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                    words += _ANY.findall(part)
                 else:
-                    yield from _LATIN.findall(part.lower())
-
-    def entry(self, w: str | int) -> tuple[int, bytes, str]:
+                    part = part.lower()
+                    words += _LATIN.findall(part)
+                if not words:
+                    continue
+                first, last = first or (part[:1] if not isinstance(words[0], int) else ""), part[-1:]
+            yield words, bool(before and first) and any(k.match(before) and k.match(first) for k in (_LETTER, _OTHER)), open_
+            before = last if open_ else ""
+            lo = hi
+
+    def _end(self, text: str, lo: int) -> tuple[int, bool]:
+        """Where the piece that starts at lo ends, and whether a pre-token may go on beyond."""
+        hi, n = lo + PIECE, len(text)
+        if hi >= n:
+            return n, False
+        m = _CUT.search(text, hi - PIECE // 8, hi)
+        if m:
+            return m.end(), False
+        reach = max(map(len, self.special), default=1)
+        for m in _STARTER.finditer(text, hi):
+            at = m.start()
+            if "'" not in text[at - 3 : at] and not text[at - 1].isspace() and text[at - 1] != "\u0130" and not (self.cut_special and self.cut_special.search(text[at - reach + 1 : at + reach - 1])):
+                return at, True
+        return n, False
+
+    def entry(self, w: str | int) -> tuple[int, bytes]:
         ids = [w] if isinstance(w, int) else self.word(w)
-        out = len(ids), array("I", ids).tobytes(), " ".join(map(self.strings.__getitem__, ids))
+        out = len(ids), array("I", ids).tobytes()
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        if isinstance(w, int) or len(w) <= BUFFER:
+        if isinstance(w, int) or len(w) <= LONGEST:
             self.known[w] = out
         return out
 
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as little-endian unsigned 32-bit integers, in chunks, each as soon as it is stable."""
+        get, entry, open_word = self.known.get, self.entry, None
+        for words, goes_on, may_go_on in self.pieces(text):
+            at, end = 0, len(words)
+            if open_word is not None and not goes_on:
+                yield array("I", open_word.close()).tobytes()
+                open_word = None
+            if goes_on and open_word is not None:
+                yield array("I", open_word.feed(words[0].encode())).tobytes()
+                at = 1
+                if end > 1 or not may_go_on:
+                    yield array("I", open_word.close()).tobytes()
+                    open_word = None
+            if may_go_on and end > at and isinstance(words[-1], str):
+                end -= 1
+                open_word = Word(self)
+            for i in range(at, end, 4096):
+                yield b"".join([(get(w) or entry(w))[1] for w in words[i : min(end, i + 4096)]])
+            if end < len(words):
+                yield array("I", open_word.feed(words[-1].encode())).tobytes()
+        if open_word is not None:
+            yield array("I", open_word.close()).tobytes()
+
     def encode(self, text: str) -> list[int]:
         ids = array("I")
-        for w in self.words(text):
-            ids.frombytes((self.known.get(w) or self.entry(w))[1])
+        for chunk in self.stream(text):
+            ids.frombytes(chunk)
         return ids.tolist()
 
     def digest(self, text: str, keep: array | None = None) -> tuple[int, str, str]:
-        """Number of tokens, hash of the ids, hash of the decoded text (tokens joined by a space), in constant memory.
+        """Number of tokens, hash of the ids, hash of what they decode to, in constant memory.
 
-        The ids themselves go to ``keep``, if there is one.
+        What is decoded are the ids that were emitted. They go to ``keep`` too, if there is one.
         """
-        n, ids, decoded, get, sep = 0, hashlib.sha256(), hashlib.sha256(), self.known.get, False
-        batch: list[tuple[int, bytes, str]] = []
-
-        def flush() -> None:
-            nonlocal n, sep
-            n += sum(x[0] for x in batch)
-            raw = b"".join([x[1] for x in batch])
-            ids.update(raw)
+        n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self)
+        for chunk in self.stream(text):
+            n += len(chunk) // 4
+            ids.update(chunk)
             if keep is not None:
-                keep.frombytes(raw)
-            decoded.update(((" " if sep else "") + " ".join([x[2] for x in batch])).encode())
-            sep = True
-            batch.clear()
-
-        for w in self.words(text):
-            batch.append(get(w) or self.entry(w))
-            if len(batch) >= 4096:
-                flush()
-        if batch:
-            flush()
+                keep.frombytes(chunk)
+            decoded.update(decoder.feed(memoryview(chunk).cast("I")).encode())
+        decoded.update(decoder.close().encode())
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def decode(self, ids: list[int]) -> str:
-        """As a vocabulary without a decoder has it: token strings joined by a space."""
-        return " ".join(map(self.strings.__getitem__, ids))
+        """As the library's ``decode`` with special tokens."""
+        d = Decoder(self)
+        return d.feed(ids) + d.close()
+
+    def text(self, ids: Iterable[int]) -> Iterator[str]:
+        """Readable text, chunk by chunk: words apart by a space."""
+        d = Decoder(self, readable=True)
+        for i in ids:
+            yield d.feed((i,))
+        yield d.close()
 
-    def text(self, ids: Iterator[int]) -> Iterator[str]:
-        """Readable text, chunk by chunk: bytes of each token go through an incremental UTF-8 decoder, word ends are spaces.
 
-        An incomplete character waits in the decoder's state for the next token; what is no UTF-8 becomes U+FFFD.
-        """
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+class Word:
+    """The transducer within one pre-token: bytes in, tokens out as soon as they are stable.
+
+    What is left after a token is emitted starts at a token boundary, and what follows a boundary is encoded as if it
+    stood alone; so the buffer forgets what it emitted. It looks again when it has grown by what it had, so the work
+    is in proportion to the text.
+    """
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.buffer: list[int] = []
+        self.held: int | None = None  # the last byte, which is another symbol where the word ends
+        self.due = STEP
+
+    def feed(self, raw: bytes) -> list[int]:
+        bpe, buffer, out = self.bpe, self.buffer, []
+        inner = bpe.inner
+        if self.held is not None:
+            raw = bytes([self.held]) + raw
+        self.held = raw[-1]
+        at, end = 0, len(raw) - 1
+        while at < end:
+            to = min(end, at + max(1, self.due - len(buffer)))
+            buffer += [inner[b] for b in raw[at:to]]
+            at = to
+            if len(buffer) >= self.due:
+                out += self._stable()
+                self.due = len(buffer) + max(STEP, len(buffer))
+        return out
+
+    def _stable(self) -> list[int]:
+        bpe, cut, out = self.bpe, 0, []
+        for token in bpe.merged(self.buffer.copy()):
+            after = cut + bpe.lengths[token]
+            if len(self.buffer) - after < bpe.lookaheads[token]:
+                break
+            out.append(token)
+            cut = after
+        del self.buffer[:cut]
+        return out
+
+    def close(self) -> list[int]:
+        if self.held is None:
+            return []
+        self.buffer.append(self.bpe.last[self.held])
+        return self.bpe.merged(self.buffer)
+
+
+class Decoder:
+    """The state machine from token ids to text: feed ids in chunks of any size, then close.
+
+    A vocabulary without a decoder has each token as its string, all apart by a space: the state is whether one came
+    before. Readable text comes from the bytes that the strings stand for: an incomplete character waits in the state
+    for the next token, the end of a word is a space, and what is no UTF-8 becomes U+FFFD.
+    """
+
+    def __init__(self, bpe: Bpe, readable: bool = False):
+        self.bpe, self.readable, self.begun = bpe, readable, False
+        self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Sequence[int]) -> str:
+        strings = self.bpe.strings
+        if not self.readable:
+            out = " ".join(map(strings.__getitem__, ids))
+            out, self.begun = (" " + out if self.begun and len(ids) else out), self.begun or len(ids) > 0
+            return out
+        out, suffix, bytes_of = [], self.bpe.suffix, self.bpe.bytes_of
         for i in ids:
-            if i in self.special.values():
-                yield state.decode(b"", True) + self.strings[i]
-                state.reset()
+            s = strings[i]
+            if i in self.bpe.special_ids:
+                out += [self.bytes.decode(b"", True), s]
+                self.bytes.reset()
                 continue
-            s = self.strings[i]
-            ends = bool(self.suffix) and s.endswith(self.suffix)
-            out = state.decode(bytes(self.bytes_of[c] for c in (s.removesuffix(self.suffix) if ends else s)), ends)
-            yield out + " " if ends else out
-        yield state.decode(b"", True)
+            ends = bool(suffix) and s.endswith(suffix)
+            out.append(self.bytes.decode(bytes([bytes_of[c] for c in (s.removesuffix(suffix) if ends else s)]), ends))
+            if ends:
+                out.append(" ")
+        return "".join(out)
+
+    def close(self) -> str:
+        return self.bytes.decode(b"", True)
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -281,6 +374,20 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text): readable text of (doc_id, ids), as the vocabulary keeps it: lower-cased, words apart by a space."""
+    held = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(held.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(bpe.text(x.as_py() or [])) for x in part.column(1)], pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
