@@ -54,15 +54,23 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Of so many documents, one is looked at for keys that come very often.
+GLANCE = 32
+
+
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with what ``facts`` knows of their keys, without rows of other keys; ``facts`` has a row a key, and ``n``, how often it comes in ``rows``.
+    """``rows`` with what ``facts``, a row a key, knows of their keys; rows of other keys go. Any split gives the same rows.
 
-    Keys that hold over 1 / (4 * partitions) of all rows are 4 * partitions at most, at any size: they are broadcast.
-    All others shuffle, and none of them fills a task. ``rows`` are a written table, so that counting them is cheap.
+    Keys that hold over 1 / partitions of the rows of every 32nd document - as many as partitions at most, whatever
+    the size - meet their facts by broadcast and are no task's burden; all others shuffle. ``rows`` are a written table.
     """
-    bound = max(1, rows.count() // (4 * partitions(rows.sparkSession)))
-    hot, facts = F.broadcast(facts.where(F.col("n") > bound).drop("n")), facts.where(F.col("n") <= bound).drop("n")
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(facts, keys))
+    glance = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(GLANCE)) == 0).select(F.xxhash64(*keys).alias("k"))
+    bound = max(GLANCE, glance.count() // partitions(rows.sparkSession))
+    hot = [r["k"] for r in glance.groupBy("k").count().where(F.col("count") > bound).collect()]
+    if not hot:
+        return rows.join(facts, keys)
+    often = F.xxhash64(*keys).isin(hot)
+    return rows.where(often).join(F.broadcast(facts.where(often)), keys).unionByName(rows.where(~often).join(facts.where(~often), keys))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -106,8 +106,8 @@ def _windows(window: int):
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of rows that come in two documents, and how often they come (``n``): aggregated before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least <> most").drop("most")
+    """``keys`` of rows that come in two documents, and the least of these: aggregated before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:

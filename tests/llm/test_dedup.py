@@ -131,7 +131,7 @@ def test_very_common_window(spark):
     from .fixtures import prose
 
     common = prose(41, 60)
-    data = [(i, prose(500 + i // 2, 55) + " " + common + " " + prose(900 + i, 5), None, None) for i in range(200)]
+    data = [(i, prose(500 + i // 2, 55) + " " + common + " " + prose(9000 + i, 5), None, None) for i in range(2500)]
     assert removed(substring_dedup.remove_repeats(documents(spark, data))) == brute_repeats(data)
 
 
