@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,21 +27,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, name: str = "cc", most: int = 50) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", most: int = 200) -> DataFrame:
     """(node, label) of every node in ``edges`` (columns a, b): label is the least node of its component.
 
     Self-links, nulls and repeats are ignored; an empty table gives an empty one. Each round is written to the
-    shared folder, so no lineage grows; stars are reached in a number of rounds that is logarithmic in practice.
+    shared folder, so no lineage grows, and the one before is removed; stars are reached in a number of rounds that is
+    logarithmic in practice. Should ``most`` rounds not be enough, that is an error: unfinished labels are never returned.
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
     seen = None
     for i in range(most):
         # A forest of stars is a fixed point: no node is both a centre and a leaf, and no leaf has two centres.
-        stats = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(stats) == seen:
-            break
-        seen = tuple(stats)
-        if not stats[0]:
-            break
-        now = materialize(_star(_star(now, large=True), large=False), f"{name}-{i + 1}")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+        stats = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if stats == seen or not stats[0]:
+            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+        seen = stats
+        after = materialize(_star(_star(now, large=True), large=False), f"{name}-{i + 1}")
+        discard(now)
+        now = after
+    raise RuntimeError(f"components: no fixed point after {most} rounds")

@@ -1,13 +1,15 @@
 """MinHash near-duplicates: fast similarity sketches, banding, exact verification, components.
 
 Result for odd input: null or word-less texts have an empty set, link with nothing and are their own component;
-equal sets are one class whatever their texts; rows that repeat a doc_id each get a row; a null doc_id never
+equal sets are one class whatever their texts; rows that repeat a doc_id each get a row, and each is linked by its own
+text (unlike texts of one doc_id are two documents, whose components may differ); a null doc_id never
 names a component (its component is that of the documents with an equal set, else null, and ``kept`` compares
 null-safely); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, partitions, table
+from .shared import join_facts, materialize, partitions, table
 from .textvec import fast_sketch, mix, row_starts, shingle_sets, text_blocks
 
 #: 44 bands of 5 coordinates: a pair at similarity 0.75 shares no band with probability 7e-6, at 0.8 with 3e-8.
 BANDS, WIDTH = 44, 5
 #: A pair at 0.75 agrees on fewer than this share of 220 coordinates with probability 4e-6; exact counts decide.
 LEAST_AGREEMENT = 0.62
-#: Documents of a bucket that are held while its others stream by.
-BLOCK = 2048
+#: Documents of a bucket that are held while its others stream by, and where texts are, so many shingles of them.
+BLOCK, HELD = 2048, 1 << 20
+#: Bytes of shingle sets that a task remembers.
+KNOWN = 64 << 20
 SHINGLE = 5
 
 
@@ -34,11 +38,10 @@ def _folded(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, t: int = BANDS * WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sketch): k1 and k2 are a 128-bit hash of the shingle set."""
+    """(doc_id, t, n_shingles, k1, k2, sketch): t tells texts of one doc_id apart, k1 and k2 are a 128-bit hash of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for lo, hi, buf, offs in text_blocks(batch):
                 h, rows = shingle_sets(buf, offs, shingle)
                 n = hi - lo
@@ -49,9 +52,9 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, t: int = BANDS * WIDTH) ->
                     np.cumsum(mix(h + np.uint64(salt)), out=total[1:])
                     k.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
                 s = _folded(fast_sketch(h, rows, n, t))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(np.diff(at)), pa.array(k[0]), pa.array(k[1]), pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(at)), pa.array(k[0]), pa.array(k[1]), pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "t", "n_shingles", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +98,9 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on)), batch.column(1).filter(pa.array(on)), pa.array(same[on].astype(np.int32))], ["a", "b", "same"])
 
 
-def _agreeing(pairs: DataFrame, sk: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a < b) whose sketches agree enough to need exact counts."""
-    own = sk.select("doc_id", "sketch")
-    met = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    met = pairs.join(nodes.select(F.col("doc").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("doc").alias("b"), F.col("sketch").alias("sb")), "b")
     return met.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, same int")
 
 
@@ -113,13 +115,17 @@ def _cross(per_hundred: int, shingle: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_block, held = None, [[], [], [], []]
         known: dict[int, np.ndarray] = {}
+        size = 0
 
         def set_of(doc: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
             if doc not in known:
-                if len(known) >= 2 * BLOCK:
+                if size >= KNOWN:
                     known.clear()
+                    size = 0
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 known[doc] = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+                size += known[doc].nbytes
             return known[doc]
 
         for batch in batches:
@@ -180,7 +186,7 @@ def _alike(x: np.ndarray, y: np.ndarray, per_hundred: int) -> bool:
     return both > 0 and 100 * both >= per_hundred * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, per_hundred: int, shingle: int) -> DataFrame:
     """The pairs with 100 * intersection >= per_hundred * union on their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,39 +204,41 @@ def verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, shingle: int)
                         on[l2 + i] = _alike(x, y, per_hundred)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), part.column(1).filter(pa.array(on))], ["a", "b"])
 
-    texts = docs.select("doc_id", "text")
-    met = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    met = pairs.select("a", "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+def _grouped(docs: DataFrame, per_hundred: int, shingle: int) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, lead_t): lead_t is the text that stands for the component.
 
-    1. Sketch every document; equal sets are a class, of which the least doc_id goes on.
+    1. Sketch every document; equal sets are a class, which goes on as one node.
     2. Band the sketches and sort the buckets by range, which splits a large bucket over tasks. In a bucket, each
-       document meets its first and its previous one; of all it met, it tries the one that agrees most.
-    3. Exact counts confirm; components label the documents.
+       node meets its first and its previous one; of all it met, it tries the one that agrees most.
+    3. Exact counts confirm; components label the nodes.
     4. Wherever a bucket still holds several labels, all its pairs of unlike labels are tried too. So every pair
        that shares a bucket is confirmed, refuted, or already in one component; copies never expand into pairs.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sk = materialize(sketches(docs, shingle), "sketches")
-    classes = sk.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    reps = classes.where("n > 0 and rep is not null").select(F.col("rep").alias("doc_id"))
-    banded = sk.join(reps, "doc_id", "left_semi").select(
-        "doc_id",
+    classes = sk.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("rep"), F.max("n_shingles").alias("n"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("t"), "n"), "classes")
+    reps = classes.where("rep is not null").select(F.col("node").alias("doc"), F.col("rep").alias("doc_id"), "t", "n")
+    nodes = materialize(sk.select("doc_id", "t", "sketch").join(reps, ["doc_id", "t"]).select("doc", "n", "sketch"), "nodes")
+    banded = nodes.select(
+        "doc",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sketch", b * WIDTH + 1, F.lit(WIDTH))).bitwiseAND(F.lit(-64)).bitwiseOR(b.cast("long")))).alias("key"),  # the low bits name the band
     )
-    members = banded.select("key", "doc_id").repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_neighbours, "key long, doc long, pivot long, prev long")
+    members = banded.select("key", "doc").repartitionByRange(partitions(spark), "key", "doc").sortWithinPartitions("key", "doc").mapInArrow(_neighbours, "key long, doc long, pivot long, prev long")
     members = materialize(members, "members")
 
     met = members.select(F.explode(F.array(F.struct(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")), F.struct(F.least("doc", "prev").alias("a"), F.greatest("doc", "prev").alias("b")))).alias("p")).select("p.a", "p.b")
-    likely = _agreeing(met.where("a <> b").distinct(), sk)
+    likely = _agreeing(met.where("a <> b").distinct(), nodes)
     best = likely.groupBy("b").agg(F.max_by("a", "same").alias("a")).select("a", "b")
 
-    in_buckets = members.select(F.col("doc").alias("doc_id")).unionByName(members.select(F.col("pivot").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(in_buckets, "doc_id", "left_semi"), "bucket-texts")
+    in_buckets = members.select("doc").unionByName(members.select(F.col("pivot").alias("doc"))).distinct()
+    named_by = reps.join(in_buckets, "doc", "left_semi").select("doc", "doc_id", "t")
+    texts = materialize(docs.withColumn("t", F.xxhash64("text")).join(named_by, ["doc_id", "t"]).select("doc", "text"), "bucket-texts")
     links = materialize(verified(best, texts, per_hundred, shingle), "links")
     labels = components(links, "labels")
 
@@ -240,35 +248,47 @@ def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHING
     named = materialize(named, "bucket-labels")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = named.join(lead.select("key", "lead"), "key").join(sk.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
-    # The side that is held is dealt into blocks; the bucket's rows go to each of its blocks.
-    blocks = sizes.join(lead, "key").where("label <> lead").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = materialize(open_.join(blocks, "key"), "open-buckets")
+    open_ = materialize(named.join(lead.select("key", "lead"), "key").join(nodes, "doc"), "open-buckets")
     order = ["key", "block", "side"]
 
-    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+    def dealt(rows: DataFrame, counted: str, *more: str) -> DataFrame:
+        """The side that is held is dealt into blocks; the bucket's rows go to each of its blocks."""
+        blocks = rows.where("label <> lead").groupBy("key").agg(F.expr(f"cast({counted} as int)").alias("blocks"))
+        rows = rows.join(blocks, "key")
         held = rows.where("label <> lead").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("side", F.lit(False))
         passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(True))
         return held.unionByName(passing).select(*order, "doc", "label", "lead", "sketch", *more).repartition(partitions(spark), "key", "block").sortWithinPartitions(*order)
 
-    promising = dealt(open_).mapInArrow(_cross(per_hundred, shingle, exact=False), "key long, doc long").distinct()
-    few = open_.join(promising, ["key", "doc"], "left_semi").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    more = dealt(few, "text").mapInArrow(_cross(per_hundred, shingle, exact=True), "a long, b long")
+    promising = materialize(dealt(open_, f"ceil(count(*) / {BLOCK})").mapInArrow(_cross(per_hundred, shingle, exact=False), "key long, doc long").distinct(), "promising")
+    few = open_.join(promising, ["key", "doc"], "left_semi").join(texts, "doc")
+    more = dealt(few, f"greatest(ceil(count(*) / {BLOCK}), ceil(sum(n) / {HELD}))", "text").mapInArrow(_cross(per_hundred, shingle, exact=True), "a long, b long")
+
+    final = materialize(components(links.unionByName(materialize(more, "cross-links")), "components"), "labelled")
+    leads = final.join(classes.select("node", "rep", "t"), "node").groupBy("label").agg(F.min(F.struct("rep", "t")).alias("lead"))
+    of_node = join_facts(final, leads, ["label"], by="node").select("node", F.col("lead.rep").alias("component_id"), F.col("lead.t").alias("lead_t"))
+    of_class = classes.join(of_node, "node", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("lead_t", classes["t"]).alias("lead_t"))
+    own = sk.select("doc_id", "t", "n_shingles", "k1", "k2")
+    out = join_facts(own.where("n_shingles > 0"), of_class, ["k1", "k2"]).select("doc_id", "t", "n_shingles", "component_id", "lead_t")
+    return out.unionByName(own.where("n_shingles = 0").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.col("t").alias("lead_t")))
 
-    final = components(links.unionByName(materialize(more, "cross-links")), "components")
-    of_class = classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = sk.join(of_class, ["k1", "k2"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def near_duplicates(docs: DataFrame, per_hundred: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    out = _grouped(docs, per_hundred, shingle).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, per_hundred: int = 75, shingle: int = SHINGLE) -> DataFrame:
     """The documents of which one stays for each component, in all their columns; of rows that repeat doc_id and text, one.
 
-    A document without an id cannot be named by a component and stays. The texts are shuffled once, by doc_id.
+    A document without an id cannot be named by a component and stays. The texts are shuffled once, by doc_id and a
+    hash of the text.
     """
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    found = _grouped(docs, per_hundred, shingle)
+    gone = found.where("doc_id is not null and not (doc_id <=> component_id and t = lead_t)").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct()
+    t = f"siteloom_{uuid.uuid4().hex}"
+    own = docs.withColumn(t, F.xxhash64("text"))
+    return own.join(gone, (own["doc_id"] == gone["gone_id"]) & (own[t] == gone["gone_t"]), "left_anti").dropDuplicates(["doc_id", t]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

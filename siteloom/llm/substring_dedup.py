@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     """
     own = materialize(anchored(docs, window), "half-windows")
     same = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    whole = own.select("doc_id", "t", "n_words", "k1", "k2").join(same, ["k1", "k2"]).select("doc_id", "t", "n_words", "first")
+    whole = join_facts(own.select("doc_id", "t", "n_words", "k1", "k2"), same, ["k1", "k2"]).select("doc_id", "t", "n_words", "first")
     standing = own.where("doc_id is not null").join(whole.where("first < doc_id").select("doc_id", "t"), ["doc_id", "t"], "left_anti").select("doc_id", "t", F.explode("anchors").alias("a"))
     standing = materialize(standing, "anchors")
     wanted = join_facts(standing, repeated(standing, ["a"]), ["a"]).groupBy("doc_id", "t").agg(F.collect_set("a").alias("anchors"))

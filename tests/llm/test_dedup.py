@@ -3,6 +3,8 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pytest
+
 from siteloom.llm import near_dedup, substring_dedup
 from siteloom.llm.components import components
 
@@ -69,6 +71,20 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert got == sorted([(None, 4, False), (4, 4, True), (None, None, True), (None, None, True)], key=str)
 
 
+def test_one_id_with_unlike_texts_chains_nothing(spark):
+    """Each text of an id is linked by itself; of near copies under one id, one stays."""
+    from .fixtures import prose
+
+    a, b = prose(51, 80), prose(52, 80)
+    data = [(1, a, None, None), (2, a, None, None), (2, b, None, None), (3, b + " more", None, None), (4, prose(53, 60), None, None), (4, prose(54, 60), None, None), (5, a + " five", None, None), (5, b + " five", None, None), (5, b + " five", None, None)]
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, data)).collect())
+    assert out == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (5, 1, False), (5, 2, False), (5, 2, False)]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(documents(spark, data)).collect())
+    assert kept == sorted([(1, a), (2, b), (4, data[4][1]), (4, data[5][1])])
+    same = near_dedup.deduplicated(documents(spark, [(7, b, None, None), (7, b + " x", None, None), (7, b.upper(), None, None)])).collect()
+    assert [r.doc_id for r in same] == [7]
+
+
 def test_deduplicated_keeps_columns_and_one_of_each_group(spark):
     docs = documents(spark)
     out = near_dedup.deduplicated(docs)
@@ -82,6 +98,8 @@ def test_components_of_a_chain_and_a_star(spark):
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), most=1)
 
 
 def brute_repeats(data, window=50):
