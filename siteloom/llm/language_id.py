@@ -10,6 +10,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,19 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learners import linear_svm, sigmoid
 from .shared import held_out, table
 from .textvec import mix, text_blocks
 
-#: Labelled rows of each language that are learned from, at most, and the languages, at most.
-SAMPLE, LANGUAGES = 500, 200
+#: Labelled rows that are learned from, at most: of each language, and of all together.
+SAMPLE, TOTAL = 500, 40_000
 FEATURES = 2048
 #: Rows that are turned into features at once, at most.
 ROWS = 256
 #: Margins are turned into scores by this slope.
 SLOPE = 4.0
-#: A stage that drops documents does so below this score.
+#: A stage that drops documents does so below this score. The winner of all its duels has a quarter at least, so by default
+#: only texts whose duels go round in a circle fall below it, and those without letters.
 REJECT = 0.02
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -126,17 +129,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> Hierarchy | None:
-    """Learn from rows that are not held out: of each language the same number at most, taken by a hash of doc_id."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """Learn from rows that are not held out: of each language the same number at most, taken by a hash of doc_id.
+
+    No language is left out: with very many, each gives fewer rows.
+    """
+    known = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return None
+    most = max(1, min(SAMPLE, TOTAL // len(counts)))
     # Ids alone are sampled, by a share of each language that gives enough; then the first of each by hash. The texts are read once.
-    h = F.xxhash64(F.col("doc_id"))
-    share = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, 1.3 * SAMPLE / n + 1e-3))])
-    ids = known.where(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("lang").alias("g"), h.alias("h"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))).where(F.col("k") <= SAMPLE).select("id", "g")
-    # At most SAMPLE rows of two short columns for each of a bounded number of languages.
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * most / r["count"] + 1e-3))])
+    ids = known.where(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("lang").alias("g"), F.xxhash64("doc_id").alias("h"))
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))).where(F.col("k") <= most).select("id", "g")
+    # At most TOTAL rows of two short columns, or one a language.
     chosen = known.where("text is not null").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("g")))
     got = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow().combine_chunks()
     if not got.num_rows:
@@ -171,26 +177,31 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJECT) -> DataFrame:
-    """The documents that have a language, in all their columns, with ``lang`` as predicted.
+    """The documents that have a language, in all their columns, with ``lang`` as predicted; where there is none, it is added.
 
     Rejected are texts without letters and those whose prediction scores below ``reject``.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    lang_at = names.index("lang") if "lang" in names else len(names)
+    schema = docs.schema if "lang" in names else T.StructType([*docs.schema.fields, T.StructField("lang", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            letter = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            own = batch.select(names)
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
+            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, buf, offs in text_blocks(own, most=ROWS):
                 if model is None:
                     continue
                 lang, score = model.predict(ngram_features(buf, offs))
-                part = own.slice(lo, hi - lo).set_column(names.index("lang"), own.schema.field("lang"), pa.array(lang, pa.string()).cast(own.schema.field("lang").type))
+                columns = own.slice(lo, hi - lo).columns
+                columns[lang_at : lang_at + 1] = [pa.array(lang, pa.string())]
+                part = pa.RecordBatch.from_arrays(columns, names=schema.names)
                 yield part.filter(pa.array(letter[lo:hi] & (score >= reject)))
 
-    return docs.withColumn("siteloom_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(f"siteloom_{uuid.uuid4().hex}")
+    return docs.select(*docs.columns, letter).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

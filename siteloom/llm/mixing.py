@@ -16,8 +16,8 @@ from .shared import materialize, partitions, sql, table
 BLOCK, CHUNK = 512, 4096
 #: 2**31 over the golden ratio, odd: multiples of it modulo 2**31 are the schedule's points.
 GOLDEN, SPAN = 1327217885, 2147483648
-#: Stretches of the unit interval by which points meet the sources' intervals.
-STRETCHES = 1024
+#: Stretches of the unit interval by which points meet the sources' intervals: so many at least, and so many slots of each at most.
+STRETCHES, CROWD = 1024, 65536
 WEIGHTS = (3, 1, 2)
 #: Slots of the schedule, for all sources together.
 _SLOTS = f"cast(floor(cast(total as double) * 1.02e0 / {BLOCK}) as bigint) + 257"
@@ -48,11 +48,12 @@ def source_targets_sql(sized: str, weights: tuple[int, ...], share: float, cap:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every document.
+    """(doc_id, source, size, source_size, target, taken, first_slot) of every document.
 
     Slot i takes the source in whose stretch of the cumulative targets the point frac(i / golden ratio) falls, and its
     rank there names the block it takes: a source's documents, shuffled by a hash of their doc_id and laid end to end
-    as often as needed, cut into blocks of equal words. The last block of a source is cut at its target. Blocks below
+    as often as needed, cut into blocks of equal words. The last block of a source is cut at its target. In the order
+    of slots, which ``first_slot`` has for each document that is taken, any run of blocks has the sources by their targets. Blocks below
     a target that got no slot, as those of a small source beside large ones may, have slots after all others.
     Ranks and running sums are counted in chunks first and then shifted by the sums of the chunks before, so no task
     holds a source. Slots come of one row, from which the planner would take them for few: hints keep their joins
@@ -62,6 +63,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     n = partitions(spark)
     sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hk")), "sizes")
     src = materialize(sql(spark, f"with {source_targets_sql('{sized}', weights, share, cap)} select * from src", sized=sized), "targets")
+    total = src.agg(F.max("total")).first()[0] or 0
+    stretches = STRETCHES
+    while stretches * CROWD < total // BLOCK and stretches < 1 << 22:
+        stretches *= 2
     # One row to chunks, chunks dealt out, chunks to slots: points are made where they are used.
     chunks = sql(
         spark,
@@ -74,8 +79,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         f"""
         with points as (select i, chunk, pmod(i, {SPAN}) * {GOLDEN} % {SPAN} as x, total
                         from (select chunk, slots, total, explode(sequence(chunk * {CHUNK}, chunk * {CHUNK} + {CHUNK - 1})) as i from {{chunks}}) where i < slots),
-        at as (select i, chunk, cast(x as double) / {SPAN} * cast(total as double) as p, cast(floor(x / {SPAN // STRETCHES}) as bigint) as stretch from points),
-        spans as (select sidx, lo, hi, explode(sequence(greatest(cast(0 as bigint), cast(floor(cast(lo as double) / total * {STRETCHES}) as bigint) - 1), least(cast({STRETCHES - 1} as bigint), cast(floor(cast(hi as double) / total * {STRETCHES}) as bigint) + 1))) as stretch
+        at as (select i, chunk, cast(x as double) / {SPAN} * cast(total as double) as p, cast(floor(x / {SPAN // stretches}) as bigint) as stretch from points),
+        spans as (select sidx, lo, hi, explode(sequence(greatest(cast(0 as bigint), cast(floor(cast(lo as double) / total * {stretches}) as bigint) - 1), least(cast({stretches - 1} as bigint), cast(floor(cast(hi as double) / total * {stretches}) as bigint) + 1))) as stretch
                   from {{src}} where most > 0)
         select /*+ MERGE(at, spans) */ sidx, i, chunk from at join spans using (stretch) where p >= lo and p < hi""",
         chunks=chunks,
@@ -119,26 +124,35 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         with p as (select /*+ BROADCAST(e) */ d.*, s.most, d.at + e.epoch * s.source_size as lo from {{placed}} d join {{src}} s on d.sidx = s.sidx cross join (select explode(sequence(0, {int(-(-cap // 1)) - 1})) as epoch) e),
         q as (select *, least(lo + size, most) as hi from p),
         b as (select sidx, g, rn, doc_id, size, lo, hi, explode_outer(case when hi > lo then sequence(cast(floor(lo / {BLOCK}) as bigint), cast(floor((hi - 1) / {BLOCK}) as bigint)) end) as blk from q),
-        t as (select /*+ MERGE(b, r) */ b.sidx, b.g, b.rn, b.doc_id, b.size, case when r.blk is null then 0 else least(b.hi, (b.blk + 1) * {BLOCK}) - greatest(b.lo, b.blk * {BLOCK}) end as got
+        t as (select /*+ MERGE(b, r) */ b.sidx, b.g, b.rn, b.doc_id, b.size, case when r.blk is null then 0 else least(b.hi, (b.blk + 1) * {BLOCK}) - greatest(b.lo, b.blk * {BLOCK}) end as got, r.slot
               from b left join {{ranked}} r on b.sidx = r.sidx and b.blk = r.blk)
-        select sidx, doc_id, size, sum(got) as taken from t group by sidx, g, rn, doc_id, size""",
+        select sidx, doc_id, size, sum(got) as taken, min(slot) as first_slot from t group by sidx, g, rn, doc_id, size""",
         placed=placed,
         src=src,
         ranked=ranked,
     )
-    return sql(spark, "select t.doc_id, s.source, t.size, s.source_size, s.target, cast(t.taken as bigint) as taken from {taken} t join {src} s on t.sidx = s.sidx", taken=taken, src=src)
+    return sql(spark, "select t.doc_id, s.source, t.size, s.source_size, s.target, cast(t.taken as bigint) as taken, t.first_slot from {taken} t join {src} s on t.sidx = s.sidx", taken=taken, src=src)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: one row for each time the mix takes a document, whole or in part; the columns stay."""
-    plan = mix_sources(docs).groupBy("doc_id", "source").agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).alias("siteloom_times"))
-    plan = plan.where("siteloom_times > 0").select(F.col("doc_id").alias("siteloom_id"), F.col("source").alias("siteloom_source"), "siteloom_times")
-    met = docs.join(plan, docs["doc_id"].eqNullSafe(plan["siteloom_id"]) & docs["source"].eqNullSafe(plan["siteloom_source"]))
-    return met.withColumn("siteloom_copy", F.explode(F.sequence(F.lit(1), F.col("siteloom_times").cast("int")))).select(*docs.columns)
+    """The mix as documents: one row for each time the mix takes a document; the columns stay.
+
+    A document taken in part, as the last of a source is, comes with as many of its first words, joined by a space, and
+    ``n_chars``, where there is one, is that of what comes. So the words of a source are those that the mix takes.
+    """
+    plan = mix_sources(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"))
+    own = docs.select(F.struct(*docs.columns).alias("d"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    met = own.join(plan, own["d.doc_id"].eqNullSafe(plan["doc_id"]) & own["d.source"].eqNullSafe(plan["source"]) & (own["n"] == plan["size"]))
+    met = met.select("d", F.expr("taken % size").alias("rest"), F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")).alias("copy"), F.expr("cast(ceil(taken / size) as int)").alias("copies"))
+    part = F.col("copy").eqNullSafe(F.col("copies")) & (F.col("rest") > 0)
+    words = F.array_join(F.slice(F.filter(F.split("d.text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("rest").cast("int")), " ")
+    text = F.when(part, words).otherwise(F.col("d.text"))
+    n_chars = lambda c: F.when(part, F.length(text)).otherwise(F.col("d.n_chars")).cast(docs.schema[c].dataType)
+    return met.select(*[text.alias(c) if c == "text" else n_chars(c).alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def oracle() -> str:
@@ -149,10 +163,10 @@ def oracle() -> str:
     n as (select cast(max(total) as bigint) as total, cast(floor(cast(max(total) as double) * 1.02e0 / {BLOCK}) as bigint) + 257 as slots from src),
     points as (select i, (i % {SPAN}) * {GOLDEN} % {SPAN} as x, total from (select unnest(range(slots)) as i, total from n where total > 0)),
     falls as (select i, cast(x as double) / {SPAN} * cast(total as double) as p from points),
-    ranked as (select s.sidx, row_number() over (partition by s.sidx order by i) - 1 as blk from falls join src s on p >= s.lo and p < s.hi),
+    ranked as (select s.sidx, i, row_number() over (partition by s.sidx order by i) - 1 as blk from falls join src s on p >= s.lo and p < s.hi),
     placed as (select d.doc_id, d.size, s.*, row_number() over (order by d.hk, d.doc_id, d.size) as rn, sum(d.size) over (partition by s.sidx order by d.hk, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as start
                from sized d join src s on d.source is not distinct from s.source),
     spread as (select *, start + e.epoch * source_size as a, least(start + e.epoch * source_size + size, most) as b from placed cross join (select unnest([0, 1]) as epoch) e),
     blocks as (select *, unnest(case when b > a then range(cast(a // {BLOCK} as bigint), cast((b - 1) // {BLOCK} + 1 as bigint)) else [] end) as blk from spread where b > a),
-    got as (select rn, sum(least(b, (x.blk + 1) * {BLOCK}) - greatest(a, x.blk * {BLOCK})) as taken from blocks x join ranked r on x.sidx = r.sidx and x.blk = r.blk group by rn)
-    select doc_id, size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken from placed left join got using (rn)"""
+    got as (select rn, sum(least(b, (x.blk + 1) * {BLOCK}) - greatest(a, x.blk * {BLOCK})) as taken, min(r.i) as first_slot from blocks x join ranked r on x.sidx = r.sidx and x.blk = r.blk group by rn)
+    select doc_id, size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken, first_slot from placed left join got using (rn)"""

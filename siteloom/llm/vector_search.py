@@ -7,7 +7,7 @@ are scored; the members of the best codes are compared exactly.
 Result for odd input: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part; rows that repeat a vec_id are candidates each, and none of them its own; null vec_ids take no
 part; with fewer candidates than asked for, all are returned; an empty table gives an empty result; extra columns are
-ignored.
+ignored. Components of any finite size count: vectors are scaled by a power of two, which changes no cosine.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ SAMPLE = 8192
 BOOKS, ENTRIES, BEAM = 16, 256, 4
 #: Vectors that are scored at once, and how many of their distinct codes a query looks into.
 BLOCK, CODES = 8192, 400
-#: Queries of a pass over the index: at most about this many are sent to the executors at a time.
-QUERIES = 4096
+#: Queries of a pass over the index, about: so many are on the driver and sent to the executors at a time. And queries
+#: whose lookup tables a task holds at once.
+QUERIES, TABLES = 32768, 256
 
 
 def learn(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 5, seed: int = 7) -> np.ndarray:
@@ -69,7 +70,9 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
-    return np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
+    """Rows of a list column, each scaled by the power of two that brings its largest component below 1."""
+    x = np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
@@ -106,13 +109,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(held, k: int):
+def _search(held, k: int, codes_in: int | None):
     """One pass of a partition of the index against the queries sent along; keeps k for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, q_ids, q = held.value
         q_norm = np.linalg.norm(q, axis=1)
-        tables = np.einsum("qd,mkd->qmk", (q / q_norm[:, None]).astype(np.float32), books, optimize=True)
+        unit = (q / q_norm[:, None]).astype(np.float32)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
 
         def scan(rows: list[pa.RecordBatch]) -> None:
@@ -124,15 +127,21 @@ def _search(held, k: int):
             order = np.argsort(member, kind="stable")
             start = np.searchsorted(member[order], np.arange(len(codes) + 1))
             flat = codes.astype(np.int64) + np.arange(codes.shape[1]) * books.shape[1]
-            for i in range(len(q)):
-                approx = tables[i].ravel()[flat].sum(axis=1)
-                top = np.argpartition(-approx, CODES - 1)[:CODES] if len(codes) > CODES else np.arange(len(codes))
-                at = order[np.concatenate([np.arange(start[c], start[c + 1]) for c in top])]
-                at = at[ids[at] != q_ids[i]]
-                score = (x[at] @ q[i]) / (norm[at] * q_norm[i])
-                own, s = np.concatenate([found[i][0], ids[at]]), np.concatenate([found[i][1], score])
-                b = _best(own, s, k)
-                found[i] = own[b], s[b]
+            every = codes_in is None or len(codes) <= codes_in
+            for lo in range(0, len(q), TABLES):
+                tables = None if every else np.einsum("qd,mkd->qmk", unit[lo : lo + TABLES], books, optimize=True)
+                for i in range(lo, min(lo + TABLES, len(q))):
+                    if every:
+                        at = np.arange(len(ids))
+                    else:
+                        approx = tables[i - lo].ravel()[flat].sum(axis=1)
+                        top = np.argpartition(-approx, codes_in - 1)[:codes_in]
+                        at = order[np.concatenate([np.arange(start[c], start[c + 1]) for c in top])]
+                    at = at[ids[at] != q_ids[i]]
+                    score = (x[at] @ q[i]) / (norm[at] * q_norm[i])
+                    own, s = np.concatenate([found[i][0], ids[at]]), np.concatenate([found[i][1], score])
+                    b = _best(own, s, k)
+                    found[i] = own[b], s[b]
 
         rows, n = [], 0
         for batch in batches:
@@ -144,35 +153,38 @@ def _search(held, k: int):
                     rows, n = [], 0
         if n:
             scan(rows)
-        sizes = [len(f[0]) for f in found]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
+        for lo in range(0, len(found), 4096):
+            part = found[lo : lo + 4096]
+            sizes = [len(f[0]) for f in part]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[lo : lo + 4096], sizes)), pa.array(np.concatenate([f[0] for f in part])), pa.array(np.concatenate([f[1] for f in part]))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(df: DataFrame, wanted, k: int = 5) -> DataFrame:
+def search(df: DataFrame, wanted, k: int = 5, codes: int | None = CODES, per_pass: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that satisfies ``wanted``, by cosine.
 
-    Queries go out in bounded blocks, each a pass over the index; a partition keeps k of each query, and the partitions'
-    finds are ranked by query.
+    ``codes`` says into how many codes of each block of vectors a query looks; None is all, an exact search. Queries go
+    out in bounded blocks, each a pass over the index whose finds are written before the next one starts, so that one
+    block at a time is on the driver; a partition keeps k of each query, and the partitions' finds are ranked by query.
     """
     spark = df.sparkSession
     index, books = build_index(df)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = index.where(wanted)
     n = queries.count() if books is not None else 0
-    if not n:
-        return empty
-    passes = -(-n // QUERIES)
-    finds = None
+    finds = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    passes = -(-n // per_pass)
     for i in range(passes):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).select("vec_id", "embedding").toArrow()
         if not block.num_rows:
             continue
         held = spark.sparkContext.broadcast((books, block.column(0).to_numpy(), _vectors(block.column(1).combine_chunks())))
-        part = index.mapInArrow(_search(held, k), "query_id long, vec_id long, score double")
-        finds = part if finds is None else finds.unionByName(part)
+        part = index.mapInArrow(_search(held, k, codes), "query_id long, vec_id long, score double")
+        if passes > 1:
+            part = materialize(part, "finds")
+            held.destroy()
+        finds = finds.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return finds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

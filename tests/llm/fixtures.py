@@ -44,12 +44,14 @@ def rows() -> list[tuple]:
     return out + [out[3], out[12]]  # rows that repeat
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, key long, rank int, component_id string, score string"
+#: Columns beyond those of documents, with names that operators use inside.
+CLASHING = ["h", "key", "rank", "component_id", "score", "id", "g", "k", "t", "n", "a", "d", "size", "spans", "letter", "siteloom_letter", "siteloom_copy", "siteloom_t"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def documents(spark, only=None):
     """As ``documents``, with columns whose names the operators use inside."""
-    data = [(i, t, g, s, len(t or ""), 1, 2, 3, "x", "y") for i, t, g, s in (rows() if only is None else only)]
+    data = [(i, t, g, s, len(t or ""), *CLASHING) for i, t, g, s in (rows() if only is None else only)]
     return spark.createDataFrame(data, SCHEMA)
 
 

@@ -2,6 +2,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siteloom.llm import mixing
 
@@ -65,8 +66,25 @@ def test_mixed_documents(spark):
     plan = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    n = collections.Counter(r.doc_id for r in out.collect())
+    got = out.collect()
+    n = collections.Counter(r.doc_id for r in got)
     assert n == {i: -(-r.taken // r.size) for i, r in plan.items() if r.size and r.taken}
+    words = collections.Counter()
+    for r in got:
+        words[r.doc_id] += len(r.text.split(None) if r.text.isascii() else re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == {i: r.taken for i, r in plan.items() if r.taken}
+
+
+def test_mixed_words_are_near_their_targets(spark):
+    """Short documents and a column named as the operator's own: no source's words overshoot, none fall short."""
+    data = [(i, " ".join(f"w{j}" for j in range(30 + i % 90)), None, "abc"[i % 3]) for i in range(300)]
+    docs = documents(spark, data).withColumn("siteloom_copy", F.lit(7)).withColumn("size", F.lit(1)).withColumn("d", F.lit("x"))
+    target = {r.source: r.target for r in mixing.mix_sources(docs).collect()}
+    got = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        assert (r.siteloom_copy, r["size"], r.d) == (7, 1, "x")
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - t) <= 1 for s, t in target.items())
 
 
 def test_small_source_beside_a_large_one_reaches_its_target(spark):

@@ -47,6 +47,14 @@ def test_language_stage_keeps_columns_and_clean_documents(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, *_ in languages() if i not in (1000, 1001, 1002))
 
 
+def test_language_stage_without_lang_and_with_ids_repeated(spark):
+    docs = documents(spark)
+    model = language_id.fit(docs)
+    out = language_id.with_language(docs.drop("lang"), model)
+    assert out.columns == [c for c in docs.columns if c != "lang"] + ["lang"]
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in language_id.with_language(docs, model).collect())
+
+
 def test_language_of_nothing(spark):
     assert language_id.fit(empty(spark)) is None
     assert language_id.identify(empty(spark), None).collect() == []
@@ -146,6 +154,25 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.98 * 5 * 18
 
 
+def test_vectors_of_any_finite_size(spark):
+    df = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [3e-200, 0.0]), (3, [-1e308, 1e300])], "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vector_search.search(df, F.col("vec_id") == 0).collect()}
+    assert [out[0, k][0] for k in (1, 2, 3)] == [2, 1, 3]
+    assert [out[0, k][1] for k in (1, 2, 3)] == pytest.approx([1.0, 0.5**0.5, -1.0])
+
+
+def test_passes_and_exact_search(spark, monkeypatch):
+    """Several passes find what one finds; looking into all codes is exact."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    out = vector_search.search(df, F.col("vec_id") % 10 == 0, codes=None, per_pass=7).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in out} == {(i, k + 1): int(j) for i in range(0, 400, 10) for k, j in enumerate(np.argsort(-sim[i])[:5])}
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vector_search.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).collect() == []
