@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import html
+import re
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import urls as U
+from ..functions.tables import written
 
 #: Phrases of challenge and block pages. Fixed values.
 CLOUDFLARE = ["checking your browser", "cf-browser-verification", "cf-chl", "just a moment", "cf-im-under-attack", "enable javascript and cookies to continue"]
@@ -127,16 +132,39 @@ def sitemap_failure(status: Column, kind: Column) -> Column:
     )
 
 
+#: An element, an end, or text of XML, whatever the namespace.
+_XML = r"<!\[CDATA\[([\s\S]*?)\]\]>|<!--[\s\S]*?-->|<(/?)(?:[\w.-]+:)?([\w.-]+)[^<>]*?(/?)>|([^<]+)"
+
+
+def _locations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads what there is of each file: an element that never closes costs its own location, not the job."""
+    for batch in batches:
+        out: list[tuple] = []
+        for site, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent, text, seen = "", None, [0, 0]
+            for m in re.finditer(_XML, body):
+                cdata, closes, name, empty, plain = m.groups()
+                if name == "loc" and not closes:
+                    text = None if empty else ""
+                elif name == "loc" and text is not None:
+                    child = parent == "sitemap"
+                    out.append((site, seen[child], html.unescape(text).strip(), child))
+                    seen[child] += 1
+                    text = None
+                elif name and name != "loc":
+                    parent, text = ("" if closes or empty else name) if name in ("url", "sitemap") else parent, None
+                elif text is not None:
+                    text += cdata or plain or ""
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((batch.schema.field(0).type, pa.int32(), pa.string(), pa.bool_()))], ["site", "pos", "url", "child"])
+
+
 def sitemap_locations(files: DataFrame) -> DataFrame:
-    """(site, pos, url, child): the locations of (site, body), whatever the namespace; child: of another sitemap."""
-    body = F.regexp_replace("body", "^[﻿\\s]+", "")
-    locs = files.withColumn("xml", body)
-    is_xml = F.startswith(F.col("xml"), F.lit("<"))
-    own = locs.where(is_xml)
-    child = F.expr("xpath(xml, \"//*[local-name()='loc'][local-name(..)='sitemap']/text()\")")
-    page = F.expr("xpath(xml, \"//*[local-name()='loc'][local-name(..)!='sitemap']/text()\")")
-    both = own.select("site", F.posexplode(page).alias("pos", "url")).withColumn("child", F.lit(False)).unionByName(own.select("site", F.posexplode(child).alias("pos", "url")).withColumn("child", F.lit(True)))
-    return both.withColumn("url", F.trim("url")).where("url <> ''")
+    """(site, pos, url, child): the locations of (site, body), whatever the namespace; child: of another sitemap.
+
+    XML that is broken gives the locations that can be read; a body that is no XML, none.
+    """
+    own = files.select("site", F.regexp_replace("body", "^[\ufeff\\s]+", "").alias("xml")).where(F.startswith(F.col("xml"), F.lit("<")))
+    return own.mapInArrow(_locations, T.StructType([files.schema["site"], T.StructField("pos", T.IntegerType()), T.StructField("url", T.StringType()), T.StructField("child", T.BooleanType())])).where("url <> ''")
 
 
 def sitemap_kind(locations: DataFrame) -> DataFrame:
@@ -146,6 +174,10 @@ def sitemap_kind(locations: DataFrame) -> DataFrame:
     return n.select("site", "pages", "children", ((F.col("children") > 0) | ((F.col("pages") > 0) & (F.col("xml_pages") >= 0.8 * F.col("pages")))).alias("is_index"))
 
 
+#: Bytes of a body that are inflated, at most: a small body can hold very much.
+INFLATED = 10 << 20
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())]))
 def decoded_body(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     """Text of a body that is gzipped (by header or by its first bytes) or deflated; what can be read of a broken one."""
@@ -163,7 +195,7 @@ def decoded_body(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
             engine = None
         if engine is not None:
             try:
-                data = engine.decompress(data)
+                data = engine.decompress(data, INFLATED)
                 note = None if engine.eof else "partial stream"
             except zlib.error:
                 data, note = b"", "undecodable body"
@@ -178,7 +210,7 @@ def gzipped(text: str) -> bytes:
 
 
 def reach(edges: DataFrame, starts: DataFrame, levels: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(site, url, depth, parent): the pages within so many clicks of each site's start, breadth first.
+    """(site, url, depth, parent): the pages within so many clicks of each site's start, breadth first; each level is written, so plans stay small.
 
     ``edges`` (site, src, dst), ``starts`` (site, url); pages that may not be fetched lead nowhere. One join and one
     anti-join a level; of several parents the least is kept.
@@ -188,7 +220,10 @@ def reach(edges: DataFrame, starts: DataFrame, levels: int, allowed: DataFrame |
     for depth in range(1, levels + 1):
         from_ = frontier if allowed is None else frontier.join(allowed, ["site", "url"], "left_semi")
         step = from_.select("site", F.col("url").alias("src")).join(edges, ["site", "src"]).groupBy("site", F.col("dst").alias("url")).agg(F.min("src").alias("parent"))
-        frontier = step.join(found.select("site", "url"), ["site", "url"], "left_anti").select("site", "url", F.lit(depth).alias("depth"), "parent")
+        new = step.join(found.select("site", "url"), ["site", "url"], "left_anti").select("site", "url", F.lit(depth).alias("depth"), "parent")
+        frontier = written(new, f"reach-{depth}")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 

@@ -87,7 +87,13 @@ def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sitemap_locations(values(spark, _SITEMAPS)).select("site", "url", "child")
 
 
-@query("sitemap_kind", "select * from (values ('a', cast(2 as bigint), cast(0 as bigint), false), ('b', cast(0 as bigint), cast(2 as bigint), true), ('c', cast(5 as bigint), cast(0 as bigint), true)) as t(site, pages, children, is_index)")
+@query(
+    "sitemap_kind",
+    f"""with f as (select site, body from {_SITEMAPS} where starts_with(ltrim(body), '<')), l as (select site, trim(unnest(regexp_extract_all(body, '<url><loc>(.*?)</loc>', 1))) as url, false as child from f
+    union all select site, trim(unnest(regexp_extract_all(body, '<sitemap><loc>(.*?)</loc>', 1))), true from f),
+    n as (select site, count(*) filter (not child) as pages, count(*) filter (child) as children, count(*) filter (not child and regexp_matches(lower(url), '\\.xml(\\.gz)?$')) as files from l group by site)
+    select site, pages, children, children > 0 or (pages > 0 and files >= 0.8 * pages) as is_index from n""",
+)
 def sitemap_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sitemap_kind(A.sitemap_locations(values(spark, _SITEMAPS)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import content as C
 from ..operators import html_events as H
-from .registry import pages, query
+from .registry import cases_sql, literal, pages, query, seed_sql
 
 def _today() -> F.Column:
     return F.lit("2025-01-01").cast("date")
@@ -32,17 +32,29 @@ def _texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_TEXTS, "page_id int, text string")
 
 
-@query("visible_dates", _table("page_id, dates", "(1, '2024-09-11,2023-03-11,2022-02-28')", "(2, '')", "(3, '')", "(4, '')", "(5, '')"))
+_MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_DATES = f"""m as (select page_id, unnest(list_concat(
+        list_transform(regexp_extract_all(text, '(?i)\\b{_MONTHS}\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+(?:19|20)[0-9]{{2}}\\b'), lambda x: try_strptime(regexp_replace(x, '^([A-Za-z]{{3}})[a-z]*\\s+([0-9]+)[a-z]*,?\\s+', '\\1 \\2 '), '%b %d %Y')),
+        list_transform(regexp_extract_all(text, '(?i)\\b[0-9]{{1,2}}(?:st|nd|rd|th)?\\s+{_MONTHS},?\\s+(?:19|20)[0-9]{{2}}\\b'), lambda x: try_strptime(regexp_replace(x, '^([0-9]+)[a-z]*\\s+([A-Za-z]{{3}})[a-z]*,?\\s+', '\\2 \\1 '), '%b %d %Y')),
+        list_transform(regexp_extract_all(text, '\\b(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}\\b'), lambda x: try_strptime(x, '%Y-%m-%d')))) as d from t)"""
+
+
+@query("visible_dates", f"with t as {seed_sql(_TEXTS, 'page_id, text')}, {_DATES}, k as (select distinct page_id, cast(d as date) as d from m where d between date '1990-01-01' and date '2025-01-02') select page_id, coalesce(string_agg(cast(d as varchar), ',' order by d desc), '') as dates from t left join k using (page_id) group by page_id")
 def visible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark).select("page_id", F.array_join(F.transform(C.visible_dates(F.col("text"), _today()), lambda d: d.cast("string")), ",").alias("dates"))
 
 
-@query("temporal_anchors", _table("page_id, anchors", "(1, 'Updated in 2024')", "(2, '')", "(3, 'as of 2023,updated on March 2024,last updated on March 2024')", "(4, '')", "(5, '')"))
+@query("temporal_anchors", "select page_id, array_to_string(flatten([" + ", ".join(f"regexp_extract_all(text, {literal('(?i)' + rx)})" for rx in C.ANCHORS) + f"]), ',') as anchors from {seed_sql(_TEXTS, 'page_id, text')}")
 def temporal_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark).select("page_id", F.array_join(C.anchors(F.col("text")), ",").alias("anchors"))
 
 
-@query("copyright_years", _table("page_id, years, latest", "(1, '', null)", "(2, '2019,2021', 2021)", "(3, '', null)", "(4, '', null)", "(5, '2018', 2018)"))
+@query(
+    "copyright_years",
+    f"""with t as {seed_sql(_TEXTS, 'page_id, text')}, l as (select page_id, unnest(regexp_extract_all(text, '(?i)(?:copyright|©|\\bcopr\\b|&copy;)\\s*([^.;<\\n]{{1,120}})', 1)) as line from t),
+    y as (select distinct page_id, cast(unnest(regexp_extract_all(line, '\\b(?:19|20)[0-9]{{2}}\\b')) as int) as y from l)
+    select page_id, coalesce(string_agg(cast(y as varchar), ',' order by y), '') as years, max(y) as latest from t left join (select * from y where y between 1990 and 2026) using (page_id) group by page_id""",
+)
 def copyright_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = C.copyright_years(F.col("text"), _today())
     return _texts(spark).select("page_id", F.array_join(F.transform(y, lambda v: v.cast("string")), ",").alias("years"), F.array_max(y).alias("latest"))
@@ -120,21 +132,24 @@ def name_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAME = "(values ('a', 'https://github.com/a'), ('a', 'https://x.com/a'), ('b', 'https://notgithub.com.evil.net/'), ('b', 'https://de.wikipedia.org/wiki/B'), ('c', 'https://hub.docker.com/u/c')) as t(site, url)"
 
 
-@query("sameas_registry", _table("site, url, registry", "('a', 'https://github.com/a', 'github.com')", "('a', 'https://x.com/a', null)", "('b', 'https://notgithub.com.evil.net/', null)", "('b', 'https://de.wikipedia.org/wiki/B', 'wikipedia.org')", "('c', 'https://hub.docker.com/u/c', 'hub.docker.com')"))
+@query("sameas_registry", f"select site, url, list_filter({C.REGISTRIES}, lambda k: regexp_extract(url, '://(?:www\\.)?([^/]*)', 1) = k or ends_with(regexp_extract(url, '://([^/]*)', 1), '.' || k))[1] as registry from {_SAME}")
 def sameas_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_SAME}").select("site", "url", C.first_host(C.U.host(F.col("url")), C.REGISTRIES).alias("registry"))
 
 
-@query("search_budget", "select * from (values ('a', 6, 1, 5, false), ('b', 0, 1, -1, true), ('c', null, 2, null, false)) as t(site, remaining_before, consumed, remaining_after, over_budget)")
+_BUDGETS = "(values ('a', 6, 1), ('b', 0, 1), ('c', null, 2)) as t(site, remaining_before, consumed)"
+
+
+@query("search_budget", f"select *, remaining_before - consumed as remaining_after, coalesce(remaining_before < consumed, false) as over_budget from {_BUDGETS}")
 def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.sql("select * from (values ('a', 6, 1), ('b', 0, 1), ('c', null, 2)) as t(site, remaining_before, consumed)")
+    b = spark.sql(f"select * from {_BUDGETS}")
     return b.withColumn("remaining_after", F.col("remaining_before") - F.col("consumed")).withColumn("over_budget", F.coalesce(F.col("remaining_before") < F.col("consumed"), F.lit(False)))
 
 
 _SCRIPTS = "(values ('/_next/static/x.js', 'ReactDOM.createRoot(e)'), ('/reactions-widget.js', 'var x'), ('/vue.global.prod.js', 'new Vue({'), ('/static/js/main.1.js', 'window.__NEXT_DATA__ = 1; Svelte.mount(')) as t(src, body)"
 
 
-@query("frameworks", _table("src, by_source, by_text", "('/_next/static/x.js', 'React/Next.js', 'React')", "('/reactions-widget.js', null, '')", "('/vue.global.prod.js', 'Vue', 'Vue')", "('/static/js/main.1.js', 'Client-Side JS Bundle', 'React/Next.js,Svelte')"))
+@query("frameworks", f"select src, {cases_sql('src', C.FRAMEWORK_SOURCES)}[1] as by_source, array_to_string({cases_sql('body', C.FRAMEWORK_TEXTS)}, ',') as by_text from {_SCRIPTS}")
 def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_SCRIPTS}").select("src", C.first_label(F.col("src"), C.FRAMEWORK_SOURCES).alias("by_source"), F.array_join(C.labels(F.col("body"), C.FRAMEWORK_TEXTS), ",").alias("by_text"))
 
@@ -185,10 +200,13 @@ def links_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.only_rendered(a, spark.createDataFrame([(1, "/a"), (1, "/b"), (1, "/b"), (2, "/c")], "page_id int, url string"))
 
 
-@query("headings_after_js", _table("page_id, text", "(1, 'two')"))
+_RAW, _DONE = [(1, "<h1>One</h1>")], [(1, "<h1>ONE</h1><h2>Two</h2>")]
+_HEADS = "select page_id, lower(unnest(regexp_extract_all(html, '<h[1-6]>([^<]+)', 1))) as text from "
+
+
+@query("headings_after_js", f"{_HEADS}{seed_sql(_DONE, 'page_id, html')} except all {_HEADS}{seed_sql(_RAW, 'page_id, html')}")
 def headings_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(1, "<h1>One</h1>")], "page_id long, html string")
-    done = spark.createDataFrame([(1, "<h1>ONE</h1><h2>Two</h2>")], "page_id long, html string")
+    raw, done = (spark.createDataFrame(x, "page_id long, html string") for x in (_RAW, _DONE))
     low = lambda d: H.headings(H.events(d)).select(F.col("page_id").cast("int").alias("page_id"), F.lower("text").alias("text"))
     return low(done).join(low(raw), ["page_id", "text"], "left_anti")
 
@@ -248,7 +266,7 @@ def landing_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLES = "(values ('Home'), ('Untitled Document'), ('  '), ('Acme anvils'), ('My Blog'), ('Vite + React')) as t(title)"
 
 
-@query("default_titles", _table("title, is_default", "('Home', true)", "('Untitled Document', true)", "('  ', true)", "('Acme anvils', false)", "('My Blog', true)", "('Vite + React', true)"))
+@query("default_titles", f"select title, trim(title) = '' or regexp_matches(title, {literal(C.DEFAULT_TITLE)}) as is_default from {_TITLES}")
 def default_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_TITLES}").select("title", ((F.trim("title") == "") | F.col("title").rlike(C.DEFAULT_TITLE)).alias("is_default"))
 
@@ -261,7 +279,7 @@ _JS = [
 ]
 
 
-@query("client_redirects", _table("page_id, meta, load, event, routing, redirects", "(1::bigint, '/new', '/a', '', '', true)", "(2, '', '', '/b', '', false)", "(3, '', '/no,/d', '/c', '', true)", "(4, '', '', '', 'history,useNavigate', false)"))
+@query("client_redirects", _table("page_id, meta, load, event, routing, redirects", "(1::bigint, '/new', '/a', '', '', true)", "(2, '', '', '/b', '', false)", "(3, '', '/no,/d', '/c', '', true)", "(4, '', '', '', 'History API pushState/replaceState,React Router useNavigate hook', false)"))
 def client_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = C.redirects(H.events(spark.createDataFrame(_JS, "page_id long, html string")))
     return r.select("page_id", *[F.array_join(c, ",").alias(c) for c in ("meta", "load", "event", "routing")], "redirects")

@@ -11,7 +11,7 @@ from ..operators import html_events as H
 from ..operators import structured as S
 from .content_queries import _table
 from .page_queries import thin
-from .registry import query, values
+from .registry import literal, query, values
 
 _LISTS = [
     (1, '<article><footer><time datetime="2024-05-01T10:00">May</time></footer></article><time>March 3, 2023</time><footer><time datetime="2025-01-01">x</time> 2025</footer>'),
@@ -65,16 +65,21 @@ def brand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.brand_candidates(values(spark, _CALLED))
 
 
-@query("refused_fetches", _table("url, reason, rule", "('u1', 'disallow', 'Disallow: /x')", "('u2', 'disallowed', null)", "('u4', 'unreachable', null)"))
+_FETCHED = "(values ('u1', false), ('u1', false), ('u2', false), ('u3', true)) as f(url, allowed)"
+_DECIDED = "(values ('u1', false, 'disallow', 'Disallow: /x'), ('u4', false, 'unreachable', null), ('u5', true, 'allow', null)) as d(url, allowed, source, rule)"
+
+
+@query("refused_fetches", f"select url, source as reason, rule from {_DECIDED} where not allowed union select url, 'disallowed', null from {_FETCHED} where not allowed and url not in (select url from {_DECIDED} where not allowed)")
 def refused_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = values(spark, "(values ('u1', false), ('u1', false), ('u2', false), ('u3', true)) as f(url, allowed)")
-    d = values(spark, "(values ('u1', false, 'disallow', 'Disallow: /x'), ('u4', false, 'unreachable', null), ('u5', true, 'allow', null)) as d(url, allowed, source, rule)")
-    return G.refused(f, d)
+    return G.refused(values(spark, _FETCHED), values(spark, _DECIDED))
+
+
+_SEEN, _ALSO = "(values ('a', 'u1'), ('a', 'u2'), ('b', null)) as t(site, url)", "(values ('a', 'u1'), ('a', 'u1')) as t(site, url)"
 
 
-@query("audited_pages", _table("site, pages", "('a', 2::bigint)", "('b', 1)"))
+@query("audited_pages", f"select site, greatest(count(distinct url), 1) as pages from (select * from {_SEEN} union all select * from {_ALSO}) group by site")
 def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.audited_pages(values(spark, "(values ('a', 'u1'), ('a', 'u2'), ('b', null)) as t(site, url)"), values(spark, "(values ('a', 'u1'), ('a', 'u1')) as t(site, url)"))
+    return G.audited_pages(values(spark, _SEEN), values(spark, _ALSO))
 
 
 _RES = "(values (1, 1, 'a', 100, null), (1, 2, 'b', null, 'timeout'), (1, 16, 'c', 5, null), (2, 1, 'd', 7, null)) as t(page_id, pos, url, length, error)"
@@ -108,15 +113,20 @@ def login_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(p, "page_id").select("page_id", "main_chars", t.alias("thin"), (t & F.col("form") & F.col("password")).alias("login_wall"), F.col("status").between(200, 299).alias("scanned"))
 
 
-@query("first_per_site", "select * from (values ('a', 'landing_dead_end', 2), ('a', 'title_default', 1), ('b', 'title_default', 5)) as t(site, slug, page_id)")
+_RAISED = "(values ('a', 'landing_dead_end', 2), ('a', 'landing_dead_end', 3), ('a', 'title_default', 1), ('b', 'title_default', 5), ('b', 'title_default', 9)) as t(site, slug, page_id)"
+
+
+@query("first_per_site", f"select site, slug, min(page_id) as page_id from {_RAISED} group by site, slug")
 def first_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a site has once, on the first page that raises them."""
-    f = values(spark, "(values ('a', 'landing_dead_end', 2), ('a', 'landing_dead_end', 3), ('a', 'title_default', 1), ('b', 'title_default', 5), ('b', 'title_default', 9)) as t(site, slug, page_id)")
-    return f.groupBy("site", "slug").agg(F.min("page_id").alias("page_id"))
+    return values(spark, _RAISED).groupBy("site", "slug").agg(F.min("page_id").alias("page_id"))
+
+
+_NAMES = "(values ('/a/IMG_0042.jpg?x=1'), ('/a/red-fox.png'), ('deadbeefcafe.webp'), ('/x/'), ('screen shot 3.png')) as t(src)"
 
 
-@query("autogenerated_names", _table("src, stem, generated", "('/a/IMG_0042.jpg?x=1', 'IMG_0042', true)", "('/a/red-fox.png', 'red-fox', false)", "('deadbeefcafe.webp', 'deadbeefcafe', true)", "('/x/', 'x', false)", "('screen shot 3.png', 'screen shot 3', true)"))
+@query("autogenerated_names", f"with s as (select src, regexp_replace(regexp_extract(regexp_replace(src, '[?#].*$', ''), '([^/]*)/?$', 1), '\\.[^.]*$', '') as stem from {_NAMES}) select src, stem, length(stem) >= 3 and regexp_matches(stem, {literal(C.GENERATED)}) as generated from s")
 def autogenerated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = values(spark, "(values ('/a/IMG_0042.jpg?x=1'), ('/a/red-fox.png'), ('deadbeefcafe.webp'), ('/x/'), ('screen shot 3.png')) as t(src)")
+    d = values(spark, _NAMES)
     s = C.U.stem(F.col("src"))
     return d.select("src", s.alias("stem"), ((F.length(s) >= 3) & s.rlike(C.GENERATED)).alias("generated"))

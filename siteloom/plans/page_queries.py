@@ -137,9 +137,14 @@ def navigation_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(linked.withColumn("hit", F.lit(True)), ["host", "key"], "left").select("host", "key", F.coalesce("hit", F.lit(False)).alias("linked"))
 
 
+#: The levels of each page's headings with text, in order, as the fixture's pages write them.
+HEADINGS = """heads as (select page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?is)<h([1-6])(?:\\s[^>]*)?>\\s*[^<\\s][^<]*</h[1-6]>', 1), lambda x: cast(x as int)) as levels from pages),
+    outlines as (select page_id, levels, len(list_filter(levels, lambda x: x = 1)) as h1, len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] > levels[i - 1] + 1)) as skipped from heads)"""
+
+
 @query(
     "page_outline",
-    "select page_id, cast(1 as bigint) as headings, cast(1 as bigint) as h1_count, false as h1_missing, false as multiple_h1, cast(0 as bigint) as skipped, '1' as levels from pages where contains(html, '</h1>')",
+    f"with {HEADINGS} select page_id, cast(len(levels) as bigint) as headings, cast(h1 as bigint) as h1_count, h1 = 0 as h1_missing, h1 > 1 as multiple_h1, cast(skipped as bigint) as skipped, array_to_string(list_sort(list_distinct(levels)), ',') as levels from outlines where len(levels) > 0",
 )
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline(H.headings(H.events(pages(spark, sf_dir))))

@@ -31,3 +31,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def values(spark: SparkSession, seed: str) -> DataFrame:
     """A seed table: the same VALUES text that the SQL uses."""
     return spark.sql(f"select * from {seed}")
+
+
+def literal(value) -> str:
+    """A Python value as SQL."""
+    if value is None:
+        return "null"
+    if isinstance(value, (bool, int, float)):
+        return str(value).lower()
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def seed_sql(rows: list[tuple], columns: str) -> str:
+    """Rows that a query starts from, for its SQL to start from too."""
+    return f"(select * from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as seed({columns}))"
+
+
+def cases_sql(text: str, known: list[tuple[str, str]]) -> str:
+    """The labels of the patterns that a text matches, in their order, as a list."""
+    return "list_filter([" + ", ".join(f"case when regexp_matches({text}, {literal(rx)}) then {literal(label)} end" for rx, label in known) + "], lambda x: x is not null)"
