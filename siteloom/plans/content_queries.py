@@ -70,7 +70,15 @@ def page_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DECLARED = [(1, "2024-01-01", "2023-12-31T10:00:00Z", None), (2, "soon", None, None), (3, "2024-06-01T23:00:00+0200", None, "2020-01-01"), (4, None, None, "2024-12-01"), (5, None, "2026-01-01", None), (6, None, None, None)]
 
 
-@query("date_facts", _table("page_id, age_days, source, issue", "(1, 366::bigint, 'dateModified', 'modified before published')", "(2, null, null, 'published is no date')", "(3, 213, 'datePublished', null)", "(4, 31, 'latest_visible_date', null)", "(5, -365, 'dateModified', 'modified in the future')", "(6, null, null, null)"))
+_MOMENT = "try_strptime(regexp_replace(regexp_replace(coalesce({0}, ''), 'T?([0-9:]*)Z$', ' \\1 +0000'), '([+-][0-9]{{4}})$', ' \\1'), ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S %z', '%Y-%m-%dT%H:%M:%S %z'])"
+
+
+@query(
+    "date_facts",
+    f"""with d as (select *, cast({_MOMENT.format('published')} as timestamp) as p, cast({_MOMENT.format('modified')} as timestamp) as m, date_diff('day', cast(seen as date), date '2025-01-01') as visible, timestamp '2025-01-01' as now from {seed_sql(_DECLARED, 'page_id, published, modified, seen')})
+    select page_id, coalesce(cast(floor(epoch(now - coalesce(m, p)) / 86400) as bigint), visible) as age_days, case when m is not null then 'dateModified' when p is not null then 'datePublished' when seen is not null then 'latest_visible_date' end as source,
+    case when published <> '' and p is null then 'published is no date' when modified <> '' and m is null then 'modified is no date' when m < p then 'modified before published' when m > now then 'modified in the future' when p > now then 'published in the future' end as issue from d""",
+)
 def date_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame(_DECLARED, "page_id int, published string, modified string, seen string")
     return d.select("page_id", *[c.alias(n) for n, c in C.date_facts(F.col("published"), F.col("modified"), F.to_date("seen"), _today().cast("timestamp")).items()])
@@ -158,7 +166,15 @@ _MEASURED = "struct<words:int,headings:int,jsonld:int,paragraphs:int,items:int>"
 _PAIRS = [(1, (10, 0, 0, 0, 0), (400, 5, 1, 10, 0)), (2, (300, 5, 1, 20, 3), (310, 5, 1, 20, 3)), (3, (100, 2, 0, 5, 0), (150, 4, 0, 6, 0)), (4, (20, 1, 0, 1, 0), (151, 1, 0, 1, 0)), (5, (10, 0, 0, 0, 0), None)]
 
 
-@query("hydration", _table("page_id, hydrates", "(1, true)", "(2, false)", "(3, false)", "(4, true)", "(5, null)"))
+_FLAT = [(i, *a, *(b or [None] * 5)) for i, a, b in _PAIRS]
+
+
+@query(
+    "hydration",
+    f"""with p as (select * from {seed_sql(_FLAT, 'page_id, w, h, j, p, l, w2, h2, j2, p2, l2')}),
+    n as (select page_id, w2, cast(w2 >= 2 * greatest(w, 1) and w < {C.WORD_FLOOR} as int) + cast(h2 - h >= 2 as int) + cast(j2 - j >= 1 as int) + cast(p2 - p >= 3 as int) + cast(l2 - l >= 6 as int) as differ, w < {C.NEAR_EMPTY} and w2 > 150 as shell from p)
+    select page_id, case when w2 is not null then differ >= 2 or shell end as hydrates from n""",
+)
 def hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_PAIRS, f"page_id int, raw {_MEASURED}, rendered {_MEASURED}").select("page_id", C.hydration().alias("hydrates"))
 
@@ -288,14 +304,22 @@ def client_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTLINE = [(1, "<h1>A</h1><p>intro words here</p><h3>Why us?</h3><h2>What is it</h2><p>It is a thing.</p><div role='heading' aria-level='4'>Deep</div><nav><p>menu</p></nav>"), (2, "<h2>Sub</h2><h1 hidden>No</h1>"), (3, "<p>x</p>")]
 
 
-@query("heading_outline", _table("page_id, headings, h1_count, h1_missing, skipped, levels", "(1::bigint, 4::bigint, 1::bigint, false, 2::bigint, '1,2,3,4')", "(2, 1, 0, true, 0, '2')"))
+@query(
+    "heading_outline",
+    f"""with l as (select page_id, list_transform(regexp_extract_all(html, '<h[1-6]>|aria-level=.[1-6]'), lambda x: cast(regexp_extract(x, '[1-6]') as int)) as l from {seed_sql(_OUTLINE, 'page_id, html')})
+    select page_id, cast(len(l) as bigint) as headings, cast(len(list_filter(l, lambda x: x = 1)) as bigint) as h1_count, not list_contains(l, 1) as h1_missing, cast(len(list_filter(range(2, len(l) + 1), lambda i: l[i] > l[i - 1] + 1)) as bigint) as skipped, array_to_string(list_sort(list_distinct(l)), ',') as levels from l where len(l) > 0""",
+)
 def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .page_queries import outline
 
     return outline(H.headings(H.events(spark.createDataFrame(_OUTLINE, "page_id long, html string")))).select("page_id", "headings", "h1_count", "h1_missing", "skipped", "levels")
 
 
-@query("question_headings", _table("page_id, text, answered", "(1::bigint, 'Why us?', false)", "(1, 'What is it', true)"))
+@query(
+    "question_headings",
+    f"""with m as (select page_id, unnest(regexp_extract_all(html, '<h[1-6]>[^<]+</h[1-6]>(?:<p>[^<]+)?')) as m from {seed_sql(_OUTLINE, 'page_id, html')}), t as (select page_id, regexp_extract(m, '>([^<]+)<', 1) as text, contains(m, '<p>') as answered from m)
+    select page_id, text, answered from t where regexp_matches(text, '[?؟]\\s*$') or regexp_matches(text, '(?i)^(what|how|why|when|where|who|which|whom|whose|is|are|can|could|does|do|did|should|will|would|may|might)\\b')""",
+)
 def question_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that ask, and whether any text comes before the next heading."""
     from pyspark.sql import Window
@@ -328,7 +352,14 @@ def content_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADERS = [("https://a.com/1?x=1", "Acme Inc | Home", "Welcome", "We sell anvils"), ("https://www.a.com/1", "Acme Inc | Home", "Welcome", "We sell anvils"), ("https://a.com/2", "Acme Inc | Shop", "Shop", "WE SELL anvils"), ("https://a.com/3", "Contact", "Contact us", "Other")]
 
 
-@query("brand_phrase", _table("brand, n", "('acme inc', 3::bigint)"))
+_SEGMENTS = "select pos, generate_subscripts(parts, 1) as k, trim(unnest(parts)) as segment from (select pos, list_concat(string_split_regex(title, '[|:—•-]'), string_split_regex(h1, '[|:—•-]')) as parts from h)"
+
+
+@query(
+    "brand_phrase",
+    f"""with h as (select * from {seed_sql([(i, *r) for i, r in enumerate(_HEADERS)], 'pos, url, title, h1, description')}), s as ({_SEGMENTS}),
+    c as (select lower(segment) as brand, count(*) as n, min(pos * 1000 + k) as first from s where length(segment) >= 2 group by 1 having count(*) > 1) select brand, n from c order by n desc, first limit 1""",
+)
 def brand_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment that titles and headings repeat most; of equals, the first seen."""
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(_HEADERS)], "pos int, url string, title string, h1 string, description string")
@@ -337,7 +368,7 @@ def brand_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.max_by("brand", F.struct("n", -F.col("first.pos"), -F.col("first.k"))).alias("brand"), F.max("n").alias("n"))
 
 
-@query("reused_descriptions", _table("description, pages", "('we sell anvils', 2::bigint)"))
+@query("reused_descriptions", f"select lower(description) as description, count(distinct regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.)?', '')) as pages from {seed_sql(_HEADERS, 'url, title, h1, description')} group by 1 having pages >= 2")
 def reused_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame(_HEADERS, "url string, title string, h1 string, description string")
     return d.groupBy(F.lower("description").alias("description")).agg(F.countDistinct(C.U.page_key(F.col("url"))).alias("pages")).where("pages >= 2")
@@ -346,6 +377,6 @@ def reused_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORIENT = "(values (1, 'Acme', null, 'T'), (2, null, null, 'T'), (3, '', 'what we do', ''), (4, 'A', 'b', 'c')) as t(page_id, brand, description, h1)"
 
 
-@query("orientation", _table("page_id, orientation_ok", "(1, true)", "(2, false)", "(3, false)", "(4, true)"))
+@query("orientation", f"select page_id, cast(coalesce(brand, '') <> '' as int) + cast(coalesce(description, '') <> '' as int) + cast(coalesce(h1, '') <> '' as int) >= 2 as orientation_ok from {_ORIENT}")
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_ORIENT}").select("page_id", C.orientation(F.col("brand"), F.col("description"), F.col("h1")).alias("orientation_ok"))

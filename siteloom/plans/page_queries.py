@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import html_events as H
-from .registry import pages, query
+from .registry import literal, pages, query
 from .url_queries import GROUP, PARTS
 
 #: Text as it is shown: what the fixture's pages need of entity decoding, the ampersand last.
@@ -228,9 +228,14 @@ def content_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INTENT_URLS = "(values ('https://a.com/'), ('https://a.com'), ('https://a.com/blog/x'), ('https://a.com/Products/7'), ('https://a.com/pricing'), ('https://a.com/use-case/x'), ('https://a.com/topics/'), ('https://a.com/app'), ('https://a.com/log-in?next=1'), ('https://a.com/vinyl.htm'), ('https://a.com/resources/a-b')) as t(url)"
 
 
+_INTENT_CASES = " ".join(f"when regexp_matches(p, {literal(rx)}) then {literal(name)}" for rx, name in PATH_INTENTS)
+_BAND_CASES = " ".join(f"when {literal(name)} then {words}" for name, words in BANDS)
+
+
 @query(
     "path_intent",
-    "select * from (values ('https://a.com/', 'homepage', 80), ('https://a.com', 'homepage', 80), ('https://a.com/blog/x', 'article', 350), ('https://a.com/Products/7', 'product', 120), ('https://a.com/pricing', 'service', 150), ('https://a.com/use-case/x', 'service', 150), ('https://a.com/topics/', 'category', 60), ('https://a.com/app', 'app', null), ('https://a.com/log-in?next=1', 'utility', null), ('https://a.com/vinyl.htm', null, null), ('https://a.com/resources/a-b', 'article', 350)) as t(url, intent, advisory)",
+    f"""with p as (select url, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) as p from {_INTENT_URLS}), i as (select url, case when p in ('', '/') then 'homepage' {_INTENT_CASES} end as intent from p)
+    select *, case intent {_BAND_CASES} end as advisory from i""",
 )
 def path_intent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_INTENT_URLS}").select("url", path_intent(F.col("url")).alias("intent")).withColumn("advisory", advisory(F.col("intent")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import structured as S
-from .registry import query
+from .registry import literal, query, seed_sql
 
 _PROSE = "Alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu"
 
@@ -39,32 +39,50 @@ def _table(cols: str, *rows: str) -> str:
     return f"select * from (values {', '.join(rows)}) as t({cols})"
 
 
-@query("jsonld_blocks", _table("page_id, blocks, parsed", "(1::bigint, 1::bigint, 1::bigint)", "(2, 2, 1)", "(3, 2, 2)", "(4, 1, 1)", "(5, 2, 2)", "(7, 1, 1)", "(8, 1, 1)"))
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(map(literal, values)) + "]"
+
+
+#: The blocks of the seeded pages, mended as far as their faults go, and every typed object in those that parse.
+_NODES = f"""split as (select page_id, string_split(html, '<script type="application/ld+json">')[2:] as parts from {seed_sql(PAGES, 'page_id, html')}),
+    blocks as (select page_id, cast(generate_subscripts(parts, 1) - 1 as int) as block, unnest(parts) as raw from split),
+    mended as (select page_id, block, replace(replace(regexp_replace(regexp_extract(raw, '^([\\s\\S]*)</script>', 1), '(?m)^//.*$', '', 'g'), '&quot;', '"'), chr(10), ' ') as j from blocks),
+    objects as (select m.page_id, m.block, t.id as n, t.value as node, t.value->'$."@type"' as declared from (select * from mended where json_valid(j)) m, json_tree(m.j) t where t.type = 'OBJECT'),
+    nodes as (select page_id, block, n, node, list_transform(case json_type(declared) when 'ARRAY' then from_json(declared, '["VARCHAR"]') else [declared->>'$'] end, lambda x: regexp_replace(x, '^https?://schema.org/', '')) as types from objects where declared is not null)"""
+
+
+def _said(path: str) -> str:
+    return " or ".join(f"""trim(coalesce(node->>'$."{p}"', '')) not in ('', '[]', '{{}}', 'false', '0', 'null')""" for p in path.split("|"))
+
+
+_LACKS = " union all ".join(
+    f"select page_id, block, n, {literal(kind)} as kind, list_filter([{', '.join(f'case when not ({_said(w)}) then {literal(w.split(chr(124))[0])} end' for w in wanted)}], lambda x: x is not null) as missing from nodes where list_has_any(types, {_list(types)})" for kind, (types, wanted) in S.COMPLETE.items()
+)
+_ROLES = f"""roles as (select page_id, types, case when list_has_any(types, {_list(S.IDENTITY)}) then 'identity' when list_has_any(types, {_list(S.SUBJECT)}) then 'subject' when len(list_filter(types, lambda t: not list_contains({_list(S.STRUCTURAL)}, t))) = 0 then 'structural' else 'unclassified' end as role from nodes)"""
+
+
+def _of_role(role: str, only: list[str] | None) -> str:
+    own = "types" if only is None else f"list_filter(types, lambda t: list_contains({_list(only)}, t))"
+    return f"array_to_string(list_sort(list_distinct(flatten(coalesce(list({own}) filter (role = '{role}'), [])))), ',') as {role}"
+
+
+@query("jsonld_blocks", f"with {_NODES} select page_id, count(*) as blocks, count(*) filter (json_valid(j)) as parsed from mended group by page_id")
 def jsonld_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = S.nodes(_pages(spark)).where("n = -1")
     return b.groupBy("page_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("error").isNull()).alias("parsed"))
 
 
-@query(
-    "jsonld_entities",
-    _table(
-        "page_id, block, types",
-        *(
-            f"({p}::bigint, {b}, '{t}')"
-            for p, b, t in [(1, 0, "Organization"), (1, 0, "Product,Thing"), (1, 0, "Offer"), (2, 0, "BreadcrumbList"), (3, 0, "NewsArticle"), (3, 1, "Recipe"), (4, 0, "FAQPage"), (4, 0, "Question"), (4, 0, "Question"), (4, 0, "Question"), (4, 0, "Answer"), (5, 0, "WidgetThing"), (5, 0, "Person"), (5, 1, "BlogPosting"), (7, 0, "VideoObject"), (8, 0, "Product")]
-        ),
-    ),
-)
+@query("jsonld_entities", f"with {_NODES} select page_id, block, array_to_string(types, ',') as types from nodes")
 def jsonld_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.entities(S.nodes(_pages(spark))).select("page_id", "block", F.array_join("types", ",").alias("types"))
 
 
-@query("entity_completeness", _table("page_id, kind, missing", "(1::bigint, 'organization', 'logo')", "(3, 'article', 'datePublished,image')", "(3, 'recipe', 'recipeInstructions,image')", "(5, 'article', '')", "(7, 'video', 'uploadDate')"))
+@query("entity_completeness", f"with {_NODES} select page_id, kind, array_to_string(missing, ',') as missing from ({_LACKS})")
 def entity_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.completeness(S.entities(S.nodes(_pages(spark)))).select("page_id", "kind", F.array_join("missing", ",").alias("missing"))
 
 
-@query("completeness_by_kind", _table("kind, entities, missing", "('organization', 1::bigint, 'logo')", "('article', 2, 'datePublished,image')", "('recipe', 1, 'image,recipeInstructions')", "('video', 1, 'uploadDate')"))
+@query("completeness_by_kind", f"with {_NODES} select kind, count(*) as entities, array_to_string(list_sort(list_distinct(flatten(list(missing)))), ',') as missing from ({_LACKS}) group by kind")
 def completeness_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = S.completeness(S.entities(S.nodes(_pages(spark))))
     return c.groupBy("kind").agg(F.count("*").alias("entities"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))), ",").alias("missing"))
@@ -78,19 +96,28 @@ def product_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "entity_grounding",
-    _table("page_id, identity, subject, structural, unclassified, structural_only", "(1::bigint, 'Organization', 'Offer,Product', '', '', false)", "(2, '', '', 'BreadcrumbList', '', true)", "(3, '', 'NewsArticle,Recipe', '', '', false)", "(4, '', 'FAQPage', '', 'Answer,Question', false)", "(5, 'Person', 'BlogPosting', '', 'WidgetThing', false)", "(7, '', 'VideoObject', '', '', false)", "(8, '', 'Product', '', '', false)"),
+    f"""with {_NODES}, {_ROLES}, g as (select page_id, {_of_role('identity', S.IDENTITY)}, {_of_role('subject', S.SUBJECT)}, {_of_role('structural', None)}, {_of_role('unclassified', None)} from roles group by page_id)
+    select *, identity = '' and subject = '' and unclassified = '' as structural_only from g""",
 )
 def entity_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = S.grounding(S.entities(S.nodes(_pages(spark))))
     return g.select("page_id", *[F.array_join(c, ",").alias(c) for c in ("identity", "subject", "structural", "unclassified")], "structural_only")
 
 
-@query("entity_descriptions", _table("page_id, describable, described, short, missing", "(1::bigint, 2::bigint, 0::bigint, 1::bigint, 'Organization')", "(3, 2, 0, 0, 'NewsArticle,Recipe')", "(4, 1, 0, 0, 'FAQPage')", "(5, 2, 1, 0, 'BlogPosting')", "(7, 1, 0, 0, 'VideoObject')", "(8, 1, 0, 0, 'Product')"))
+@query(
+    "entity_descriptions",
+    f"""with {_NODES}, d as (select page_id, types[1] as type, length(trim(regexp_replace(coalesce(case json_type(node->'description') when 'OBJECT' then coalesce(node->'description'->>'@value', node->'description'->>'name') when 'ARRAY' then node->'description'->>0 else node->>'description' end, ''), '\\s+', ' ', 'g'))) as n
+        from nodes where list_has_any(types, {_list([t for t in [*S.IDENTITY, *S.SUBJECT] if t not in S.NOT_DESCRIBABLE])}))
+    select page_id, count(*) as describable, count(*) filter (n >= {S.DESCRIPTION_MIN}) as described, count(*) filter (n > 0 and n < {S.DESCRIPTION_MIN}) as short, coalesce(string_agg(distinct type, ',' order by type) filter (n = 0), '') as missing from d group by page_id""",
+)
 def entity_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.descriptions(S.entities(S.nodes(_pages(spark))))
 
 
-@query("faq_pairs", _table("page_id, question, complete", "(4::bigint, 'Q1', true)", "(4, 'Q2', true)", "(4, 'Q3', false)"))
+_QUESTIONS = "questions as (select page_id, unnest(from_json(node->'mainEntity', '[\"JSON\"]')) as q from nodes where list_contains(types, 'FAQPage'))"
+
+
+@query("faq_pairs", f"with {_NODES}, {_QUESTIONS} select page_id, q->>'name' as question, (q->'acceptedAnswer'->>'text') is not null as complete from questions")
 def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = S.nodes(_pages(spark))
     return S.faq_pairs(S.entities(n), n).select("page_id", "question", F.col("answer").isNotNull().alias("complete"))
@@ -107,12 +134,17 @@ def contact_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.contact_mismatches(S.entities(S.nodes(_pages(spark))), _pages(spark))
 
 
-@query("article_authors", _table("page_id, names, placeholder", "(3::bigint, 'Admin', true)", "(5, 'Ann Lee,guest', false)"))
+@query(
+    "article_authors",
+    f"""with {_NODES}, a as (select page_id, block, n, case json_type(node->'author') when 'ARRAY' then from_json(node->'author', '["JSON"]') else [node->'author'] end as listed from nodes where list_has_any(types, {_list(S.COMPLETE['article'][0])})),
+    k as (select page_id, list_filter(list_transform(listed, lambda x: trim(case json_type(x) when 'OBJECT' then x->>'name' else x->>'$' end)), lambda x: coalesce(x, '') <> '') as names from a)
+    select page_id, array_to_string(names, ',') as names, len(names) > 0 and len(list_filter(names, lambda x: not list_contains({_list(sorted(S.PLACEHOLDER_AUTHORS))}, lower(x)))) = 0 as placeholder from k""",
+)
 def article_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.authors(S.entities(S.nodes(_pages(spark)))).select("page_id", F.array_join("names", ",").alias("names"), "placeholder")
 
 
-@query("empty_breadcrumbs", _table("page_id, items", "(2::bigint, 0::bigint)"))
+@query("empty_breadcrumbs", f"with {_NODES} select page_id, cast(coalesce(json_array_length(node->'itemListElement'), 0) as bigint) as items from nodes where list_contains(types, 'BreadcrumbList')")
 def empty_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.entities(S.nodes(_pages(spark))).where(S.is_a(["BreadcrumbList"]))
     items = S.prop("itemListElement")
@@ -122,7 +154,11 @@ def empty_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRICES = "(values ('1.234,50'), ('1,234.50'), ('$ 19.90'), ('free'), ('99')) as t(raw)"
 
 
-@query("price_values", _table("raw, price", "('1.234,50', 1234.5::double)", "('1,234.50', 1234.5)", "('$ 19.90', 19.9)", "('free', null)", "('99', 99)"))
+@query(
+    "price_values",
+    f"""with d as (select raw, regexp_extract(raw, '[0-9][0-9.,]*') as s from {_PRICES})
+    select raw, try_cast(case when contains(s, '.') and contains(s, ',') then case when strpos(reverse(s), ',') < strpos(reverse(s), '.') then replace(replace(s, '.', ''), ',', '.') else replace(s, ',', '') end else s end as double) as price from d""",
+)
 def price_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select * from {_PRICES}").select("raw", S.price_value(F.col("raw")).alias("price"))
 
@@ -135,12 +171,17 @@ def fact_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.consistency(spark.sql(f"select * from {_FACTS}"))
 
 
-@query("schema_after_js", _table("page_id, raw_types, rendered_types, trapped, barrier", "(1, 'A', 'A,B', 'B', true)", "(2, 'A', 'A', '', false)", "(3, '', 'C', 'C', true)", "(4, 'A', null, null, null)"))
+_TYPED = [(i, _ld(*[f'{{"@type":"{t}"}}' for t in a]), _ld(*[f'{{"@type":"{t}"}}' for t in b]) if has else None) for i, a, b, has in [(1, ["A"], ["A", "B"], True), (2, ["A"], ["A"], True), (3, [], ["C"], True), (4, ["A"], [], False)]]
+
+
+@query(
+    "schema_after_js",
+    f"""with t as (select page_id, list_sort(list_distinct(regexp_extract_all(raw, '"@type":"([^"]+)"', 1))) as a, list_sort(list_distinct(regexp_extract_all(rendered, '"@type":"([^"]+)"', 1))) as b from {seed_sql(_TYPED, 'page_id, raw, rendered')}),
+    x as (select *, list_filter(b, lambda k: not list_contains(a, k)) as c from t) select page_id, array_to_string(a, ',') as raw_types, array_to_string(b, ',') as rendered_types, array_to_string(c, ',') as trapped, len(c) > 0 as barrier from x""",
+)
 def schema_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types that only the rendered page has; unknown without one."""
-    rows = [(1, ["A"], ["A", "B"], True), (2, ["A"], ["A"], True), (3, [], ["C"], True), (4, ["A"], [], False)]
-    html = [(i, _ld(*[f'{{"@type":"{t}"}}' for t in a]), _ld(*[f'{{"@type":"{t}"}}' for t in b]) if has else None) for i, a, b, has in rows]
-    p = spark.createDataFrame(html, "page_id long, raw string, rendered string")
+    p = spark.createDataFrame(_TYPED, "page_id long, raw string, rendered string")
 
     def types(column: str) -> DataFrame:
         e = S.entities(S.nodes(p, html=column)).select("page_id", F.explode("types").alias("t"))
