@@ -38,6 +38,19 @@ def path(url: Column) -> Column:
     return F.regexp_extract(_full(url), _SPLIT, 3)
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute URL whose path has its dot segments resolved, as RFC 3986 has it."""
+    head, own, tail = (F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    segs = F.split(own, "/")
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s)))
+
+    kept = F.aggregate(segs, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(own.rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, F.array_join(kept, "/"), tail)).otherwise(url)
+
+
 def path_of_absolute(url: Column) -> Column:
     """The path of a URL that names its scheme; of a bare path, itself without query and fragment."""
     return F.when(F.contains(url, F.lit("://")), F.regexp_extract(url, _SPLIT, 3)).otherwise(F.regexp_extract(url, r"^[^?#]*", 0))

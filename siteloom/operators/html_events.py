@@ -21,6 +21,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SCHEMA = "page_id long, seq int, el int, kind string, tag string, attrs map<string,string>, text string, unshown boolean, chrome boolean, hidden boolean"
 
 
+#: Events of several pages that leave a task at once, at least.
+TOGETHER = 8192
+
+
 class _Events(HTMLParser):
     """Rows of one page. ``unshown``: inside an element whose text is not shown; ``chrome``: inside the page's frame
     (counted by element, never below zero); ``hidden``: below an element that is styled or marked away."""
@@ -66,13 +70,27 @@ class _Events(HTMLParser):
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
     names = ["page_id", "seq", "el", "kind", "tag", "attrs", "text", "unshown", "chrome", "hidden"]
+    ids: list[int] = []
+    rows: list[tuple] = []
+
+    def together() -> pa.RecordBatch:
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols], names)
+
     for batch in batches:
         for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
             parser = _Events()
-            parser.feed(html.as_py() or "")
-            if parser.rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*parser.rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([page_id.as_py()] * len(parser.rows), pa.int64()), *cols], names)
+            try:
+                parser.feed(html.as_py() or "")
+            except (AssertionError, ValueError):  # markup that the parser gives up on: what came before it stays
+                pass
+            rows += parser.rows
+            ids += [page_id.as_py()] * len(parser.rows)
+            if len(rows) >= TOGETHER:
+                yield together()
+                ids, rows = [], []
+    if rows:
+        yield together()
 
 
 def events(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

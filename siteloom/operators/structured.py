@@ -83,7 +83,7 @@ def lenient(body: str):
     for text, strict in ((body, True), (html_lib.unescape(body), True), (body, False), (html_lib.unescape(body), False)):
         try:
             return json.loads(text, strict=strict), None
-        except ValueError as e:
+        except (ValueError, RecursionError) as e:
             error = str(e)
     return None, error
 
@@ -94,13 +94,14 @@ def type_names(raw) -> list[str]:
 
 
 def _walk(value, found: list) -> None:
-    if isinstance(value, dict):
-        found.append(value)
-        for v in value.values():
-            _walk(v, found)
-    elif isinstance(value, list):
-        for v in value:
-            _walk(v, found)
+    """Every object of a value, outer ones first, however deep."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            found.append(v)
+        if isinstance(v, (dict, list)):
+            stack += reversed(list(v.values() if isinstance(v, dict) else v))
 
 
 NODES = "page_id long, block int, n int, error string, id string, types array<string>, props string"

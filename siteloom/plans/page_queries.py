@@ -83,8 +83,7 @@ def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(p: DataFrame, ev: DataFrame) -> DataFrame:
     """(page_id, seq, href, url): navigational links, absolute and without fragments.
 
-    Absolute addresses, those of the host and those of the page's folder are joined here as RFC 3986 has it for paths
-    without dot segments; of others the dot segments stay.
+    Absolute addresses, those of the host and those of the page's folder are joined as RFC 3986 has it.
     """
     a = ev.where("kind = 'start' and tag = 'a'").select("page_id", "seq", F.col("attrs")["href"].alias("href")).where(F.coalesce("href", F.lit("")) != "")
     a = a.where(U.navigational(F.col("href"))).join(p.select("page_id", F.col("url").alias("base")), "page_id")
@@ -98,7 +97,7 @@ def page_links(p: DataFrame, ev: DataFrame) -> DataFrame:
         .when(F.startswith(h, F.lit("?")), F.concat(root, U.path(F.col("base")), h))
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), h))
     )
-    return a.select("page_id", "seq", "href", F.regexp_replace(full, "#.*$", "").alias("url"))
+    return a.select("page_id", "seq", "href", U.without_dots(F.regexp_replace(full, "#.*$", "")).alias("url"))
 
 
 @query(

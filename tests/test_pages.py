@@ -87,3 +87,42 @@ def test_alternative_texts_of_brands_are_not_generic(spark):
 def test_scripts_in_strings_and_comments_open_no_scope():
     now, later = content.redirect_targets("var s = '{'; /* { */ el.onclick = () => { location = '/x' }; location.href = '/y'")
     assert (now, later) == (["/y"], ["/x"])
+
+
+def test_what_runs_at_load_and_what_waits():
+    targets = content.redirect_targets
+    assert targets("$('a').on('click', '.x', function (e) { if (e) { top.location.href = '/q' } })") == ([], ["/q"])
+    assert targets("$(document).on('load', () => location = '/r'); b.click(function () { location.assign('/s') })") == (["/r"], ["/s"])
+    assert targets("setTimeout(function () { location = '/t' }, 5); (async () => { self.location.replace('/u') })()") == (["/t", "/u"], [])
+    assert targets("x.addEventListener('submit', async e => location = '/k'); el.onclick = e => { location = '/l' }") == ([], ["/k", "/l"])
+    assert targets("function go() { location = '/m' } location.replace('/n' + q); if (location == '/w') {}") == ([], ["/m"])
+    assert targets("// location.href = '/no'\nsetTimeout(\"location='/z'\", 1)") == (["/no", "/z"], [])
+    assert targets(None) == ([], []) and targets("location = '") == ([], []) and targets("}{)(location.href") == ([], [])
+
+
+def test_dot_segments(spark):
+    from siteloom.functions import urls
+
+    want = {"https://a.com/b/../c?x=/../y": "https://a.com/c?x=/../y", "https://a.com/../x": "https://a.com/x", "https://a.com/a/./b/..": "https://a.com/a/", "https://a.com/a.b/..c": "https://a.com/a.b/..c", "https://a.com": "https://a.com"}
+    d = spark.createDataFrame([(k,) for k in want], "url string")
+    assert {r.url: r.out for r in d.select("url", urls.without_dots(d.url).alias("out")).collect()} == want
+
+
+def test_sitemaps_that_are_broken_give_what_can_be_read(spark):
+    from siteloom.operators import access
+
+    files = [("a", "<urlset><url><loc>https://a/1</loc></url><url><loc>https://a/2"), ("b", "\ufeff \n<s:sitemapindex xmlns:s='x'><s:sitemap><s:loc><![CDATA[https://b/3?x=1&y]]></s:loc></s:sitemap></s:sitemapindex>"), ("c", "no xml <loc>x</loc>"), ("d", "<urlset><url><loc> https://d/?a&amp;b </loc><lastmod>1</lastmod></url><url><loc/></url><!-- <loc>z</loc> --></urlset"), ("e", None)]
+    out = access.sitemap_locations(spark.createDataFrame(files, "site string, body string")).collect()
+    assert sorted((r.site, r.pos, r.url, r.child) for r in out) == [("a", 0, "https://a/1", False), ("b", 0, "https://b/3?x=1&y", True), ("d", 0, "https://d/?a&b", False)]
+
+
+def test_deep_json_is_an_error_not_the_end():
+    from siteloom.operators import structured
+
+    assert structured.lenient('{"a":' * 100_000)[0] is None
+    found = []
+    value = {"x": 1}
+    for _ in range(50_000):
+        value = {"v": [value]}
+    structured._walk(value, found)
+    assert len(found) == 50_001
