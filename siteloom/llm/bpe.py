@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 #: Symbols that the transducer takes in, at least, before it looks for stable tokens again.
-STEP = 8
+STEP = 32
+#: Buffers below this size look for the least rank after each merge; longer ones first make all merges of a rank.
+SHORT = 48
 #: Words whose tokens a worker remembers, of so many characters at most; all are forgotten when full.
 REMEMBERED, LONGEST = 1 << 18, 64
 #: Characters that are read of a text at once, about.
@@ -120,17 +122,20 @@ class Bpe:
         none, shift, get = len(self.parts), self.shift, self.rank.get
         ranks = [get((a << shift) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (r := min(ranks)) != none:
-            i, lower = 0, False
-            while not lower and r in ranks[i:]:
-                i = ranks.index(r, i)
+            i = ranks.index(r)
+            while True:
                 ids[i : i + 2] = [self.made[r]]
                 del ranks[i]
+                lower = len(ranks) < SHORT
                 if i:
                     ranks[i - 1] = get((ids[i - 1] << shift) | ids[i], none)
-                    lower = ranks[i - 1] < r
+                    lower = lower or ranks[i - 1] < r
                 if i < len(ranks):
                     ranks[i] = get((ids[i] << shift) | ids[i + 1], none)
                     lower = lower or ranks[i] < r
+                if lower or r not in ranks[i:]:
+                    break
+                i = ranks.index(r, i)
         return ids
 
     def word(self, text: str) -> list[int]:
