@@ -16,13 +16,13 @@ from .registry import SQL, literal, pages, query
 from .url_queries import PARTS
 
 
-def page_signals(p: DataFrame, today) -> DataFrame:
+def page_signals(p: DataFrame, today, ev: DataFrame | None = None) -> DataFrame:
     """One wide row per page (its id in ``site``): what a page alone can show; what it can't stays null.
 
     The events are written, so a page is parsed once for all branches and nothing stays in executors' memory; every
     branch ends in an aggregate by page, and the branches meet in equi-joins on the page.
     """
-    ev = written(H.events(p), "events")
+    ev = written(H.events(p), "events") if ev is None else ev
     start, shown = (F.col("kind") == "start") & ~F.col("unshown"), (F.col("kind") == "text") & ~F.col("unshown")
     count = lambda cond: F.count_if(start & cond)
     a = F.col("attrs")
