@@ -77,31 +77,40 @@ def _today() -> F.Column:
 CONTACT_TEXT, PRIVACY_TEXT, TERMS_TEXT = r"(?i)\bcontact\b|\bget in touch\b|\bsupport\b", r"(?i)\bprivacy\s*(?:policy)?\b", r"(?i)\bterms\b|\bconditions\b"
 
 
-def _oracle(select: str) -> str:
-    """What the rules find, from the HTML by patterns: each condition is worked out for each page."""
-    has = lambda links, rx: f"len(list_filter({links}, lambda x: regexp_matches(x, {literal(rx)}))) > 0"
-    action = " or ".join(f"contains(lower(x), {literal(a)})" for a in C.ACTIONS)
-    raised = {
-        "jsonld_missing": ("high", "not contains(html, 'application/ld+json')"),
-        "viewport_missing": ("high", "not regexp_matches(html, '(?is)<meta[^>]*viewport') and not contains(lower(html), '@media')"),
-        "h1_missing": ("medium", "h1 = 0"),
-        "h1_multiple": ("low", "h1 > 1"),
-        "heading_skips": ("low", "h1 = 1 and skipped > 0"),
-        "thin_content": ("medium", "below"),
-        "html_too_large": ("medium", "strlen(html) > 2000000"),
-        "url_too_deep": ("low", "depth > 3"),
-        "trust_pages_missing": ("low", f"not ({has('hrefs', C.PRIVACY)}) and not ({has('hrefs', C.TERMS)}) and not ({has('texts', PRIVACY_TEXT)}) and not ({has('texts', TERMS_TEXT)}) and not utility"),
-        "landing_dead_end": ("medium", f"not contains(html, '<nav') and len(list_filter(texts, lambda x: {action})) = 0 and not ({has('hrefs', C.CONTACT)}) and not ({has('texts', CONTACT_TEXT)}) and len(list_filter(hrefs, lambda x: starts_with(x, '/'))) < 5 and not utility"),
-        "placeholder_text": ("medium", f"regexp_matches(shown, {literal(C.PLACEHOLDER)})"),
-        "title_default": ("low", f"title = '' or regexp_matches(title, {literal(C.DEFAULT_TITLE)})"),
-        "copyright_outdated": ("low", "list_max(list_filter(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(shown, '(?i)(?:copyright|©|\\bcopr\\b)\\s*[^.;<\\n]{1,120}'), ' '), '\\b(?:19|20)[0-9]{2}\\b'), lambda y: cast(y as int)), lambda y: y between 1990 and 2026)) <= 2023"),
-    }
-    rows = " union all ".join(f"select page_id, host, '{slug}' as slug, '{severity}' as severity from c where {condition}" for slug, (severity, condition) in raised.items())
-    return f"""with {PARTS}, {HEADINGS}, depth as ({SQL["content_depth"]}), below_top as ({SQL["url_folders"]}),
+def _has(links: str, rx: str) -> str:
+    return f"len(list_filter({links}, lambda x: regexp_matches(x, {literal(rx)}))) > 0"
+
+
+_ACTION = " or ".join(f"contains(lower(x), {literal(a)})" for a in C.ACTIONS)
+#: Whether a page has a link to its privacy statement or its terms, by its HTML.
+TRUST = f"({_has('hrefs', C.PRIVACY)}) or ({_has('hrefs', C.TERMS)}) or ({_has('texts', PRIVACY_TEXT)}) or ({_has('texts', TERMS_TEXT)})"
+#: For each rule that a page alone can raise, its severity and the condition over table ``c``, by patterns over the HTML.
+RAISED = {
+    "jsonld_missing": ("high", "not contains(html, 'application/ld+json')"),
+    "viewport_missing": ("high", "not regexp_matches(html, '(?is)<meta[^>]*viewport') and not contains(lower(html), '@media')"),
+    "h1_missing": ("medium", "h1 = 0"),
+    "h1_multiple": ("low", "h1 > 1"),
+    "heading_skips": ("low", "h1 = 1 and skipped > 0"),
+    "thin_content": ("medium", "below"),
+    "html_too_large": ("medium", "strlen(html) > 2000000"),
+    "url_too_deep": ("low", "depth > 3"),
+    "trust_pages_missing": ("low", f"not ({TRUST}) and not utility"),
+    "landing_dead_end": ("medium", f"not contains(html, '<nav') and len(list_filter(texts, lambda x: {_ACTION})) = 0 and not ({_has('hrefs', C.CONTACT)}) and not ({_has('texts', CONTACT_TEXT)}) and len(list_filter(hrefs, lambda x: starts_with(x, '/'))) < 5 and not utility"),
+    "placeholder_text": ("medium", f"regexp_matches(shown, {literal(C.PLACEHOLDER)})"),
+    "title_default": ("low", f"title = '' or regexp_matches(title, {literal(C.DEFAULT_TITLE)})"),
+    "copyright_outdated": ("low", "list_max(list_filter(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(shown, '(?i)(?:copyright|©|\\bcopr\\b)\\s*[^.;<\\n]{1,120}'), ' '), '\\b(?:19|20)[0-9]{2}\\b'), lambda y: cast(y as int)), lambda y: y between 1990 and 2026)) <= 2023"),
+}
+#: Table ``c``: what the conditions read of each page.
+PAGE_TABLES = f"""{PARTS}, {HEADINGS}, depth as ({SQL["content_depth"]}), below_top as ({SQL["url_folders"]}),
     b as (select p.page_id, regexp_replace(p.netloc, '^www\\.', '') as host, p.path, p.html, {_TITLE.replace("html", "p.html")} as title, {shown_sql("p.html")} as shown, regexp_extract_all(p.html, '<a [^>]*href="([^"]*)"', 1) as hrefs, regexp_extract_all(p.html, '(?s)<a [^>]*>([^<]*)</a>', 1) as texts,
         o.h1, o.skipped, d.below, d.words, f.depth from parts p join outlines o using (page_id) join depth d using (page_id) join below_top f using (page_id)),
-    c as (select *, regexp_matches(html, '(?i)<input[^>]*type="?password') or (contains(html, '<form') and words < 120 and not contains(html, '<h1')) or regexp_matches(lower(path), {literal(C.UTILITY)}) as utility from b),
-    f as ({rows}) {select}"""
+    c as (select *, regexp_matches(html, '(?i)<input[^>]*type="?password') or (contains(html, '<form') and words < 120 and not contains(html, '<h1')) or regexp_matches(lower(path), {literal(C.UTILITY)}) as utility from b)"""
+
+
+def _oracle(select: str) -> str:
+    """What the rules find, from the HTML by patterns: each condition is worked out for each page."""
+    rows = " union all ".join(f"select page_id, host, '{slug}' as slug, '{severity}' as severity from c where {condition}" for slug, (severity, condition) in RAISED.items())
+    return f"with {PAGE_TABLES}, f as ({rows}) {select}"
 
 
 @query("page_findings", _oracle("select page_id, slug, severity from f"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -21,7 +21,9 @@ from ..operators import html_events as H
 from ..operators import robots as B
 from ..operators import structured as S
 from . import rules as R
-from .page_queries import outline, page_links, page_titles
+from .audit import PAGE_TABLES, RAISED, TRUST, page_signals
+from .page_queries import WORD, outline, page_links, page_titles, shown_sql
+from .registry import pages, query
 
 #: What scripts mount on, where they keep their data, and signs of a challenge page. Fixed values.
 MOUNTS = ["root", "app", "__next", "__nuxt", "app-root", "react-root", "___gatsby", "gatsby-focus-wrapper", "ember-application", "ember-app", "angular-app", "ng-app", "vue-app", "svelte-app", "blazor-app", "blazor-content", "app-container", "main-content", "portal-root", "page-content", "spa-root", "client-root"]
@@ -205,8 +207,6 @@ def all_page_signals(p: DataFrame, now: Column) -> DataFrame:
 
     A page that did not answer with success gives its status only: what an error page says is not the site's.
     """
-    from .audit import page_signals
-
     if "status" in p.columns:
         failed = p.where("not coalesce(status between 200 and 299, false)").select("page_id", "url", F.col("status").cast("long").alias("http_status"), F.lit(False).alias("dates_checked"), F.lit(False).alias("decay_checked"))
         p = p.where("status between 200 and 299")
@@ -346,3 +346,32 @@ def site_signals(pages: DataFrame, now: Column, robots: DataFrame | None = None,
         out = out.join(t.select("site", *[F.col(c).alias(f"new_{c}") for c in both]), "site", "full_outer")
         out = out.withColumns({c: F.coalesce(f"new_{c}", c) for c in both}).drop(*[f"new_{c}" for c in both])
     return out.select("site", *[F.col(s).cast(k).alias(s) for s, k in R.SIGNALS.items()])
+
+
+_BOUNDARY = "(?i)</?(?:" + "|".join(H.BOUNDARIES) + r")\b[^>]*>"
+#: The words of each block of text outside of frames and headings: an end of a block is a character of its own.
+_BLOCKS = f"""cut as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(nav|header|footer|aside)\\b.*?</(nav|header|footer|aside)>', chr(2), 'g'), '(?is)<h[1-6]\\b.*?</h[1-6]>', chr(2), 'g'), '{_BOUNDARY}', chr(2), 'g') as html from c),
+    blocks as (select page_id, list_filter(list_transform(string_split(replace({shown_sql()}, chr(1), ''), chr(2)), lambda x: len(regexp_extract_all(x, '{WORD}'))), lambda n: n > 0) as n from cut),
+    far as (select page_id, list_sum(n) as total, list_position(list_transform(n, lambda x: x >= 12), true) as first, n from blocks),
+    buried as (select page_id, case when total >= 80 and first > 0 then coalesce(list_sum(n[:first - 1]), 0) / total > 0.3 end as buried from far)"""
+#: What has to be so of a host's pages ``h`` for a rule: one page that raises it, unless it says otherwise.
+_OF_HOST = {slug: f"bool_or({condition})" for slug, (_, condition) in RAISED.items()} | {
+    "jsonld_missing": "bool_and(not contains(html, 'application/ld+json'))",
+    "h1_multiple": "min(h1) > 0 and max(h1) > 1",
+    "heading_skips": "min(h1) > 0 and max(h1) <= 1 and sum(skipped) > 0",
+    "trust_pages_missing": f"not bool_or({TRUST}) and not bool_and(utility)",
+    "sameas_missing": "bool_and(not contains(html, 'sameAs'))",
+    "landing_no_orientation": "coalesce(bool_or(not utility and not oriented), false)",
+    "content_buried": "coalesce(bool_or(buried), false)",
+}
+_TAIL = "trim(regexp_extract(title, '^.*\\s[|–—-]\\s(.*)$', 1))"
+_SITE_SQL = f"""with {PAGE_TABLES}, {_BLOCKS},
+    h as (select c.*, buried, (({_TAIL}) <> '' and len(string_split_regex({_TAIL}, '\\s+')) between 1 and 5)::int + regexp_matches(html, '(?i)<meta[^>]*name="description"')::int + regexp_matches(html, '(?is)<h1[^>]*>\\s*[^<\\s]')::int >= 2 as oriented from c join buried using (page_id)),
+    k as (select host as site, {", ".join(f"{condition} as {slug}" for slug, condition in _OF_HOST.items())} from h group by host)
+    select site, slug from (unpivot k on columns(* exclude site) into name slug value raised) where raised"""
+
+
+@query("site_findings", _SITE_SQL)
+def site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit of every host of ``pages``: all signals that pages show, all rules."""
+    return R.findings(site_signals(pages(spark, sf_dir), F.lit("2025-01-01").cast("timestamp"))).select("site", "slug")
