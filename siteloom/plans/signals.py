@@ -106,6 +106,16 @@ def structured(p: DataFrame, n: DataFrame) -> DataFrame:
     )
 
 
+def facts(n: DataFrame, ev: DataFrame) -> DataFrame:
+    """Whether what products and organisations declare about themselves stands in the text of their page."""
+    e = S.entities(n)
+    named = e.where(S.is_a(["Product", "IndividualProduct", "SomeProducts", "SoftwareApplication", *S.COMPLETE["organization"][0]]))
+    said = named.select("page_id", F.explode(F.array(S.prop("name"), S.prop("sku"), F.get_json_object("props", "$.brand.name"))).alias("value"))
+    sold = S.offers(e, n).select("page_id", F.explode(F.array("price", "availability")).alias("value"))
+    values = said.unionByName(sold).where("trim(value) <> ''").join(H.joined(H.shown_text(ev)), "page_id")
+    return S.consistency(values).select("page_id", F.col("inconsistent").alias("facts_inconsistent"))
+
+
 def dates(n: DataFrame, ev: DataFrame, now: Column) -> DataFrame:
     """The age of what a page says, by its declared dates or those that it shows, and how recent its listings are."""
     e = S.entities(n).groupBy("page_id").agg(F.max(S.prop("datePublished")).alias("published"), F.max(S.prop("dateModified")).alias("modified"))
@@ -161,7 +171,10 @@ def measured(ev: DataFrame) -> DataFrame:
 
 
 def rendering(p: DataFrame, ev: DataFrame, n: DataFrame) -> DataFrame:
-    """What keeps a page from being read without scripts; against ``rendered_html``, if ``p`` has it and it is there."""
+    """What keeps a page from being read without scripts; against ``rendered_html``, if ``p`` has it and it is there.
+
+    ``render_reason`` says why a page was not rendered.
+    """
     raw = p.select("page_id", F.octet_length("html").alias("bytes")).join(measured(ev).withColumnRenamed("m", "raw"), "page_id", "left")
     if "rendered_html" in p.columns:
         done = p.where("rendered_html is not null").select("page_id", "url", F.col("rendered_html").alias("html"))
@@ -176,12 +189,15 @@ def rendering(p: DataFrame, ev: DataFrame, n: DataFrame) -> DataFrame:
         seen = F.col("was_rendered").isNotNull()
         raw = raw.withColumn("schema_barrier", F.when(seen, more("types") > 0)).withColumn("links_js_only", F.when(seen, more("urls"))).withColumn("links_rendered", F.when(seen, F.size(F.coalesce("urls_done", none)).cast("long")))
         raw = raw.withColumn("render_available", F.when(seen, True))
+        if "render_reason" in p.columns:
+            why = p.select("page_id", F.nullif("render_reason", F.lit("")).alias("render_reason"))
+            raw = raw.join(why, "page_id", "left").withColumn("render_available", F.when(F.col("render_reason").isNull(), F.col("render_available")).otherwise(seen))
     else:
         raw = raw.withColumn("rendered", F.lit(None).cast(raw.schema["raw"].dataType))
     m = F.col("raw")
     reasons = C.barriers(F.struct(*[m[c].alias(c) for c in ("words", "paragraphs", "headings", "items", "paragraphs_main", "headings_main", "items_main", "mounts", "islands", "custom", "frameworks", "skeleton", "waf", "js_required")], "bytes", C.hydration().alias("hydrates")))
     got = F.col("raw").isNotNull()
-    return raw.select("page_id", F.when(got, m["waf"]).alias("waf_challenge"), F.when(got, m["skeleton"]).alias("skeleton"), F.when(got, F.size(reasons) > 0).alias("rendering_barrier"), *[c for c in ("schema_barrier", "links_js_only", "links_rendered", "render_available") if c in raw.columns])
+    return raw.select("page_id", F.when(got, m["waf"]).alias("waf_challenge"), F.when(got, m["skeleton"]).alias("skeleton"), F.when(got, F.size(reasons) > 0).alias("rendering_barrier"), *[c for c in ("schema_barrier", "links_js_only", "links_rendered", "render_available", "render_reason") if c in raw.columns])
 
 
 def naming(p: DataFrame, ev: DataFrame, n: DataFrame) -> DataFrame:
@@ -203,7 +219,7 @@ def naming(p: DataFrame, ev: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def all_page_signals(p: DataFrame, now: Column) -> DataFrame:
-    """(page_id, url, siteloom_description, signals...) of pages (page_id, url, html, and if known status, headers, rendered_html).
+    """(page_id, url, siteloom_description, signals...) of pages (page_id, url, html, and if known status, headers, rendered_html, render_reason).
 
     A page that did not answer with success gives its status only: what an error page says is not the site's.
     """
@@ -213,7 +229,7 @@ def all_page_signals(p: DataFrame, now: Column) -> DataFrame:
     p = p.withColumn("page_id", F.col("page_id").cast("long"))
     ev, n = written(H.events(p), "events"), written(S.nodes(p), "nodes")
     base = page_signals(p, F.to_date(now), ev).withColumn("page_id", F.col("site").cast("long"))
-    parts = [markup(p, ev), reading(ev), structured(p, n), dates(n, ev, now), rendering(p, ev, n), naming(p, ev, n)]
+    parts = [markup(p, ev), reading(ev), structured(p, n), facts(n, ev), dates(n, ev, now), rendering(p, ev, n), naming(p, ev, n)]
     new = {c for t in parts for c in t.columns} - {"page_id", "siteloom_description"}
     j = base.drop("site", *new)
     for t in parts:
@@ -290,6 +306,8 @@ def identities(fetches: DataFrame) -> DataFrame:
     c = A.compare_identities(fetches).withColumn("site", U.without_www(U.authority(F.col("url"))))
     any_ = lambda x, name: F.bool_or(x).alias(name)
     hops = f.where("identity = 'bot'").groupBy(U.without_www(U.authority(F.col("url"))).alias("site")).agg(F.max("redirects").cast("long").alias("redirects"), F.bool_or("allowed").alias("robots_permit_cited"))
+    challenged = f.where("identity = 'bot'").groupBy("url").agg(F.bool_or(_no("cloudflare") | _no("captcha")).alias("met"))  # by whomever else
+    c = c.join(challenged, "url", "left").withColumn("bot_challenged", F.col("bot_challenged") | _no("met"))
     got = c.groupBy("site").agg(
         any_("bot_blocked", "bot_blocked"), any_("bot_soft_blocked", "bot_soft_blocked"), any_("bot_challenged", "bot_challenged"), any_("fingerprints_differ", "identities_differ"), any_("rate_limited", "rate_limited"), any_("bot_never_completed", "bot_never_completed"), F.max("bot_status").cast("long").alias("bot_status")
     )
@@ -320,10 +338,25 @@ def searches(results: DataFrame, brands: DataFrame) -> DataFrame:
     return j.withColumn("wikipedia", _no("wikipedia")).withColumn("wikidata", _no("wikidata"))
 
 
-def site_signals(pages: DataFrame, now: Column, robots: DataFrame | None = None, certificates: DataFrame | None = None, fetches: DataFrame | None = None, probes: DataFrame | None = None, results: DataFrame | None = None, brands: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+def key_pages(keys: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of the addresses (site, url) that matter, those that no page of the site links, as (site, page url, url) says."""
+    k = keys.select("site", "url", U.normalized(F.col("url")).alias("key")).distinct()
+    lost = k.join(linked.select("site", U.normalized(F.col("url")).alias("key")).distinct(), ["site", "key"], "left_anti")
+    tail = U.long_tail(F.col("url"))
+    n = lost.groupBy("site").agg(F.count_if(~tail).alias("unlinked_key_pages"), F.count_if(tail).alias("unlinked_long_tail"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return k.select("site").distinct().join(n, "site", "left").select("site", zero("unlinked_key_pages"), zero("unlinked_long_tail"))
+
+
+def documents(pdfs: DataFrame) -> DataFrame:
+    """PDFs (site, data, truncated) without text that can be selected."""
+    return pdfs.withColumn("has_text", C.pdf_text_layer("data", "truncated")["has_text"]).groupBy("site").agg(F.count_if(F.col("has_text").eqNullSafe(F.lit(False))).alias("pdf_no_text"))
+
+
+def site_signals(pages: DataFrame, now: Column, robots: DataFrame | None = None, certificates: DataFrame | None = None, fetches: DataFrame | None = None, probes: DataFrame | None = None, results: DataFrame | None = None, brands: DataFrame | None = None, cited: DataFrame | None = None, keys: DataFrame | None = None, pdfs: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """One wide row per host for ``rules.findings``, from pages and whatever was recorded of their hosts.
 
-    ``more`` (site, signal, value) are signals from elsewhere, such as verdicts; they win over those measured here. A host
+    ``cited`` are rows as ``content.citations`` takes them. ``more`` (site, signal, value) are signals from elsewhere, such as verdicts; they win over those measured here. A host
     of which nothing but recordings are known gets a row too.
     """
     out = by_site(written(all_page_signals(pages, now), "page-signals"))
@@ -339,6 +372,13 @@ def site_signals(pages: DataFrame, now: Column, robots: DataFrame | None = None,
         parts.append(sitemaps(probes))
     if results is not None and brands is not None:
         parts.append(searches(results, brands))
+    if cited is not None:
+        parts.append(C.citations(cited).groupBy("site").agg(F.bool_or("contradicts").alias("citation_contradiction")))
+    if keys is not None:
+        links = page_links(pages.withColumn("page_id", F.col("page_id").cast("long")), H.events(pages))
+        parts.append(key_pages(keys, links.join(pages.select(F.col("page_id").cast("long").alias("page_id"), U.without_www(U.authority(F.col("url"))).alias("site")), "page_id")))
+    if pdfs is not None:
+        parts.append(documents(pdfs))
     if more is not None:
         parts.append(R.wide(more))
     for t in parts:
