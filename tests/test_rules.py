@@ -9,6 +9,8 @@ from siteloom.plans import rules as R
 
 #: slug: (signals that fire it, signals that do not)
 PROBES = {
+    "robots_path_block_training_only": ("path_blocked=1 path_blocked_retrieval=0", "path_blocked=1 path_blocked_retrieval=1"),
+    "skeleton_screen": ("skeleton=true", "skeleton=true rendering_barrier=true"),
     "robots_root_block_retrieval": ("root_blocked=1 root_blocked_retrieval=1", "root_blocked=1 root_blocked_retrieval=0"),
     "robots_root_block_training_only": ("root_blocked=2 root_blocked_retrieval=0", "root_blocked=0"),
     "tls_rejected": ("tls_valid=false tls_failure=expired", "tls_valid=false tls_failure=untrusted_chain"),
