@@ -58,14 +58,14 @@ def discard(df: DataFrame) -> None:
 GLANCE = 32
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], by: str = "doc_id") -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], by: str | None = "doc_id") -> DataFrame:
     """``rows`` with what ``facts``, a row a key, knows of their keys; rows of other keys go. Any split gives the same rows.
 
     Keys that hold over 1 / partitions of the rows of every 32nd value of ``by`` - as many as partitions at most,
     whatever the size - meet their facts by broadcast and are no task's burden; all others shuffle. ``rows`` are a
-    written table.
+    written table. With ``by`` null a sample of single rows is looked at, which sees keys whose rows share one id too.
     """
-    glance = rows.where(F.pmod(F.xxhash64(by), F.lit(GLANCE)) == 0).select(F.xxhash64(*keys).alias("k"))
+    glance = (rows.sample(1 / GLANCE, seed=GLANCE) if by is None else rows.where(F.pmod(F.xxhash64(by), F.lit(GLANCE)) == 0)).select(F.xxhash64(*keys).alias("k"))
     bound = max(GLANCE, glance.count() // partitions(rows.sparkSession))
     hot = [r["k"] for r in glance.groupBy("k").count().where(F.col("count") > bound).collect()]
     if not hot:
