@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language_id, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter, vector_search
+from . import bpe, fingerprints, importance, language_id, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
+    "op11_importance_resampling": importance.query,
     "op13_url_filter": url_filter.query,
 }
 
 SQL: dict[str, str] = {
     "op4_pii": pii.oracle(),
     "op10_mixing": mixing.oracle(),
+    "op11_importance_resampling": importance.oracle(),
     "op13_url_filter": url_filter.oracle(),
 }
