@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, importance, language_id, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter, vector_search
+from . import bpe, conversations, fingerprints, importance, language_id, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
     "op11_importance_resampling": importance.query,
+    "op12_conversation_repair": conversations.query,
     "op13_url_filter": url_filter.query,
 }
 
@@ -23,5 +24,6 @@ SQL: dict[str, str] = {
     "op4_pii": pii.oracle(),
     "op10_mixing": mixing.oracle(),
     "op11_importance_resampling": importance.oracle(),
+    "op12_conversation_repair": conversations.oracle(),
     "op13_url_filter": url_filter.oracle(),
 }
