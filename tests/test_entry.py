@@ -32,4 +32,4 @@ def test_entry(spark):
     assert out.count() > 0 and out.columns[:2] == ["page_id", "title"]
     q = entry.queries()
     if any(k.startswith("op") for k in q):
-        assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q if re.match(r"op\d+_", k)) == list(range(1, 11))
+        assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q if re.match(r"op\d+_", k)) == list(range(1, 14))
