@@ -30,8 +30,8 @@ from .shared import materialize, partitions, sql, table
 RUN, BUCKETS, SEED, LEAST, SHARE = 1, 10000, 2024, 20, 10
 #: Strings with a share over 1 / COMMON of all occurrences are common.
 COMMON = 1 << 16
-#: Features that a task gathers before it sends them on, and copies of a row that are made at once.
-FLUSH, COPIES = 1 << 16, 4096
+#: Features that a task gathers before it sends them on.
+FLUSH = 1 << 16
 #: Bytes that are part of words stay, with A-Z lower-cased; all others end a word. Bytes from 0x80 are parts of letters.
 _TO = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -41,38 +41,38 @@ def words(text: str | None) -> list[bytes]:
 
 
 def feature_counts(texts: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, t, feature, n) of each distinct feature of a row; one row more with a null feature, whose n is the number of words.
+    """(d, feature, n, doc_id) of each distinct feature of a row; one row more with a null feature, whose n is the number of words.
 
-    ``texts`` has doc_id and text; t tells texts of one doc_id apart.
+    ``texts`` has doc_id and text; d numbers its rows, and doc_id stands in the row without a feature only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
 
         def flushed() -> pa.RecordBatch:
-            doc, t, feature, n = held
-            out = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(t, pa.int64()), pa.array(feature, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["doc_id", "t", "feature", "n"])
+            d, feature, n, doc = held
+            out = pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(feature, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(doc, pa.int64())], ["d", "feature", "n", "doc_id"])
             for x in held:
                 x.clear()
             return out
 
         for batch in batches:
-            for doc, t, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc, t, own = doc.as_py(), t.as_py(), words(text.as_py())
+            for d, doc, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                d, doc, own = d.as_py(), doc.as_py(), words(text.as_py())
                 seen = Counter(own)
                 for k in range(2, run + 1):
                     seen.update(b" ".join(own[i : i + k]) for i in range(len(own) - k + 1))
-                held[0] += [doc] * (len(seen) + 1)
-                held[1] += [t] * (len(seen) + 1)
-                held[2] += [None, *seen]
-                held[3] += [len(own), *seen.values()]
+                held[0] += [d] * (len(seen) + 1)
+                held[1] += [None, *seen]
+                held[2] += [len(own), *seen.values()]
+                held[3] += [doc] + [None] * len(seen)
                 if len(held[0]) >= FLUSH:
                     yield flushed()
         if held[0]:
             yield flushed()
 
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(count, "doc_id long, t long, feature string, n long")
+    rows = texts.select(F.monotonically_increasing_id().alias("d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(count, "d long, feature string, n long, doc_id long")
 
 
 def dictionary(counts: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -103,7 +103,7 @@ def dictionary(counts: DataFrame, target: DataFrame, buckets: int = BUCKETS) ->
 
 
 def weighted(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, t, copies, n_words, n_features, weight): a row for each doc_id and text, with the number of its rows."""
+    """(d, doc_id, n_words, n_features, weight): a row for each row of ``docs``, numbered by d."""
     spark = docs.sparkSession
     counts = materialize(feature_counts(docs, run), "feature-counts")
     known = materialize(dictionary(counts, feature_counts(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), run), buckets), "dictionary")
@@ -112,12 +112,12 @@ def weighted(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int =
     met = sql(
         spark,
         """
-        select /*+ broadcast(k) */ c.doc_id, c.t, c.n, c.n * k.gain as gained, 0L as copies, 0L as words from {counts} c join {common} k on c.feature = k.feature
+        select /*+ broadcast(k) */ c.d, c.n, c.n * k.gain as gained, null as doc_id, 0L as words from {counts} c join {common} k on c.feature = k.feature
         union all
-        select r.doc_id, r.t, r.n, r.n * k.gain as gained, 0L as copies, 0L as words
-        from (select /*+ broadcast(k) */ c.* from {counts} c left anti join {common} k on c.feature = k.feature where c.feature is not null) r join {rare} k on r.feature = k.feature
+        select r.d, r.n, r.n * k.gain as gained, null as doc_id, 0L as words
+        from (select /*+ broadcast(k) */ c.d, c.feature, c.n from {counts} c left anti join {common} k on c.feature = k.feature where c.feature is not null) r join {rare} k on r.feature = k.feature
         union all
-        select doc_id, t, 0L as n, 0L as gained, 1L as copies, n as words from {counts} where feature is null""",
+        select d, 0L as n, 0L as gained, doc_id, n as words from {counts} where feature is null""",
         counts=counts,
         common=common,
         rare=rare,
@@ -125,8 +125,8 @@ def weighted(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int =
     return sql(
         spark,
         """
-        with d as (select doc_id, t, sum(n) as n, sum(gained) as gained, sum(copies) as copies, sum(words) as words from {met} group by doc_id, t)
-        select doc_id, t, copies, words div copies as n_words, n div copies as n_features, case when n = 0 then 0L else (gained - pmod(gained, n)) div n end as weight from d""",
+        with x as (select d, sum(n) as n, sum(gained) as gained, max(doc_id) as doc_id, sum(words) as words from {met} group by d)
+        select d, doc_id, words as n_words, n as n_features, case when n = 0 then 0L else (gained - pmod(gained, n)) div n end as weight from x""",
         met=met,
     )
 
@@ -142,19 +142,10 @@ def resampled(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int =
         spark,
         f"""
         with h as (select *, cast(conv(substring(sha2(concat('{seed}:', coalesce(cast(doc_id as string), '')), 256), 1, 8), 16, 10) as bigint) as h from {{weighted}})
-        select doc_id, t, copies, n_words, n_features, weight, weight + cast(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) as bigint) as score from h""",
+        select d, doc_id, n_words, n_features, weight, weight + cast(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) as bigint) as score from h""",
         weighted=weighted(docs, target, run, buckets),
     )
-    # Copies are rows of their own again, in blocks of a bounded number.
-    rows = sql(
-        spark,
-        f"""
-        with b as (select *, explode(sequence(0L, (copies - 1) div {COPIES})) as b from {{scored}}),
-        c as (select *, explode(sequence(1L, least({COPIES}L, copies - b * {COPIES}))) as c from b)
-        select doc_id, t, n_words, n_features, weight, score, b * {COPIES} + c as copy from c""",
-        scored=scored,
-    )
-    rows = materialize(rows, "scored")
+    rows = materialize(scored, "scored")
     # Scores are whole numbers in a narrow range: the least one drawn follows from the number of documents at each.
     least_drawn = sql(
         spark,
@@ -166,7 +157,7 @@ def resampled(docs: DataFrame, target: DataFrame, run: int = RUN, buckets: int =
     ).first()
     drawn, floor = least_drawn["drawn"] or 0, least_drawn["least"]
     in_reach = (F.col("n_words") >= least) & (F.col("score") >= F.lit(floor)) if drawn else F.lit(False)
-    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("t"), F.col("copy")]
+    order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("d")]
     ranked = rows.where(in_reach).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     ranked = materialize(ranked, "drawn")
     out = sql(

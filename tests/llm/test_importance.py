@@ -59,8 +59,7 @@ def test_rare_strings_are_shuffled_to_the_same_gains(spark, monkeypatch):
     check(spark, rows(), share=100)
 
 
-def test_copies_each_have_a_rank(spark, monkeypatch):
-    monkeypatch.setattr(importance, "COPIES", 4)
+def test_copies_each_have_a_rank(spark):
     check(spark, [(7, "the of and time people water long little very after " * 3, "en", "a")] * 41, share=50)
 
 
