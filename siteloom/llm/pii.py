@@ -1,29 +1,28 @@
 """Personal data and the terms that give it away, in SQL functions only.
 
-Base spans come from four patterns. Around them, corpus co-occurrence estimates how much of a protected entity (one
-address, number or card) a nearby term reveals: PMI(term; entity) over the entity's own information -log2 p(entity),
-both in documents. A term that reveals at least ``THRESHOLD`` of it, seen with it in at least ``SUPPORT`` documents, is
-a span too. Redaction puts a kind's name in place of base spans; revealing terms are generalised to their shape
-(a number, a name) or removed.
-
-``find_spans`` knows the terms within ``CONTEXT`` characters of a base span only, as its SQL does. ``redact`` counts
-term and entity together over whole documents and replaces every occurrence of a revealing term in all texts.
-
-Result for odd input: null and empty texts have no spans; rows that repeat have the same spans each and count as one
-document of the statistics; a null doc_id is a document named null; an empty table gives an empty result; extra
-columns are ignored by ``find_spans`` and kept by ``redact``.
+Base spans come from four patterns. Outside of them, corpus co-occurrence estimates how much of a protected entity
+(one address, number or card) a term reveals: PMI(term; entity) over the entity's own information -log2 p(entity), both
+counted over whole documents. A term that reveals at least ``THRESHOLD`` of it, seen with it in at least ``SUPPORT``
+unlike texts, is a span wherever it stands, in documents without the entity too. Copies of one text are no evidence:
+all their rare words come together. Redaction puts a kind's name in place of
+base spans; revealing terms are generalised to their shape (a number, a name) or removed.
+
+Result for odd input: null and empty texts have no spans; rows that repeat have the same spans each (where a term
+stands, and how many documents there are, is counted by row; what holds an entity, by text); a null doc_id is a
+document named null; an empty table gives an empty result; extra columns are ignored by ``find_spans`` and kept by
+``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, sql, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on either side of a base span in which terms are looked for; a word cut by the edge is no term.
-CONTEXT = 48
 SUPPORT, THRESHOLD = 2, 0.8
 #: Equal in what they match to the plain patterns, but never tried twice over one run of characters: a match can only
 #: begin where a run does or where the last one ended, and no part is given back.
@@ -52,7 +51,7 @@ _VALID = r"""case kind
 
 
 def _base(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, kind, start, end, hit, digits, lc, rc) of every valid base span; th tells texts of one doc_id apart.
+    """(doc_id, th, kind, start, end, hit, digits) of every valid base span; th tells texts of one doc_id apart.
 
     The lengths of what lies between matches, summed, are the places of the matches; sums run over rows of one text.
     """
@@ -64,79 +63,19 @@ def _base(spark: SparkSession, docs: DataFrame) -> DataFrame:
         spark,
         f"""
         with k as (select doc_id, xxhash64(text) as th, explode(array({", ".join(parts)})) as k from {{docs}} where text is not null),
-        z as (select doc_id, th, k.kind as kind, posexplode(transform(k.hits, (h, i) -> struct(h as hit, length(k.gaps[i]) as gap, right(k.gaps[i], {CONTEXT}) as lc, left(k.gaps[i + 1], {CONTEXT}) as rc))) as (k, m) from k where size(k.hits) > 0)
-        select distinct doc_id, th, kind, k, m.hit as hit, m.gap as gap, m.lc as lc, m.rc as rc from z""",
+        z as (select doc_id, th, k.kind as kind, posexplode(transform(k.hits, (h, i) -> struct(h as hit, length(k.gaps[i]) as gap))) as (k, m) from k where size(k.hits) > 0)
+        select distinct doc_id, th, kind, k, m.hit as hit, m.gap as gap from z""",
         docs=docs,
     )
     return sql(
         spark,
         f"""
         with s as (select *, sum(gap + length(hit)) over (partition by doc_id, th, kind order by k) as end, regexp_replace(hit, '[^0-9]', '') as digits from {{found}})
-        select doc_id, th, kind, end - length(hit) as start, end, hit, digits, lc, rc from s where {_VALID}""",
+        select doc_id, th, kind, end - length(hit) as start, end, hit, digits from s where {_VALID}""",
         found=found,
     )
 
 
-def _terms(side: str, anchor: str) -> str:
-    """Terms on one side of a span with their places: words of three or more characters that the context's edge doesn't cut."""
-    if side == "lc":
-        text = f"case when length(lc) = {CONTEXT} then regexp_replace(lc, '^[\\\\p{{L}}\\\\p{{N}}]+', '') else lc end"
-        at = f"{anchor} - length(t)"
-    else:
-        text = f"case when length(rc) = {CONTEXT} then regexp_replace(rc, '[\\\\p{{L}}\\\\p{{N}}]+$', '') else rc end"
-        at = anchor
-    return f"""select doc_id, th, entity, {at} as base, regexp_extract_all(t, '[\\\\p{{L}}\\\\p{{N}}]+', 0) as words, transform(split(t, '[\\\\p{{L}}\\\\p{{N}}]+', -1), g -> length(g)) as gaps from (select *, {text} as t from e)"""
-
-
-def find_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, th, kind, start, end): base spans, and 'term' spans of revealing terms; code points, end exclusive."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    base = materialize(_base(spark, docs), "base-spans")
-    near = sql(
-        spark,
-        f"""
-        with e as (select doc_id, th, concat(kind, ':', case when kind = 'email' or kind = 'ip' then lower(hit) else digits end) as entity, start, end, lc, rc from {{base}}),
-        w as ({_terms("lc", "start")} union all {_terms("rc", "end")}),
-        p as (select doc_id, th, entity, base, words, gaps, posexplode(words) as (i, word) from w where size(words) > 0),
-        q as (select doc_id, th, entity, lower(word) as term, length(word) as n,
-                     base + aggregate(slice(gaps, 1, i + 1), 0, (a, x) -> a + x) + aggregate(slice(words, 1, i), 0, (a, x) -> a + length(x)) as start from p)
-        select distinct doc_id, th, entity, term, start, start + n as end from q where n >= 3""",
-        base=base,
-    )
-    near = materialize(near, "near-terms")
-    both = sql(spark, f"select term, entity, count(distinct struct(doc_id, th)) as n_both from {{near}} group by term, entity having count(distinct struct(doc_id, th)) >= {support}", near=near)
-    both = materialize(both, "term-entities")
-    # Document counts of all terms, by a 64-bit hash and aggregated before the shuffle: one plan at every size.
-    frequency = sql(
-        spark,
-        """
-        with w as (select explode(transform(array_distinct(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]{3,}', 0)), t -> xxhash64(t))) as h from {docs} where text is not null)
-        select h, count(*) as n_term from w group by h""",
-        docs=docs,
-    )
-    chosen = sql(
-        spark,
-        f"""
-        with n as (select count(*) as n from {{docs}}),
-        e as (select concat(kind, ':', case when kind = 'email' or kind = 'ip' then lower(hit) else digits end) as entity, count(distinct struct(doc_id, th)) as n_entity from {{base}} group by 1)
-        select b.term, b.entity from {{both}} b join {{frequency}} f on xxhash64(b.term) = f.h join e on b.entity = e.entity cross join n
-        where n.n > e.n_entity and log2(cast(n.n as double) * b.n_both / (cast(f.n_term as double) * e.n_entity)) >= {threshold}D * log2(cast(n.n as double) / e.n_entity)""",
-        docs=docs,
-        base=base,
-        both=both,
-        frequency=frequency,
-    )
-    return sql(
-        spark,
-        """select doc_id, th, kind, start, end from {base} union all
-           select distinct r.doc_id, r.th, 'term' as kind, r.start, r.end from {near} r left semi join {chosen} c on r.term = c.term and r.entity = c.entity""",
-        base=base,
-        near=near,
-        chosen=chosen,
-    )
-
-
 def spans_of_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) of every document."""
     spark = docs.sparkSession
@@ -184,25 +123,26 @@ def _hashes(text: str) -> str:
 def _revealing(docs: DataFrame, base: DataFrame, covered: DataFrame, threshold: float, support: int) -> DataFrame:
     """(doc_id, th, hs): the revealing terms in each text that has any, by hash.
 
-    A term is counted where it stands outside of base spans, once a document. Only texts with base spans are read with
-    these taken out; the counts of all texts are put right by what differs there.
+    A term is counted where it stands outside of base spans, once a document; term and entity together, and the entity,
+    once for equal texts. Only texts with base spans are read with these taken out; the counts of all texts are put
+    right by what differs there.
     """
     spark = docs.sparkSession
     entity = "concat(kind, ':', case when kind = 'email' or kind = 'ip' then lower(hit) else digits end)"
-    entities = sql(spark, f"select distinct doc_id, th, xxhash64({entity}) as e from {{base}}", base=base)
+    entities = sql(spark, f"select distinct th, xxhash64({entity}) as e from {{base}}", base=base)
     counts = materialize(sql(spark, f"select e, count(*) as n from {{entities}} group by e having count(*) >= {support}", entities=entities), "entities")
     protected = sql(
         spark,
         f"""
-        with e as (select doc_id, th, collect_list(struct(x.e, c.n)) as entities from {{entities}} x join {{counts}} c on x.e = c.e group by doc_id, th),
-        s as (select c.doc_id, c.th, c.spans, e.entities from {{covered}} c left join e on c.doc_id <=> e.doc_id and c.th = e.th),
-        d as (select s.*, d.text from {{docs}} d join s on d.doc_id <=> s.doc_id and xxhash64(d.text) = s.th)
-        select doc_id, th, entities, {_hashes("text")} as was, {_hashes(f"array_join({_GAPS}, ' ')")} as terms from d""",
+        with e as (select th, collect_list(struct(x.e, c.n)) as entities from {{entities}} x join {{counts}} c on x.e = c.e group by th),
+        d as (select c.th, c.spans, d.text from {{docs}} d join {{covered}} c on d.doc_id <=> c.doc_id and xxhash64(d.text) = c.th),
+        t as (select th, first(spans) as spans, first(text) as text, count(*) as rows from d group by th)
+        select t.th, t.rows, e.entities, {_hashes("text")} as was, {_hashes(f"array_join({_GAPS}, ' ')")} as terms from t left join e on t.th = e.th""",
         entities=entities,
         counts=counts,
         covered=covered,
         docs=docs,
-    ).dropDuplicates(["doc_id", "th"])
+    )
     protected = materialize(protected, "protected")
     chosen = sql(
         spark,
@@ -210,8 +150,8 @@ def _revealing(docs: DataFrame, base: DataFrame, covered: DataFrame, threshold:
         with x as (select explode(entities) as e, terms from {{protected}}),
         y as (select e.e as e, e.n as n_entity, explode(terms) as h from x),
         b as (select h, e, n_entity, count(*) as n_both from y group by h, e, n_entity having count(*) >= {support}),
-        w as (select explode({_hashes("text")}) as h, 1 as c from {{docs}} where text is not null
-              union all select explode(was) as h, -1 as c from {{protected}} union all select explode(terms) as h, 1 as c from {{protected}}),
+        w as (select explode({_hashes("text")}) as h, 1L as c from {{docs}} where text is not null
+              union all select explode(was) as h, -rows as c from {{protected}} union all select explode(terms) as h, rows as c from {{protected}}),
         f as (select h, sum(c) as n_term from w group by h),
         n as (select count(*) as n from {{docs}})
         select distinct b.h from b join f on b.h = f.h cross join n
@@ -223,14 +163,45 @@ def _revealing(docs: DataFrame, base: DataFrame, covered: DataFrame, threshold:
         spark,
         f"""
         with w as (select doc_id, xxhash64(text) as th, explode({_hashes("text")}) as h from {{docs}} where text is not null
-                   union all select doc_id, th, explode(terms) as h from {{protected}})
+                   union all select c.doc_id, c.th, explode(p.terms) as h from {{covered}} c join {{protected}} p on c.th = p.th)
         select doc_id, th, collect_set(w.h) as hs from w left semi join {{chosen}} c on w.h = c.h group by doc_id, th""",
         docs=docs,
+        covered=covered,
         protected=protected,
         chosen=materialize(chosen, "revealing-terms"),
     )
 
 
+def find_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, th, kind, start, end): base spans, and 'term' spans of revealing terms; code points, end exclusive."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    base = materialize(_base(spark, docs), "base-spans")
+    covered = materialize(_merged(base), "covered")
+    terms = materialize(_revealing(docs, base, covered, threshold, support), "terms-of-texts")
+    run = "'[\\\\p{L}\\\\p{N}]+'"
+    marked = sql(
+        spark,
+        """
+        select d.doc_id, t.th, d.text, t.hs, coalesce(c.spans, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>)) as spans
+        from {docs} d join {terms} t on d.doc_id <=> t.doc_id and xxhash64(d.text) = t.th left join {covered} c on t.doc_id <=> c.doc_id and t.th = c.th""",
+        docs=docs,
+        terms=terms,
+        covered=covered,
+    ).dropDuplicates(["doc_id", "th"])
+    # What lies between base spans, then the words in it; the lengths of what comes before a word, summed, are its place.
+    found = sql(
+        spark,
+        f"""
+        with g as (select doc_id, th, hs, spans, posexplode({_GAPS}) as (i, g) from {{marked}}),
+        w as (select doc_id, th, i, case when i = 0 then 0 else spans[i - 1].end end as at, posexplode(zip_with(regexp_extract_all(g, {run}, 0), split(g, {run}, -1), (w, b) -> struct(length(w) as n, length(b) as gap, w is not null and length(w) >= 3 and array_contains(hs, xxhash64(lower(w))) as on))) as (k, w) from g),
+        p as (select doc_id, th, w.n as n, w.on as on, at + sum(w.gap + w.n) over (partition by doc_id, th, i order by k) as end from w where w.n is not null)
+        select doc_id, th, 'term' as kind, end - n as start, end from p where on""",
+        marked=marked,
+    )
+    return base.select("doc_id", "th", "kind", "start", "end").unionByName(found)
+
+
 def redact(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """The documents with base spans replaced by their kind's name, revealing numbers and names by their shape, and other revealing terms removed.
 
@@ -241,61 +212,64 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT
     texts = docs.select("doc_id", "text")
     base = materialize(_base(spark, texts), "base-spans")
     covered = materialize(_merged(base), "covered")
+    # Names of its own for what it adds, so that no column of the documents can clash.
+    id_, th, spans, hs, own_hash = (f"siteloom_{x}_{uuid.uuid4().hex}" for x in ("id", "th", "spans", "hs", "own"))
     marks = sql(
         spark,
-        """
-        with m as (select doc_id, th, spans, cast(null as array<bigint>) as hs from {covered} union all select doc_id, th, null as spans, hs from {terms})
-        select doc_id as siteloom_id, th as siteloom_th, coalesce(first(spans, true), array()) as siteloom_spans, first(hs, true) as siteloom_hs from m group by doc_id, th""",
+        f"""
+        with m as (select doc_id, th, spans, cast(null as array<bigint>) as hs from {{covered}} union all select doc_id, th, null as spans, hs from {{terms}})
+        select doc_id as {id_}, th as {th}, coalesce(first(spans, true), array()) as {spans}, first(hs, true) as {hs} from m group by doc_id, th""",
         covered=covered,
         terms=_revealing(texts, base, covered, threshold, support),
     )
-    own = docs.withColumn("siteloom_own", F.xxhash64("text"))
-    met = own.join(marks, own["doc_id"].eqNullSafe(marks["siteloom_id"]) & (own["siteloom_own"] == marks["siteloom_th"]), "left")
+    own = docs.withColumn(own_hash, F.xxhash64("text"))
+    met = own.join(marks, own["doc_id"].eqNullSafe(marks[id_]) & (own[own_hash] == marks[th]), "left")
     shape = "case when w rlike '^[0-9]' then '[NUMBER]' when w rlike '^\\\\p{Lu}' then '[NAME]' else '' end"
     run = "'[\\\\p{L}\\\\p{N}]+'"
-    word = f"case when w is null then '' when length(w) >= 3 and array_contains(siteloom_hs, xxhash64(lower(w))) then {shape} else w end"
-    gap = f"case when siteloom_hs is null then g else array_join(zip_with(split(g, {run}, -1), regexp_extract_all(g, {run}, 0), (b, w) -> concat(b, {word})), '') end"
-    cut = f"case when siteloom_spans is null then text else array_join(zip_with({_GAPS.replace('spans', 'siteloom_spans')}, siteloom_spans, (g, s) -> concat({gap}, case when s is null then '' else concat('[', upper(s.kind), ']') end)), '') end"
-    out = met.withColumn("siteloom_text", F.expr(cut))
-    return out.select(*[F.col("siteloom_text").alias("text") if c == "text" else F.length("siteloom_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own[c] for c in docs.columns])
+    word = f"case when w is null then '' when length(w) >= 3 and array_contains({hs}, xxhash64(lower(w))) then {shape} else w end"
+    gap = f"case when {hs} is null then g else array_join(zip_with(split(g, {run}, -1), regexp_extract_all(g, {run}, 0), (b, w) -> concat(b, {word})), '') end"
+    cut = F.expr(f"case when {spans} is null then text else array_join(zip_with({_GAPS.replace('spans', spans)}, {spans}, (g, s) -> concat({gap}, case when s is null then '' else concat('[', upper(s.kind), ']') end)), '') end")
+    return met.select(*[cut.alias("text") if c == "text" else F.length(cut).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own[c] for c in docs.columns])
 
 
 def oracle() -> str:
     """The same for DuckDB."""
     kinds = " union all ".join(f"select doc_id, md5(text) as th, {i} as o, '{k}' as kind, regexp_extract_all(text, '{PLAIN[k]}') as hits, regexp_split_to_array(text, '{PLAIN[k]}') as gaps from documents where text is not null" for i, k in enumerate(KINDS))
     word = r"[\p{L}\p{N}]+"
-
-    def side(c: str) -> str:
-        text = f"case when length(lc) = {CONTEXT} then regexp_replace(lc, '^{word}', '') else lc end" if c == "lc" else f"case when length(rc) = {CONTEXT} then regexp_replace(rc, '{word}$', '') else rc end"
-        at = "start - length(t)" if c == "lc" else '"end"'
-        return f"select doc_id, th, entity, {at} as base, regexp_extract_all(t, '{word}') as words, list_transform(regexp_split_to_array(t, '{word}'), lambda g: length(g)) as gaps from (select *, {text} as t from e)"
-
+    order = 'partition by doc_id, th order by start, "end" desc, kind'
     return f"""
     with k as ({kinds}),
-    z as (select distinct doc_id, th, o, kind, i, hits[i] as hit, length(gaps[i]) as gap, right(gaps[i], {CONTEXT}) as lc, left(gaps[i + 1], {CONTEXT}) as rc from (select *, unnest(generate_series(1, len(hits))) as i from k where len(hits) > 0)),
+    z as (select distinct doc_id, th, o, kind, i, hits[i] as hit, length(gaps[i]) as gap from (select *, unnest(generate_series(1, len(hits))) as i from k where len(hits) > 0)),
     s as (select *, sum(gap + length(hit)) over (partition by doc_id, th, kind order by i) as "end", regexp_replace(hit, '[^0-9]', '', 'g') as digits from z),
     base as (select *, cast("end" - length(hit) as bigint) as start from s where case kind when 'email' then true
         when 'ip' then list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) <= 3 and cast('0' || right(ltrim(x, '0'), 3) as int) <= 255))
         when 'phone' then length(digits) between 9 and 15
         else length(digits) between 13 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda j: case when j % 2 = 0 then (cast(digits[length(digits) + 1 - j] as int) * 2) // 10 + (cast(digits[length(digits) + 1 - j] as int) * 2) % 10 else cast(digits[length(digits) + 1 - j] as int) end)) % 10 = 0 end),
-    e as (select *, concat(kind, ':', case when kind in ('email', 'ip') then lower(hit) else digits end) as entity from base),
-    w as ({side("lc")} union all {side("rc")}),
-    p as (select *, unnest(generate_series(1, len(words))) as i from w where len(words) > 0),
-    near as (select distinct doc_id, th, entity, lower(words[i]) as term, cast(base + list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(words[1:i - 1], lambda x: length(x))), 0) as bigint) as start, length(words[i]) as n from p where length(words[i]) >= 3),
-    pairs as (select term, entity, count(distinct (doc_id, th)) as n_both from near group by term, entity having count(distinct (doc_id, th)) >= {SUPPORT}),
-    tokens as (select unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{3,}}'))) as term from documents where text is not null),
-    frequency as (select term, count(*) as n_term from tokens where term in (select term from pairs) group by term),
-    entities as (select entity, count(distinct (doc_id, th)) as n_entity from e group by entity),
+    e as (select distinct th, concat(kind, ':', case when kind in ('email', 'ip') then lower(hit) else digits end) as entity from base),
+    b as (select *, coalesce(max("end") over ({order} rows between unbounded preceding and 1 preceding), -1) as before from base),
+    g as (select *, sum(case when start >= before then 1 else 0 end) over ({order}) as grp from b),
+    merged as (select doc_id, th, min(start) as start, max("end") as "end" from g group by doc_id, th, grp),
+    texts as (select doc_id, md5(text) as th, any_value(text) as text, count(*) as rows from documents where text is not null group by doc_id, md5(text)),
+    gaps as (select doc_id, th, lag("end", 1, 0) over (partition by doc_id, th order by start) as at, start as till from merged
+             union all select t.doc_id, t.th, coalesce(max(m."end"), 0), length(any_value(t.text)) from texts t left join merged m on m.doc_id is not distinct from t.doc_id and m.th = t.th group by t.doc_id, t.th),
+    parts as (select g.doc_id, g.th, g.at as "from", substr(t.text, cast(g.at + 1 as bigint), cast(g.till - g.at as bigint)) as part from gaps g join texts t on g.doc_id is not distinct from t.doc_id and g.th = t.th),
+    split as (select *, regexp_extract_all(part, '{word}') as words, regexp_split_to_array(part, '{word}') as between from parts),
+    each as (select doc_id, th, "from", i, words[i] as word, length(between[i]) as gap from (select *, unnest(generate_series(1, len(words))) as i from split where len(words) > 0)),
+    placed as (select doc_id, th, lower(word) as term, length(word) as n, cast("from" + sum(gap + length(word)) over (partition by doc_id, th, "from" order by i) as bigint) as "end" from each),
+    tokens as (select distinct doc_id, th, term from placed where n >= 3),
+    frequency as (select term, sum(rows) as n_term from tokens k join texts t on k.doc_id is not distinct from t.doc_id and k.th = t.th group by term),
+    entities as (select entity, count(*) as n_entity from e group by entity),
+    pairs as (select term, entity, count(*) as n_both from (select distinct th, term from tokens) join e using (th) group by term, entity having count(*) >= {SUPPORT}),
     n as (select count(*) as n from documents),
-    chosen as (select b.term, b.entity from pairs b join frequency using (term) join entities using (entity) cross join n
+    chosen as (select distinct b.term from pairs b join frequency using (term) join entities using (entity) cross join n
                where n > n_entity and log2(cast(n as double) * n_both / (cast(n_term as double) * n_entity)) >= {THRESHOLD}::double * log2(cast(n as double) / n_entity)),
     spans as (select doc_id, th, o, kind, start, cast("end" as bigint) as "end" from base union all
-              select distinct doc_id, th, 4, 'term', start, start + n from near semi join chosen using (term, entity)),
-    g as (select doc_id, th, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, count(*) filter (o = 4) as n_term,
+              select doc_id, th, 4, 'term', "end" - n, "end" from placed where n >= 3 and term in (select term from chosen)),
+    by_doc as (select doc_id, th, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, count(*) filter (o = 4) as n_term,
                  string_agg(concat(kind, ':', start, ':', "end"), ',' order by o, start) filter (o < 4) as b, string_agg(concat(kind, ':', start, ':', "end"), ',' order by o, start) as s from spans group by doc_id, th)
     select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, coalesce(n_term, 0) as n_term,
            sha256(coalesce(b, '')) as base_sha256, coalesce(s, '') as spans
-    from documents d left join g on d.doc_id is not distinct from g.doc_id and md5(d.text) = g.th"""
+    from documents d left join by_doc g on d.doc_id is not distinct from g.doc_id and md5(d.text) = g.th"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

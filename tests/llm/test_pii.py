@@ -58,38 +58,16 @@ def test_terms_that_reveal_an_entity_are_spans_and_common_ones_are_not(spark):
     text = dict((i, t) for i, t, *_ in corpus())
     terms = {text[100][int(a) : int(b)] for k, a, b in (s.split(":") for s in out[100].spans.split(",")) if k == "term"}
     assert "Zebulon" in terms and "please" not in terms and "today" not in terms
-    assert out[200].spans == "" and out[0].spans == ""
+    assert out[200].spans == "term:7:11" and out[0].spans == ""  # note stands in four documents, three of them with the address
 
 
 def brute_terms(data):
-    """Term spans of a corpus whose only personal data are e-mail addresses."""
-    import math
-
-    texts = {i: t or "" for i, t, *_ in data}
-    near = collections.defaultdict(set)  # (term, entity): places
-    for i, t in texts.items():
-        hits = [m for m in re.finditer(PATTERNS["email"], t)]
-        for k, m in enumerate(hits):
-            left = t[hits[k - 1].end() if k else 0 : m.start()][-pii.CONTEXT :]
-            right = t[m.end() : hits[k + 1].start() if k + 1 < len(hits) else len(t)][: pii.CONTEXT]
-            at = m.start() - len(left)
-            for w in re.finditer(r"[^\W_]+", left):
-                if len(w[0]) >= 3 and not (len(left) == pii.CONTEXT and w.start() == 0):
-                    near[w[0].lower(), m[0].lower()].add((i, at + w.start(), at + w.end()))
-            for w in re.finditer(r"[^\W_]+", right):
-                if len(w[0]) >= 3 and not (len(right) == pii.CONTEXT and w.end() == len(right)):
-                    near[w[0].lower(), m[0].lower()].add((i, m.end() + w.start(), m.end() + w.end()))
-    n = len(texts)
-    with_term, with_entity = collections.Counter(), collections.Counter()
-    for t in texts.values():
-        with_term.update({w.lower() for w in re.findall(r"[^\W_]+", t) if len(w) >= 3})
-        with_entity.update({m[0].lower() for m in re.finditer(PATTERNS["email"], t)})
+    """Term spans of a corpus whose only personal data are e-mail addresses: what brute_redact replaces, by place."""
+    chosen = brute_redact([(i, t or "", None, None) for i, t, *_ in data])[1]
     out = collections.defaultdict(set)
-    for (term, entity), places in near.items():
-        both = len({i for i, _, _ in places})
-        if both >= pii.SUPPORT and math.log2(n * both / (with_term[term] * with_entity[entity])) >= pii.THRESHOLD * math.log2(n / with_entity[entity]):
-            for i, a, b in places:
-                out[i].add((a, b))
+    for i, t, *_ in data:
+        bare = re.sub(PATTERNS["email"], lambda m: " " * len(m[0]), t or "")
+        out[i] |= {(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", bare) if m[0].lower() in chosen}
     return out
 
 
@@ -106,7 +84,7 @@ def test_terms_equal_brute_force(spark):
             w[at:at] = [name, "at", mail] if r.random() < 0.8 else [mail]
         data.append((i, " ".join(w), None, None))
     want = brute_terms(data)
-    assert want
+    assert any(want.values())
     for row in pii.spans_of_documents(documents(spark, data)).collect():
         got = {(int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",") if s) if k == "term"}
         assert got == want.get(row.doc_id, set()), row.doc_id
@@ -133,26 +111,29 @@ def test_redaction(spark):
 def test_redaction_finds_terms_far_from_the_address_and_without_it(spark):
     far = "and then we had a long talk about the old house in the town by the river "
     data = [(i, f"{far}{far}number {i}", None, None) for i in range(60)]
-    data += [(100 + i, f"Zebulon said {far}{far}write to zeb@corp.example", None, None) for i in range(3)]
+    data += [(100 + i, f"Zebulon said {far}{far}write {i} to zeb@corp.example", None, None) for i in range(3)]
     data += [(200, f"{far}ZEBULON, says corp.", None, None)]
     got = {r.doc_id: r.text for r in pii.redact(documents(spark, data)).collect()}
-    assert got[101] == f"[NAME]  {far}{far} to [EMAIL]"  # said and write stand in these documents only
+    assert got[101] == f"[NAME]  {far}{far} 1 to [EMAIL]"  # said and write stand in these documents only
     assert got[200] == f"{far}[NAME], says corp."  # corp is part of the address alone, not a term beside it
     assert got[7] == f"{far}{far}number 7"
 
 
 def brute_redact(data):
-    """Redaction of a corpus whose only personal data are e-mail addresses."""
+    """Redaction of a corpus whose only personal data are e-mail addresses; equal texts are one where an address is counted."""
     import math
 
+    own = {t: i for i, t, *_ in data}.values()
+
     parts = {i: re.split(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", t) for i, t, *_ in data}
     terms = {i: {w.lower() for g in p[::2] for w in re.findall(r"[^\W_]+", g) if len(w) >= 3} for i, p in parts.items()}
     with_term, with_entity, both = collections.Counter(), collections.Counter(), collections.Counter()
     for i, p in parts.items():
         mails = {m.lower() for m in p[1::2]}
         with_term.update(terms[i])
-        with_entity.update(mails)
-        both.update((t, m) for t in terms[i] for m in mails)
+        if i in own:
+            with_entity.update(mails)
+            both.update((t, m) for t in terms[i] for m in mails)
     n = len(data)
     chosen = {t for (t, m), k in both.items() if k >= pii.SUPPORT and math.log2(n * k / (with_term[t] * with_entity[m])) >= pii.THRESHOLD * math.log2(n / with_entity[m])}
 
@@ -183,6 +164,23 @@ def test_redaction_equals_brute_force_over_whole_documents(spark):
     assert {x.doc_id: x.text for x in pii.redact(documents(spark, data)).collect()} == want
 
 
+def test_copies_of_one_text_are_no_evidence(spark):
+    data = [(i, f"plain words today about nothing number {i}", None, None) for i in range(60)]
+    data += [(100 + i, "Zebulon Quibble wrote from zeb@corp.example", None, None) for i in range(5)] + [(110, "so Quibble went", None, None)]
+    out = {r.doc_id: r for r in pii.spans_of_documents(documents(spark, data)).collect()}
+    assert out[100].spans == "email:27:43" and out[110].spans == ""
+    assert {r.doc_id: r.text for r in pii.redact(documents(spark, data)).collect()} == brute_redact(data)[0]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    names = ["siteloom_spans", "siteloom_hs", "siteloom_text", "siteloom_own", "siteloom_id", "siteloom_th", "spans", "hs", "th", "rows"]
+    data = spark.createDataFrame([(100 + i, f"note {i} ask Zebulon at zeb@corp.example", *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = pii.redact(data)
+    assert out.columns == data.columns
+    assert all([r[c] for c in names] == names and "[EMAIL]" in r.text for r in out.collect())
+    assert pii.spans_of_documents(data).count() == 3
+
+
 def test_nothing_and_repeats(spark):
     assert pii.spans_of_documents(empty(spark)).collect() == []
     out = pii.spans_of_documents(documents(spark, [(1, "a@b.cd", None, None)] * 2)).collect()
