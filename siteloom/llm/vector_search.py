@@ -5,7 +5,7 @@ each; a beam search picks the entries. A query's inner products with all entries
 are scored; the members of the best codes are compared exactly.
 
 Result for odd input: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part; rows that repeat a vec_id are candidates each, and none of them its own; null vec_ids take no
+components take no part; rows that repeat a vec_id are queries and candidates each, and none of them its own; null vec_ids take no
 part; with fewer candidates than asked for, all are returned; an empty table gives an empty result; extra columns are
 ignored. Components of any finite size count: vectors are scaled by a power of two, which changes no cosine.
 """
@@ -109,8 +109,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(held, k: int, codes_in: int | None):
-    """One pass of a partition of the index against the queries sent along; keeps k for each query."""
+def _search(held, k: int, codes_in: int | None, first: int):
+    """One pass of a partition of the index against the queries sent along; keeps k for each query. Queries are numbered from ``first``: ids may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, q_ids, q = held.value
@@ -157,7 +157,8 @@ def _search(held, k: int, codes_in: int | None):
             part = found[lo : lo + 4096]
             sizes = [len(f[0]) for f in part]
             if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[lo : lo + 4096], sizes)), pa.array(np.concatenate([f[0] for f in part])), pa.array(np.concatenate([f[1] for f in part]))], ["query_id", "vec_id", "score"])
+                own = np.arange(lo, lo + len(part)) + first
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(q_ids[lo : lo + 4096], sizes)), pa.array(np.concatenate([f[0] for f in part])), pa.array(np.concatenate([f[1] for f in part]))], ["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -173,19 +174,20 @@ def search(df: DataFrame, wanted, k: int = 5, codes: int | None = CODES, per_pas
     index, books = build_index(df)
     queries = index.where(wanted)
     n = queries.count() if books is not None else 0
-    finds = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    passes = -(-n // per_pass)
+    finds = spark.createDataFrame([], "q long, query_id long, vec_id long, score double")
+    passes, before = -(-n // per_pass), 0
     for i in range(passes):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).select("vec_id", "embedding").toArrow()
         if not block.num_rows:
             continue
         held = spark.sparkContext.broadcast((books, block.column(0).to_numpy(), _vectors(block.column(1).combine_chunks())))
-        part = index.mapInArrow(_search(held, k, codes), "query_id long, vec_id long, score double")
+        part = index.mapInArrow(_search(held, k, codes, before), "q long, query_id long, vec_id long, score double")
+        before += block.num_rows
         if passes > 1:
             part = materialize(part, "finds")
             held.destroy()
         finds = finds.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return finds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
