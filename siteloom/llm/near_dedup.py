@@ -286,9 +286,9 @@ def deduplicated(docs: DataFrame, per_hundred: int = 75, shingle: int = SHINGLE)
     """
     found = _grouped(docs, per_hundred, shingle)
     gone = found.where("doc_id is not null and not (doc_id <=> component_id and t = lead_t)").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct()
-    t = f"siteloom_{uuid.uuid4().hex}"
-    own = docs.withColumn(t, F.xxhash64("text"))
-    return own.join(gone, (own["doc_id"] == gone["gone_id"]) & (own[t] == gone["gone_t"]), "left_anti").dropDuplicates(["doc_id", t]).select(*docs.columns)
+    t, alone = (f"siteloom_{uuid.uuid4().hex}" for _ in range(2))
+    own = docs.withColumn(t, F.xxhash64("text")).withColumn(alone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))  # rows without an id are no copies of each other
+    return own.join(gone, (own["doc_id"] == gone["gone_id"]) & (own[t] == gone["gone_t"]), "left_anti").dropDuplicates(["doc_id", t, alone]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

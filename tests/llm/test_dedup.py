@@ -178,3 +178,10 @@ def test_levels_double_until_none_survives(spark):
 def test_deduplicated_keeps_documents_without_an_id(spark):
     out = near_dedup.deduplicated(documents(spark, [(None, "a b c d e f", None, None), (4, "a b c d e f", None, None), (5, "a b c d e f", None, None), (None, "q", None, None)])).collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(None, "a b c d e f"), (None, "q"), (4, "a b c d e f")], key=str)
+
+
+def test_documents_without_an_id_stay_each(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, text, "a"), (None, text, "b"), (3, text, "c"), (3, text, "c"), (4, text, "d")], "doc_id long, text string, extra string")
+    got = sorted(((r.doc_id is not None, r.doc_id, r.extra) for r in near_dedup.deduplicated(docs).collect()), key=str)
+    assert got == [(False, None, "a"), (False, None, "b"), (True, 3, "c")]
