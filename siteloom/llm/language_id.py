@@ -129,21 +129,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> Hierarchy | None:
-    """Learn from rows that are not held out: of each language the same number at most, taken by a hash of doc_id.
+    """Learn from rows that are not held out: of each language the same number of unlike texts at most, taken by a hash of doc_id and text.
 
-    No language is left out: with very many, each gives fewer rows.
+    No language is left out: with very many, each gives fewer rows. Rows that repeat count once, whatever their number.
     """
-    known = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    known = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return None
     most = max(1, min(SAMPLE, TOTAL // len(counts)))
-    # Ids alone are sampled, by a share of each language that gives enough; then the first of each by hash. The texts are read once.
+    # A share of each language that gives enough, copies merged where they lie; then the first of each by hash: 1.3 * TOTAL texts, or one a language.
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * most / r["count"] + 1e-3))])
-    ids = known.where(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("lang").alias("g"), F.xxhash64("doc_id").alias("h"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))).where(F.col("k") <= most).select("id", "g")
-    # At most TOTAL rows of two short columns, or one a language.
-    chosen = known.where("text is not null").join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("g")))
+    h = F.xxhash64("doc_id", "text")
+    near = known.withColumn("h", h).where(F.pmod(F.hash("h"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "h"])
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most)
     got = chosen.select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow().combine_chunks()
     if not got.num_rows:
         return None

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learners import sigmoid
-from .shared import held_out, table
+from .shared import held_out, labelled_texts, table
 from .textvec import mix, row_starts, span_hash, text_blocks, window_hash, word_spans
 
 #: Labelled rows that are learned from, at most.
@@ -192,9 +192,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Additive | None:
-    """Learn from at most SAMPLE labelled rows that are not held out, taken by a hash of doc_id."""
-    y = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")  # SAMPLE rows of two numbers
+    """Learn from at most SAMPLE labelled rows that are not held out, taken by a hash of doc_id.
+
+    An id counts once: unlike labels of it are its larger one, unlike texts of it one of them.
+    """
+    y = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows = labelled_texts(docs, y)  # SAMPLE rows of two numbers
     got = rows.mapInArrow(_featured, "doc_id long, y int, x array<double>").toArrow()
     if not got.num_rows:
         return None

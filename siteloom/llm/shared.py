@@ -83,6 +83,12 @@ def held_out(doc_id) -> "F.Column":
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
+def labelled_texts(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text, y): one text for each row of ``picked`` (id, y), whose ids are distinct and few: of texts that share an id, the least by hash."""
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    return met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

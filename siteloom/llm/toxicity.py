@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learners import decision, folds, logistic, sigmoid
-from .shared import held_out, table
+from .shared import held_out, labelled_texts, table
 from .textvec import span_hash, text_blocks
 
 #: Labelled rows that are learned from, at most: of toxic ones, and of others.
@@ -131,10 +131,13 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain | None:
-    """Learn from labelled rows that are not held out, at most TOXIC and OTHER of them, taken by a hash of doc_id."""
-    y = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    """Learn from labelled rows that are not held out, at most TOXIC and OTHER of them, taken by a hash of doc_id.
+
+    An id counts once: unlike labels of it are its larger one, unlike texts of it one of them.
+    """
+    y = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     picked = y.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(TOXIC).unionByName(y.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(OTHER))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")  # TOXIC + OTHER rows of two numbers
+    rows = labelled_texts(docs, picked)  # TOXIC + OTHER rows of two numbers
     got = rows.mapInArrow(_worded, "doc_id long, y int, words array<long>").toArrow().combine_chunks()
     if not got.num_rows:
         return None

@@ -45,7 +45,7 @@ def rows() -> list[tuple]:
 
 
 #: Columns beyond those of documents, with names that operators use inside.
-CLASHING = ["h", "key", "rank", "component_id", "score", "id", "g", "k", "t", "n", "a", "d", "size", "spans", "letter", "siteloom_letter", "siteloom_copy", "siteloom_t"]
+CLASHING = ["h", "key", "rank", "component_id", "score", "id", "g", "k", "t", "n", "a", "d", "size", "spans", "letter", "siteloom_letter", "siteloom_copy", "siteloom_t", "siteloom_spans", "siteloom_hs", "siteloom_text", "siteloom_own", "siteloom_id", "siteloom_th", "place", "copies", "feature"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 

@@ -55,6 +55,25 @@ def test_language_stage_without_lang_and_with_ids_repeated(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in language_id.with_language(docs, model).collect())
 
 
+def fitted(monkeypatch, spark, module, call):
+    """How many rows a fit brings to the driver."""
+    sizes = []
+    whole = type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: sizes.append((t := whole(self)).num_rows) or t)
+    call()
+    monkeypatch.undo()
+    return max(sizes)
+
+
+def test_ids_repeated_very_often_do_not_multiply_what_is_learned_from(spark, monkeypatch):
+    rows = [(i % 4, f"{'alpha beta' if i % 2 else 'gamma delta'} {i} words here", "en" if i % 2 else "fr", "s") for i in range(1600)] + [(9, "the same text", "en", "s")] * 400
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i % 4, i % 2, i % 2) for i in range(1600)] + [(9, 1, 1)] * 400, "doc_id long, quality int, toxic int")
+    assert fitted(monkeypatch, spark, language_id, lambda: language_id.fit(docs)) <= 2 * language_id.SAMPLE
+    assert fitted(monkeypatch, spark, toxicity, lambda: toxicity.fit(docs, labels)) <= 5
+    assert fitted(monkeypatch, spark, quality, lambda: quality.fit(docs, labels)) <= 5
+
+
 def test_language_of_nothing(spark):
     assert language_id.fit(empty(spark)) is None
     assert language_id.identify(empty(spark), None).collect() == []
@@ -173,6 +192,13 @@ def test_passes_and_exact_search(spark, monkeypatch):
     assert {(r.query_id, r.rank): r.vec_id for r in out} == {(i, k + 1): int(j) for i in range(0, 400, 10) for k, j in enumerate(np.argsort(-sim[i])[:5])}
 
 
+def test_queries_that_share_an_id(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [2.0, 0.1]), (2, [0.1, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    for per_pass in (1, 100):
+        out = vector_search.search(df, F.col("vec_id") == 50, k=2, per_pass=per_pass).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == sorted([(50, 1, 1), (50, 2, 3), (50, 1, 2), (50, 2, 3), (50, 1, 2), (50, 2, 3)])
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vector_search.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).collect() == []
