@@ -73,19 +73,39 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), body, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
 
 
+def literal_head(pattern: Column) -> Column:
+    """What every target that a pattern matches begins with: the pattern up to its first star, without a dollar at the end."""
+    return F.regexp_extract(pattern, r"(?s)^(.*?)(?:\*|\$\z|\z)", 1)
+
+
+def tried(targets: DataFrame, site_rules: DataFrame) -> DataFrame:
+    """``targets`` (site, ruled_by, target, ...) with each rule (kind, pattern, rx) whose literal head they begin with.
+
+    The heads of a site's rules are met by those beginnings of a target that are as long as any of them, so that rules
+    and targets meet in an equi-join on the head: no rule sees a target that it cannot match, but by its star.
+    """
+    rules_ = site_rules.where("pattern <> ''").withColumnRenamed("agent", "ruled_by").withColumn("head", literal_head(F.col("pattern"))).distinct()
+    lengths = rules_.groupBy("site", "ruled_by").agg(F.collect_set(F.length("head")).alias("lengths"))
+    begun = targets.join(lengths, ["site", "ruled_by"])
+    begun = begun.withColumn("head", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("target")), lambda n: F.left(F.col("target"), n)))).drop("lengths")
+    return begun.join(rules_, ["site", "ruled_by", "head"])
+
+
 def verdicts(targets: DataFrame, site_rules: DataFrame) -> DataFrame:
     """(site, agent, url, disallowed, rule, group_name) for targets (site, agent, url).
 
-    An agent that any group names is ruled by those groups alone, others by the * groups. The rules of a site and
-    agent meet its targets in an equi-join, patterns are tried inside it, and the longest match wins by an aggregate,
-    allow before disallow; nothing is crossed over sites.
+    An agent that any group names is ruled by those groups alone, others by the * groups. Rules meet the targets that
+    begin with their literal head (``tried``); what stands after a star is tried inside that join, and the longest
+    match wins by an aggregate, allow before disallow; nothing is crossed over sites, nor over the paths of one.
     """
     t = targets.withColumn("target", U.path_and_query(F.col("url"))).withColumn("token", U.product_token(F.col("agent")))
     named = site_rules.select("site", F.col("agent").alias("token")).distinct().withColumn("named", F.lit(True))
     stars = site_rules.where("agent = '*'").select("site").distinct().withColumn("starred", F.lit(True))
     t = t.join(named, ["site", "token"], "left").join(stars, "site", "left")
     t = t.withColumn("ruled_by", F.when(F.col("named"), F.col("token")).when(F.col("starred"), F.lit("*")))
-    hits = t.where("ruled_by is not null and target <> '/robots.txt'").join(site_rules.where("pattern <> ''").withColumnRenamed("agent", "ruled_by"), ["site", "ruled_by"]).where("target rlike rx")
+    asked = t.where("ruled_by is not null and target <> '/robots.txt'").select("site", "agent", "url", "ruled_by", "target")
+    plain = F.col("pattern") == F.col("head")  # such a rule is met in whole already
+    hits = tried(asked, site_rules).where(plain | F.expr("target rlike rx"))
     best = hits.groupBy("site", "agent", "url").agg(F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("allow"), "kind", "pattern")).alias("best"))
     out = t.join(best, ["site", "agent", "url"], "left")
     return out.select("site", "agent", "url", F.coalesce(~F.col("best.allow"), F.lit(False)).alias("disallowed"), F.concat(F.initcap("best.kind"), F.lit(": "), F.col("best.pattern")).alias("rule"), F.col("ruled_by").alias("group_name"))
