@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
@@ -26,3 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/siteloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Of so many rows, one is looked at for keys that come very often.
+GLANCE = 32
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``facts``, which have a row a key; both are written tables. Any split gives the same rows.
+
+    Keys that hold over 1 / partitions of a sample of the rows - as many as partitions at most - meet their facts by
+    broadcast, where they lie; all others shuffle. Null keys meet nothing.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = F.xxhash64(*keys)
+    glance = rows.sample(1 / GLANCE, seed=GLANCE).select(h.alias("k"))
+    least = max(GLANCE, glance.count() // parts)
+    hot = [r["k"] for r in glance.groupBy("k").count().where(F.col("count") > least).collect()]
+    if not hot:
+        return rows.join(facts, keys)
+    often = h.isin(hot)
+    return rows.where(often).join(F.broadcast(facts.where(often)), keys).unionByName(rows.where(~often).join(facts.where(~often), keys))

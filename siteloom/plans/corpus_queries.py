@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import access as A
 from ..operators import containment as K
 from ..operators import html_events as H
+from ..operators import paths as P
 from ..operators import robots as R
-from .page_queries import shown_sql
+from ..operators import stated as S
+from .page_queries import _TITLE, page_links, page_titles, shown_sql
 from .registry import pages, query
 from .url_queries import PARTS
 
@@ -114,3 +117,57 @@ def host_rule_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = p.select(U.host(F.col("url")).alias("site"), F.lit("*").alias("ruled_by"), U.path_and_query(F.col("url")).alias("target")).distinct()
     met = R.tried(asked, rules).groupBy("site").agg(F.count("*").alias("tried"))
     return met.join(rules.groupBy("site").agg(F.count("*").alias("rules")), "site").join(asked.groupBy("site").agg(F.count("*").alias("paths")), "site").select(F.col("site").alias("host"), "rules", "paths", "tried")
+
+
+_STOP = ", ".join(f"'{w}'" for w in S.FACT_STOPWORDS)
+_STATED = f"""titles as (select page_id as fact, {_TITLE} as value from pages), f as (select fact, list_filter(list_distinct(regexp_extract_all(lower(value), '{S.WORD}')), lambda w: w not in ({_STOP})) as words from titles),
+    t as (select page_id as id, list_distinct(regexp_extract_all(lower({shown_sql()}), '{S.WORD}')) as has from pages),
+    met as (select fact, id, len(words) as n, len(list_intersect(words, has)) as shared from f, t where len(words) > 0)"""
+
+
+def _titles_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = pages(spark, sf_dir)
+    ev = H.events(p)
+    texts = H.shown_text(ev).groupBy("page_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text")).withColumnRenamed("page_id", "id")
+    return page_titles(ev).select(F.col("page_id").alias("fact"), F.col("title").alias("value")), texts
+
+
+@query("stated_titles", f"with {_STATED} select fact as page_id, id as stated_by, cast(n as bigint) as words, cast(shared as bigint) as shared from met where shared / n::double >= {S.SHARE}::double")
+def stated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages state what a page's title says: seven tenths of its words, whichever page it is."""
+    return S.stated(*_titles_and_texts(spark, sf_dir)).select(F.col("fact").alias("page_id"), F.col("id").alias("stated_by"), "words", "shared")
+
+
+_FOREST = f"""{PARTS}, own as (select distinct regexp_replace(netloc, '^www\\.', '') as site, regexp_replace(path, '/+$', '') as path from parts),
+    up as (select site, path as url, regexp_replace(path, '/[^/]*$', '') as parent from own where path <> ''),
+    folders as (select distinct site, parent as url, '' as parent from up where parent <> ''),
+    starts as (select distinct site, '' as url from own),
+    links as (select distinct regexp_replace(netloc, '^www\\.', '') as site, regexp_replace(path, '/+$', '') as src, regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '[#?].*$', ''), '/+$', '') as dst from parts),
+    first_links as (select site, replace(dst, '&amp;', '&') as url, src from links where dst <> '')"""
+
+
+def site_edges(p: DataFrame, ev: DataFrame) -> DataFrame:
+    """(site, src, dst): each page's links, and each folder's own pages and folders below the start; paths without queries."""
+    path = lambda u: F.regexp_replace(U.path(u), "/+$", "")
+    own = p.select("page_id", U.host(F.col("url")).alias("site"), path(F.col("url")).alias("path"))
+    links = page_links(p, ev).join(own, "page_id").where(U.host(F.col("url")) == F.col("site")).select("site", F.col("path").alias("src"), path(F.col("url")).alias("dst"))
+    steps = F.split("path", "/")
+    tree = own.select("site", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.struct(F.array_join(F.slice(steps, 1, i - 1), "/").alias("src"), F.array_join(F.slice(steps, 1, i), "/").alias("dst")))).alias("e")).select("site", "e.src", "e.dst")
+    return links.unionByName(tree).where("src <> dst").distinct()
+
+
+@query(
+    "page_ways",
+    f"""with recursive {_FOREST}, edges as (select site, src, url as dst from first_links where src <> url union select site, parent, url from up union select site, parent, url from folders),
+    level as (select site, url, 0 as depth, [url] as way from starts union all
+              select site, dst, depth + 1, list_append(way, dst) from (select l.site, e.dst, l.depth, l.way, row_number() over (partition by l.site, e.dst order by l.url) as n from level l join edges e on e.site = l.site and e.src = l.url where l.depth < 12 and not list_contains(l.way, e.dst)) where n = 1),
+    best as (select *, row_number() over (partition by site, url order by depth) as n from level)
+    select site as host, url as path, cast(depth as int) as depth, array_to_string(way, ' > ') as way from best where n = 1""",
+)
+def page_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest way from each host's start to every path of it that links or folders lead to; of several the least parent's."""
+    p = pages(spark, sf_dir)
+    edges = site_edges(p, H.events(p))
+    starts = edges.select("site").distinct().select("site", F.lit("").alias("url"))
+    found = A.reach(edges, starts, levels=1000)
+    return P.ways(found.select("site", "url", "parent")).select(F.col("site").alias("host"), F.col("url").alias("path"), "depth", F.array_join("way", " > ").alias("way"))
