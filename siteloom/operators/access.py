@@ -180,7 +180,7 @@ INFLATED = 10 << 20
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())]))
 def decoded_body(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
-    """Text of a body that is gzipped (by header or by its first bytes) or deflated; what can be read of a broken one."""
+    """Text of a body that is gzipped (by header or by its first bytes), all its members, or deflated; what can be read of a broken one."""
 
     def one(data: bytes | None, enc: str | None) -> tuple[str | None, str | None]:
         if data is None:
@@ -188,23 +188,49 @@ def decoded_body(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
         enc = (enc or "").lower()
         note = None
         if "gzip" in enc or data[:2] == b"\x1f\x8b":
-            engine = zlib.decompressobj(31)
+            data, note = _members(data)
         elif "deflate" in enc:
             engine = zlib.decompressobj(15 if data[:1] == b"\x78" else -15)
-        else:
-            engine = None
-        if engine is not None:
             try:
                 data = engine.decompress(data, INFLATED)
                 note = None if engine.eof else "partial stream"
             except zlib.error:
                 data, note = b"", "undecodable body"
+        elif enc in ("br", "zstd", "compress"):
+            data, note = b"", f"no decoder for {enc}"
         return data.decode("utf-8", errors="replace"), note
 
     rows = [one(d, e) for d, e in zip(raw, encoding, strict=True)]
     return pd.DataFrame(rows, columns=["text", "note"])
 
 
+def _members(data: bytes) -> tuple[bytes, str | None]:
+    """The members of a gzip stream one after another, up to ``INFLATED`` bytes; what follows them that is no member is left out, and said."""
+    out, size = [], 0
+    while data and size < INFLATED:
+        engine = zlib.decompressobj(31)
+        try:
+            out.append(engine.decompress(data, INFLATED - size))
+        except zlib.error:
+            return b"".join(out), "undecodable body" if not out else "undecodable rest"
+        size += len(out[-1])
+        if not engine.eof:
+            return b"".join(out), "partial stream"
+        data = engine.unused_data.lstrip(b"\0")
+    return b"".join(out), "partial stream" if data else None
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_body(text: pd.Series, how: pd.Series) -> pd.Series:
+    """Bodies as servers send them: gzip, gzip in two members, deflate, or as they are."""
+
+    def one(t: str, kind: str) -> bytes:
+        body = t.encode()
+        return {"gzip": lambda: gzip.compress(body, mtime=0), "two members": lambda: gzip.compress(body, mtime=0) * 2, "deflate": lambda: zlib.compress(body)}.get(kind, lambda: body)()
+
+    return pd.Series([one(t, k) for t, k in zip(text, how, strict=True)])
+
+
 def gzipped(text: str) -> bytes:
     return gzip.compress(text.encode(), mtime=0)
 

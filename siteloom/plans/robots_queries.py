@@ -1,4 +1,4 @@
-"""Queries over seeded crawler-rule files."""
+"""Queries over crawler-rule files: each host of ``pages`` has one of the files below, in turn."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import robots as R
-from .registry import query, values
+from .registry import dealt, query, spread, values
 
 _TEXTS = {
     "a.com": ["User-agent: *", "Disallow: /private/", "Allow: /private/open", "Disallow: /*?*", "Crawl-delay: 2", "", "User-agent: GPTBot", "User-agent: CCBot", "Disallow: /", "Sitemap: https://a.com/sitemap.xml"],
@@ -23,7 +23,7 @@ PATHS = "(values ('/'), ('/private/x'), ('/private/open/y'), ('/shop?page=2'), (
 WHO = "(values ('*'), ('GPTBot'), ('Googlebot/2.1'), ('Claude-SearchBot'), ('bingbot'), ('other')) as w(agent)"
 
 #: The rules of all files as tables, for the SQL below.
-TABLES = rf"""files as (select * from {FILES}),
+TABLES = rf"""files as (select * from {dealt(FILES, "site", "host")}),
     lines as (select site, generate_subscripts(string_split(lines, '|'), 1) as line_no, unnest(string_split(lines, '|')) as raw from files),
     keyed as (select site, line_no, lower(trim(string_split(regexp_replace(raw, '#.*$', ''), ':')[1])) as k, trim(regexp_extract(regexp_replace(raw, '#.*$', ''), '^[^:]*:(.*)$', 1)) as value from lines where contains(regexp_replace(raw, '#.*$', ''), ':')),
     kinds as (select *, case when k in ('user-agent', 'useragent', 'user agent') then 'agent' when k in ('allow', 'disallow') then k when k = 'crawl-delay' then 'delay' end as kind from keyed),
@@ -38,31 +38,31 @@ TABLES = rf"""files as (select * from {FILES}),
     verdicts as (select t.site, t.agent, t.url, coalesce(h.kind = 'disallow', false) as disallowed, upper(h.kind[1]) || h.kind[2:] || ': ' || h.pattern as rule, t.g as group_name from ruled t left join hits h on h.site = t.site and h.agent = t.agent and h.url = t.url and h.n = 1)"""
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return values(spark, FILES.replace("\\", "\\\\")).withColumn("robots_txt", F.replace("lines", F.lit("|"), F.lit("\n")))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, FILES.replace("\\", "\\\\"), "site", "host").withColumn("robots_txt", F.replace("lines", F.lit("|"), F.lit("\n")))
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
-    return R.parse(_files(spark))
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parse(_files(spark, sf_dir))
 
 
-def _targets(spark: SparkSession) -> DataFrame:
-    return _files(spark).select("site").crossJoin(F.broadcast(values(spark, PATHS))).crossJoin(F.broadcast(values(spark, WHO)))  # both lists are literals
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("site").crossJoin(F.broadcast(values(spark, PATHS))).crossJoin(F.broadcast(values(spark, WHO)))  # both lists are literals
 
 
 @query("robots_parse", f"with {TABLES} select site, kind, value, group_id from parsed")
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).where("kind <> 'sitemap'").select("site", "kind", "value", "group_id")
+    return _parsed(spark, sf_dir).where("kind <> 'sitemap'").select("site", "kind", "value", "group_id")
 
 
-@query("robots_sitemaps", "select * from (values ('a.com', 'https://a.com/sitemap.xml')) as t(site, sitemap)")
+@query("robots_sitemaps", f"""with {TABLES} select site, value as sitemap from (select site, k, value from keyed) where k = 'sitemap'""")
 def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).where("kind = 'sitemap'").select("site", F.col("value").alias("sitemap"))
+    return _parsed(spark, sf_dir).where("kind = 'sitemap'").select("site", F.col("value").alias("sitemap"))
 
 
 @query("robots_matrix", f"with {TABLES} select * from verdicts")
 def robots_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.verdicts(_targets(spark), R.rules(_parsed(spark)))
+    return R.verdicts(_targets(spark, sf_dir), R.rules(_parsed(spark, sf_dir)))
 
 
 @query(
@@ -73,8 +73,8 @@ def robots_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     select site, agent, url from h2 where kind is null or kind = 'allow'""",
 )
 def robots_query_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.rules(_parsed(spark))
-    return R.with_query_only(R.verdicts(_targets(spark), r), r).where("query_only").select("site", "agent", "url")
+    r = R.rules(_parsed(spark, sf_dir))
+    return R.with_query_only(R.verdicts(_targets(spark, sf_dir), r), r).where("query_only").select("site", "agent", "url")
 
 
 @query(
@@ -84,7 +84,7 @@ def robots_query_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     select site, agent, url, source not in ('unreachable', 'server_error', 'disallow') as allowed, source, case when source in ('allow', 'disallow') then rule end as rule from s""",
 )
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.gate(_targets(spark), _files(spark), R.rules(_parsed(spark)))
+    return R.gate(_targets(spark, sf_dir), _files(spark, sf_dir), R.rules(_parsed(spark, sf_dir)))
 
 
 _CLASSES = "(values " + ", ".join(f"('{t}', '{c}', '{r}', {str(h).lower()})" for t, c, r, h in R.AGENTS) + ") as k(token, class, role, honours)"
@@ -113,7 +113,7 @@ def agent_of_user_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agents a join d on a.site = d.site and a.group_id = d.group_id where delay is not null group by a.site, a.agent""",
 )
 def crawl_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.crawl_delays(_parsed(spark))
+    d = R.crawl_delays(_parsed(spark, sf_dir))
     return d.select("site", "agent", "delay", R.spacing(F.col("delay"), F.lit(2.0), F.lit(8.0)).alias("spacing"))
 
 
@@ -124,7 +124,7 @@ def crawl_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     string_agg(agent, ',' order by agent) filter (disallowed and class <> 'training' and honours = false) as ineffective, bool_or(not disallowed and class = 'retrieval') as retrieval_allowed from v where url in ('/', '/docs') group by site, url""",
 )
 def robots_blocks_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.classified(R.verdicts(_targets(spark).where(F.col("url").isin("/", "/docs")), R.rules(_parsed(spark))))
+    v = R.classified(R.verdicts(_targets(spark, sf_dir).where(F.col("url").isin("/", "/docs")), R.rules(_parsed(spark, sf_dir))))
     training, idle = F.col("class") == "training", ~F.col("honours").eqNullSafe(F.lit(False))
 
     def names(condition) -> F.Column:
@@ -140,7 +140,7 @@ def robots_blocks_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("robots_by_rule", f"with {TABLES} select site, url, rule, group_name, count(*) as agents, string_agg(agent, ',' order by agent) as who from verdicts where disallowed group by all")
 def robots_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = R.verdicts(_targets(spark), R.rules(_parsed(spark))).where("disallowed")
+    v = R.verdicts(_targets(spark, sf_dir), R.rules(_parsed(spark, sf_dir))).where("disallowed")
     return v.groupBy("site", "url", "rule", "group_name").agg(F.count("*").alias("agents"), F.array_join(F.array_sort(F.collect_list("agent")), ",").alias("who"))
 
 
@@ -150,14 +150,14 @@ _CANDIDATES = """(values ('a.com', 1, 'https://a.com/robots.txt', 200, '<!DOCTYP
 
 @query(
     "robots_candidate",
-    f"""with c as (select *, status = 200 and not (starts_with(trim(lower(coalesce(body, ''))), '<!doctype html') or contains(lower(coalesce(body, '')), '<html') or contains(lower(coalesce(body, '')), '<body')) as ok, status = 200 and (starts_with(trim(lower(coalesce(body, ''))), '<!doctype html') or contains(lower(coalesce(body, '')), '<html')) as html from {_CANDIDATES})
+    f"""with c as (select *, status = 200 and not (starts_with(trim(lower(coalesce(body, ''))), '<!doctype html') or contains(lower(coalesce(body, '')), '<html') or contains(lower(coalesce(body, '')), '<body')) as ok, status = 200 and (starts_with(trim(lower(coalesce(body, ''))), '<!doctype html') or contains(lower(coalesce(body, '')), '<html')) as html from {dealt(_CANDIDATES, 'site', 'host')})
     select site, coalesce(arg_min(url, n) filter (ok), arg_min(url, n) filter (html)) as resolved, coalesce(bool_or(ok), false) or coalesce(bool_or(html), false) as reachable, not coalesce(bool_or(ok), false) and coalesce(bool_or(html), false) as malformed from c group by site""",
 )
 def robots_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the candidate addresses of a file, the first that answers with rules; else the first that answers with a page."""
     body = F.trim(F.lower(F.coalesce("body", F.lit(""))))
     page = F.startswith(body, F.lit("<!doctype html")) | body.rlike("<html|<body")
-    c = values(spark, _CANDIDATES).withColumn("got", F.coalesce(F.col("status") == 200, F.lit(False)))
+    c = spread(spark, sf_dir, _CANDIDATES, "site", "host").withColumn("got", F.coalesce(F.col("status") == 200, F.lit(False)))
     first = lambda on: F.min_by(F.when(on, F.col("url")), F.when(on, F.col("n")))
     ok, html = F.col("got") & ~page, F.col("got") & page
     return c.groupBy("site").agg(F.coalesce(first(ok), first(html)).alias("resolved"), F.bool_or("got").alias("reachable"), (~F.bool_or(ok) & F.bool_or(html)).alias("malformed"))

@@ -1,4 +1,4 @@
-"""Queries over seeded signals."""
+"""Queries over signals: each host of ``pages`` has one of the sets below, in turn."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .registry import query, values
+from .registry import dealt, query, spread
 
 _SITES = {
     "blocked.com": "bot_blocked=true robots_permit_cited=true noindex=true entities=0 structured_checked=true dates_checked=true copyright_age=5 domain_provided=true search_results=3 domain_in_top=false no_viewport_no_media=true",
@@ -18,39 +18,39 @@ _SITES = {
 }
 SEED = "(values ('null.com', 'none', cast(null as string)), " + ", ".join(f"('{s}', '{k}', '{v}')" for s, t in _SITES.items() for k, v in (x.split("=") for x in t.split())) + ") as t(site, signal, value)"
 _MORE = "(values ('clean.com', 'extra', 'readability', 'URGENT', cast(7 as double)), ('clean.com', 'extra2', 'engagement', 'Low', cast(null as double)), ('blocked.com', 'extra3', 'readability', 'high', cast(-1 as double))) as m(site, slug, category, severity, confidence)"
-_WIDE = "wide as (select site, " + ", ".join(f"try_cast(max(case when signal = '{n}' then value end) as {k}) as {n}" for n, k in R.SIGNALS.items()) + f" from {SEED.replace('cast(null as string)', 'null')} group by site)"
+_WIDE = "wide as (select site, " + ", ".join(f"try_cast(max(case when signal = '{n}' then value end) as {k}) as {n}" for n, k in R.SIGNALS.items()) + f" from {dealt(SEED.replace('cast(null as string)', 'null'), 'site', 'host')} group by site)"
 _FOUND = (
     _WIDE
     + ", raised as ("
     + " union all ".join(f"select site, {i} as rule_no, '{slug}' as slug, '{cat}' as category, {sev} as severity, cast({conf} as double) as confidence from wide where {cond}" for i, (slug, cat, sev, conf, cond) in enumerate(R.RULES))
-    + f" union all select site, {len(R.RULES)}, slug, category, case when lower(severity) in ('critical', 'high', 'medium', 'low') then lower(severity) else 'medium' end, greatest(0, least(1, coalesce(confidence, 1))) from {_MORE}), "
+    + f" union all select site, {len(R.RULES)}, slug, category, case when lower(severity) in ('critical', 'high', 'medium', 'low') then lower(severity) else 'medium' end, greatest(0, least(1, coalesce(confidence, 1))) from {dealt(_MORE, 'site', 'host')}), "
     + "found as (select * from raised r where not ((category in ('crawl_render', 'readability', 'engagement') or slug in ("
     + ", ".join(f"'{s}'" for s in R.ON_PAGE_FRESHNESS)
     + ")) and exists (select 1 from raised b where b.site = r.site and b.slug in ('bot_block_policy_mismatch', 'bot_block_generic'))))"
 )
 
 
-def _sites(spark: SparkSession) -> DataFrame:
-    return R.wide(values(spark, SEED))
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.wide(spread(spark, sf_dir, SEED, "site", "host"))
 
 
-def _found(spark: SparkSession) -> DataFrame:
-    return R.findings(_sites(spark), values(spark, _MORE))
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.findings(_sites(spark, sf_dir), spread(spark, sf_dir, _MORE, "site", "host"))
 
 
 @query("findings", f"with {_FOUND} select site, slug, category, severity, confidence, 'F-' || lpad(cast(row_number() over (partition by site order by {R.RANK}, rule_no, slug) as varchar), 3, '0') as id from found")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.numbered(_found(spark)).select("site", "slug", "category", "severity", "confidence", "id")
+    return R.numbered(_found(spark, sf_dir)).select("site", "slug", "category", "severity", "confidence", "id")
 
 
 @query("severity_counts", f"with {_FOUND} select site, count(*) as total, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in R.SEVERITIES) + " from found group by site")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.severity_counts(_found(spark))
+    return R.severity_counts(_found(spark, sf_dir))
 
 
 @query("severity_rollup", f"with {_FOUND} select site, category, severity, count(*) as n from found group by rollup (site, category, severity)")
 def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark).rollup("site", "category", "severity").agg(F.count("*").alias("n"))
+    return _found(spark, sf_dir).rollup("site", "category", "severity").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -59,15 +59,15 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " union all ".join(f"select site, '{n}' as recommendation from wide w where ({c}) and not exists (select 1 from found f where f.site = w.site and f.slug in ({', '.join(repr(m) for m in moot)}))" for n, c, moot in R.RECOMMENDATIONS),
 )
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommendations(_sites(spark), _found(spark))
+    return R.recommendations(_sites(spark, sf_dir), _found(spark, sf_dir))
 
 
 @query("coverage_blocked", f"with {_FOUND} select w.site, exists (select 1 from found f where f.site = w.site and f.slug like 'bot_block_%') as coverage_blocked, (select count(distinct category) from found f where f.site = w.site) as categories from wide w")
 def coverage_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _found(spark).groupBy("site").agg(F.bool_or(F.startswith("slug", F.lit("bot_block_"))).alias("b"), F.countDistinct("category").alias("c"))
-    return _sites(spark).select("site").join(f, "site", "left").select("site", F.coalesce("b", F.lit(False)).alias("coverage_blocked"), F.coalesce("c", F.lit(0)).alias("categories"))
+    f = _found(spark, sf_dir).groupBy("site").agg(F.bool_or(F.startswith("slug", F.lit("bot_block_"))).alias("b"), F.countDistinct("category").alias("c"))
+    return _sites(spark, sf_dir).select("site").join(f, "site", "left").select("site", F.coalesce("b", F.lit(False)).alias("coverage_blocked"), F.coalesce("c", F.lit(0)).alias("categories"))
 
 
 @query("reports")
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.reports(_sites(spark), _found(spark))
+    return R.reports(_sites(spark, sf_dir), _found(spark, sf_dir))
