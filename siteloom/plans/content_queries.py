@@ -1,4 +1,4 @@
-"""Queries over seeded texts, search results and pages; the SQL states what they must find."""
+"""Queries over texts, search results, markup and scripts: cases of each kind, dealt out over the pages and hosts of ``pages``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import content as C
 from ..operators import html_events as H
-from .registry import cases_sql, literal, pages, query, seed_sql
+from .registry import cases_sql, dealt, literal, pages, query, seed_sql, spread
 
 def _today() -> F.Column:
     return F.lit("2025-01-01").cast("date")
@@ -19,6 +19,11 @@ def _table(cols: str, *rows: str) -> str:
     return f"select * from (values {', '.join(rows)}) as t({cols})"
 
 
+def _of_cases(key: str, cols: str, *rows: str, to: str = "page") -> str:
+    """SQL of what must be found in each case, for cases that are dealt out; every key has a row."""
+    return f"select * from {dealt(f'(select * from (values {", ".join(rows)}) as t({cols}))', key, to)} where true"
+
+
 _TEXTS = [
     (1, "Posted September 11, 2024. Updated in 2024. (c) 11th Mar 2023 and 2022-02-30, 2022-02-28"),
     (2, "Copyright 2019-2021 Acme. Call 12/11/2024"),
@@ -28,8 +33,8 @@ _TEXTS = [
 ]
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_TEXTS, "page_id int, text string")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, spark.createDataFrame(_TEXTS, "page_id int, text string"), "page_id", mixed="text")
 
 
 _MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
@@ -39,25 +44,25 @@ _DATES = f"""m as (select page_id, unnest(list_concat(
         list_transform(regexp_extract_all(text, '\\b(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}\\b'), lambda x: try_strptime(x, '%Y-%m-%d')))) as d from t)"""
 
 
-@query("visible_dates", f"with t as {seed_sql(_TEXTS, 'page_id, text')}, {_DATES}, k as (select distinct page_id, cast(d as date) as d from m where d between date '1990-01-01' and date '2025-01-02') select page_id, coalesce(string_agg(cast(d as varchar), ',' order by d desc), '') as dates from t left join k using (page_id) group by page_id")
+@query("visible_dates", f"with t as {dealt(seed_sql(_TEXTS, 'page_id, text'), 'page_id', mixed='text')}, {_DATES}, k as (select distinct page_id, cast(d as date) as d from m where d between date '1990-01-01' and date '2025-01-02') select page_id, coalesce(string_agg(cast(d as varchar), ',' order by d desc), '') as dates from t left join k using (page_id) group by page_id")
 def visible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("page_id", F.array_join(F.transform(C.visible_dates(F.col("text"), _today()), lambda d: d.cast("string")), ",").alias("dates"))
+    return _texts(spark, sf_dir).select("page_id", F.array_join(F.transform(C.visible_dates(F.col("text"), _today()), lambda d: d.cast("string")), ",").alias("dates"))
 
 
-@query("temporal_anchors", "select page_id, array_to_string(flatten([" + ", ".join(f"regexp_extract_all(text, {literal('(?i)' + rx)})" for rx in C.ANCHORS) + f"]), ',') as anchors from {seed_sql(_TEXTS, 'page_id, text')}")
+@query("temporal_anchors", "select page_id, array_to_string(flatten([" + ", ".join(f"regexp_extract_all(text, {literal('(?i)' + rx)})" for rx in C.ANCHORS) + f"]), ',') as anchors from {dealt(seed_sql(_TEXTS, 'page_id, text'), 'page_id', mixed='text')}")
 def temporal_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("page_id", F.array_join(C.anchors(F.col("text")), ",").alias("anchors"))
+    return _texts(spark, sf_dir).select("page_id", F.array_join(C.anchors(F.col("text")), ",").alias("anchors"))
 
 
 @query(
     "copyright_years",
-    f"""with t as {seed_sql(_TEXTS, 'page_id, text')}, l as (select page_id, unnest(regexp_extract_all(text, '(?i)(?:copyright|©|\\bcopr\\b|&copy;)\\s*([^.;<\\n]{{1,120}})', 1)) as line from t),
+    f"""with t as {dealt(seed_sql(_TEXTS, 'page_id, text'), 'page_id', mixed='text')}, l as (select page_id, unnest(regexp_extract_all(text, '(?i)(?:copyright|©|\\bcopr\\b|&copy;)\\s*([^.;<\\n]{{1,120}})', 1)) as line from t),
     y as (select distinct page_id, cast(unnest(regexp_extract_all(line, '\\b(?:19|20)[0-9]{{2}}\\b')) as int) as y from l)
     select page_id, coalesce(string_agg(cast(y as varchar), ',' order by y), '') as years, max(y) as latest from t left join (select * from y where y between 1990 and 2026) using (page_id) group by page_id""",
 )
 def copyright_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = C.copyright_years(F.col("text"), _today())
-    return _texts(spark).select("page_id", F.array_join(F.transform(y, lambda v: v.cast("string")), ",").alias("years"), F.array_max(y).alias("latest"))
+    return _texts(spark, sf_dir).select("page_id", F.array_join(F.transform(y, lambda v: v.cast("string")), ",").alias("years"), F.array_max(y).alias("latest"))
 
 
 @query("page_years", "select page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\b(?:19|20)[0-9]{2}\\b')) > 0 as has_year from pages")
@@ -75,21 +80,21 @@ _MOMENT = "try_strptime(regexp_replace(regexp_replace(coalesce({0}, ''), 'T?([0-
 
 @query(
     "date_facts",
-    f"""with d as (select *, cast({_MOMENT.format('published')} as timestamp) as p, cast({_MOMENT.format('modified')} as timestamp) as m, date_diff('day', cast(seen as date), date '2025-01-01') as visible, timestamp '2025-01-01' as now from {seed_sql(_DECLARED, 'page_id, published, modified, seen')})
+    f"""with d as (select *, cast({_MOMENT.format('published')} as timestamp) as p, cast({_MOMENT.format('modified')} as timestamp) as m, date_diff('day', cast(seen as date), date '2025-01-01') as visible, timestamp '2025-01-01' as now from {dealt(seed_sql(_DECLARED, 'page_id, published, modified, seen'), 'page_id')})
     select page_id, coalesce(cast(floor(epoch(now - coalesce(m, p)) / 86400) as bigint), visible) as age_days, case when m is not null then 'dateModified' when p is not null then 'datePublished' when seen is not null then 'latest_visible_date' end as source,
     case when published <> '' and p is null then 'published is no date' when modified <> '' and m is null then 'modified is no date' when m < p then 'modified before published' when m > now then 'modified in the future' when p > now then 'published in the future' end as issue from d""",
 )
 def date_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(_DECLARED, "page_id int, published string, modified string, seen string")
+    d = spread(spark, sf_dir, spark.createDataFrame(_DECLARED, "page_id int, published string, modified string, seen string"), "page_id")
     return d.select("page_id", *[c.alias(n) for n, c in C.date_facts(F.col("published"), F.col("modified"), F.to_date("seen"), _today().cast("timestamp")).items()])
 
 
 _LISTED = [(1, "2024-05-01", False), (1, "March 3, 2023", False), (2, "Roadmap 2031", False), (2, "2022", False), (3, "2 days ago", True), (3, "2020-01-01", False), (4, "5 mai 2023", False), (5, "3 June 2022", False)]
 
 
-@query("listing_recency", _table("page_id, newest, precision, days, decayed", "(1, '2024-05-01', 'day', 245::bigint, false)", "(2, '2022-12-31', 'year_only', 732, true)", "(3, null, 'relative_recent', 0, false)", "(4, '2023-12-31', 'year_only', 367, true)", "(5, '2022-06-03', 'day', 943, true)"))
+@query("listing_recency", _of_cases("page_id", "page_id, newest, precision, days, decayed", "(1, '2024-05-01', 'day', 245::bigint, false)", "(2, '2022-12-31', 'year_only', 732, true)", "(3, null, 'relative_recent', 0, false)", "(4, '2023-12-31', 'year_only', 367, true)", "(5, '2022-06-03', 'day', 943, true)"))
 def listing_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.listing_recency(spark.createDataFrame(_LISTED, "page_id int, raw string, relative boolean"), _today()).withColumn("newest", F.col("newest").cast("string"))
+    return C.listing_recency(spread(spark, sf_dir, spark.createDataFrame(_LISTED, "page_id int, raw string, relative boolean"), "page_id"), _today()).withColumn("newest", F.col("newest").cast("string"))
 
 
 _CITED = [
@@ -140,26 +145,26 @@ def name_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAME = "(values ('a', 'https://github.com/a'), ('a', 'https://x.com/a'), ('b', 'https://notgithub.com.evil.net/'), ('b', 'https://de.wikipedia.org/wiki/B'), ('c', 'https://hub.docker.com/u/c')) as t(site, url)"
 
 
-@query("sameas_registry", f"select site, url, list_filter({C.REGISTRIES}, lambda k: regexp_extract(url, '://(?:www\\.)?([^/]*)', 1) = k or ends_with(regexp_extract(url, '://([^/]*)', 1), '.' || k))[1] as registry from {_SAME}")
+@query("sameas_registry", f"select site, url, list_filter({C.REGISTRIES}, lambda k: regexp_extract(url, '://(?:www\\.)?([^/]*)', 1) = k or ends_with(regexp_extract(url, '://([^/]*)', 1), '.' || k))[1] as registry from {dealt(_SAME, 'site', 'host')}")
 def sameas_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_SAME}").select("site", "url", C.first_host(C.U.host(F.col("url")), C.REGISTRIES).alias("registry"))
+    return spread(spark, sf_dir, _SAME, "site", "host").select("site", "url", C.first_host(C.U.host(F.col("url")), C.REGISTRIES).alias("registry"))
 
 
 _BUDGETS = "(values ('a', 6, 1), ('b', 0, 1), ('c', null, 2)) as t(site, remaining_before, consumed)"
 
 
-@query("search_budget", f"select *, remaining_before - consumed as remaining_after, coalesce(remaining_before < consumed, false) as over_budget from {_BUDGETS}")
+@query("search_budget", f"select *, remaining_before - consumed as remaining_after, coalesce(remaining_before < consumed, false) as over_budget from {dealt(_BUDGETS, 'site', 'host')}")
 def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.sql(f"select * from {_BUDGETS}")
+    b = spread(spark, sf_dir, _BUDGETS, "site", "host")
     return b.withColumn("remaining_after", F.col("remaining_before") - F.col("consumed")).withColumn("over_budget", F.coalesce(F.col("remaining_before") < F.col("consumed"), F.lit(False)))
 
 
-_SCRIPTS = "(values ('/_next/static/x.js', 'ReactDOM.createRoot(e)'), ('/reactions-widget.js', 'var x'), ('/vue.global.prod.js', 'new Vue({'), ('/static/js/main.1.js', 'window.__NEXT_DATA__ = 1; Svelte.mount(')) as t(src, body)"
+_SCRIPTS = "(values (1, '/_next/static/x.js', 'ReactDOM.createRoot(e)'), (2, '/reactions-widget.js', 'var x'), (3, '/vue.global.prod.js', 'new Vue({'), (4, '/static/js/main.1.js', 'window.__NEXT_DATA__ = 1; Svelte.mount(')) as t(page_id, src, body)"
 
 
-@query("frameworks", f"select src, {cases_sql('src', C.FRAMEWORK_SOURCES)}[1] as by_source, array_to_string({cases_sql('body', C.FRAMEWORK_TEXTS)}, ',') as by_text from {_SCRIPTS}")
+@query("frameworks", f"select page_id, src, {cases_sql('src', C.FRAMEWORK_SOURCES)}[1] as by_source, array_to_string({cases_sql('body', C.FRAMEWORK_TEXTS)}, ',') as by_text from {dealt(_SCRIPTS, 'page_id', mixed='body')}")
 def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_SCRIPTS}").select("src", C.first_label(F.col("src"), C.FRAMEWORK_SOURCES).alias("by_source"), F.array_join(C.labels(F.col("body"), C.FRAMEWORK_TEXTS), ",").alias("by_text"))
+    return spread(spark, sf_dir, _SCRIPTS, "page_id", mixed="body").select("page_id", "src", C.first_label(F.col("src"), C.FRAMEWORK_SOURCES).alias("by_source"), F.array_join(C.labels(F.col("body"), C.FRAMEWORK_TEXTS), ",").alias("by_text"))
 
 
 _MEASURED = "struct<words:int,headings:int,jsonld:int,paragraphs:int,items:int>"
@@ -171,12 +176,12 @@ _FLAT = [(i, *a, *(b or [None] * 5)) for i, a, b in _PAIRS]
 
 @query(
     "hydration",
-    f"""with p as (select * from {seed_sql(_FLAT, 'page_id, w, h, j, p, l, w2, h2, j2, p2, l2')}),
+    f"""with p as (select * from {dealt(seed_sql(_FLAT, 'page_id, w, h, j, p, l, w2, h2, j2, p2, l2'), 'page_id')}),
     n as (select page_id, w2, cast(w2 >= 2 * greatest(w, 1) and w < {C.WORD_FLOOR} as int) + cast(h2 - h >= 2 as int) + cast(j2 - j >= 1 as int) + cast(p2 - p >= 3 as int) + cast(l2 - l >= 6 as int) as differ, w < {C.NEAR_EMPTY} and w2 > 150 as shell from p)
     select page_id, case when w2 is not null then differ >= 2 or shell end as hydrates from n""",
 )
 def hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_PAIRS, f"page_id int, raw {_MEASURED}, rendered {_MEASURED}").select("page_id", C.hydration().alias("hydrates"))
+    return spread(spark, sf_dir, spark.createDataFrame(_PAIRS, f"page_id int, raw {_MEASURED}, rendered {_MEASURED}"), "page_id").select("page_id", C.hydration().alias("hydrates"))
 
 
 _BARRIERS = [
@@ -187,10 +192,10 @@ _BARRIERS = [
 ]
 
 
-@query("rendering_barriers", _table("page_id, reasons", "(1, 'structurally empty,client bootstrap')", "(2, '')", "(3, 'challenge page,javascript required,empty blocks')", "(4, 'hydration gap,client bootstrap,custom element shell,skeleton')"))
+@query("rendering_barriers", _of_cases("page_id", "page_id, reasons", "(1, 'structurally empty,client bootstrap')", "(2, '')", "(3, 'challenge page,javascript required,empty blocks')", "(4, 'hydration gap,client bootstrap,custom element shell,skeleton')"))
 def rendering_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = "page_id int, words int, paragraphs int, headings int, paragraphs_main int, headings_main int, items_main int, bytes int, mounts boolean, frameworks array<string>, islands boolean, custom int, hydrates boolean, waf boolean, js_required boolean, skeleton boolean"
-    d = spark.createDataFrame(_BARRIERS, cols)
+    d = spread(spark, sf_dir, spark.createDataFrame(_BARRIERS, cols), "page_id")
     return d.select("page_id", F.array_join(C.barriers(F.struct(*[c for c in d.columns if c != "page_id"])), ",").alias("reasons"))
 
 
@@ -202,12 +207,24 @@ def skeleton_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", C.skeleton(F.col("words"), F.col("markers"), F.col("headings")).alias("skeleton"), C.waf(F.col("ids"), F.col("inline"), F.lit(False), F.col("main"), total).alias("waf"), F.coalesce(F.col("noscript").rlike(C.JS_REQUIRED), F.lit(False)).alias("js_required"))
 
 
+def _matchable(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^0-9a-z]+', ' ', 'g'))"
+
+
 _PARITY = [(1, "The quick brown fox jumps over it. Menu", "The quick brown fox jumps over it. A second sentence appears only later here."), (2, "It&rsquo;s a fine day to write some text. ok", "x"), (3, "a", None), (4, "", "function foo() { return it; } is code here\nshort")]
 
 
-@query("sentence_parity", _table("page_id, sentences, missing, parity", "(1, 2::bigint, 1::bigint, 50.0::double)", "(2, 0, 0, 100.0)", "(4, 0, 0, 100.0)"))
+@query(
+    "sentence_parity",
+    rf"""with p as (select * from {dealt(seed_sql(_PARITY, 'page_id, raw, rendered'), 'page_id', mixed='raw')} where rendered is not null),
+    cut as (select page_id, raw, unnest(string_split_regex(regexp_replace(rendered, '([.!?])\s+', '\1' || chr(2), 'g'), '[\x02\n]+')) as s from p),
+    kept as (select page_id, raw, s from (select page_id, raw, trim(regexp_replace(s, '\s+', ' ', 'g')) as s from cut) where length(s) >= 25 and len(string_split(s, ' ')) >= 4 and not regexp_matches(s, '[{{}}<>|\\]|\)\s*;|=>|function\s*\(')),
+    probe as (select page_id, {_matchable('raw')} as raw, array_to_string(string_split({_matchable('s')}, ' ')[1:7], ' ') as probe from kept),
+    n as (select p.page_id, count(k.page_id) as sentences, count(*) filter (k.probe <> '' and not contains(k.raw, k.probe)) as missing from p left join probe k using (page_id) group by p.page_id)
+    select page_id, sentences, missing, case when sentences = 0 then 100.0::double else round_even((1 - missing / sentences::double) * 100, 1) end as parity from n""",
+)
 def sentence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sentence_parity(spark.createDataFrame(_PARITY, "page_id int, raw string, rendered string"))
+    return C.sentence_parity(spread(spark, sf_dir, spark.createDataFrame(_PARITY, "page_id int, raw string, rendered string"), "page_id", mixed="raw"))
 
 
 @query("links_after_js", _table("page_id, url", "(1, '/b')", "(2, '/c')"))
@@ -216,14 +233,14 @@ def links_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.only_rendered(a, spark.createDataFrame([(1, "/a"), (1, "/b"), (1, "/b"), (2, "/c")], "page_id int, url string"))
 
 
-_RAW, _DONE = [(1, "<h1>One</h1>")], [(1, "<h1>ONE</h1><h2>Two</h2>")]
+_RAW, _DONE = [(1, "<h1>One</h1>"), (2, "<h1>Same</h1>")], [(1, "<h1>ONE</h1><h2>Two</h2>"), (2, "<h1>same</h1><h3>More of it</h3>")]
 _HEADS = "select page_id, lower(unnest(regexp_extract_all(html, '<h[1-6]>([^<]+)', 1))) as text from "
 
 
-@query("headings_after_js", f"{_HEADS}{seed_sql(_DONE, 'page_id, html')} except all {_HEADS}{seed_sql(_RAW, 'page_id, html')}")
+@query("headings_after_js", f"{_HEADS}{dealt(seed_sql(_DONE, 'page_id, html'), 'page_id')} except all {_HEADS}{dealt(seed_sql(_RAW, 'page_id, html'), 'page_id')}")
 def headings_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, done = (spark.createDataFrame(x, "page_id long, html string") for x in (_RAW, _DONE))
-    low = lambda d: H.headings(H.events(d)).select(F.col("page_id").cast("int").alias("page_id"), F.lower("text").alias("text"))
+    raw, done = (spread(spark, sf_dir, spark.createDataFrame(x, "page_id long, html string"), "page_id") for x in (_RAW, _DONE))
+    low = lambda d: H.headings(H.events(d)).select("page_id", F.lower("text").alias("text"))
     return low(done).join(low(raw), ["page_id", "text"], "left_anti")
 
 
@@ -279,12 +296,12 @@ def landing_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.landing(p, H.events(p))
 
 
-_TITLES = "(values ('Home'), ('Untitled Document'), ('  '), ('Acme anvils'), ('My Blog'), ('Vite + React')) as t(title)"
+_TITLES = "(values (1, 'Home'), (2, 'Untitled Document'), (3, '  '), (4, 'Acme anvils'), (5, 'My Blog'), (6, 'Vite + React')) as t(page_id, title)"
 
 
-@query("default_titles", f"select title, trim(title) = '' or regexp_matches(title, {literal(C.DEFAULT_TITLE)}) as is_default from {_TITLES}")
+@query("default_titles", f"select page_id, title, trim(title) = '' or regexp_matches(title, {literal(C.DEFAULT_TITLE)}) as is_default from {dealt(_TITLES, 'page_id')}")
 def default_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_TITLES}").select("title", ((F.trim("title") == "") | F.col("title").rlike(C.DEFAULT_TITLE)).alias("is_default"))
+    return spread(spark, sf_dir, _TITLES, "page_id").select("page_id", "title", ((F.trim("title") == "") | F.col("title").rlike(C.DEFAULT_TITLE)).alias("is_default"))
 
 
 _JS = [
@@ -306,25 +323,25 @@ _OUTLINE = [(1, "<h1>A</h1><p>intro words here</p><h3>Why us?</h3><h2>What is it
 
 @query(
     "heading_outline",
-    f"""with l as (select page_id, list_transform(regexp_extract_all(html, '<h[1-6]>|aria-level=.[1-6]'), lambda x: cast(regexp_extract(x, '[1-6]') as int)) as l from {seed_sql(_OUTLINE, 'page_id, html')})
+    f"""with l as (select page_id, list_transform(regexp_extract_all(html, '<h[1-6]>|aria-level=.[1-6]'), lambda x: cast(regexp_extract(x, '[1-6]') as int)) as l from {dealt(seed_sql(_OUTLINE, 'page_id, html'), 'page_id')})
     select page_id, cast(len(l) as bigint) as headings, cast(len(list_filter(l, lambda x: x = 1)) as bigint) as h1_count, not list_contains(l, 1) as h1_missing, cast(len(list_filter(range(2, len(l) + 1), lambda i: l[i] > l[i - 1] + 1)) as bigint) as skipped, array_to_string(list_sort(list_distinct(l)), ',') as levels from l where len(l) > 0""",
 )
 def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .page_queries import outline
 
-    return outline(H.headings(H.events(spark.createDataFrame(_OUTLINE, "page_id long, html string")))).select("page_id", "headings", "h1_count", "h1_missing", "skipped", "levels")
+    return outline(H.headings(H.events(spread(spark, sf_dir, spark.createDataFrame(_OUTLINE, "page_id long, html string"), "page_id")))).select("page_id", "headings", "h1_count", "h1_missing", "skipped", "levels")
 
 
 @query(
     "question_headings",
-    f"""with m as (select page_id, unnest(regexp_extract_all(html, '<h[1-6]>[^<]+</h[1-6]>(?:<p>[^<]+)?')) as m from {seed_sql(_OUTLINE, 'page_id, html')}), t as (select page_id, regexp_extract(m, '>([^<]+)<', 1) as text, contains(m, '<p>') as answered from m)
+    f"""with m as (select page_id, unnest(regexp_extract_all(html, '<h[1-6]>[^<]+</h[1-6]>(?:<p>[^<]+)?')) as m from {dealt(seed_sql(_OUTLINE, 'page_id, html'), 'page_id')}), t as (select page_id, regexp_extract(m, '>([^<]+)<', 1) as text, contains(m, '<p>') as answered from m)
     select page_id, text, answered from t where regexp_matches(text, '[?؟]\\s*$') or regexp_matches(text, '(?i)^(what|how|why|when|where|who|which|whom|whose|is|are|can|could|does|do|did|should|will|would|may|might)\\b')""",
 )
 def question_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that ask, and whether any text comes before the next heading."""
     from pyspark.sql import Window
 
-    ev = H.events(spark.createDataFrame(_OUTLINE, "page_id long, html string"))
+    ev = H.events(spread(spark, sf_dir, spark.createDataFrame(_OUTLINE, "page_id long, html string"), "page_id"))
     h = H.headings(ev).withColumn("next", F.lead("el").over(Window.partitionBy("page_id").orderBy("n")))
     asks = F.col("text").rlike(r"[?؟]\s*$") | F.col("text").rlike(r"(?i)^(what|how|why|when|where|who|which|whom|whose|is|are|can|could|does|do|did|should|will|would|may|might)\b")
     q = h.where(asks).select("page_id", "n", "text", "el", "next")
@@ -377,6 +394,6 @@ def reused_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORIENT = "(values (1, 'Acme', null, 'T'), (2, null, null, 'T'), (3, '', 'what we do', ''), (4, 'A', 'b', 'c')) as t(page_id, brand, description, h1)"
 
 
-@query("orientation", f"select page_id, cast(coalesce(brand, '') <> '' as int) + cast(coalesce(description, '') <> '' as int) + cast(coalesce(h1, '') <> '' as int) >= 2 as orientation_ok from {_ORIENT}")
+@query("orientation", f"select page_id, cast(coalesce(brand, '') <> '' as int) + cast(coalesce(description, '') <> '' as int) + cast(coalesce(h1, '') <> '' as int) >= 2 as orientation_ok from {dealt(_ORIENT, 'page_id')}")
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_ORIENT}").select("page_id", C.orientation(F.col("brand"), F.col("description"), F.col("h1")).alias("orientation_ok"))
+    return spread(spark, sf_dir, _ORIENT, "page_id").select("page_id", C.orientation(F.col("brand"), F.col("description"), F.col("h1")).alias("orientation_ok"))
