@@ -19,9 +19,9 @@ def _table(cols: str, *rows: str) -> str:
     return f"select * from (values {', '.join(rows)}) as t({cols})"
 
 
-def _of_cases(key: str, cols: str, *rows: str, to: str = "page") -> str:
-    """SQL of what must be found in each case, for cases that are dealt out; every key has a row."""
-    return f"select * from {dealt(f'(select * from (values {", ".join(rows)}) as t({cols}))', key, to)} where true"
+def _of_cases(key: str, cols: str, *rows: str, to: str = "page", keys: list | None = None) -> str:
+    """SQL of what must be found in each case, for cases that are dealt out over the pages."""
+    return f"select * from {dealt(f'(select * from (values {", ".join(rows)}) as t({cols}))', key, to, keys=keys)} where true"
 
 
 _TEXTS = [
@@ -107,9 +107,9 @@ _CITED = [
 ]
 
 
-@query("citation_consistency", _table("site, fact, corroborating, conflicting, weak, contradicts", "('a', 'founding_year', 1::bigint, 1::bigint, 1::bigint, true)", "('b', 'headquarters', 1, 1, 0, false)"))
+@query("citation_consistency", _of_cases("site", "site, fact, corroborating, conflicting, weak, contradicts", "('a', 'founding_year', 1::bigint, 1::bigint, 1::bigint, true)", "('b', 'headquarters', 1, 1, 0, false)", to="host", keys=["a", "b", "c"]))
 def citation_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.citations(spark.createDataFrame(_CITED, "site string, fact string, on_site string, url string, title string, snippet string"))
+    return C.citations(spread(spark, sf_dir, spark.createDataFrame(_CITED, "site string, fact string, on_site string, url string, title string, snippet string"), "site", "host"))
 
 
 _FOUND = [
@@ -126,20 +126,21 @@ _FOUND = [
 _BRANDS = [("acme", "Acme", "acme.io"), ("blue sky", "Blue Sky", "bluesky.com"), ("lone", "Lone", "lone.dev")]
 
 
-def _results(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_FOUND, "site string, rank int, url string, title string, snippet string"), spark.createDataFrame(_BRANDS, "site string, brand string, domain string")
+def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found, brands = spark.createDataFrame(_FOUND, "site string, rank int, url string, title string, snippet string"), spark.createDataFrame(_BRANDS, "site string, brand string, domain string")
+    return spread(spark, sf_dir, found, "site", "host"), spread(spark, sf_dir, brands, "site", "host")
 
 
-@query("entity_match", _table("site, host, url, score", "('acme', 'wikipedia.org', 'https://en.wikipedia.org/wiki/Acme.io', 3)", "('acme', 'wikidata.org', 'https://www.wikidata.org/wiki/Q1', 2)", "('blue sky', 'wikipedia.org', 'https://en.wikipedia.org/wiki/Blue_sky_(film)', 2)"))
+@query("entity_match", _of_cases("site", "site, host, url, score", "('acme', 'wikipedia.org', 'https://en.wikipedia.org/wiki/Acme.io', 3)", "('acme', 'wikidata.org', 'https://www.wikidata.org/wiki/Q1', 2)", "('blue sky', 'wikipedia.org', 'https://en.wikipedia.org/wiki/Blue_sky_(film)', 2)", to="host", keys=["acme", "blue sky", "lone"]))
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, b = _results(spark)
+    r, b = _results(spark, sf_dir)
     parts = [C.entity_match(r, b, h).select("site", F.lit(h).alias("host"), "url", "score") for h in ("wikipedia.org", "wikidata.org")]
     return parts[0].unionByName(parts[1])
 
 
-@query("name_ambiguity", _table("site, rank, hosts, platforms, disambiguation, signals, risk", "('acme', 4::bigint, 3::bigint, 2::bigint, true, 3::bigint, 'elevated')", "('blue sky', 1, 3, 2, false, 0, 'low')", "('lone', null, 1, 0, false, 2, 'elevated')"))
+@query("name_ambiguity", _of_cases("site", "site, rank, hosts, platforms, disambiguation, signals, risk", "('acme', 4::bigint, 3::bigint, 2::bigint, true, 3::bigint, 'elevated')", "('blue sky', 1, 3, 2, false, 0, 'low')", "('lone', null, 1, 0, false, 2, 'elevated')", to="host"))
 def name_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ambiguity(*_results(spark))
+    return C.ambiguity(*_results(spark, sf_dir))
 
 
 _SAME = "(values ('a', 'https://github.com/a'), ('a', 'https://x.com/a'), ('b', 'https://notgithub.com.evil.net/'), ('b', 'https://de.wikipedia.org/wiki/B'), ('c', 'https://hub.docker.com/u/c')) as t(site, url)"
@@ -199,11 +200,11 @@ def rendering_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", F.array_join(C.barriers(F.struct(*[c for c in d.columns if c != "page_id"])), ",").alias("reasons"))
 
 
-@query("skeleton_screens", _table("page_id, skeleton, waf, js_required", "(1, true, false, true)", "(2, false, true, false)", "(3, true, true, false)", "(4, false, false, true)"))
+@query("skeleton_screens", _of_cases("page_id", "page_id, skeleton, waf, js_required", "(1, true, false, true)", "(2, false, true, false)", "(3, true, true, false)", "(4, false, false, true)"))
 def skeleton_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, 50, False, ["a", "a", "a", "b"], False, False, 50, "Please enable JavaScript"), (2, 500, True, [], True, False, 20, "ok"), (3, 20, True, ["x"], False, True, 20, None), (4, 60, False, ["a", "b", "c", "d"], True, False, 60, "This site requires javascript")]
-    d = spark.createDataFrame(rows, "page_id int, words int, markers boolean, headings array<string>, ids boolean, inline boolean, main int, noscript string")
-    total = F.when(F.col("page_id") == 2, 200).otherwise(F.col("words"))
+    d = spread(spark, sf_dir, spark.createDataFrame([(*r, 200 if r[0] == 2 else r[1]) for r in rows], "page_id int, words int, markers boolean, headings array<string>, ids boolean, inline boolean, main int, noscript string, total int"), "page_id")
+    total = F.col("total")
     return d.select("page_id", C.skeleton(F.col("words"), F.col("markers"), F.col("headings")).alias("skeleton"), C.waf(F.col("ids"), F.col("inline"), F.lit(False), F.col("main"), total).alias("waf"), F.coalesce(F.col("noscript").rlike(C.JS_REQUIRED), F.lit(False)).alias("js_required"))
 
 
@@ -227,10 +228,13 @@ def sentence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sentence_parity(spread(spark, sf_dir, spark.createDataFrame(_PARITY, "page_id int, raw string, rendered string"), "page_id", mixed="raw"))
 
 
-@query("links_after_js", _table("page_id, url", "(1, '/b')", "(2, '/c')"))
+_LINKS_RAW, _LINKS_DONE = [(1, "/a"), (1, "/a"), (2, "/z")], [(1, "/a"), (1, "/b"), (1, "/b"), (2, "/c")]
+
+
+@query("links_after_js", f"select * from {dealt(seed_sql(_LINKS_DONE, 'page_id, url'), 'page_id')} except select * from {dealt(seed_sql(_LINKS_RAW, 'page_id, url'), 'page_id')}")
 def links_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(1, "/a"), (1, "/a")], "page_id int, url string")
-    return C.only_rendered(a, spark.createDataFrame([(1, "/a"), (1, "/b"), (1, "/b"), (2, "/c")], "page_id int, url string"))
+    raw, done = (spread(spark, sf_dir, spark.createDataFrame(x, "page_id int, url string"), "page_id") for x in (_LINKS_RAW, _LINKS_DONE))
+    return C.only_rendered(raw, done)
 
 
 _RAW, _DONE = [(1, "<h1>One</h1>"), (2, "<h1>Same</h1>")], [(1, "<h1>ONE</h1><h2>Two</h2>"), (2, "<h1>same</h1><h3>More of it</h3>")]
@@ -247,9 +251,9 @@ def headings_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALTS = [(None, "a.jpg"), ("", "a.jpg"), ("Image 2", "x"), ("IMG_2041", "y"), ("photo.jpg", ""), ("Canva", "/canva.png"), ("team_photo_02", "/team_photo_02.jpg"), ("coca-cola", "coca-cola.png"), ("hero-banner-final", "hero-banner-final.png"), ("A red fox", "fox.png"), ("placeholder", None)]
 
 
-@query("alt_classes", _table("alt, class", "(null, 'missing')", "('', 'decorative')", "('Image 2', 'generic')", "('IMG_2041', 'generic')", "('photo.jpg', 'generic')", "('Canva', 'descriptive')", "('team_photo_02', 'generic')", "('coca-cola', 'descriptive')", "('hero-banner-final', 'generic')", "('A red fox', 'descriptive')", "('placeholder', 'generic')"))
+@query("alt_classes", _of_cases("page_id", "page_id, alt, class", "(1, null, 'missing')", "(2, '', 'decorative')", "(3, 'Image 2', 'generic')", "(4, 'IMG_2041', 'generic')", "(5, 'photo.jpg', 'generic')", "(6, 'Canva', 'descriptive')", "(7, 'team_photo_02', 'generic')", "(8, 'coca-cola', 'descriptive')", "(9, 'hero-banner-final', 'generic')", "(10, 'A red fox', 'descriptive')", "(11, 'placeholder', 'generic')"))
 def alt_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_ALTS, "alt string, src string").select("alt", C.alt_class(F.col("alt"), F.col("src")).alias("class"))
+    return spread(spark, sf_dir, spark.createDataFrame([(i, *a) for i, a in enumerate(_ALTS, 1)], "page_id int, alt string, src string"), "page_id").select("page_id", "alt", C.alt_class(F.col("alt"), F.col("src")).alias("class"))
 
 
 _MEDIA = [
@@ -259,18 +263,18 @@ _MEDIA = [
 ]
 
 
-@query("media_signals", _table("page_id, img_missing, img_decorative, img_descriptive, svg_unlabeled, controls_unlabeled, media_no_captions, iframes_no_title, canvas_no_fallback, icons_unlabeled, pdf_links", "(1::bigint, 2::bigint, 3::bigint, 1::bigint, 1::bigint, 2::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint)", "(2, 0, 0, 0, 0, 0, 2, 1, 1, 1, 1)", "(3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)"))
+@query("media_signals", _of_cases("page_id", "page_id, img_missing, img_decorative, img_descriptive, svg_unlabeled, controls_unlabeled, media_no_captions, iframes_no_title, canvas_no_fallback, icons_unlabeled, pdf_links", "(1::bigint, 2::bigint, 3::bigint, 1::bigint, 1::bigint, 2::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint)", "(2, 0, 0, 0, 0, 0, 2, 1, 1, 1, 1)", "(3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)"))
 def media_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = C.media(H.events(spark.createDataFrame(_MEDIA, "page_id long, html string")))
+    m = C.media(H.events(spread(spark, sf_dir, spark.createDataFrame(_MEDIA, "page_id long, html string"), "page_id")))
     return m.select("page_id", "img_missing", "img_decorative", "img_descriptive", "svg_unlabeled", "controls_unlabeled", "media_no_captions", "iframes_no_title", "canvas_no_fallback", "icons_unlabeled", "pdf_links")
 
 
-@query("pdf_text_layer", _table("name, has_text, method", "('tagged', true, 'tagged_structure')", "('flate', true, 'flate_decoded_text_operators')", "('scan', false, 'image_xobject_no_text')", "('cut', null, 'inconclusive_truncated')", "('html', false, 'not_a_pdf')", "('plain', true, 'uncompressed_text_operators')"))
+@query("pdf_text_layer", _of_cases("page_id", "page_id, name, has_text, method", "(1, 'tagged', true, 'tagged_structure')", "(2, 'flate', true, 'flate_decoded_text_operators')", "(3, 'scan', false, 'image_xobject_no_text')", "(4, 'cut', null, 'inconclusive_truncated')", "(5, 'html', false, 'not_a_pdf')", "(6, 'plain', true, 'uncompressed_text_operators')"))
 def pdf_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = zlib.compress(b"BT /F1 12 Tf (Hi) Tj ET")
     rows = [("tagged", b"%PDF-1 /StructTreeRoot", False), ("flate", b"%PDF-1\nstream\n" + packed + b"\nendstream", False), ("scan", b"%PDF-1 /Subtype /Image", False), ("cut", b"%PDF-1 zzz", True), ("html", b"<html>", False), ("plain", b"%PDF-1 BT (x) Tj ET", False)]
-    d = spark.createDataFrame([(n, bytearray(b), t) for n, b, t in rows], "name string, data binary, cut boolean")
-    return d.withColumn("p", C.pdf_text_layer("data", "cut")).select("name", "p.has_text", "p.method")
+    d = spread(spark, sf_dir, spark.createDataFrame([(i, n, bytearray(b), t) for i, (n, b, t) in enumerate(rows, 1)], "page_id int, name string, data binary, cut boolean"), "page_id")
+    return d.withColumn("p", C.pdf_text_layer("data", "cut")).select("page_id", "name", "p.has_text", "p.method")
 
 
 _LANDING = [
@@ -281,9 +285,7 @@ _LANDING = [
 ]
 
 
-@query(
-    "landing_signals",
-    _table(
+@query("landing_signals", _of_cases("page_id", 
         "page_id, utility, cta, nav, contact, privacy, terms, internal_links, empty_links, dead_end, placeholders, interstitial, audience, mixed_content, cookie_banner, login_gate",
         "(1::bigint, false, true, true, true, true, false, 3::bigint, 0::bigint, false, 'lorem ipsum', '', 'built for', 1::bigint, false, false)",
         "(2, false, false, false, false, false, false, 0, 1, true, '', '', null, 0, false, false)",
@@ -292,7 +294,7 @@ _LANDING = [
     ),
 )
 def landing_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(_LANDING, "page_id long, url string, html string")
+    p = spread(spark, sf_dir, spark.createDataFrame(_LANDING, "page_id long, url string, html string"), "page_id")
     return C.landing(p, H.events(p))
 
 
@@ -312,9 +314,9 @@ _JS = [
 ]
 
 
-@query("client_redirects", _table("page_id, meta, load, event, routing, redirects", "(1::bigint, '/new', '/a', '', '', true)", "(2, '', '', '/b', '', false)", "(3, '', '/no,/d', '/c', '', true)", "(4, '', '', '', 'History API pushState/replaceState,React Router useNavigate hook', false)"))
+@query("client_redirects", _of_cases("page_id", "page_id, meta, load, event, routing, redirects", "(1::bigint, '/new', '/a', '', '', true)", "(2, '', '', '/b', '', false)", "(3, '', '/no,/d', '/c', '', true)", "(4, '', '', '', 'History API pushState/replaceState,React Router useNavigate hook', false)"))
 def client_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = C.redirects(H.events(spark.createDataFrame(_JS, "page_id long, html string")))
+    r = C.redirects(H.events(spread(spark, sf_dir, spark.createDataFrame(_JS, "page_id long, html string"), "page_id")))
     return r.select("page_id", *[F.array_join(c, ",").alias(c) for c in ("meta", "load", "event", "routing")], "redirects")
 
 
@@ -350,7 +352,7 @@ def question_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("page_id", "n", "text").agg(F.bool_or(F.col("b_el").isNotNull()).alias("answered")).select("page_id", "text", "answered")
 
 
-@query("content_positioning", _table("page_id, total, before, share, front_loaded", "(1::bigint, 100::bigint, 20::bigint, 0.2::double, true)", "(2, 100, 60, 0.6, false)"))
+@query("content_positioning", _of_cases("page_id", "page_id, total, before, share, front_loaded", "(1::bigint, 100::bigint, 20::bigint, 0.2::double, true)", "(2, 100, 60, 0.6, false)", keys=[1, 2, 3, 4]))
 def content_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far into a page's words its first block of twelve words comes; pages of fewer than 80 words are not judged."""
     from pyspark.sql import Window
@@ -359,36 +361,42 @@ def content_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
         return " ".join(["w"] * n)
 
     rows = [(1, "".join(f"<li>{words(5)}</li>" for _ in range(4)) + f"<p>{words(80)}</p><footer>{words(50)}</footer>"), (2, "".join(f"<li>{words(6)}</li>" for _ in range(10)) + f"<p>{words(40)}</p>"), (3, f"<p>{words(20)}</p>"), (4, "".join("<li>a b</li>" for _ in range(60)))]
-    b = H.text_blocks(H.events(spark.createDataFrame(rows, "page_id long, html string")))
+    b = H.text_blocks(H.events(spread(spark, sf_dir, spark.createDataFrame(rows, "page_id long, html string"), "page_id")))
     w = Window.partitionBy("page_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     c = b.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
     g = c.groupBy("page_id").agg(F.sum("words").alias("total"), F.min(F.when(F.col("words") >= 12, F.col("before"))).alias("before")).where("total >= 80 and before is not null")
     return g.withColumn("share", F.bround(F.col("before") / F.col("total"), 4)).withColumn("front_loaded", F.col("share") <= 0.3)
 
 
-_HEADERS = [("https://a.com/1?x=1", "Acme Inc | Home", "Welcome", "We sell anvils"), ("https://www.a.com/1", "Acme Inc | Home", "Welcome", "We sell anvils"), ("https://a.com/2", "Acme Inc | Shop", "Shop", "WE SELL anvils"), ("https://a.com/3", "Contact", "Contact us", "Other")]
+_HEADERS = [(1, "Acme Inc | Home", "Welcome", "We sell anvils"), (2, "Acme Inc | Shop", "Shop", "WE SELL anvils"), (3, "Contact", "Contact us", "Other")]
+_SEGMENTS = "select scope, page_id, generate_subscripts(parts, 1) as k, trim(unnest(parts)) as segment from (select scope, page_id, list_concat(string_split_regex(title, '[|:—•-]'), string_split_regex(h1, '[|:—•-]')) as parts from h)"
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, scope, url, title, h1, description): what each page calls itself, by host."""
+    d = spread(spark, sf_dir, spark.createDataFrame(_HEADERS, "page_id int, title string, h1 string, description string"), "page_id")
+    return d.join(pages(spark, sf_dir).select("page_id", "url", C.U.host(F.col("url")).alias("scope")), "page_id")
 
 
-_SEGMENTS = "select pos, generate_subscripts(parts, 1) as k, trim(unnest(parts)) as segment from (select pos, list_concat(string_split_regex(title, '[|:—•-]'), string_split_regex(h1, '[|:—•-]')) as parts from h)"
+_HEADS_SQL = f"h as (select d.*, p.url, regexp_replace(lower(regexp_extract(p.url, '://([^/?#]*)', 1)), '^www\\.', '') as scope from {dealt(seed_sql(_HEADERS, 'page_id, title, h1, description'), 'page_id')} d join pages p using (page_id))"
 
 
 @query(
     "brand_phrase",
-    f"""with h as (select * from {seed_sql([(i, *r) for i, r in enumerate(_HEADERS)], 'pos, url, title, h1, description')}), s as ({_SEGMENTS}),
-    c as (select lower(segment) as brand, count(*) as n, min(pos * 1000 + k) as first from s where length(segment) >= 2 group by 1 having count(*) > 1) select brand, n from c order by n desc, first limit 1""",
+    f"""with {_HEADS_SQL}, s as ({_SEGMENTS}),
+    c as (select scope, lower(segment) as brand, count(*) as n, min((page_id, k)) as first from s where length(segment) >= 2 group by 1, 2 having count(*) > 1) select scope as host, brand, n from c qualify row_number() over (partition by scope order by n desc, first) = 1""",
 )
 def brand_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segment that titles and headings repeat most; of equals, the first seen."""
-    d = spark.createDataFrame([(i, *r) for i, r in enumerate(_HEADERS)], "pos int, url string, title string, h1 string, description string")
-    s = d.select("pos", F.posexplode(F.concat(F.split("title", r"[|\-:—•]"), F.split("h1", r"[|\-:—•]"))).alias("k", "segment")).withColumn("segment", F.trim("segment")).where("length(segment) >= 2")
-    c = s.groupBy(F.lower("segment").alias("brand")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "k")).alias("first")).where("n > 1")
-    return c.agg(F.max_by("brand", F.struct("n", -F.col("first.pos"), -F.col("first.k"))).alias("brand"), F.max("n").alias("n"))
+    """The segment that the titles and headings of a host repeat most; of equals, the first seen."""
+    s = _headers(spark, sf_dir).select("scope", "page_id", F.posexplode(F.concat(F.split("title", r"[|\-:—•]"), F.split("h1", r"[|\-:—•]"))).alias("k", "segment")).withColumn("segment", F.trim("segment")).where("length(segment) >= 2")
+    c = s.groupBy("scope", F.lower("segment").alias("brand")).agg(F.count("*").alias("n"), F.min(F.struct("page_id", "k")).alias("first")).where("n > 1")
+    return c.groupBy(F.col("scope").alias("host")).agg(F.max_by("brand", F.struct("n", -F.col("first.page_id"), -F.col("first.k"))).alias("brand"), F.max("n").alias("n"))
 
 
-@query("reused_descriptions", f"select lower(description) as description, count(distinct regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.)?', '')) as pages from {seed_sql(_HEADERS, 'url, title, h1, description')} group by 1 having pages >= 2")
+@query("reused_descriptions", f"with {_HEADS_SQL} select scope as host, lower(description) as description, count(distinct regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.)?', ''), '/+$', '')) as pages from h group by 1, 2 having pages >= 2")
 def reused_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(_HEADERS, "url string, title string, h1 string, description string")
-    return d.groupBy(F.lower("description").alias("description")).agg(F.countDistinct(C.U.page_key(F.col("url"))).alias("pages")).where("pages >= 2")
+    d = _headers(spark, sf_dir)
+    return d.groupBy(F.col("scope").alias("host"), F.lower("description").alias("description")).agg(F.countDistinct(C.U.page_key(F.col("url"))).alias("pages")).where("pages >= 2")
 
 
 _ORIENT = "(values (1, 'Acme', null, 'T'), (2, null, null, 'T'), (3, '', 'what we do', ''), (4, 'A', 'b', 'c')) as t(page_id, brand, description, h1)"

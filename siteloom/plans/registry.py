@@ -63,13 +63,14 @@ _TAKERS = {
 }
 
 
-def dealt(seed: str, key: str, to: str = "page", mixed: str | None = None) -> str:
+def dealt(seed: str, key: str, to: str = "page", mixed: str | None = None, keys: list | None = None) -> str:
     """SQL of the cases of ``seed`` dealt out over ``pages``: each page, host or address in turn has the rows of one key, under its own name.
 
-    The markup or text in the column ``mixed`` is followed by the page's own.
+    The markup or text in the column ``mixed`` is followed by the page's own. ``keys`` names all keys where some have no row.
     """
+    listed = f"[{', '.join(map(literal, keys))}]" if keys else f"(select list_sort(list(distinct {key})) from {seed})"
     own = f", s.{mixed} || p.own as {mixed}" if mixed else ""
-    return f"""(select p.taker as {key}, s.* exclude ({key}{f", {mixed}" if mixed else ""}){own} from (select t.*, (select list_sort(list(distinct {key})) from {seed}) as ks from ({_TAKERS[to]}) t) p join (select * from {seed}) s on s.{key} = p.ks[p.turn % len(p.ks) + 1])"""
+    return f"""(select p.taker as {key}, s.* exclude ({key}{f", {mixed}" if mixed else ""}){own} from (select t.*, {listed} as ks from ({_TAKERS[to]}) t) p join (select * from {seed}) s on s.{key} = p.ks[p.turn % len(p.ks) + 1])"""
 
 
 def spread(spark: SparkSession, sf_dir: str, seed: str | DataFrame, key: str, to: str = "page", mixed: str | None = None) -> DataFrame:
