@@ -48,14 +48,22 @@ _DIRECTIVES = """(values (1, 'https://www.a.com/x/', '<meta name="Robots" conten
  (3, 'https://a.com/z', '<link rel="alternate canonical" href="/other"><link rel="canonical" href="z2">', 'nofollow'), (4, 'https://a.com/w', '<meta name="description" content="noindex">', 'none, noarchive'), (5, 'https://a.com/v', '', '')) as t(page_id, url, html, x_robots)"""
 
 
+def _lists(text: str, word: str) -> str:
+    return f"(contains({text}, '{word}') or list_contains(list_transform(string_split({text}, ','), lambda x: trim(x)), 'none'))"
+
+
 @query(
     "page_directives",
-    """select * from (values (1, true, false, true, false, false, false), (2, true, false, true, true, false, false), (3, false, false, false, true, true, true), (4, false, true, true, true, false, false), (5, false, false, false, false, false, false))
-    as t(page_id, noindex_meta, noindex_header, is_noindex, is_nofollow, duplicate_canonical, canonical_differs)""",
+    f"""with d as (select * from {dealt(_DIRECTIVES, 'page_id')}),
+    m as (select page_id, url, lower(coalesce(x_robots, '')) as header, regexp_extract_all(html, '<meta [^>]*>') as metas, list_filter(regexp_extract_all(html, '<link [^>]*>'), lambda l: list_contains(string_split(regexp_extract(l, 'rel="([^"]*)"', 1), ' '), 'canonical')) as links from d),
+    n as (select page_id, url, header, coalesce(array_to_string(list_transform(list_filter(metas, lambda t: list_contains([{", ".join(f"'{x}'" for x in A.ROBOTS_META)}], lower(regexp_extract(t, 'name="([^"]*)"', 1)))), lambda t: lower(regexp_extract(t, 'content="([^"]*)"', 1))), ','), '') as meta, len(links) as canonicals, regexp_extract(links[1], 'href="([^"]*)"', 1) as first_c, regexp_extract(links[len(links)], 'href="([^"]*)"', 1) as c from m),
+    f as (select *, case when contains(c, '://') then c when starts_with(c, '/') then regexp_extract(url, '^[a-z]+://[^/]*') || c else regexp_replace(url, '[^/]*$', '') || c end as whole from n)
+    select page_id, {_lists('meta', 'noindex')} as noindex_meta, {_lists('header', 'noindex')} as noindex_header, {_lists('meta', 'noindex')} or {_lists('header', 'noindex')} as is_noindex, {_lists('meta', 'nofollow')} or {_lists('header', 'nofollow')} as is_nofollow, canonicals > 1 as duplicate_canonical,
+    coalesce(coalesce(c, '') <> '' and lower(regexp_replace(regexp_replace(whole, '^https?://(www\\.)?', ''), '/+$', '')) <> lower(regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '/+$', '')), false) as canonical_differs from f""",
 )
 def page_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = values(spark, _DIRECTIVES).withColumn("headers", F.create_map(F.lit("X-Robots-Tag"), "x_robots")).withColumn("page_id", F.col("page_id").cast("long"))
-    return A.directives(p, H.events(p)).withColumn("page_id", F.col("page_id").cast("int"))
+    p = spread(spark, sf_dir, _DIRECTIVES, "page_id").withColumn("headers", F.create_map(F.lit("X-Robots-Tag"), "x_robots"))
+    return A.directives(p, H.events(p))
 
 
 _TLS = "(values ('a.com', true, null, '2025-03-01'), ('b.com', true, null, '2025-01-10'), ('c.com', true, 10, null), ('d.com', true, 62, null), ('e.com', true, 99, null), ('f.com', false, null, null)) as t(host, reachable, verify_code, not_after)"

@@ -1,4 +1,4 @@
-"""Queries over seeds for the operators in ``evidence``; the SQL states what they must find."""
+"""Queries for the operators in ``evidence``: cases of each kind, dealt out over the pages and hosts of ``pages``."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from ..operators import content as C
 from ..operators import evidence as G
 from ..operators import html_events as H
 from ..operators import structured as S
-from .content_queries import _table
+from .content_queries import _of_cases
 from .page_queries import thin
-from .registry import literal, query, values
+from .registry import dealt, literal, query, spread
 
 _LISTS = [
     (1, '<article><footer><time datetime="2024-05-01T10:00">May</time></footer></article><time>March 3, 2023</time><footer><time datetime="2025-01-01">x</time> 2025</footer>'),
@@ -21,9 +21,9 @@ _LISTS = [
 ]
 
 
-@query("listing_dates", _table("page_id, raw, relative, structured", "(1::bigint, '2024-05-01T10:00', false, true)", "(1, 'March 3, 2023', false, true)", "(2, 'Posted 11 March 2022', false, false)", "(3, '2 days ago', true, true)", "(3, '2019', false, false)"))
+@query("listing_dates", _of_cases("page_id", "page_id, raw, relative, structured", "(1::bigint, '2024-05-01T10:00', false, true)", "(1, 'March 3, 2023', false, true)", "(2, 'Posted 11 March 2022', false, false)", "(3, '2 days ago', true, true)", "(3, '2019', false, false)", keys=[1, 2, 3, 4]))
 def listing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.listing_dates(H.events(spark.createDataFrame(_LISTS, "page_id long, html string")))
+    return G.listing_dates(H.events(spread(spark, sf_dir, spark.createDataFrame(_LISTS, "page_id long, html string"), "page_id")))
 
 
 _INTENTS = [
@@ -38,72 +38,68 @@ _INTENTS = [
 ]
 
 
-@query(
-    "page_intent",
-    _table("page_id, intent, basis", "(1, 'product', 'schema_or_og')", "(2, 'homepage', 'schema_or_og')", "(3, 'article', 'url_path_or_layout_or_default')", "(4, 'product', 'schema_or_og')", "(5, 'service', 'url_path_or_layout_or_default')", "(6, 'utility', 'url_path_or_layout_or_default')", "(7, 'service', 'url_path_or_layout_or_default')", "(8, 'media', 'schema_or_og')"),
+@query("page_intent", _of_cases("page_id", "page_id, intent, basis", "(1, 'product', 'schema_or_og')", "(2, 'homepage', 'schema_or_og')", "(3, 'article', 'url_path_or_layout_or_default')", "(4, 'product', 'schema_or_og')", "(5, 'service', 'url_path_or_layout_or_default')", "(6, 'utility', 'url_path_or_layout_or_default')", "(7, 'service', 'url_path_or_layout_or_default')", "(8, 'media', 'schema_or_og')"),
 )
 def page_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.page_intent(spark.createDataFrame(_INTENTS, "page_id int, url string, types array<string>, og_type string, layout string, hint string, form_page boolean"))
+    return G.page_intent(spread(spark, sf_dir, spark.createDataFrame(_INTENTS, "page_id int, url string, types array<string>, og_type string, layout string, hint string, form_page boolean"), "page_id"))
 
 
 _SAME = '<script type="application/ld+json">{"@type":"Dentist","sameAs":["https://x.com/A/","https://X.com/A","",{"@id":"https://ror.org/1"}],"member":{"@type":"Person","sameAs":"https://orcid.org/2"},"part":{"@type":"WebPage","sameAs":"https://no.org"}}</script>'
 
 
-@query("same_as_links", _table("page_id, n, url", "(1::bigint, 1, 'https://x.com/A/')", "(1, 2, 'https://ror.org/1')", "(1, 3, 'https://orcid.org/2')"))
+@query("same_as_links", _of_cases("page_id", "page_id, n, url", "(1::bigint, 1, 'https://x.com/A/')", "(1, 2, 'https://ror.org/1')", "(1, 3, 'https://orcid.org/2')", keys=[1, 2]))
 def same_as_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.same_as(S.nodes(spark.createDataFrame([(1, _SAME)], "page_id long, html string")))
+    return G.same_as(S.nodes(spread(spark, sf_dir, spark.createDataFrame([(1, _SAME), (2, "<p>no data</p>")], "page_id long, html string"), "page_id", mixed="html")))
 
 
 _CALLED = "(values (1, 'Acme', 'Site', 'T | Other', null, 'we make very good anvils', null, null, null), (2, null, 'Site', 'T', null, 'short', 'an organisation that makes things', null, null), (3, null, null, 'Anvils — Acme Co', null, null, null, 'six words are what it takes', null), (4, null, null, 'Plain', 'Acme logo', null, null, 'five words only here now', 'open graph has four words'), (5, '', '', '', null, '', '', '', '')) as t(page_id, org_name, og_site, title, logo_alt, meta, org_description, subhead, og_description)"
 
 
-@query(
-    "brand_candidates",
-    _table("page_id, brand, brand_source, description, description_source", "(1, 'Acme', 'jsonld_organization', 'we make very good anvils', 'meta_description')", "(2, 'Site', 'og:site_name', 'an organisation that makes things', 'jsonld_description')", "(3, 'Acme Co', 'title_suffix', 'six words are what it takes', 'subhead_paragraph')", "(4, 'Acme logo', 'logo_alt', 'open graph has four words', 'og:description')", "(5, null, null, null, null)"),
+@query("brand_candidates", _of_cases("page_id", "page_id, brand, brand_source, description, description_source", "(1, 'Acme', 'jsonld_organization', 'we make very good anvils', 'meta_description')", "(2, 'Site', 'og:site_name', 'an organisation that makes things', 'jsonld_description')", "(3, 'Acme Co', 'title_suffix', 'six words are what it takes', 'subhead_paragraph')", "(4, 'Acme logo', 'logo_alt', 'open graph has four words', 'og:description')", "(5, null, null, null, null)"),
 )
 def brand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.brand_candidates(values(spark, _CALLED))
+    return G.brand_candidates(spread(spark, sf_dir, _CALLED, "page_id"))
 
 
-_FETCHED = "(values ('u1', false), ('u1', false), ('u2', false), ('u3', true)) as f(url, allowed)"
-_DECIDED = "(values ('u1', false, 'disallow', 'Disallow: /x'), ('u4', false, 'unreachable', null), ('u5', true, 'allow', null)) as d(url, allowed, source, rule)"
+_FETCHED = "(values ('u1', false), ('u1', false), ('u2', false), ('u3', true), ('u4', true), ('u5', true)) as f(url, allowed)"
+_DECIDED = "(values ('u1', false, 'disallow', 'Disallow: /x'), ('u2', true, 'allow', null), ('u3', true, 'allow', null), ('u4', false, 'unreachable', null), ('u5', true, 'allow', null)) as d(url, allowed, source, rule)"
 
 
-@query("refused_fetches", f"select url, source as reason, rule from {_DECIDED} where not allowed union select url, 'disallowed', null from {_FETCHED} where not allowed and url not in (select url from {_DECIDED} where not allowed)")
+@query("refused_fetches", f"with d as (select * from {dealt(_DECIDED, 'url', 'url')}), f as (select * from {dealt(_FETCHED, 'url', 'url')}) select url, source as reason, rule from d where not allowed union select url, 'disallowed', null from f where not allowed and url not in (select url from d where not allowed)")
 def refused_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.refused(values(spark, _FETCHED), values(spark, _DECIDED))
+    return G.refused(spread(spark, sf_dir, _FETCHED, "url", "url"), spread(spark, sf_dir, _DECIDED, "url", "url"))
 
 
-_SEEN, _ALSO = "(values ('a', 'u1'), ('a', 'u2'), ('b', null)) as t(site, url)", "(values ('a', 'u1'), ('a', 'u1')) as t(site, url)"
+_SEEN, _ALSO = "(values ('a', 'u1'), ('a', 'u2'), ('b', null)) as t(site, url)", "(values ('a', 'u1'), ('a', 'u1'), ('b', null)) as t(site, url)"
 
 
-@query("audited_pages", f"select site, greatest(count(distinct url), 1) as pages from (select * from {_SEEN} union all select * from {_ALSO}) group by site")
+@query("audited_pages", f"select site, greatest(count(distinct url), 1) as pages from (select * from {dealt(_SEEN, 'site', 'host')} union all select * from {dealt(_ALSO, 'site', 'host')}) group by site")
 def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.audited_pages(values(spark, _SEEN), values(spark, _ALSO))
+    return G.audited_pages(spread(spark, sf_dir, _SEEN, "site", "host"), spread(spark, sf_dir, _ALSO, "site", "host"))
 
 
 _RES = "(values (1, 1, 'a', 100, null), (1, 2, 'b', null, 'timeout'), (1, 16, 'c', 5, null), (2, 1, 'd', 7, null)) as t(page_id, pos, url, length, error)"
 
 
-@query("measured_resources", f"select page_id, count(*) as found, count(*) filter (pos <= 15) as measured, cast(coalesce(sum(length) filter (pos <= 15), 0) as bigint) as bytes, count(*) filter (pos <= 15 and length is null) as errors from {_RES} group by page_id")
+@query("measured_resources", f"select page_id, count(*) as found, count(*) filter (pos <= 15) as measured, cast(coalesce(sum(length) filter (pos <= 15), 0) as bigint) as bytes, count(*) filter (pos <= 15 and length is null) as errors from {dealt(_RES, 'page_id')} group by page_id")
 def measured_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.measured_resources(values(spark, _RES))
+    return G.measured_resources(spread(spark, sf_dir, _RES, "page_id"))
 
 
-@query("element_snippets", _table("n, snippet", "(1, '<img src=\"a\" alt=\"b\">')", "(2, '<img src=\"" + "x" * 60 + "…\">')", "(3, '<p>')", "(4, '<a href=\"" + "y" * 60 + "…\" class=\"" + "z" * 41 + "…')"))
+@query("element_snippets", _of_cases("page_id", "page_id, snippet", "(1, '<img src=\"a\" alt=\"b\">')", "(2, '<img src=\"" + "x" * 60 + "…\">')", "(3, '<p>')", "(4, '<a href=\"" + "y" * 60 + "…\" class=\"" + "z" * 41 + "…')"))
 def element_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = ['<img src="a" alt="b">', f'<img src="{"x" * 70}">', "<p>", f'<a href="{"y" * 70}" class="{"z" * 60}">']
-    ev = H.events(spark.createDataFrame(list(enumerate(html, 1)), "page_id long, html string")).where("kind = 'start'")
-    return ev.select(F.col("page_id").cast("int").alias("n"), G.snippet(F.col("tag"), F.col("attrs")).alias("snippet"))
+    ev = H.events(spread(spark, sf_dir, spark.createDataFrame(list(enumerate(html, 1)), "page_id long, html string"), "page_id")).where("kind = 'start'")
+    return ev.select("page_id", G.snippet(F.col("tag"), F.col("attrs")).alias("snippet"))
 
 
 _WALLS = [(1, '<nav>menu</nav><form><input type="password"></form>', 200), (2, f'<form><input type="PASSWORD"></form><p>{"long text " * 20}</p>', 200), (3, "<form><input></form>", 404), (4, f"<header>{'menu ' * 200}</header><p>{'word ' * 20}</p>", 200)]
 
 
-@query("login_walls", _table("page_id, main_chars, thin, login_wall, scanned", "(1::bigint, 0::bigint, true, true, true)", "(2, 199, false, false, true)", "(3, 0, true, false, false)", "(4, 99, true, false, true)"))
+@query("login_walls", _of_cases("page_id", "page_id, main_chars, thin, login_wall, scanned", "(1::bigint, 0::bigint, true, true, true)", "(2, 199, false, false, true)", "(3, 0, true, false, false)", "(4, 99, true, false, true)"))
 def login_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form with a password on a page with hardly any text; pages that did not load are not judged by their text."""
-    p = spark.createDataFrame(_WALLS, "page_id long, html string, status int")
+    p = spread(spark, sf_dir, spark.createDataFrame(_WALLS, "page_id long, html string, status int"), "page_id")
     ev = H.events(p)
     main = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "text") & ~F.col("unshown") & ~F.col("chrome") & (F.trim("text") != ""), F.struct("seq", F.trim("text").alias("t"))))), lambda x: x["t"]), " ")
     every = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "text") & ~F.col("unshown") & (F.trim("text") != ""), F.struct("seq", F.trim("text").alias("t"))))), lambda x: x["t"]), " ")
@@ -116,17 +112,17 @@ def login_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAISED = "(values ('a', 'landing_dead_end', 2), ('a', 'landing_dead_end', 3), ('a', 'title_default', 1), ('b', 'title_default', 5), ('b', 'title_default', 9)) as t(site, slug, page_id)"
 
 
-@query("first_per_site", f"select site, slug, min(page_id) as page_id from {_RAISED} group by site, slug")
+@query("first_per_site", f"select site, slug, min(page_id) as page_id from {dealt(_RAISED, 'site', 'host')} group by site, slug")
 def first_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a site has once, on the first page that raises them."""
-    return values(spark, _RAISED).groupBy("site", "slug").agg(F.min("page_id").alias("page_id"))
+    return spread(spark, sf_dir, _RAISED, "site", "host").groupBy("site", "slug").agg(F.min("page_id").alias("page_id"))
 
 
-_NAMES = "(values ('/a/IMG_0042.jpg?x=1'), ('/a/red-fox.png'), ('deadbeefcafe.webp'), ('/x/'), ('screen shot 3.png')) as t(src)"
+_NAMES = "(values (1, '/a/IMG_0042.jpg?x=1'), (2, '/a/red-fox.png'), (3, 'deadbeefcafe.webp'), (4, '/x/'), (5, 'screen shot 3.png')) as t(page_id, src)"
 
 
-@query("autogenerated_names", f"with s as (select src, regexp_replace(regexp_extract(regexp_replace(src, '[?#].*$', ''), '([^/]*)/?$', 1), '\\.[^.]*$', '') as stem from {_NAMES}) select src, stem, length(stem) >= 3 and regexp_matches(stem, {literal(C.GENERATED)}) as generated from s")
+@query("autogenerated_names", f"with s as (select page_id, src, regexp_replace(regexp_extract(regexp_replace(src, '[?#].*$', ''), '([^/]*)/?$', 1), '\\.[^.]*$', '') as stem from {dealt(_NAMES, 'page_id')}) select page_id, src, stem, length(stem) >= 3 and regexp_matches(stem, {literal(C.GENERATED)}) as generated from s")
 def autogenerated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = values(spark, _NAMES)
+    d = spread(spark, sf_dir, _NAMES, "page_id")
     s = C.U.stem(F.col("src"))
-    return d.select("src", s.alias("stem"), ((F.length(s) >= 3) & s.rlike(C.GENERATED)).alias("generated"))
+    return d.select("page_id", "src", s.alias("stem"), ((F.length(s) >= 3) & s.rlike(C.GENERATED)).alias("generated"))

@@ -87,23 +87,24 @@ def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gate(_targets(spark, sf_dir), _files(spark, sf_dir), R.rules(_parsed(spark, sf_dir)))
 
 
+_NAMED = "(values (1, '*'), (2, 'GPTBot'), (3, 'Googlebot/2.1'), (4, 'Claude-SearchBot'), (5, 'bingbot'), (6, 'other')) as w(page_id, agent)"
 _CLASSES = "(values " + ", ".join(f"('{t}', '{c}', '{r}', {str(h).lower()})" for t, c, r, h in R.AGENTS) + ") as k(token, class, role, honours)"
 
 
-@query("agent_classes", f"select agent, case when token is null and agent = '*' then 'wildcard' else coalesce(class, 'unclassified') end as class, case when agent = '*' then 'all_unlisted_crawlers' else role end as role, honours from {WHO} left join {_CLASSES} on lower(trim(string_split(agent, '/')[1])) = token")
+@query("agent_classes", f"select page_id, agent, case when token is null and agent = '*' then 'wildcard' else coalesce(class, 'unclassified') end as class, case when agent = '*' then 'all_unlisted_crawlers' else role end as role, honours from {dealt(_NAMED, 'page_id')} left join {_CLASSES} on lower(trim(string_split(agent, '/')[1])) = token")
 def agent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.classified(values(spark, WHO)).select("agent", "class", "role", "honours")
+    return R.classified(spread(spark, sf_dir, _NAMED, "page_id")).select("page_id", "agent", "class", "role", "honours")
 
 
-_UAS = "(values ('Mozilla/5.0 (compatible; GPTBot/1.2)'), ('Mozilla/5.0 Applebot-Extended/0.1'), ('Mozilla/5.0 (Windows NT 10.0)'), ('PerplexityBot'), (''), ('*'), ('foo Meta-ExternalAgent meta-externalfetcher/1')) as u(user_agent)"
+_UAS = "(values (1, 'Mozilla/5.0 (compatible; GPTBot/1.2)'), (2, 'Mozilla/5.0 Applebot-Extended/0.1'), (3, 'Mozilla/5.0 (Windows NT 10.0)'), (4, 'PerplexityBot'), (5, ''), (6, '*'), (7, 'foo Meta-ExternalAgent meta-externalfetcher/1')) as u(page_id, user_agent)"
 
 
 @query(
     "agent_of_user_agent",
-    f"select user_agent, case when user_agent <> '' and not contains(user_agent, ' ') and not contains(user_agent, '/') then user_agent else coalesce((select arg_max(token, length(token) * 1000 + ascii(token)) from {_CLASSES} where contains(lower(user_agent), token)), '*') end as agent from {_UAS}",
+    f"select page_id, user_agent, case when user_agent <> '' and not contains(user_agent, ' ') and not contains(user_agent, '/') then user_agent else coalesce((select arg_max(token, length(token) * 1000 + ascii(token)) from {_CLASSES} where contains(lower(user_agent), token)), '*') end as agent from {dealt(_UAS, 'page_id')}",
 )
 def agent_of_user_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.agent_of_user_agent(spark, values(spark, _UAS)).select("user_agent", "agent")
+    return R.agent_of_user_agent(spark, spread(spark, sf_dir, _UAS, "page_id")).select("page_id", "user_agent", "agent")
 
 
 @query(
