@@ -5,28 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again: lineage ends here, so that plans don't grow and a lost executor costs a re-read.
-
-    The folder is that of ``spark.checkpoint.dir``; a session of this machine alone, as in tests, does without.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a session of this machine alone, as in tests, does without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.TemporaryDirectory(prefix="siteloom-", ignore_cleanup_errors=True))
-        folder = f"file://{_LOCAL[0].name}"
-    path = f"{folder.rstrip('/')}/siteloom-{name}-{uuid.uuid4().hex}"
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="siteloom-", ignore_cleanup_errors=True))
+    return f"file://{_LOCAL[0].name}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again: lineage ends here, so that plans don't grow and a lost executor costs a re-read."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Of so many rows, one is looked at for keys that come very often.

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Elements whose text is not shown, that frame a page, and that hold nothing. Fixed values.
 UNSHOWN = {"script", "style", "noscript", "iframe", "svg", "template"}
@@ -98,6 +100,47 @@ def events(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(_run, SCHEMA)
 
 
+class HtmlEvents:
+    """The same for SQL: ``from pages, lateral html_events(html)`` has a row for each event of a page, in the columns of ``events``.
+
+    ``html_events(html, 'start')`` has those of one kind only; the kind is a constant.
+    """
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, kind: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not isinstance(html.dataType, (T.StringType, T.NullType)):
+            raise ValueError(f"html_events: the page is a string, not {html.dataType.simpleString()}")
+        if kind is not None and kind.value not in ("start", "end", "text"):
+            raise ValueError("html_events: the kind is 'start', 'end' or 'text'")
+        return AnalyzeResult(
+            T.StructType()
+            .add("seq", T.IntegerType())
+            .add("el", T.IntegerType())
+            .add("kind", T.StringType())
+            .add("tag", T.StringType())
+            .add("attrs", T.MapType(T.StringType(), T.StringType()))
+            .add("text", T.StringType())
+            .add("unshown", T.BooleanType())
+            .add("chrome", T.BooleanType())
+            .add("hidden", T.BooleanType())
+        )
+
+    def eval(self, html: str | None, kind: str | None = None):
+        parser = _Events()
+        try:
+            parser.feed(html or "")
+        except (AssertionError, ValueError):
+            pass
+        for seq, el, own, tag, attrs, text, *flags in parser.rows:
+            if kind is None or own == kind:
+                yield seq, el, own, tag, dict(attrs) if attrs is not None else None, text, *flags
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``html_events`` a table function of the session's SQL."""
+    spark.udtf.register("html_events", F.udtf(HtmlEvents))
+
+
 def collapsed(text) -> F.Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

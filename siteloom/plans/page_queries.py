@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import html_events as H
-from .registry import literal, pages, query
+from .registry import dealt, literal, pages, query, spread
 from .url_queries import GROUP, PARTS
 
 #: Text as it is shown: what the fixture's pages need of entity decoding, the ampersand last.
@@ -75,9 +75,9 @@ def thin(main, total) -> F.Column:
 _THIN = "(values (1, 79, 5000), (2, 80, 199), (3, 80, 5000), (4, 149, 1000), (5, 150, 1000), (6, 0, 0)) as t(page_id, main_len, total_len)"
 
 
-@query("thin_content", f"select page_id, main_len < 80 or (total_len >= 200 and main_len / total_len < 0.15) as thin from {_THIN}")
+@query("thin_content", f"select page_id, main_len < 80 or (total_len >= 200 and main_len / total_len < 0.15) as thin from {dealt(_THIN, 'page_id')}")
 def thin_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_THIN}").select("page_id", thin(F.col("main_len"), F.col("total_len")).alias("thin"))
+    return spread(spark, sf_dir, _THIN, "page_id").select("page_id", thin(F.col("main_len"), F.col("total_len")).alias("thin"))
 
 
 def page_links(p: DataFrame, ev: DataFrame) -> DataFrame:
@@ -110,6 +110,21 @@ def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(p, H.events(p)).select("page_id", "href", "url")
 
 
+@query(
+    "page_links_by_sql",
+    f"""with {PARTS}, a as (select page_id, netloc, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from parts)
+    select page_id, replace(href, '&amp;', '&') as href, regexp_extract(url, '^[a-z]+') || '://' || regexp_extract(url, '://([^/?#]*)', 1) || replace(href, '&amp;', '&') as url from a""",
+)
+def links_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from SQL alone, by the table function; links of pages that start with a slash, as all of theirs do."""
+    H.register(spark)
+    return spark.sql(
+        """select p.page_id, e.attrs['href'] as href, concat(regexp_extract(p.url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0), regexp_replace(e.attrs['href'], '#.*$', '')) as url
+        from {pages} p, lateral html_events(p.html, 'start') e where e.tag = 'a' and startswith(e.attrs['href'], '/')""",
+        pages=pages(spark, sf_dir),
+    )
+
+
 @query(
     "link_targets",
     f"""with {PARTS}, a as (select page_id, lower(regexp_replace(netloc, '^www\\.', '') || regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '#.*$', ''), '/+$', '')) as target from parts)
@@ -224,7 +239,7 @@ def content_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", "words", "paragraphs", "headings", "items", "intent", "advisory", below.alias("below"))
 
 
-_INTENT_URLS = "(values ('https://a.com/'), ('https://a.com'), ('https://a.com/blog/x'), ('https://a.com/Products/7'), ('https://a.com/pricing'), ('https://a.com/use-case/x'), ('https://a.com/topics/'), ('https://a.com/app'), ('https://a.com/log-in?next=1'), ('https://a.com/vinyl.htm'), ('https://a.com/resources/a-b')) as t(url)"
+_INTENT_URLS = "(values (1, 'https://a.com/'), (2, 'https://a.com'), (3, 'https://a.com/blog/x'), (4, 'https://a.com/Products/7'), (5, 'https://a.com/pricing'), (6, 'https://a.com/use-case/x'), (7, 'https://a.com/topics/'), (8, 'https://a.com/app'), (9, 'https://a.com/log-in?next=1'), (10, 'https://a.com/vinyl.htm'), (11, 'https://a.com/resources/a-b')) as t(page_id, url)"
 
 
 _INTENT_CASES = " ".join(f"when regexp_matches(p, {literal(rx)}) then {literal(name)}" for rx, name in PATH_INTENTS)
@@ -233,11 +248,11 @@ _BAND_CASES = " ".join(f"when {literal(name)} then {words}" for name, words in B
 
 @query(
     "path_intent",
-    f"""with p as (select url, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) as p from {_INTENT_URLS}), i as (select url, case when p in ('', '/') then 'homepage' {_INTENT_CASES} end as intent from p)
+    f"""with p as (select page_id, url, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) as p from {dealt(_INTENT_URLS, 'page_id')}), i as (select page_id, url, case when p in ('', '/') then 'homepage' {_INTENT_CASES} end as intent from p)
     select *, case intent {_BAND_CASES} end as advisory from i""",
 )
 def path_intent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select * from {_INTENT_URLS}").select("url", path_intent(F.col("url")).alias("intent")).withColumn("advisory", advisory(F.col("intent")))
+    return spread(spark, sf_dir, _INTENT_URLS, "page_id").select("page_id", "url", path_intent(F.col("url")).alias("intent")).withColumn("advisory", advisory(F.col("intent")))
 
 
 @query(

@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_path
 from ..sources import seeds
-from ..sources.fetch import recorded_fetches
-from .registry import query
+from ..streaming import recordings
+from .page_queries import BANDS, path_intent
+from .registry import pages, query
 
-_RECORDED = [
-    {"url": "https://a.com/", "identity": "browser", "status": 200, "content": "x" * 600_000},
-    {"url": "https://a.com/", "identity": "bot", "status": "timeout"},
-    {"url": "https://b.com/x", "status": 200, "redirects": 11},
-    {"url": "https://b.com/y", "status": 301, "redirects": 2, "final_url": "https://b.com/z"},
-]
+#: What is recorded of each page, by its number: a code or a word, and how often it was sent on.
+_STATES = ["200", "timeout", "301", "404", "robots_skipped"]
 
 
-@query("recorded_fetches", "select * from (values ('https://a.com/', 'browser', 200, null, 500000, 0), ('https://a.com/', 'bot', null, 'timeout', 0, 0), ('https://b.com/x', 'browser', null, 'too_many_redirects', 0, 11), ('https://b.com/y', 'browser', 301, null, 0, 2)) as t(url, identity, status, state, chars, redirects)")
+def page_recordings(p: DataFrame) -> DataFrame:
+    """Pages as recordings: every one by two identities, with statuses and redirects of all kinds."""
+    status = F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.pmod("page_id", F.lit(len(_STATES))) + 1).cast("int"))
+    both = p.select("page_id", "url", "html", F.explode(F.array(F.lit("browser"), F.lit("bot"))).alias("identity"))
+    return both.select("page_id", "url", "identity", F.when(F.col("identity") == "browser", F.lit("200")).otherwise(status).alias("status"), F.col("url").alias("final_url"), F.pmod("page_id", F.lit(13)).cast("int").alias("redirects"), F.col("html").alias("content"))
+
+
+@query(
+    "recorded_fetches",
+    f"""with r as (select page_id, url, html, identity, case when identity = 'browser' then '200' else ([{", ".join(f"'{s}'" for s in _STATES)}])[page_id % {len(_STATES)} + 1] end as status, cast(page_id % 13 as int) as redirects from pages, (values ('browser'), ('bot')) as i(identity))
+    select url, identity, case when redirects <= 10 then try_cast(status as int) end as status, case when redirects > 10 then 'too_many_redirects' when try_cast(status as int) is null then status end as state, least(length(html), 500000) as chars, redirects from r""",
+)
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recorded_fetches(spark, _RECORDED).select("url", "identity", "status", "state", F.length("content").alias("chars"), "redirects")
+    """Recordings of every page, made in two batches of files and read as a stream that is stopped and started again in between."""
+    folder, out, marks = (new_path(spark, f"recordings-{x}") for x in ("in", "out", "marks"))
+    rows = page_recordings(pages(spark, sf_dir))
+    for batch in (0, 1):
+        rows.where(F.pmod("page_id", F.lit(2)) == batch).drop("page_id").write.mode("append").json(folder)
+        recordings.into_table(spark, folder, out, marks)
+    return spark.read.schema(recordings.FETCH_SCHEMA).parquet(out).select("url", "identity", "status", "state", F.length("content").alias("chars"), "redirects")
 
 
-@query("word_bands", "select * from (values ('product', 120), ('service', 150), ('article', 350), ('homepage', 80), ('category', 60), ('content', 60)) as t(intent, advisory)")
+@query("word_bands", f"""with b as (select * from (values {", ".join(f"('{n}', {w})" for n, w in BANDS)}) as t(intent, advisory)) select p.page_id, b.advisory from pages p join b on b.intent = case when regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then 'homepage' else 'content' end""")
 def word_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.lookup(spark, "word_bands").select("intent", "advisory")
+    """The words that are advised for each page, by the kind of page that its path says it is."""
+    p = pages(spark, sf_dir).select("page_id", F.coalesce(path_intent(F.col("url")), F.lit("content")).alias("intent"))
+    return p.join(seeds.lookup(spark, "word_bands"), "intent").select("page_id", "advisory")
 
 
 @query(

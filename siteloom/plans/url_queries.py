@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .registry import pages, query
+from .registry import dealt, pages, query, spread
 
 _RX = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 #: Parts of every page's URL, for the queries below.
@@ -54,18 +54,16 @@ def url_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", f["depth"].alias("depth"), F.get(F.filter(f["ignored"], lambda x: F.endswith(x, F.lit("(locale)"))), F.lit(0)).alias("locale"), (f["depth"] > 3).alias("deep"))
 
 
-_SEED_PATHS = """(values ('https://a.com/de/2026/03/12/x/y/z.html'), ('https://a.com/lp/a/b/c/d'), ('https://a.com/en-us/shop/2024/31/item'), ('https://a.com/'), ('https://a.com/03/12/a'), ('/zh-hant/a/b/'), (''), ('https://a.com/es-419/v1.2/'), (null)) as t(url)"""
+_SEED_PATHS = """(values (1, 'https://a.com/de/2026/03/12/x/y/z.html'), (2, 'https://a.com/lp/a/b/c/d'), (3, 'https://a.com/en-us/shop/2024/31/item'), (4, 'https://a.com/'), (5, 'https://a.com/03/12/a'), (6, '/zh-hant/a/b/'), (7, ''), (8, 'https://a.com/es-419/v1.2/')) as t(page_id, url)"""
 
 
 @query(
     "url_folders_seed",
-    """select * from (values ('https://a.com/de/2026/03/12/x/y/z.html', 2, 'de (locale),2026 (year),03 (month/day),12 (month/day)', false), ('https://a.com/lp/a/b/c/d', 5, '', true),
-    ('https://a.com/en-us/shop/2024/31/item', 2, 'en-us (locale),2024 (year),31 (month/day)', false), ('https://a.com/', 0, '', false), ('https://a.com/03/12/a', 3, '', false),
-    ('/zh-hant/a/b/', 2, 'zh-hant (locale)', false), ('', 0, '', false), ('https://a.com/es-419/v1.2/', 0, 'es-419 (locale)', false)) as t(url, depth, ignored, deep)""",
+    f"""select * from {dealt("(select * from (values (1, 'https://a.com/de/2026/03/12/x/y/z.html', 2, 'de (locale),2026 (year),03 (month/day),12 (month/day)', false), (2, 'https://a.com/lp/a/b/c/d', 5, '', true), (3, 'https://a.com/en-us/shop/2024/31/item', 2, 'en-us (locale),2024 (year),31 (month/day)', false), (4, 'https://a.com/', 0, '', false), (5, 'https://a.com/03/12/a', 3, '', false), (6, '/zh-hant/a/b/', 2, 'zh-hant (locale)', false), (7, '', 0, '', false), (8, 'https://a.com/es-419/v1.2/', 0, 'es-419 (locale)', false)) as t(page_id, url, depth, ignored, deep))", "page_id")} where true""",
 )
 def url_folders_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = U.folders(F.col("url"))
-    return spark.sql(f"select * from {_SEED_PATHS}").where("url is not null").select("url", f["depth"].alias("depth"), F.array_join(f["ignored"], ",").alias("ignored"), (f["depth"] > 3).alias("deep"))
+    return spread(spark, sf_dir, _SEED_PATHS, "page_id").select("page_id", "url", f["depth"].alias("depth"), F.array_join(f["ignored"], ",").alias("ignored"), (f["depth"] > 3).alias("deep"))
 
 
 GROUP = "case when len(segs) = 0 then '(homepage)' when len(segs) = 1 then '(top-level pages)' else '/' || segs[1] || '/' end"
