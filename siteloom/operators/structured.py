@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 #: Types that name who publishes, what a page is about, and page furniture. Fixed values.
 IDENTITY = """Organization Corporation LocalBusiness Store Restaurant NGO NewsMediaOrganization EducationalOrganization CollegeOrUniversity School GovernmentOrganization MedicalOrganization
 SportsOrganization PerformingGroup Airline OnlineBusiness OnlineStore Brand Person WebSite""".split()
@@ -101,7 +103,7 @@ def _walk(value, found: list) -> None:
         if isinstance(v, dict):
             found.append(v)
         if isinstance(v, (dict, list)):
-            stack += reversed(list(v.values() if isinstance(v, dict) else v))
+            stack += reversed([v[k] for k in sorted(v)] if isinstance(v, dict) else v)  # by name, as Spark keeps an object's fields
 
 
 NODES = "page_id long, block int, n int, error string, id string, types array<string>, props string"
@@ -125,8 +127,53 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+#: A block that begins and ends as JSON does once its wrapper is off.
+_BLOCK = r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script"
+_OPENS = r"(?i)<script\b[^>]*ld\+json[^>]*>"
+_BEFORE = r"^\s*(?:<!--|//\s*<!\[CDATA\[|/\*\s*<!\[CDATA\[\s*\*/|<!\[CDATA\[)?\s*"
+_AFTER = r"\s*(?:-->|//\s*\]\]>|/\*\s*\]\]>\s*\*/|\]\]>)?\s*$"
+
+
+def _walked(blocks: DataFrame) -> DataFrame:
+    """(page_id, block, n, v) of every object in (page_id, block, v), outer ones first: one step of ``variant_explode`` a level, each written."""
+    spark = blocks.sparkSession
+    kind = F.schema_of_variant("v")
+    level = written(blocks.select("page_id", "block", F.array().cast("array<int>").alias("path"), "v"), "json-0")
+    every = level
+    while level.where(kind.rlike("^(OBJECT|ARRAY)")).limit(1).count():
+        below = spark.sql("select page_id, block, array_append(path, t.pos) as path, t.value as v from {level}, lateral variant_explode(v) t where schema_of_variant(t.value) rlike '^(OBJECT|ARRAY)'", level=level)
+        level = written(below, "json")
+        every = every.unionByName(level)
+    n = F.row_number().over(Window.partitionBy("page_id", "block").orderBy("path")) - 1  # the objects of one block
+    return every.where(kind.startswith("OBJECT")).select("page_id", "block", n.cast("int").alias("n"), "v")
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, block, n, error, id, types, props): n is -1 for the block itself, whose error is null if it parsed."""
+    """(page_id, block, n, error, id, types, props): n is -1 for the block itself, whose error is null if it parsed.
+
+    Blocks are parsed and walked as variants. Only pages with a block that is no JSON as it stands go to Python, which
+    mends what it can; pages without blocks go nowhere.
+    """
+    own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).where(F.lower(html).contains("ld+json"))
+    bodies = F.transform(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1)), lambda b: F.regexp_replace(F.regexp_replace(b, _BEFORE, ""), _AFTER, ""))
+    fine = lambda b: b.rlike(r"(?s)^[{\[].*[}\]]$") & F.try_parse_json(b).isNotNull()
+    split = own.withColumn("bodies", bodies).withColumn("well", (F.size("bodies") == F.regexp_count("html", F.lit(_OPENS))) & F.forall("bodies", fine))
+    split = written(split.select("page_id", "bodies", "well", F.when(~F.col("well"), F.col("html")).alias("html")), "json-blocks")
+    blocks = split.where("well").select("page_id", F.posexplode("bodies").alias("block", "body"))
+    parsed = blocks.select("page_id", F.col("block").cast("int").alias("block"), F.try_parse_json("body").alias("v"))
+    declared = F.expr("try_variant_get(v, \"$['@type']\", 'variant')")
+    listed = F.when(F.schema_of_variant(declared).startswith("ARRAY"), F.expr("try_variant_get(v, \"$['@type']\", 'array<string>')")).otherwise(F.array(F.expr("try_variant_get(v, \"$['@type']\", 'string')")))
+    bare = F.transform(F.filter(listed, lambda x: x.isNotNull() & (x != "")), lambda x: F.element_at(F.split(F.regexp_replace(F.trim(x), r"(?i)^https?://schema\.org/", ""), "/"), -1))
+    types = F.when(declared.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(bare, F.array().cast("array<string>")))
+    named = F.when(F.schema_of_variant(F.expr("try_variant_get(v, \"$['@id']\", 'variant')")) == "STRING", F.expr("try_variant_get(v, \"$['@id']\", 'string')"))
+    none = F.lit(None).cast("string")
+    objects = _walked(parsed).select("page_id", "block", "n", none.alias("error"), named.alias("id"), types.alias("types"), F.to_json("v").alias("props"))
+    heads = blocks.select("page_id", F.col("block").cast("int").alias("block"), F.lit(-1).alias("n"), none.alias("error"), none.alias("id"), F.lit(None).cast("array<string>").alias("types"), none.alias("props"))
+    return heads.unionByName(objects).unionByName(split.where(~F.col("well")).select("page_id", "html").mapInArrow(_run, NODES))
+
+
+def nodes_in_python(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The same by the mending parser alone."""
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(_run, NODES)
 
 
