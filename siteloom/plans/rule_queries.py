@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_path, written
+from ..sources import reports as P
 from . import rules as R
 from .registry import dealt, query, spread
 
@@ -71,3 +73,30 @@ def coverage_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reports")
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reports(_sites(spark, sf_dir), _found(spark, sf_dir))
+
+
+@query(
+    "report_files",
+    f"with {_FOUND} select w.site, w.site <> (select min(site) from wide) as whole, (select count(*) from found f where f.site = w.site and w.site <> (select min(site) from wide)) as findings from wide w",
+)
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of all hosts as they are written, where the signals of one of them cannot be read: its own report alone is a fallback."""
+    sites, found = written(_sites(spark, sf_dir), "sites"), written(_found(spark, sf_dir), "found")
+    bad = sites.agg(F.min("site")).first()[0]
+
+    def make(part: DataFrame) -> DataFrame:
+        own = R.reports(part, found.join(part.select("site"), "site", "left_semi"))
+        return own.withColumn("report", F.when(F.col("site") == bad, F.raise_error(F.lit("unreadable signals"))).otherwise(F.col("report")))
+
+    path = new_path(spark, "reports")
+    P.write_isolated(sites, make, path)
+    r = F.from_json("report", "error string, findings array<struct<id:string>>")
+    return spark.read.schema("site string, report string").json(path).select("site", r["error"].isNull().alias("whole"), F.size(r["findings"]).cast("long").alias("findings"))
+
+
+@query("reports_json", f"with {_FOUND} select w.site, (select count(*) from found f where f.site = w.site) as total_findings, (select count(*) from found f where f.site = w.site and f.severity = 'high') as high, (select count(*) from found f where f.site = w.site) as listed from wide w")
+def reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report of each host says, read back from its JSON."""
+    r = R.reports(_sites(spark, sf_dir), _found(spark, sf_dir)).withColumn("v", F.parse_json("report"))
+    get = lambda path: F.expr(f"variant_get(v, '{path}', 'bigint')")
+    return r.select("site", get("$.summary.total_findings").alias("total_findings"), get("$.summary.high").alias("high"), F.size(F.expr("variant_get(v, '$.findings', 'array<variant>')")).cast("long").alias("listed"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import reports as P
+
 #: Signal columns and their types.
 SIGNALS = {
     name: kind
@@ -199,9 +201,14 @@ def reports(sites: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def write_reports(spark: SparkSession, sites: DataFrame, found: DataFrame, path: str) -> str | None:
-    """Write the reports as JSON lines; a failure to write is returned, never raised."""
+    """Write the reports as JSON lines, whole or not at all; if that fails, an empty report of each site that says why. The failure is returned, never raised."""
     try:
-        reports(sites, found).write.mode("overwrite").json(path)
+        P.write(reports(sites, found), path, mode="overwrite")
     except Exception as e:  # the caller still has the findings
-        return str(e).splitlines()[0]
+        why = str(e).splitlines()[0]
+        try:
+            P.write(sites.select("site", F.lit(P.fallback(why)).alias("report")), path, mode="overwrite")
+        except Exception as again:  # the place itself cannot be written to
+            return f"{why}; {str(again).splitlines()[0]}"
+        return why
     return None
