@@ -92,7 +92,20 @@ def date_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTED = [(1, "2024-05-01", False), (1, "March 3, 2023", False), (2, "Roadmap 2031", False), (2, "2022", False), (3, "2 days ago", True), (3, "2020-01-01", False), (4, "5 mai 2023", False), (5, "3 June 2022", False)]
 
 
-@query("listing_recency", _of_cases("page_id", "page_id, newest, precision, days, decayed", "(1, '2024-05-01', 'day', 245::bigint, false)", "(2, '2022-12-31', 'year_only', 732, true)", "(3, null, 'relative_recent', 0, false)", "(4, '2023-12-31', 'year_only', 367, true)", "(5, '2022-06-03', 'day', 943, true)"))
+_MONTH_NAMES = ", ".join(f"'{m}'" for m in "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split())
+_MONTH_NO = "case " + " ".join(f"when lower({{0}}[:3]) = '{m}' then {n}" for n, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)) + " else 0 end"
+_YEAR_SQL = "(?:20|19)[0-9]{2}"
+
+
+@query(
+    "listing_recency",
+    f"""with l as (select * from {dealt(seed_sql(_LISTED, 'page_id, raw, relative'), 'page_id')}),
+    x as (select *, regexp_extract(raw, '\\b({_YEAR_SQL})[-/](0[1-9]|1[0-2])[-/]([0-9]{{2}})\\b', ['y', 'm', 'd']) as iso, regexp_extract(raw, '\\b([a-zA-Z]+)\\s+([0-3]?[0-9]),\\s*({_YEAR_SQL})\\b', ['m', 'd', 'y']) as a, regexp_extract(raw, '\\b([0-3]?[0-9])\\s+([a-zA-Z]+)\\s+({_YEAR_SQL})\\b', ['d', 'm', 'y']) as b, regexp_extract(raw, '\\b({_YEAR_SQL})\\b', 1) as y from l),
+    c as (select page_id, relative, case when iso.y <> '' then (try_cast(iso.y as int), try_cast(iso.m as int), try_cast(iso.d as int)) when a.y <> '' and {_MONTH_NO.format('a.m')} > 0 and lower(a.m) in ({_MONTH_NAMES}) then (try_cast(a.y as int), {_MONTH_NO.format('a.m')}, try_cast(a.d as int)) when b.y <> '' and lower(b.m) in ({_MONTH_NAMES}) then (try_cast(b.y as int), {_MONTH_NO.format('b.m')}, try_cast(b.d as int)) when y <> '' then (try_cast(y as int), 0, 0) else (0, 0, 0) end as c from x),
+    k as (select page_id, bool_or(relative) as relative, max(case when not relative then (c[2] > 0, c[1], c[2], c[3]) end) as b from c where relative or c[1] <= 2026 group by page_id),
+    d as (select *, case when b[1] then make_date(b[2], b[3], b[4]) when b[2] > 0 then least(make_date(b[2], 12, 31), date '2025-01-01') end as day from k)
+    select page_id, case when not relative then cast(day as varchar) end as newest, case when relative then 'relative_recent' when b[1] then 'day' when b[2] > 0 then 'year_only' end as precision, case when relative then 0 else date_diff('day', day, date '2025-01-01') end as days, coalesce(case when relative then 0 else date_diff('day', day, date '2025-01-01') end > {C.DECAY_DAYS}, false) as decayed from d""",
+)
 def listing_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.listing_recency(spread(spark, sf_dir, spark.createDataFrame(_LISTED, "page_id int, raw string, relative boolean"), "page_id"), _today()).withColumn("newest", F.col("newest").cast("string"))
 
@@ -107,7 +120,17 @@ _CITED = [
 ]
 
 
-@query("citation_consistency", _of_cases("site", "site, fact, corroborating, conflicting, weak, contradicts", "('a', 'founding_year', 1::bigint, 1::bigint, 1::bigint, true)", "('b', 'headquarters', 1, 1, 0, false)", to="host", keys=["a", "b", "c"]))
+_NORM = "regexp_replace(lower(trim({})), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
+
+
+@query(
+    "citation_consistency",
+    f"""with c as (select site, fact, on_site, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') as host, trim(concat_ws(' ', title, snippet)) as text from {dealt(seed_sql(_CITED, 'site, fact, on_site, url, title, snippet'), 'site', 'host')} where trim(on_site) <> ''),
+    l as (select *, case fact when 'founding_year' then nullif(regexp_extract(text, {literal(C.FOUNDED)}, 1), '') when 'headquarters' then nullif(trim(regexp_extract(text, '(?i)\\b(?:headquartered|headquarters|based|located|hq)\\s+in\\s+([A-Za-z\\s,.]+?)(?:\\.|;|,|$|\\s+and)', 1)), '') end as labelled from c),
+    n as (select site, fact, host, {_NORM.format('on_site')} as own, {_NORM.format('labelled')} as ext, labelled is null and fact <> 'headquarters' and regexp_matches(text, '\\b(?:20|19)[0-9]{{2}}\\b') as weak from l),
+    k as (select site, fact, count(distinct host) filter (ext is not null and (contains(own, ext) or contains(ext, own))) as corroborating, count(distinct host) filter (ext is not null and not (contains(own, ext) or contains(ext, own))) as conflicting, count(*) filter (weak) as weak from n group by site, fact)
+    select *, fact = 'founding_year' and conflicting > 0 as contradicts from k""",
+)
 def citation_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.citations(spread(spark, sf_dir, spark.createDataFrame(_CITED, "site string, fact string, on_site string, url string, title string, snippet string"), "site", "host"))
 
@@ -193,17 +216,34 @@ _BARRIERS = [
 ]
 
 
-@query("rendering_barriers", _of_cases("page_id", "page_id, reasons", "(1, 'structurally empty,client bootstrap')", "(2, '')", "(3, 'challenge page,javascript required,empty blocks')", "(4, 'hydration gap,client bootstrap,custom element shell,skeleton')"))
+_BARRIER_COLUMNS = "page_id, words, paragraphs, headings, paragraphs_main, headings_main, items_main, bytes, mounts, frameworks, islands, custom, hydrates, waf, js_required, skeleton"
+_BARRIERS_FLAT = [tuple(len(v) if isinstance(v, list) else v for v in r) for r in _BARRIERS]
+
+
+@query(
+    "rendering_barriers",
+    f"""with b as (select *, paragraphs_main + headings_main + items_main as blocks from {dealt(seed_sql(_BARRIERS_FLAT, _BARRIER_COLUMNS), 'page_id')})
+    select page_id, array_to_string(list_filter([case when coalesce(hydrates, false) then 'hydration gap' end, case when waf then 'challenge page' end, case when js_required then 'javascript required' end, case when paragraphs = 0 and headings = 0 and bytes >= 51200 then 'structurally empty' end,
+    case when blocks >= 20 and words < 3 * blocks then 'empty blocks' end, case when (mounts or frameworks > 0 or islands) and words < {C.WORD_FLOOR} then 'client bootstrap' end, case when custom >= 3 and words < {C.NEAR_EMPTY} then 'custom element shell' end, case when skeleton then 'skeleton' end], lambda x: x is not null), ',') as reasons from b""",
+)
 def rendering_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = "page_id int, words int, paragraphs int, headings int, paragraphs_main int, headings_main int, items_main int, bytes int, mounts boolean, frameworks array<string>, islands boolean, custom int, hydrates boolean, waf boolean, js_required boolean, skeleton boolean"
     d = spread(spark, sf_dir, spark.createDataFrame(_BARRIERS, cols), "page_id")
     return d.select("page_id", F.array_join(C.barriers(F.struct(*[c for c in d.columns if c != "page_id"])), ",").alias("reasons"))
 
 
-@query("skeleton_screens", _of_cases("page_id", "page_id, skeleton, waf, js_required", "(1, true, false, true)", "(2, false, true, false)", "(3, true, true, false)", "(4, false, false, true)"))
+_SKELETONS = [(1, 50, False, ["a", "a", "a", "b"], False, False, 50, "Please enable JavaScript", 50), (2, 500, True, [], True, False, 20, "ok", 200), (3, 20, True, ["x"], False, True, 20, None, 20), (4, 60, False, ["a", "b", "c", "d"], True, False, 60, "This site requires javascript", 60)]
+_SKELETONS_FLAT = [(i, w, m, ",".join(h), ids, inline, main, no, total) for i, w, m, h, ids, inline, main, no, total in _SKELETONS]
+
+
+@query(
+    "skeleton_screens",
+    f"""with d as (select *, list_filter(string_split(headings, ','), lambda h: h <> '') as hs from {dealt(seed_sql(_SKELETONS_FLAT, 'page_id, words, markers, headings, ids, inline, main, noscript, total'), 'page_id')}),
+    k as (select *, len(hs) as n, coalesce(list_max(list_transform(hs, lambda h: len(list_filter(hs, lambda x: x = h)))), 0) as top from d)
+    select page_id, words < {C.WORD_FLOOR} and (markers or (n >= 4 and top > 0.5 * n) or (n >= 6 and words > 0 and words < 5 * n)) as skeleton, inline or cast(ids as int) + cast(inline as int) + cast(main < 30 and total > 100 as int) >= 2 as waf, coalesce(regexp_matches(noscript, {literal(C.JS_REQUIRED)}), false) as js_required from k""",
+)
 def skeleton_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 50, False, ["a", "a", "a", "b"], False, False, 50, "Please enable JavaScript"), (2, 500, True, [], True, False, 20, "ok"), (3, 20, True, ["x"], False, True, 20, None), (4, 60, False, ["a", "b", "c", "d"], True, False, 60, "This site requires javascript")]
-    d = spread(spark, sf_dir, spark.createDataFrame([(*r, 200 if r[0] == 2 else r[1]) for r in rows], "page_id int, words int, markers boolean, headings array<string>, ids boolean, inline boolean, main int, noscript string, total int"), "page_id")
+    d = spread(spark, sf_dir, spark.createDataFrame(_SKELETONS, "page_id int, words int, markers boolean, headings array<string>, ids boolean, inline boolean, main int, noscript string, total int"), "page_id")
     total = F.col("total")
     return d.select("page_id", C.skeleton(F.col("words"), F.col("markers"), F.col("headings")).alias("skeleton"), C.waf(F.col("ids"), F.col("inline"), F.lit(False), F.col("main"), total).alias("waf"), F.coalesce(F.col("noscript").rlike(C.JS_REQUIRED), F.lit(False)).alias("js_required"))
 
@@ -251,9 +291,19 @@ def headings_after_js(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALTS = [(None, "a.jpg"), ("", "a.jpg"), ("Image 2", "x"), ("IMG_2041", "y"), ("photo.jpg", ""), ("Canva", "/canva.png"), ("team_photo_02", "/team_photo_02.jpg"), ("coca-cola", "coca-cola.png"), ("hero-banner-final", "hero-banner-final.png"), ("A red fox", "fox.png"), ("placeholder", None)]
 
 
-@query("alt_classes", _of_cases("page_id", "page_id, alt, class", "(1, null, 'missing')", "(2, '', 'decorative')", "(3, 'Image 2', 'generic')", "(4, 'IMG_2041', 'generic')", "(5, 'photo.jpg', 'generic')", "(6, 'Canva', 'descriptive')", "(7, 'team_photo_02', 'generic')", "(8, 'coca-cola', 'descriptive')", "(9, 'hero-banner-final', 'generic')", "(10, 'A red fox', 'descriptive')", "(11, 'placeholder', 'generic')"))
+_ALT_CASES = [(i, *a) for i, a in enumerate(_ALTS, 1)]
+_SLUGS = rf"(?i)^(?:{C._FILES}|screen)$"
+
+
+@query(
+    "alt_classes",
+    f"""with a as (select page_id, alt, trim(alt) as s, regexp_replace(trim(alt), {literal(C._EXTENSION)}, '') as bare, lower(regexp_replace(regexp_extract(regexp_replace(coalesce(src, ''), '[?#].*$', ''), '([^/]*)/*$', 1), '\\.[^.]*$', '')) as stem from {dealt(seed_sql(_ALT_CASES, 'page_id, alt, src'), 'page_id')}),
+    m as (select *, regexp_matches(s, {literal(C._EXTENSION)}) or regexp_matches(s, '[0-9]{{3,}}') or (not contains(s, ' ') and contains(s, '_')) or regexp_matches(bare, {literal(C.GENERATED)}) or (not contains(s, ' ') and contains(s, '-') and s = lower(s) and len(list_filter(string_split_regex(bare, '[-_.\\s]+'), lambda x: regexp_matches(x, {literal(_SLUGS)}))) > 0) as machine,
+        regexp_matches(bare, {literal(C.GENERATED)}) and not contains(bare, ' ') and (regexp_matches(bare, '[0-9_-]') or bare <> s) as typed from a)
+    select page_id, alt, case when alt is null then 'missing' when s = '' then 'decorative' when lower(s) in ('placeholder', 'untitled') or regexp_matches(s, {literal(C.GENERIC_ALT)}) or typed or (stem <> '' and lower(bare) = stem and machine) then 'generic' else 'descriptive' end as class from m""",
+)
 def alt_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark, sf_dir, spark.createDataFrame([(i, *a) for i, a in enumerate(_ALTS, 1)], "page_id int, alt string, src string"), "page_id").select("page_id", "alt", C.alt_class(F.col("alt"), F.col("src")).alias("class"))
+    return spread(spark, sf_dir, spark.createDataFrame(_ALT_CASES, "page_id int, alt string, src string"), "page_id").select("page_id", "alt", C.alt_class(F.col("alt"), F.col("src")).alias("class"))
 
 
 _MEDIA = [
@@ -352,16 +402,25 @@ def question_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("page_id", "n", "text").agg(F.bool_or(F.col("b_el").isNotNull()).alias("answered")).select("page_id", "text", "answered")
 
 
-@query("content_positioning", _of_cases("page_id", "page_id, total, before, share, front_loaded", "(1::bigint, 100::bigint, 20::bigint, 0.2::double, true)", "(2, 100, 60, 0.6, false)", keys=[1, 2, 3, 4]))
+def _w(n: int) -> str:
+    return " ".join(["w"] * n)
+
+
+_POSITIONED = [(1, "".join(f"<li>{_w(5)}</li>" for _ in range(4)) + f"<p>{_w(80)}</p><footer>{_w(50)}</footer>"), (2, "".join(f"<li>{_w(6)}</li>" for _ in range(10)) + f"<p>{_w(40)}</p>"), (3, f"<p>{_w(20)}</p>"), (4, "".join("<li>a b</li>" for _ in range(60)))]
+
+
+@query(
+    "content_positioning",
+    f"""with d as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '<footer>.*?</footer>', '', 'g'), '<(?:li|p)>([^<]*)', 1)) as t, generate_subscripts(regexp_extract_all(regexp_replace(html, '<footer>.*?</footer>', '', 'g'), '<(?:li|p)>([^<]*)', 1), 1) as k from {dealt(seed_sql(_POSITIONED, 'page_id, html'), 'page_id')}),
+    n as (select page_id, k, len(string_split(t, ' ')) as words from d), b as (select *, coalesce(sum(words) over (partition by page_id order by k rows between unbounded preceding and 1 preceding), 0) as before from n),
+    g as (select page_id, cast(sum(words) as bigint) as total, cast(min(case when words >= 12 then before end) as bigint) as before from b group by page_id)
+    select *, round_even(before / total::double, 4) as share, round_even(before / total::double, 4) <= 0.3 as front_loaded from g where total >= 80 and before is not null""",
+)
 def content_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far into a page's words its first block of twelve words comes; pages of fewer than 80 words are not judged."""
     from pyspark.sql import Window
 
-    def words(n: int) -> str:
-        return " ".join(["w"] * n)
-
-    rows = [(1, "".join(f"<li>{words(5)}</li>" for _ in range(4)) + f"<p>{words(80)}</p><footer>{words(50)}</footer>"), (2, "".join(f"<li>{words(6)}</li>" for _ in range(10)) + f"<p>{words(40)}</p>"), (3, f"<p>{words(20)}</p>"), (4, "".join("<li>a b</li>" for _ in range(60)))]
-    b = H.text_blocks(H.events(spread(spark, sf_dir, spark.createDataFrame(rows, "page_id long, html string"), "page_id")))
+    b = H.text_blocks(H.events(spread(spark, sf_dir, spark.createDataFrame(_POSITIONED, "page_id long, html string"), "page_id")))
     w = Window.partitionBy("page_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     c = b.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
     g = c.groupBy("page_id").agg(F.sum("words").alias("total"), F.min(F.when(F.col("words") >= 12, F.col("before"))).alias("before")).where("total >= 80 and before is not null")

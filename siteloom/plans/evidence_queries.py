@@ -10,8 +10,8 @@ from ..operators import evidence as G
 from ..operators import html_events as H
 from ..operators import structured as S
 from .content_queries import _of_cases
-from .page_queries import thin
-from .registry import dealt, literal, query, spread
+from .page_queries import _INTENT_CASES, thin
+from .registry import dealt, literal, query, seed_sql, spread
 
 _LISTS = [
     (1, '<article><footer><time datetime="2024-05-01T10:00">May</time></footer></article><time>March 3, 2023</time><footer><time datetime="2025-01-01">x</time> 2025</footer>'),
@@ -38,7 +38,24 @@ _INTENTS = [
 ]
 
 
-@query("page_intent", _of_cases("page_id", "page_id, intent, basis", "(1, 'product', 'schema_or_og')", "(2, 'homepage', 'schema_or_og')", "(3, 'article', 'url_path_or_layout_or_default')", "(4, 'product', 'schema_or_og')", "(5, 'service', 'url_path_or_layout_or_default')", "(6, 'utility', 'url_path_or_layout_or_default')", "(7, 'service', 'url_path_or_layout_or_default')", "(8, 'media', 'schema_or_og')"),
+_INTENTS_FLAT = [(i, u, ",".join(t) if t is not None else None, *rest) for i, u, t, *rest in _INTENTS]
+
+
+def _named(key: str, table: dict[str, str]) -> str:
+    return "case " + " ".join(f"when {key} in ({', '.join(map(literal, names.split()))}) then {literal(intent)}" for intent, names in table.items()) + " end"
+
+
+_SITE = ", ".join(map(literal, G.SITE_TYPES))
+
+
+@query(
+    "page_intent",
+    f"""with d as (select *, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) as p, list_filter(string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as segs, lower(trim(og_type)) as og_key from {dealt(seed_sql(_INTENTS_FLAT, 'page_id, url, types, og_type, layout, hint, form_page'), 'page_id')}),
+    r as (select *, len(segs) = 0 or (len(segs) = 1 and length(segs[1]) <= 5) as root from d),
+    k as (select *, list_filter(list_transform(string_split(lower(coalesce(types, '')), ','), lambda t: case when not (t in ({_SITE}) and not root) then {_named('t', G.TYPE_INTENT)} end), lambda x: x is not null)[1] as schema, coalesce({_named('og_key', G.OG_INTENT)}, {_named("string_split(og_key, ':')[1]", G.OG_INTENT)}) as og_all from r),
+    o as (select *, case when not (og_all = 'homepage' and not root) then og_all end as og, case when p in ('', '/') then 'homepage' {_INTENT_CASES} end as by_path, case when hint in ('product', 'service', 'article', 'homepage', 'category', 'content', 'utility', 'app', 'media') then hint end as hinted from k),
+    i as (select *, coalesce(schema, og, by_path, layout, hinted, 'content') as found from o)
+    select page_id, case when form_page and found in ('homepage', 'category', 'content') then 'utility' else found end as intent, case when coalesce(schema, og) is not null then 'schema_or_og' else 'url_path_or_layout_or_default' end as basis from i""",
 )
 def page_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_intent(spread(spark, sf_dir, spark.createDataFrame(_INTENTS, "page_id int, url string, types array<string>, og_type string, layout string, hint string, form_page boolean"), "page_id"))
@@ -55,8 +72,16 @@ def same_as_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALLED = "(values (1, 'Acme', 'Site', 'T | Other', null, 'we make very good anvils', null, null, null), (2, null, 'Site', 'T', null, 'short', 'an organisation that makes things', null, null), (3, null, null, 'Anvils — Acme Co', null, null, null, 'six words are what it takes', null), (4, null, null, 'Plain', 'Acme logo', null, null, 'five words only here now', 'open graph has four words'), (5, '', '', '', null, '', '', '', '')) as t(page_id, org_name, og_site, title, logo_alt, meta, org_description, subhead, og_description)"
 
 
-@query("brand_candidates", _of_cases("page_id", "page_id, brand, brand_source, description, description_source", "(1, 'Acme', 'jsonld_organization', 'we make very good anvils', 'meta_description')", "(2, 'Site', 'og:site_name', 'an organisation that makes things', 'jsonld_description')", "(3, 'Acme Co', 'title_suffix', 'six words are what it takes', 'subhead_paragraph')", "(4, 'Acme logo', 'logo_alt', 'open graph has four words', 'og:description')", "(5, null, null, null, null)"),
-)
+def _count(text: str) -> str:
+    return f"len(list_filter(string_split_regex(coalesce({text}, ''), '\\s+'), lambda x: x <> ''))"
+
+
+_TAIL = "trim(regexp_extract(title, '^.*\\s[|–—-]\\s(.*)$', 1))"
+_BRAND = f"case when trim(coalesce(org_name, '')) <> '' then ('jsonld_organization', org_name) when trim(coalesce(og_site, '')) <> '' then ('og:site_name', og_site) when {_TAIL} <> '' and {_count(_TAIL)} between 1 and 5 then ('title_suffix', {_TAIL}) when {_count('logo_alt')} between 1 and 6 then ('logo_alt', logo_alt) end"
+_SAYS = f"case when {_count('meta')} >= 4 then ('meta_description', meta) when {_count('org_description')} >= 4 then ('jsonld_description', org_description) when {_count('subhead')} >= 6 then ('subhead_paragraph', subhead) when {_count('og_description')} >= 4 then ('og:description', og_description) end"
+
+
+@query("brand_candidates", f"with c as (select page_id, {_BRAND} as b, {_SAYS} as d from {dealt(_CALLED, 'page_id')}) select page_id, b[2] as brand, b[1] as brand_source, d[2] as description, d[1] as description_source from c")
 def brand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.brand_candidates(spread(spark, sf_dir, _CALLED, "page_id"))
 
@@ -86,17 +111,32 @@ def measured_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.measured_resources(spread(spark, sf_dir, _RES, "page_id"))
 
 
-@query("element_snippets", _of_cases("page_id", "page_id, snippet", "(1, '<img src=\"a\" alt=\"b\">')", "(2, '<img src=\"" + "x" * 60 + "…\">')", "(3, '<p>')", "(4, '<a href=\"" + "y" * 60 + "…\" class=\"" + "z" * 41 + "…')"))
+_ELEMENTS = list(enumerate(['<img src="a" alt="b">', f'<img src="{"x" * 70}">', "<p>", f'<a href="{"y" * 70}" class="{"z" * 60}">'], 1))
+
+
+@query(
+    "element_snippets",
+    f"""with e as (select page_id, regexp_extract(html, '^<([a-z]+)', 1) as tag, regexp_extract_all(html, '([a-z]+)="[^"]*"', 1) as names, regexp_extract_all(html, '[a-z]+="([^"]*)"', 1) as vals from {dealt(seed_sql(_ELEMENTS, 'page_id, html'), 'page_id')}),
+    f as (select page_id, '<' || tag || array_to_string(list_transform(range(1, len(names) + 1), lambda i: ' ' || names[i] || '="' || case when length(vals[i]) > 60 then substr(vals[i], 1, 60) || '…' else vals[i] end || '"'), '') || '>' as whole from e)
+    select page_id, case when length(whole) > 120 then substr(whole, 1, 120) || '…' else whole end as snippet from f""",
+)
 def element_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = ['<img src="a" alt="b">', f'<img src="{"x" * 70}">', "<p>", f'<a href="{"y" * 70}" class="{"z" * 60}">']
-    ev = H.events(spread(spark, sf_dir, spark.createDataFrame(list(enumerate(html, 1)), "page_id long, html string"), "page_id")).where("kind = 'start'")
+    ev = H.events(spread(spark, sf_dir, spark.createDataFrame(_ELEMENTS, "page_id long, html string"), "page_id")).where("kind = 'start'")
     return ev.select("page_id", G.snippet(F.col("tag"), F.col("attrs")).alias("snippet"))
 
 
 _WALLS = [(1, '<nav>menu</nav><form><input type="password"></form>', 200), (2, f'<form><input type="PASSWORD"></form><p>{"long text " * 20}</p>', 200), (3, "<form><input></form>", 404), (4, f"<header>{'menu ' * 200}</header><p>{'word ' * 20}</p>", 200)]
 
 
-@query("login_walls", _of_cases("page_id", "page_id, main_chars, thin, login_wall, scanned", "(1::bigint, 0::bigint, true, true, true)", "(2, 199, false, false, true)", "(3, 0, true, false, false)", "(4, 99, true, false, true)"))
+_JOINED = "coalesce(array_to_string(list_filter(list_transform(regexp_extract_all({}, '>([^<]*)', 1), lambda x: trim(x)), lambda x: x <> ''), ' '), '')"
+
+
+@query(
+    "login_walls",
+    f"""with p as (select *, length({_JOINED.format("regexp_replace(html, '<(nav|header)>.*?</(nav|header)>', '>', 'g')")}) as main_chars, length({_JOINED.format('html')}) as chars from {dealt(seed_sql(_WALLS, 'page_id, html, status'), 'page_id')}),
+    t as (select *, main_chars < 80 or (chars >= 200 and main_chars / chars::double < 0.15) as thin from p)
+    select page_id, main_chars, thin, thin and contains(html, '<form') and regexp_matches(html, '(?i)<input type="password"') as login_wall, status between 200 and 299 as scanned from t""",
+)
 def login_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form with a password on a page with hardly any text; pages that did not load are not judged by their text."""
     p = spread(spark, sf_dir, spark.createDataFrame(_WALLS, "page_id long, html string, status int"), "page_id")
