@@ -3,8 +3,8 @@
 Base spans come from four patterns. Outside of them, corpus co-occurrence estimates how much of a protected entity
 (one address, number or card) a term reveals: PMI(term; entity) over the entity's own information -log2 p(entity), both
 counted over whole documents. A term that reveals at least ``THRESHOLD`` of it, seen with it in at least ``SUPPORT``
-unlike texts, is a span wherever it stands, in documents without the entity too. Copies of one text are no evidence:
-all their rare words come together. Redaction puts a kind's name in place of
+unlike texts that are at least ``SURE`` of the documents it stands in, is a span wherever it stands, in documents
+without the entity too. Copies of one text are no evidence: all their rare words come together. Redaction puts a kind's name in place of
 base spans; revealing terms are generalised to their shape (a number, a name) or removed.
 
 Result for odd input: null and empty texts have no spans; rows that repeat have the same spans each (where a term
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, sql, table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, THRESHOLD = 2, 0.8
+SUPPORT, THRESHOLD, SURE = 2, 0.8, 0.75
 #: Equal in what they match to the plain patterns, but never tried twice over one run of characters: a match can only
 #: begin where a run does or where the last one ended, and no part is given back.
 PATTERNS = {
@@ -42,6 +42,9 @@ PLAIN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
+#: What a text with a base span fulfils.
+_MAY_HOLD = " or ".join("({} and text rlike '{}')".format(HINTS[k], PATTERNS[k].replace("\\", "\\\\")) for k in KINDS)
+
 _VALID = r"""case kind
     when 'email' then true
     when 'ip' then hit rlike '^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\\.|$)){4}$'
@@ -135,7 +138,7 @@ def _revealing(docs: DataFrame, base: DataFrame, covered: DataFrame, threshold:
         spark,
         f"""
         with e as (select th, collect_list(struct(x.e, c.n)) as entities from {{entities}} x join {{counts}} c on x.e = c.e group by th),
-        d as (select c.th, c.spans, d.text from {{docs}} d join {{covered}} c on d.doc_id <=> c.doc_id and xxhash64(d.text) = c.th),
+        d as (select c.th, c.spans, d.text from (select * from {{docs}} where {_MAY_HOLD}) d join {{covered}} c on d.doc_id <=> c.doc_id and xxhash64(d.text) = c.th),
         t as (select th, first(spans) as spans, first(text) as text, count(*) as rows from d group by th)
         select t.th, t.rows, e.entities, {_hashes("text")} as was, {_hashes(f"array_join({_GAPS}, ' ')")} as terms from t left join e on t.th = e.th""",
         entities=entities,
@@ -155,7 +158,7 @@ def _revealing(docs: DataFrame, base: DataFrame, covered: DataFrame, threshold:
         f as (select h, sum(c) as n_term from w group by h),
         n as (select count(*) as n from {{docs}})
         select distinct b.h from b join f on b.h = f.h cross join n
-        where n.n > b.n_entity and log2(cast(n.n as double) * b.n_both / (cast(f.n_term as double) * b.n_entity)) >= {threshold}D * log2(cast(n.n as double) / b.n_entity)""",
+        where n.n > b.n_entity and b.n_both >= {SURE}D * f.n_term and log2(cast(n.n as double) * b.n_both / (cast(f.n_term as double) * b.n_entity)) >= {threshold}D * log2(cast(n.n as double) / b.n_entity)""",
         protected=protected,
         docs=docs,
     )
@@ -262,7 +265,7 @@ def oracle() -> str:
     pairs as (select term, entity, count(*) as n_both from (select distinct th, term from tokens) join e using (th) group by term, entity having count(*) >= {SUPPORT}),
     n as (select count(*) as n from documents),
     chosen as (select distinct b.term from pairs b join frequency using (term) join entities using (entity) cross join n
-               where n > n_entity and log2(cast(n as double) * n_both / (cast(n_term as double) * n_entity)) >= {THRESHOLD}::double * log2(cast(n as double) / n_entity)),
+               where n > n_entity and n_both >= {SURE}::double * n_term and log2(cast(n as double) * n_both / (cast(n_term as double) * n_entity)) >= {THRESHOLD}::double * log2(cast(n as double) / n_entity)),
     spans as (select doc_id, th, o, kind, start, cast("end" as bigint) as "end" from base union all
               select doc_id, th, 4, 'term', "end" - n, "end" from placed where n >= 3 and term in (select term from chosen)),
     by_doc as (select doc_id, th, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, count(*) filter (o = 4) as n_term,

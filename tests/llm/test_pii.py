@@ -135,7 +135,7 @@ def brute_redact(data):
             with_entity.update(mails)
             both.update((t, m) for t in terms[i] for m in mails)
     n = len(data)
-    chosen = {t for (t, m), k in both.items() if k >= pii.SUPPORT and math.log2(n * k / (with_term[t] * with_entity[m])) >= pii.THRESHOLD * math.log2(n / with_entity[m])}
+    chosen = {t for (t, m), k in both.items() if k >= pii.SUPPORT and k >= pii.SURE * with_term[t] and math.log2(n * k / (with_term[t] * with_entity[m])) >= pii.THRESHOLD * math.log2(n / with_entity[m])}
 
     def shape(w):
         if w[0].lower() not in chosen:
@@ -160,7 +160,7 @@ def test_redaction_equals_brute_force_over_whole_documents(spark):
             w.insert(0, "name1")
         data.append((i, " ".join(w), None, None))
     want, chosen = brute_redact(data)
-    assert {"name1", "name2"} & chosen and "please" not in chosen
+    assert any(t.startswith("name") for t in chosen) and "please" not in chosen
     assert {x.doc_id: x.text for x in pii.redact(documents(spark, data)).collect()} == want
 
 
