@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
+from .textvec import give_back
 
 #: Symbols that the transducer takes in, at least, before it looks for stable tokens again.
 STEP = 32
@@ -375,6 +376,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 flat = np.frombuffer(b"".join(k.tobytes() for k in ids), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in ids])]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            del batch
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .learners import linear_svm, sigmoid
 from .shared import held_out, table
-from .textvec import mix, text_blocks
+from .textvec import give_back, mix, text_blocks
 
 #: Labelled rows that are learned from, at most: of each language, and of all together.
 SAMPLE, TOTAL = 500, 40_000
@@ -198,6 +198,8 @@ def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJE
                 columns[lang_at : lang_at + 1] = [pa.array(lang, pa.string())]
                 part = pa.RecordBatch.from_arrays(columns, names=schema.names)
                 yield part.filter(pa.array(letter[lo:hi] & (score >= reject)))
+            del batch, own
+        give_back()
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(f"siteloom_{uuid.uuid4().hex}")
     return docs.select(*docs.columns, letter).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import join_facts, materialize, partitions, table
-from .textvec import fast_sketch, mix, row_starts, shingle_sets, text_blocks
+from .textvec import fast_sketch, give_back, mix, row_starts, shingle_sets, text_blocks
 
 #: 44 bands of 5 coordinates: a pair at similarity 0.75 shares no band with probability 7e-6, at 0.8 with 3e-8.
 BANDS, WIDTH = 44, 5
@@ -53,6 +53,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, t: int = BANDS * WIDTH) ->
                     k.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
                 s = _folded(fast_sketch(h, rows, n, t))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(at)), pa.array(k[0]), pa.array(k[1]), pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "t", "n_shingles", "k1", "k2", "sketch"])
+            del batch
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n_shingles long, k1 long, k2 long, sketch binary")
 
@@ -203,6 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame, per_hundred: int, shingle: int)
                         x, y = ha[at[l2 + i] : at[l2 + i + 1]], hb[bt[i] : bt[i + 1]]
                         on[l2 + i] = _alike(x, y, per_hundred)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), part.column(1).filter(pa.array(on))], ["a", "b"])
+        give_back()
 
     met = pairs.select("a", "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")

@@ -6,6 +6,8 @@ one block, so memory is bounded by the block and the longest single text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,16 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _QI = np.uint64(pow(int(_Q), -1, 1 << 64))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker that waits for its next task holds its memory otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64."""
     x = np.asarray(x, np.uint64).copy()
