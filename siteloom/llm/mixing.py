@@ -164,9 +164,12 @@ def oracle() -> str:
     points as (select i, (i % {SPAN}) * {GOLDEN} % {SPAN} as x, total from (select unnest(range(slots)) as i, total from n where total > 0)),
     falls as (select i, cast(x as double) / {SPAN} * cast(total as double) as p from points),
     ranked as (select s.sidx, i, row_number() over (partition by s.sidx order by i) - 1 as blk from falls join src s on p >= s.lo and p < s.hi),
+    had as (select s.sidx, count(r.i) as had, greatest(0, cast(ceil(s.most / {BLOCK}) as bigint) - count(r.i)) as lacks from src s left join ranked r on r.sidx = s.sidx where s.most > 0 group by s.sidx, s.most),
+    late as (select sidx, first + k as i, had + k as blk from (select *, unnest(range(lacks)) as k from (select had.*, slots + cast(sum(lacks) over (order by sidx) as bigint) - lacks as first from had, n))),
+    scheduled as (select sidx, i, blk from ranked union all select sidx, i, blk from late),
     placed as (select d.doc_id, d.size, s.*, row_number() over (order by d.hk, d.doc_id, d.size) as rn, sum(d.size) over (partition by s.sidx order by d.hk, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as start
                from sized d join src s on d.source is not distinct from s.source),
     spread as (select *, start + e.epoch * source_size as a, least(start + e.epoch * source_size + size, most) as b from placed cross join (select unnest([0, 1]) as epoch) e),
     blocks as (select *, unnest(case when b > a then range(cast(a // {BLOCK} as bigint), cast((b - 1) // {BLOCK} + 1 as bigint)) else [] end) as blk from spread where b > a),
-    got as (select rn, sum(least(b, (x.blk + 1) * {BLOCK}) - greatest(a, x.blk * {BLOCK})) as taken, min(r.i) as first_slot from blocks x join ranked r on x.sidx = r.sidx and x.blk = r.blk group by rn)
+    got as (select rn, sum(least(b, (x.blk + 1) * {BLOCK}) - greatest(a, x.blk * {BLOCK})) as taken, min(r.i) as first_slot from blocks x join scheduled r on x.sidx = r.sidx and x.blk = r.blk group by rn)
     select doc_id, size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken, first_slot from placed left join got using (rn)"""

@@ -95,3 +95,17 @@ def test_small_source_beside_a_large_one_reaches_its_target(spark):
     assert all(r.taken <= 2 * r.size for r in out.values())
     for ids in ((0, 1), (2, 3)):
         assert sum(out[i].taken for i in ids) == int(out[ids[0]].target)
+
+
+def test_sql_has_the_blocks_that_the_points_leave_out_too(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "w " * 4000, "big") for i in range(300)] + [(1000 + i, "w " * (60 + i), f"small{i % 3}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "doc_id, size, source_size, target, taken, first_slot"
+    want = con.execute(f"select {columns} from ({mixing.oracle()})").fetchall()
+    got = mixing.query(spark, f"file://{tmp_path}").select(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r[4] > 0 for r in want if r[0] >= 1000} == {True}
