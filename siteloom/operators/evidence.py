@@ -33,7 +33,7 @@ def listing_dates(ev: DataFrame) -> DataFrame:
     """(page_id, raw, relative, structured): what a listing dates its posts with.
 
     A time element counts by its attribute, a relative text, or a text with a year; other texts by a year, unless they
-    read like boilerplate. A footer outside of articles is the page's own and dates nothing.
+    read like boilerplate; digits of a telephone number are no year. A footer outside of articles is the page's own and dates nothing.
     """
     w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     depth = lambda tag: F.sum(F.when((F.col("tag") == tag) & (F.col("kind") == "start"), 1).when((F.col("tag") == tag) & (F.col("kind") == "end"), -1).otherwise(0)).over(w)
@@ -43,11 +43,11 @@ def listing_dates(ev: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "start", F.trim(F.coalesce(F.col("attrs")["datetime"], F.lit(""))))).alias("stamp"),
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("seq", F.trim("text").alias("t"))))), lambda x: x["t"]), " ")).alias("body"),
     )
-    year = rf"\b{C.YEAR}\b"
+    has_year = lambda text: C.without_phones(F.col(text)).rlike(rf"\b{C.YEAR}\b")
     dated = F.col("stamp").rlike(r"\d{4}-\d{2}-\d{2}")
     relative = ~dated & (F.col("body").rlike(RECENT) | F.col("stamp").rlike(RECENT))
-    timed = timed.where(dated | relative | F.col("body").rlike(year)).select("page_id", F.when(dated, F.col("stamp")).when(F.col("body") != "", F.col("body")).otherwise(F.col("stamp")).alias("raw"), relative.alias("relative"), F.lit(True).alias("structured"))
-    loose = rows.where("at is null and kind = 'text'").select("page_id", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("raw")).where(F.col("raw").rlike(year) & ~F.col("raw").rlike(BOILERPLATE)).distinct()
+    timed = timed.where(dated | relative | has_year("body")).select("page_id", F.when(dated, F.col("stamp")).when(F.col("body") != "", F.col("body")).otherwise(F.col("stamp")).alias("raw"), relative.alias("relative"), F.lit(True).alias("structured"))
+    loose = rows.where("at is null and kind = 'text'").select("page_id", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("raw")).where(has_year("raw") & ~F.col("raw").rlike(BOILERPLATE)).distinct()
     plain = loose.join(timed.where("not relative").select("page_id").distinct(), "page_id", "left_anti").select("page_id", "raw", F.lit(False).alias("relative"), F.lit(False).alias("structured"))
     return timed.distinct().unionByName(plain)
 
