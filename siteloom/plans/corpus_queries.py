@@ -19,10 +19,7 @@ from .url_queries import PARTS
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, id, text): what each page shows, a line for each piece, by host."""
-    p = pages(spark, sf_dir)
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    t = H.shown_text(H.events(p)).groupBy("page_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "\n").alias("text"))
-    return t.join(p.select("page_id", U.host(F.col("url")).alias("scope")), "page_id").select("scope", F.col("page_id").alias("id"), "text")
+    return H.shown_lines(pages(spark, sf_dir).select(U.host(F.col("url")).alias("scope"), F.col("page_id").cast("long").alias("id"), "html"))
 
 
 def _norm(text: str) -> str:
