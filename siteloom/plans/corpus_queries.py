@@ -125,7 +125,7 @@ _STATED = f"""titles as (select page_id as fact, {_TITLE} as value from pages),
 def _titles_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = pages(spark, sf_dir)
     ev = H.events(p)
-    texts = H.shown_text(ev).groupBy("page_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text")).withColumnRenamed("page_id", "id")
+    texts = H.shown_lines(p.select(F.col("page_id").cast("long").alias("id"), "html"))
     return page_titles(ev).select(F.col("page_id").alias("fact"), F.col("title").alias("value")), texts
 
 
