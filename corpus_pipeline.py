@@ -8,9 +8,13 @@ from siteloom.llm import bpe, language_id, mixing, near_dedup, pii
 from siteloom.llm.shared import materialize, table
 
 
+#: A language that is predicted with a lower score is not named.
+UNSURE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``lang`` becomes the predicted language; texts without letters or with no certain language go."""
-    return language_id.with_language(docs, language_id.fit(docs))
+    """``lang`` becomes the predicted language, ``und`` where that is uncertain; texts without letters go."""
+    return language_id.with_language(docs, language_id.fit(docs), unsure=UNSURE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +33,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document, and what they decode to."""
-    return bpe.encode_documents(docs)
+    """The tokens of each document, what they decode to, and its language."""
+    return bpe.encode_documents(docs, carry=("lang",))
 
 
 STAGES = [

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .shared import table
 from .textvec import give_back
@@ -359,12 +360,13 @@ def _loaded(source: str) -> Bpe:
     return _LOADED[key]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every text, and what they decode to.
+def encode_documents(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) and the columns ``carry``: the tokens of every text, and what they decode to.
 
     The vocabulary is broadcast: a file of fixed size, here 1.7 MB.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string").fields, *[docs.schema[c] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(held.value)
@@ -375,11 +377,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows = [bpe.digest(x, k) for x, k in zip(texts, ids, strict=True)]
                 flat = np.frombuffer(b"".join(k.tobytes() for k in ids), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in ids])]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), *[batch.column(2 + i).slice(lo, 64) for i in range(len(carry))]], schema.names)
             del batch
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

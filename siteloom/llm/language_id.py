@@ -175,10 +175,10 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJECT) -> DataFrame:
+def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJECT, unsure: float = 0.0) -> DataFrame:
     """The documents that have a language, in all their columns, with ``lang`` as predicted; where there is none, it is added.
 
-    Rejected are texts without letters and those whose prediction scores below ``reject``.
+    Rejected are texts without letters and those whose prediction scores below ``reject``; those that score below ``unsure`` stay as ``und``.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -194,6 +194,7 @@ def with_language(docs: DataFrame, model: Hierarchy | None, reject: float = REJE
                 if model is None:
                     continue
                 lang, score = model.predict(ngram_features(buf, offs))
+                lang[score < unsure] = "und"
                 columns = own.slice(lo, hi - lo).columns
                 columns[lang_at : lang_at + 1] = [pa.array(lang, pa.string())]
                 part = pa.RecordBatch.from_arrays(columns, names=schema.names)
