@@ -162,7 +162,7 @@ def _pairs(p: DataFrame, texts: DataFrame) -> DataFrame:
         found.append(cut.select("scope", "id", F.expr("concat(right(w.a, s.l), ' ', left(w.b, s.r))").alias("probe")).join(two.select("scope", "probe"), ["scope", "probe"]).select("scope", "probe", "id"))
     if one.limit(1).count():
         sizes = one.select("scope", F.length("probe").alias("l")).distinct().groupBy("scope").agg(F.collect_set("l").alias("sizes"))
-        words = t.join(sizes, "scope").select("scope", "id", "sizes", F.explode(F.array_distinct(F.filter(F.split("words", " "), lambda w: w != ""))).alias("w"))
+        words = t.join(F.broadcast(sizes), "scope").select("scope", "id", "sizes", F.explode(F.array_distinct(F.filter(F.split("words", " "), lambda w: w != ""))).alias("w"))
         cut = words.select("scope", "id", "w", F.explode("sizes").alias("l")).where("length(w) >= l").select("scope", "id", F.explode(F.expr("transform(sequence(1, length(w) - l + 1), i -> substring(w, i, l))")).alias("probe"))
         found.append(cut.join(one.select("scope", "probe"), ["scope", "probe"]).select("scope", "probe", "id"))
     out = found[0]
