@@ -6,9 +6,8 @@ import gzip
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,32 +175,28 @@ def sitemap_kind(locations: DataFrame) -> DataFrame:
 
 #: Bytes of a body that are inflated, at most: a small body can hold very much.
 INFLATED = 10 << 20
+#: Bytes of bodies that a task makes before it hands them on, about.
+HELD = 4 << 20
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())]))
-def decoded_body(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
+def _decoded(data: bytes | None, enc: str | None) -> tuple[str | None, str | None]:
     """Text of a body that is gzipped (by header or by its first bytes), all its members, or deflated; what can be read of a broken one."""
-
-    def one(data: bytes | None, enc: str | None) -> tuple[str | None, str | None]:
-        if data is None:
-            return None, None
-        enc = (enc or "").lower()
-        note = None
-        if "gzip" in enc or data[:2] == b"\x1f\x8b":
-            data, note = _members(data)
-        elif "deflate" in enc:
-            engine = zlib.decompressobj(15 if data[:1] == b"\x78" else -15)
-            try:
-                data = engine.decompress(data, INFLATED)
-                note = None if engine.eof else "partial stream"
-            except zlib.error:
-                data, note = b"", "undecodable body"
-        elif enc in ("br", "zstd", "compress"):
-            data, note = b"", f"no decoder for {enc}"
-        return data.decode("utf-8", errors="replace"), note
-
-    rows = [one(d, e) for d, e in zip(raw, encoding, strict=True)]
-    return pd.DataFrame(rows, columns=["text", "note"])
+    if data is None:
+        return None, None
+    enc = (enc or "").lower()
+    note = None
+    if "gzip" in enc or data[:2] == b"\x1f\x8b":
+        data, note = _members(data)
+    elif "deflate" in enc:
+        engine = zlib.decompressobj(15 if data[:1] == b"\x78" else -15)
+        try:
+            data = engine.decompress(data, INFLATED)
+            note = None if engine.eof else "partial stream"
+        except zlib.error:
+            data, note = b"", "undecodable body"
+    elif enc in ("br", "zstd", "compress"):
+        data, note = b"", f"no decoder for {enc}"
+    return data.decode("utf-8", errors="replace"), note
 
 
 def _members(data: bytes) -> tuple[bytes, str | None]:
@@ -220,15 +215,47 @@ def _members(data: bytes) -> tuple[bytes, str | None]:
     return b"".join(out), "partial stream" if data else None
 
 
-@F.pandas_udf(T.BinaryType())
-def packed_body(text: pd.Series, how: pd.Series) -> pd.Series:
-    """Bodies as servers send them: gzip, gzip in two members, deflate, or as they are."""
+def _packed(text: str, kind: str) -> tuple[bytes]:
+    """A body as servers send it: gzip, gzip in two members, deflate, or as it is."""
+    body = text.encode()
+    return ({"gzip": lambda: gzip.compress(body, mtime=0), "two members": lambda: gzip.compress(body, mtime=0) * 2, "deflate": lambda: zlib.compress(body)}.get(kind, lambda: body)(),)
+
+
+_DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])
+#: Text and note of one body, as a column; not in Arrow's batches, which would hold the texts of 10,000 bodies at once.
+decoded_body = F.udf(_decoded, _DECODED, useArrow=False)
 
-    def one(t: str, kind: str) -> bytes:
-        body = t.encode()
-        return {"gzip": lambda: gzip.compress(body, mtime=0), "two members": lambda: gzip.compress(body, mtime=0) * 2, "deflate": lambda: zlib.compress(body)}.get(kind, lambda: body)()
 
-    return pd.Series([one(t, k) for t, k in zip(text, how, strict=True)])
+def _pieces(batches: Iterator[pa.RecordBatch], f: Callable[..., tuple], width: int, kept: list[int], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` and what ``f`` makes of the first ``width`` ones, row by row; handed on as soon as ``HELD`` bytes are there."""
+    for batch in batches:
+        lo, size, rows = 0, 0, []
+        for i in range(len(batch)):
+            rows.append(f(*[batch.column(k)[i].as_py() for k in range(width)]))
+            size += sum(len(v) for v in rows[-1] if v)
+            if size >= HELD or i + 1 == len(batch):
+                made = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, len(rows)) for k in kept], *made], names=names)
+                lo, size, rows = i + 1, 0, []
+
+
+def decoded_bodies(fetches: DataFrame) -> DataFrame:
+    """``fetches`` (raw, encoding, ...) with the text and the note of each body in place of these two.
+
+    A task holds one of Arrow's batches, 64 MB of bodies at most as Spark sets it, and ``HELD`` bytes of texts and one more, whatever these come to.
+    """
+    others = [c for c in fetches.columns if c not in ("raw", "encoding")]
+    schema = T.StructType([*[fetches.schema[c] for c in others], *_DECODED.fields])
+    run = lambda batches: _pieces(batches, _decoded, 2, list(range(2, 2 + len(others))), [pa.string(), pa.string()], schema.names)
+    return fetches.select("raw", "encoding", *others).mapInArrow(run, schema)
+
+
+def packed_bodies(pages: DataFrame) -> DataFrame:
+    """``pages`` (html, packed, ...) with the body as it is sent, ``raw``, in place of the HTML."""
+    others = [c for c in pages.columns if c not in ("html", "packed")]
+    schema = T.StructType([pages.schema["packed"], *[pages.schema[c] for c in others], T.StructField("raw", T.BinaryType())])
+    run = lambda batches: _pieces(batches, _packed, 2, list(range(1, 2 + len(others))), [pa.binary()], schema.names)
+    return pages.select("html", "packed", *others).mapInArrow(run, schema)
 
 
 def gzipped(text: str) -> bytes:

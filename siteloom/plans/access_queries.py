@@ -165,8 +165,8 @@ def decoded_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's HTML, packed as servers send it, and unpacked again."""
     kinds = F.array(*[F.lit(x) for x in ("gzip", "two members", "deflate", "plain")])
     p = pages(spark, sf_dir).where("html is not null").select("page_id", "html", F.element_at(kinds, (F.pmod("page_id", F.lit(4)) + 1).cast("int")).alias("packed"))
-    sent = p.withColumn("raw", A.packed_body("html", "packed")).withColumn("encoding", F.when(F.col("packed") == "deflate", "deflate").when(F.col("packed") == "gzip", "gzip"))
-    return sent.withColumn("d", A.decoded_body("raw", "encoding")).select("page_id", "packed", F.length("d.text").alias("chars"), F.md5(F.col("d.text").cast("binary")).alias("body_md5"), "d.note")
+    sent = A.packed_bodies(p).withColumn("encoding", F.when(F.col("packed") == "deflate", "deflate").when(F.col("packed") == "gzip", "gzip"))
+    return A.decoded_bodies(sent).select("page_id", "packed", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("body_md5"), "note")
 
 
 _STATUS = "(values (1, '200'), (2, 'timeout'), (3, '404'), (4, null), (5, 'robots_skipped')) as t(page_id, raw)"
