@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.tables import written
 from ..operators import access as A
 from ..operators import containment as K
 from ..operators import html_events as H
 from ..operators import paths as P
 from ..operators import robots as R
 from ..operators import stated as S
-from .page_queries import _TITLE, page_links, page_titles, shown_sql
+from .page_queries import _TITLE, page_links, shown_sql
 from .registry import pages, query
 from .url_queries import PARTS
 
@@ -122,17 +123,12 @@ _STATED = f"""titles as (select page_id as fact, {_TITLE} as value from pages),
     met as (select fact, id, len(words) as n, len(list_intersect(words, has)) as shared from f, t where len(words) > 0)"""
 
 
-def _titles_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = pages(spark, sf_dir)
-    ev = H.events(p)
-    texts = H.shown_lines(p.select(F.col("page_id").cast("long").alias("id"), "html"))
-    return page_titles(ev).select(F.col("page_id").alias("fact"), F.col("title").alias("value")), texts
-
-
 @query("stated_titles", f"with {_STATED} select fact as page_id, id as stated_by, cast(n as bigint) as words, cast(shared as bigint) as shared from met where shared / n::double >= {S.SHARE}::double")
 def stated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages state what a page's title says: seven tenths of its words, whichever page it is."""
-    return S.stated(*_titles_and_texts(spark, sf_dir)).select(F.col("fact").alias("page_id"), F.col("id").alias("stated_by"), "words", "shared")
+    read = H.titled_lines(pages(spark, sf_dir).select(F.col("page_id").cast("long").alias("id"), "html"))
+    read = written(read.select("id", "title", S.tokens(F.col("text")).alias("has")), "text-words")
+    return S.stated_in(read.select(F.col("id").alias("fact"), H.collapsed(F.col("title")).alias("value")), read.select("id", "has")).select(F.col("fact").alias("page_id"), F.col("id").alias("stated_by"), "words", "shared")
 
 
 _FOREST = f"""{PARTS}, own as (select distinct regexp_replace(netloc, '^www\\.', '') as site, regexp_replace(path, '/+$', '') as path from parts),
